@@ -9,6 +9,24 @@ from pyspark.sql import functions as F
 
 from .common import held_out, table
 from .language import train_language_id, with_language
+from .neighbours import nearest
+from .topk import exact_top_k
+from .vector_blocks import finite
+
+
+def op3_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 rows of largest integer inner product for every row whose id is divisible by 50."""
+    rows = table(spark, sf_dir, "embeddings").where(F.col("vec_id").isNotNull() & finite("embedding"))
+    weights = F.transform(F.col("embedding"), lambda x: F.floor(x.cast("double") * 256))
+    rows = rows.select(F.col("vec_id").alias("id"), weights.alias("v"))
+    return exact_top_k(rows.where(F.col("id") % 50 == 0), rows, 5)
+
+
+def op7_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 rows of largest inner product for every row whose id is divisible by 20."""
+    rows = table(spark, sf_dir, "embeddings").where(F.col("vec_id").isNotNull() & finite("embedding"))
+    rows = rows.where(F.exists("embedding", lambda x: x != 0)).select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    return nearest(rows.where(F.col("id") % 20 == 0), rows, 20, "float32")
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,7 +38,26 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_exact_top_k": op3_exact_top_k,
+    "op7_nearest": op7_nearest,
     "op10_language_id": op10_language_id,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op3_exact_top_k": """
+        with v as (
+            select vec_id, list_transform(embedding, lambda x: cast(floor(cast(x as double) * 256) as bigint)) as w
+            from embeddings where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+        s as (
+            select q.vec_id as query_id, c.vec_id, cast(coalesce(list_sum(list_transform(list_zip(q.w, c.w), lambda x: coalesce(x[1] * x[2], 0))), 0) as bigint) as score
+            from v q join v c on q.vec_id <> c.vec_id where q.vec_id % 50 = 0),
+        r as (select *, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank from s)
+        select query_id, rank, vec_id, score from r where rank <= 5""",
+    "op7_nearest": """
+        with v as (
+            select vec_id, list_transform(embedding, lambda x: cast(x as double)) as w from embeddings
+            where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+        s as (select q.vec_id as query_id, c.vec_id, list_inner_product(q.w, c.w) as score from v q join v c on q.vec_id <> c.vec_id where q.vec_id % 20 = 0),
+        r as (select *, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank from s)
+        select query_id, rank, vec_id, score from r where rank <= 20""",
+}
