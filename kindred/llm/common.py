@@ -90,24 +90,31 @@ def chunks(offsets: np.ndarray, most: int = CHUNK_BYTES):
         i = min(j, n)
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words (runs without ASCII white space, A-Z lower-cased) of all texts in order,
-    and where each text's words start among them."""
-    n = len(data)
-    if not n:
-        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
-    keep = ~_SPACE[data]
+#: Runs of ASCII letters and of bytes beyond ASCII are words here.
+LETTERS_ONLY = np.ones(256, bool)
+LETTERS_ONLY[[*range(65, 91), *range(97, 123), *range(128, 256)]] = False
+
+
+def word_hashes(data: np.ndarray, offsets: np.ndarray, separator: np.ndarray = _SPACE, prefixes: tuple[int, ...] = ()) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Hashes of the words (runs of bytes that separate nothing, A-Z lower-cased) of all texts in order, where each
+    text's words start among them, and for each length in ``prefixes`` the hashes of the longer words' first bytes
+    (0 for other words)."""
+    n, none = len(data), np.zeros(0, np.uint64)
+    keep = ~separator[data]
+    kept = np.flatnonzero(keep)
+    if not len(kept):
+        return none, np.zeros(len(offsets), np.int64), [none for _ in prefixes]
     before = np.empty(n, bool)
     before[0], before[1:] = False, keep[:-1]
-    inner = offsets[offsets < n]
-    before[inner] = False
+    before[offsets[offsets < n]] = False
     starts = np.flatnonzero(keep & ~before)
-    if not len(starts):
-        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
-    kept = np.flatnonzero(keep)
     first = np.searchsorted(kept, starts)
     lens = np.diff(np.append(first, len(kept)))
     place = np.arange(len(kept)) - np.repeat(first, lens)
     values = (_LOWER[data[kept]].astype(np.uint64) + np.uint64(1)) * _power_table(int(lens.max()) + 1)[place]
     h = mix(np.add.reduceat(values, first) ^ lens.astype(np.uint64))
-    return h, np.searchsorted(starts, offsets)
+    heads = []
+    for p in prefixes:
+        head = mix(np.add.reduceat(np.where(place < p, values, np.uint64(0)), first) ^ np.uint64(p << 32))
+        heads.append(np.where(lens > p, head, np.uint64(0)))
+    return h, np.searchsorted(starts, offsets), heads

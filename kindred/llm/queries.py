@@ -11,6 +11,7 @@ from .common import held_out, table
 from .language import train_language_id, with_language
 from .neighbours import nearest
 from .topk import exact_top_k
+from .toxicity import train_toxicity, with_toxicity
 from .vector_blocks import finite
 
 
@@ -22,6 +23,21 @@ def op3_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_top_k(rows.where(F.col("id") % 50 == 0), rows, 5)
 
 
+def labelled_texts(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(doc_id, text, toxic) of the labelled documents outside the held-out fold, one row for each id and text."""
+    known = labels.where(~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where("toxic is not null")
+    return docs.select("doc_id", "text").join(known, "doc_id")
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learned from the labels that are not held out."""
+    docs = table(spark, sf_dir, "documents")
+    model = train_toxicity(labelled_texts(docs, table(spark, sf_dir, "labels")))
+    scored = with_toxicity(docs.select("doc_id", "text"), model)
+    predicted = (F.col("score") >= 0.5).cast("int").alias("predicted")
+    return scored.select("doc_id", held_out().alias("held_out"), "score", predicted, "evidence")
+
+
 def op7_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 rows of largest inner product for every row whose id is divisible by 20."""
     rows = table(spark, sf_dir, "embeddings").where(F.col("vec_id").isNotNull() & finite("embedding"))
@@ -39,6 +55,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_exact_top_k": op3_exact_top_k,
+    "op4_toxicity": op4_toxicity,
     "op7_nearest": op7_nearest,
     "op10_language_id": op10_language_id,
 }
