@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .common import held_out, table
 from .language import train_language_id, with_language
 from .neighbours import nearest
+from .sharding import sharded_documents
 from .topk import exact_top_k
 from .toxicity import train_toxicity, with_toxicity
 from .vector_blocks import finite
@@ -38,6 +39,11 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out().alias("held_out"), "score", predicted, "evidence")
 
 
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document in one of 8 shards of equal row counts, equal texts together where the quotas allow."""
+    return sharded_documents(table(spark, sf_dir, "documents"), 8)
+
+
 def op7_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 rows of largest inner product for every row whose id is divisible by 20."""
     rows = table(spark, sf_dir, "embeddings").where(F.col("vec_id").isNotNull() & finite("embedding"))
@@ -56,6 +62,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_exact_top_k": op3_exact_top_k,
     "op4_toxicity": op4_toxicity,
+    "op6_sharding": op6_sharding,
     "op7_nearest": op7_nearest,
     "op10_language_id": op10_language_id,
 }
