@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import held_out, table
 from .language import train_language_id, with_language
+from .mixing import mixed
 from .neighbours import nearest
 from .sharding import sharded_documents
 from .topk import exact_top_k
@@ -16,6 +17,24 @@ from .toxicity import train_toxicity, with_toxicity
 from .vector_blocks import finite
 
 
+#: Domains are made of the sources' numbers; values without a weight weigh 1.
+MIX_LEVELS = ["domain", "lang", "source"]
+MIX_WEIGHTS = {"domain": {"web": 0.4, "books": 0.3, "code": 0.2, "news": 0.1}, "lang": {"en": 0.55, "de": 0.15, "fr": 0.15, "es": 0.15}}
+
+
+def domain_of(source: str = "source") -> Column:
+    number = F.try_to_number(F.regexp_extract(source, r"(\d{1,9})$", 1), F.lit("999999999")) % 4
+    return F.when(number == 0, "web").when(number == 1, "books").when(number == 2, "code").otherwise("news")
+
+
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often, and with how many tokens of one more epoch, each document is taken for 80 % of the corpus' tokens
+    at the weights of ``MIX_WEIGHTS``, over two epochs at most."""
+    docs = table(spark, sf_dir, "documents").withColumn("domain", domain_of())
+    taken = mixed(docs, MIX_LEVELS, share=0.8, epochs=2, weights=MIX_WEIGHTS)
+    return taken.select("doc_id", "domain", "lang", "source", "n_tokens", "epochs", "part")
+
+
 def op3_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 5 rows of largest integer inner product for every row whose id is divisible by 50."""
     rows = table(spark, sf_dir, "embeddings").where(F.col("vec_id").isNotNull() & finite("embedding"))
@@ -60,6 +79,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_mixing": op2_mixing,
     "op3_exact_top_k": op3_exact_top_k,
     "op4_toxicity": op4_toxicity,
     "op6_sharding": op6_sharding,
