@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import held_out, table
+from .html import with_main_text
 from .language import train_language_id, with_language
 from .mixing import mixed
 from .neighbours import nearest
@@ -17,6 +18,12 @@ from .toxicity import train_toxicity, with_toxicity
 from .vector_blocks import finite
 
 
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page, and its length in code points."""
+    pages = with_main_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return pages.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 #: Domains are made of the sources' numbers; values without a weight weigh 1.
 MIX_LEVELS = ["domain", "lang", "source"]
 MIX_WEIGHTS = {"domain": {"web": 0.4, "books": 0.3, "code": 0.2, "news": 0.1}, "lang": {"en": 0.55, "de": 0.15, "fr": 0.15, "es": 0.15}}
@@ -79,6 +86,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_html_extraction": op1_html_extraction,
     "op2_mixing": op2_mixing,
     "op3_exact_top_k": op3_exact_top_k,
     "op4_toxicity": op4_toxicity,
