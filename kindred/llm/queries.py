@@ -12,6 +12,7 @@ from .html import with_main_text
 from .language import train_language_id, with_language
 from .mixing import mixed
 from .neighbours import nearest
+from .pieces import with_pieces
 from .sharding import sharded_documents
 from .topk import exact_top_k
 from .toxicity import train_toxicity, with_toxicity
@@ -50,16 +51,10 @@ def op3_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_top_k(rows.where(F.col("id") % 50 == 0), rows, 5)
 
 
-def labelled_texts(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, text, toxic) of the labelled documents outside the held-out fold, one row for each id and text."""
-    known = labels.where(~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where("toxic is not null")
-    return docs.select("doc_id", "text").join(known, "doc_id")
-
-
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document, learned from the labels that are not held out."""
     docs = table(spark, sf_dir, "documents")
-    model = train_toxicity(labelled_texts(docs, table(spark, sf_dir, "labels")))
+    model = train_toxicity(docs, table(spark, sf_dir, "labels").where(~held_out()))
     scored = with_toxicity(docs.select("doc_id", "text"), model)
     predicted = (F.col("score") >= 0.5).cast("int").alias("predicted")
     return scored.select("doc_id", held_out().alias("held_out"), "score", predicted, "evidence")
@@ -77,6 +72,20 @@ def op7_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(rows.where(F.col("id") % 20 == 0), rows, 20, "float32")
 
 
+def piece_model() -> str:
+    """The SentencePiece model of the public tokenizers package; it is read where it is installed, never copied."""
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+def op9_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's 3 best segmentations: pieces of the best, scores, crc32 of each one's ids, and whether all of
+    them decode to the text."""
+    docs = with_pieces(table(spark, sf_dir, "documents").select("doc_id", "text"), piece_model())
+    return docs.select("doc_id", "pieces.n_pieces", "pieces.scores", "pieces.crcs", "pieces.exact")
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document, learned from the folds that are not held out."""
     docs = table(spark, sf_dir, "documents")
@@ -92,6 +101,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_toxicity": op4_toxicity,
     "op6_sharding": op6_sharding,
     "op7_nearest": op7_nearest,
+    "op9_sentence_pieces": op9_sentence_pieces,
     "op10_language_id": op10_language_id,
 }
 
