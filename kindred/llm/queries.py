@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .common import held_out, table
 from .html import with_main_text
+from .jaccard import near_duplicates
 from .language import train_language_id, with_language
 from .mixing import mixed
 from .neighbours import nearest
@@ -72,6 +73,11 @@ def op7_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(rows.where(F.col("id") % 20 == 0), rows, 20, "float32")
 
 
+def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Component of every document under links of 85 % similar sets of 4-word shingles."""
+    return near_duplicates(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def piece_model() -> str:
     """The SentencePiece model of the public tokenizers package; it is read where it is installed, never copied."""
     import public_tokenizers
@@ -101,6 +107,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_toxicity": op4_toxicity,
     "op6_sharding": op6_sharding,
     "op7_nearest": op7_nearest,
+    "op8_ngram_jaccard": op8_ngram_jaccard,
     "op9_sentence_pieces": op9_sentence_pieces,
     "op10_language_id": op10_language_id,
 }
