@@ -22,14 +22,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise in the folder named by spark.checkpoint.dir and forget the lineage.
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder, which the driver and all executors share.
 
-    The folder comes from the session; a temporary one is set only where none is configured (tests).
+    It comes from spark.checkpoint.dir; a temporary one is set only where none is configured (tests).
     """
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="kindred-checkpoint-"))
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="kindred-checkpoint-"))
+    return context.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Materialise in the shared folder and forget the lineage."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
