@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import blocks_of
+from .common import blocks_of, cut
 
 ROWS_PER_BUCKET = 20_000
 SEED = 2011
@@ -64,17 +64,17 @@ def leaf_budgets(leaves: DataFrame, levels: list[str], budget: int, epochs: int,
     return leaves.join(found, levels)
 
 
-def mixed(docs: DataFrame, levels: list[str], budget: int | None = None, share: float = 0.8, epochs: int = 1, weights: dict[str, dict[str, float]] | None = None, seed: int = SEED, key: str = "doc_id") -> DataFrame:
-    """``docs`` with n_tokens, epochs (how often the text is taken whole) and part (tokens taken once more, from its
-    start); rows of which nothing is taken are left out.
+def mixed(docs: DataFrame, levels: list[str], budget: int | None = None, share: float = 0.8, epochs: int = 1, weights: dict[str, dict[str, float]] | None = None, seed: int = SEED, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, levels, n_tokens, epochs, part) of the rows of ``docs`` that are taken: epochs is how often the text is
+    taken whole, part how many of its first tokens are taken once more.
 
     ``budget`` is in tokens (default: ``share`` of all tokens). Null level values are a child named ``(none)``; texts
     that are null or without a token supply nothing and are never taken. Repeated rows count as often as they occur.
-    Columns of ``docs`` named n_tokens, epochs or part are replaced.
+    Tokens are counted once; only the narrow rows are dealt out and sorted.
     """
     named = {f"_{i}": F.coalesce(F.col(c).cast("string"), F.lit("(none)")) for i, c in enumerate(levels)}
     path = list(named)
-    rows = docs.withColumn("n_tokens", words()).withColumns(named).where("n_tokens > 0")
+    rows = cut(docs.select(key, *levels, words(text).alias("n_tokens")).withColumns(named).where("n_tokens > 0"))
     order = F.xxhash64(F.lit(seed), F.col(key), "n_tokens")
     sums = rows.groupBy(*path).agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("n")).persist()
     try:
@@ -91,7 +91,7 @@ def mixed(docs: DataFrame, levels: list[str], budget: int | None = None, share:
     before = Window.partitionBy(*path).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     cuts = in_bucket.withColumn("_before", F.coalesce(F.sum("_sum").over(before), F.lit(0))).join(leaves, path)
     cuts = cuts.select(*path, "_bucket", "epochs", F.col("_before"), F.col("last"), F.when(F.col("_before") >= F.col("last"), 0).when(F.col("_before") + F.col("_sum") <= F.col("last"), 2).otherwise(1).alias("_case"))
-    rows = rows.drop("epochs", "part").join(cuts, [*path, "_bucket"])
+    rows = rows.join(cuts, [*path, "_bucket"])
     inside = Window.partitionBy(*path, "_bucket").orderBy("_order", key).rowsBetween(Window.unboundedPreceding, -1)
     ends = rows.where("_case = 1").withColumn("_left", F.col("last") - F.col("_before") - F.coalesce(F.sum("n_tokens").over(inside), F.lit(0)))
     ends = ends.withColumn("part", F.greatest(F.lit(0), F.least(F.col("n_tokens"), F.col("_left")))).drop("_left")

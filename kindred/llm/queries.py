@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import held_out, table
+from .common import held_out, shared_folder, table
 from .html import with_main_text
 from .jaccard import near_duplicates
 from .language import train_language_id, with_language
@@ -16,6 +17,7 @@ from .neighbours import nearest
 from .pieces import with_pieces
 from .sharding import sharded_documents
 from .topk import exact_top_k
+from .token_files import read_tokens, write_tokens
 from .toxicity import train_toxicity, with_toxicity
 from .vector_blocks import finite
 
@@ -40,8 +42,7 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How often, and with how many tokens of one more epoch, each document is taken for 80 % of the corpus' tokens
     at the weights of ``MIX_WEIGHTS``, over two epochs at most."""
     docs = table(spark, sf_dir, "documents").withColumn("domain", domain_of())
-    taken = mixed(docs, MIX_LEVELS, share=0.8, epochs=2, weights=MIX_WEIGHTS)
-    return taken.select("doc_id", "domain", "lang", "source", "n_tokens", "epochs", "part")
+    return mixed(docs, MIX_LEVELS, share=0.8, epochs=2, weights=MIX_WEIGHTS)
 
 
 def op3_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,6 +62,13 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out().alias("held_out"), "score", predicted, "evidence")
 
 
+def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Place, length and crc32 of every document's ids, read back from the files they were written to."""
+    folder = f"{shared_folder(spark)}/tokens-{uuid.uuid4().hex}"
+    write_tokens(table(spark, sf_dir, "documents"), folder, word_model())
+    return read_tokens(spark.read.parquet(folder)).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document in one of 8 shards of equal row counts, equal texts together where the quotas allow."""
     return sharded_documents(table(spark, sf_dir, "documents"), 8)
@@ -78,6 +86,13 @@ def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
+def word_model() -> str:
+    """The word BPE vocabulary of the public tokenizers package."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
 def piece_model() -> str:
     """The SentencePiece model of the public tokenizers package; it is read where it is installed, never copied."""
     import public_tokenizers
@@ -105,6 +120,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mixing": op2_mixing,
     "op3_exact_top_k": op3_exact_top_k,
     "op4_toxicity": op4_toxicity,
+    "op5_token_files": op5_token_files,
     "op6_sharding": op6_sharding,
     "op7_nearest": op7_nearest,
     "op8_ngram_jaccard": op8_ngram_jaccard,
