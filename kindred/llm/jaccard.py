@@ -132,8 +132,8 @@ def index(docs: DataFrame, text: str, words: int, percent: int, classes: tuple[n
             for tokens in shingle_sets(batch.column(0), words):
                 n = len(tokens)
                 p = n - (percent * n + 99) // 100 + 1
-                if p < 2 or (e := digest(tokens)) in seen:
-                    continue
+                if 100 * n < percent * (n + 1) or (e := digest(tokens)) in seen:
+                    continue  # no other set can be alike, or these rows are there already
                 if len(seen) < 500_000:
                     seen.add(e)
                 upper = tokens >> np.uint64(shift)
