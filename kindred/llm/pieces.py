@@ -2,7 +2,8 @@
 
 The pieces and scores of a SentencePiece model span a lattice over each text (a space mark before it and for every
 space; characters without a piece become their bytes). No piece continues past a space mark, so a text is a chain of
-segments (marks or a line break, and the characters after them) and each segment is solved alone: a forward Viterbi pass gives the best
+segments (marks or a line break, and the characters after them), which fall into parts between characters that no
+piece joins. Each part is solved alone: a forward Viterbi pass gives the best
 score up to every position, and these are exact heuristics for an A-star search backwards from the end, which yields
 segmentations best first. The N best of a text combine the N - 1 smallest losses over all of its segments.
 
@@ -17,7 +18,9 @@ import zlib
 from array import array
 from functools import lru_cache
 from itertools import combinations
+from operator import itemgetter
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,7 +31,7 @@ UNKNOWN_PENALTY = 10.0
 #: Scores below this are those of reserved pieces, not of worst ones.
 RESERVED = -1e8
 #: Segments that a generation of the cache holds.
-GENERATION = 150_000
+GENERATION = 200_000
 N_BEST = 3
 
 
@@ -43,6 +46,7 @@ class Pieces:
         score = {name: ((i,), model.get_score(i)) for i, name in enumerate(self.names) if not any(kinds[i])}
         #: Pieces by name, and None for what only begins one.
         self.table = {name[:k]: None for name in score for k in range(1, len(name))} | score
+        self.joined = {name[i : i + 2] for name in score for i in range(len(name) - 1)}
         self.unknown_id = model.unk_id()
         self.unknown = min((s for _, s in score.values() if s > RESERVED), default=0.0) - UNKNOWN_PENALTY
         self.raw = [b"" if c or u else bytes([int(n[1:-1], 16)]) if b else n.encode() for n, (c, u, b) in zip(self.names, kinds, strict=True)]
@@ -99,42 +103,77 @@ class Pieces:
             del agenda[wanted:]
         return out
 
-    def segment(self, text: str, n: int) -> tuple[float, bytes, list[tuple[float, bytes]]]:
-        """Score and ids of the best, and (loss, ids) of the others; ids as little-endian 32-bit integers."""
-        if (hit := self.fresh.get(text)) is None:
-            if (hit := self.stale.get(text)) is None:
-                found = [(s, pack(ids)) for s, ids in self.n_best(text, n)]
-                hit = (*found[0], [(found[0][0] - s, ids) for s, ids in found[1:]])
-            if len(self.fresh) >= GENERATION:
-                self.stale, self.fresh = self.fresh, {}
-            self.fresh[text] = hit
+    def independent(self, segment: str) -> list[str]:
+        """Parts of a segment between characters that no piece holds side by side."""
+        cuts = [i for i in range(1, len(segment)) if segment[i - 1 : i + 1] not in self.joined]
+        return [segment[i:j] for i, j in zip([0, *cuts], [*cuts, len(segment)], strict=True)] if cuts else [segment]
+
+    def remembered(self, text: str, solve) -> tuple[float, bytes, list[tuple[float, bytes]], float]:
+        """Score and ids of the best, (loss, ids) of the others, and the least loss."""
+        hit = self.stale.get(text)
+        if hit is None:
+            found = solve(text)
+            losses = [(found[0][0] - s, ids) for s, ids in found[1:]]
+            hit = (*found[0], losses, losses[0][0] if losses else float("inf"))
+        if len(self.fresh) >= GENERATION:
+            self.stale, self.fresh = self.fresh, {}
+        self.fresh[text] = hit
         return hit
 
-    def encode(self, text: str, n: int = N_BEST) -> list[tuple[float, bytes]]:
-        """At most n segmentations of a text, best first; ties go to the change of the earliest segment."""
+    def segment(self, text: str, n: int) -> tuple:
+        """The n best of a segment: of its independent parts, combined."""
+
+        def part(s: str) -> tuple:
+            return self.fresh.get(s) or self.remembered(s, lambda x: [(score, pack(ids)) for score, ids in self.n_best(x, n)])
+
+        parts = self.independent(text)
+        return part(text) if len(parts) == 1 else self.remembered(text, lambda _: [way[:2] for way in combined([part(s) for s in parts], n)])
+
+    def encode(self, text: str, n: int = N_BEST) -> tuple[list[tuple[float, bytes]], bool]:
+        """At most n segmentations of a text, best first (ties go to the change of the earliest segment), and whether
+        all of them decode to it."""
         if not text:
-            return [(0.0, b"")]
-        parts = [self.segment(s, n) for s in segments(text)]
-        best, ids = sum(p[0] for p in parts), [p[1] for p in parts]
-        losses = heapq.nsmallest(n - 1, ((loss, k, r) for k, p in enumerate(parts) for r, (loss, _) in enumerate(p[2])))
-        ways = [(0.0, ())]
-        for size in range(1, n):
-            ways += [(sum(c[0] for c in chosen), chosen) for chosen in combinations(losses, size) if len({c[1] for c in chosen}) == size]
-        out = []
-        for loss, chosen in sorted(ways, key=lambda w: (w[0], [c[1:] for c in w[1]]))[:n]:
-            own = ids.copy() if chosen else ids
-            for _, k, r in chosen:
-                own[k] = parts[k][2][r][1]
-            out.append((best - loss, b"".join(own)))
-        return out
+            return [(0.0, b"")], True
+        get, parts = self.fresh.get, []
+        for s in segments(text):
+            parts.append(get(s) or self.segment(s, n))
+            get = self.fresh.get
+        ways = combined(parts, n)
+        same = all(self.raw_of(parts[k][1]) == self.raw_of(parts[k][2][r][1]) for _, _, chosen in ways for _, k, r in chosen)
+        return [way[:2] for way in ways], same and self.decode(ways[0][1]) == text
+
+    def raw_of(self, ids: bytes) -> bytes:
+        raw = self.raw
+        return b"".join([raw[i] for i in unpack(ids)])
 
     def decode(self, ids: bytes) -> str:
         """The text of ids: pieces and bytes on end, marks as spaces, without the first one."""
-        raw = self.raw
-        text = b"".join([raw[i] for i in unpack(ids)]).decode("utf-8", "replace").replace(MARK, " ")
+        text = self.raw_of(ids).decode("utf-8", "replace").replace(MARK, " ")
         return text[1:] if text[:1] == " " else text
 
 
+def combined(parts: list[tuple], n: int) -> list[tuple[float, bytes, tuple]]:
+    """The n best ways through parts on end, as (score, ids, what differs from the best: (loss, part, choice)). Only the
+    n - 1 smallest losses of all parts can take part."""
+    least = np.fromiter(map(_least, parts), float, len(parts))
+    near = np.flatnonzero(least <= (np.partition(least, n - 2)[n - 2] if 1 < n <= len(parts) else np.inf))
+    losses = heapq.nsmallest(n - 1, ((loss, int(k), r) for k in near for r, (loss, _) in enumerate(parts[k][2])))
+    ways = [(0.0, ())]
+    for size in range(1, n):
+        ways += [(sum(c[0] for c in chosen), chosen) for chosen in combinations(losses, size) if len({c[1] for c in chosen}) == size]
+    ways.sort(key=lambda w: (w[0], [c[1:] for c in w[1]]))
+    best, ids, out = sum(map(_best, parts)), list(map(_ids, parts)), []
+    for loss, chosen in ways[:n]:
+        own = ids.copy() if chosen else ids
+        for _, k, r in chosen:
+            own[k] = parts[k][2][r][1]
+        out.append((best - loss, b"".join(own), chosen))
+    return out
+
+
+_best, _ids, _least = itemgetter(0), itemgetter(1), itemgetter(3)
+
+
 def pack(ids: tuple[int, ...]) -> bytes:
     return array("I", ids).tobytes()
 
@@ -166,8 +205,8 @@ def with_pieces(docs: DataFrame, path: str, text: str = "text", n: int = N_BEST)
         model, columns = load(path), ([], [], [], [], [])
         for t in texts:
             value = t.as_py() or ""
-            found = model.encode(value, n)
-            row = (found[0][1], len(found[0][1]) // 4, [s for s, _ in found], [zlib.crc32(ids) for _, ids in found], all(model.decode(ids) == value for _, ids in found))
+            found, exact = model.encode(value, n)
+            row = (found[0][1], len(found[0][1]) // 4, [s for s, _ in found], [zlib.crc32(ids) for _, ids in found], exact)
             for column, x in zip(columns, row, strict=True):
                 column.append(x)
         kinds = (pa.binary(), pa.int64(), pa.list_(pa.float64()), pa.list_(pa.int64()), pa.bool_())

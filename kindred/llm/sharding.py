@@ -1,9 +1,10 @@
 """Sharding by balanced label propagation over linked documents, in DataFrame operations only.
 
 Documents of one group are linked with one another (here: equal texts). Every linked document starts in a shard drawn
-by hash; round by round it moves to the shard that most of its neighbours are in, as far as that shard's quota of rows
-has room. Where room is short, whole small groups go or stay together, and larger groups are split. Documents without
-links then fill the shards up to quotas that are at most one apart, so the ``rows`` law holds exactly.
+by hash; round by round it moves to the shard with room that most of its neighbours are in, unless more of them are
+where it is, as far as that shard's quota of rows allows. Where room is short, small groups go or stay together, and
+larger groups are split. Documents without links then fill the shards up to quotas that are at most one apart, so the
+``rows`` law holds exactly.
 
 Positions (slots, and ranks that decide who overflows) come from two levels: counts of hash buckets of bounded size
 are summed up, and rows are numbered within a bucket. No window ever spans a shard or a group.
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 
 from .common import blocks_of, cut
 
-ROUNDS = 6
+ROUNDS = 10
 ROWS_PER_BUCKET = 20_000
 #: A group moves as one if it takes up at most this share of the room in its target shard.
 WHOLE_SHARE = 1 / 16
@@ -47,23 +48,25 @@ def per_shard(rows: DataFrame, shard: str, shards: int) -> list[int]:
 
 
 def propagate(linked: DataFrame, quota: list[int], rounds: int) -> DataFrame:
-    """Rows (row, group) with a shard each, after at most ``rounds`` of moves towards neighbours."""
+    """Rows (row, group) with a shard each, after at most ``rounds`` of moves towards neighbours: as many or more of
+    them must be at the target than, itself included, where a row is."""
     shards = len(quota)
     placed = cut(linked.withColumn("shard", F.pmod(F.xxhash64("row"), F.lit(shards)).cast("int")))
     for turn in range(rounds):
-        votes = placed.groupBy("group", "shard").agg(F.count("*").alias("n"))
-        target = votes.groupBy("group").agg(F.max_by("shard", F.struct("n", F.xxhash64("group", "shard"))).alias("target"), F.sum("n").alias("members"))
-        wishes = placed.join(target, "group")
-        away = wishes.where("shard <> target")
-        wanted, load = per_shard(away, "target", shards), per_shard(placed, "shard", shards)
-        if not any(wanted):
-            break
+        load = per_shard(placed, "shard", shards)
         room = [max(0, q - n) for q, n in zip(quota, load, strict=True)]
-        odds = [min(1.0, r / w) if w else 0.0 for r, w in zip(room, wanted, strict=True)]
-        together = F.col("members") <= by_shard([r * WHOLE_SHARE for r in room], "target")
+        votes = cut(placed.groupBy("group", "shard").agg(F.count("*").alias("n")))
+        open_ = votes.where(by_shard(room, "shard") > 0).groupBy("group").agg(F.max(F.struct("n", F.xxhash64("group", "shard"), "shard")).alias("best"))
+        target = votes.join(open_, "group").where((F.col("shard") != F.col("best.shard")) & (F.col("best.n") >= F.col("n")))
+        target = cut(target.select("group", "shard", F.col("best.shard").alias("target"), F.col("n").alias("movers")))
+        wanted = {r[0]: r[1] for r in target.groupBy("target").agg(F.sum("movers")).collect()}
+        if not wanted:
+            break
+        odds = [min(1.0, r / wanted[s]) if wanted.get(s) else 0.0 for s, r in enumerate(room)]
+        together = F.col("movers") <= by_shard([r * WHOLE_SHARE for r in room], "target")
         draw = F.when(together, chance("group", salt=turn)).otherwise(chance("row", salt=turn))
-        moves = (F.col("shard") != F.col("target")) & (draw < by_shard(odds, "target"))
-        placed = cut(wishes.select("row", "group", F.when(moves, F.col("target")).otherwise(F.col("shard")).alias("shard")))
+        moves = F.col("target").isNotNull() & (draw < by_shard(odds, "target"))
+        placed = cut(placed.join(target, ["group", "shard"], "left").select("row", "group", F.when(moves, F.col("target")).otherwise(F.col("shard")).alias("shard")))
     return placed
 
 
