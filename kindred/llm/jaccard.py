@@ -7,10 +7,10 @@ within the first p + 1. So an entity is indexed under its rare tokens singly, an
 within the extended prefix; entities with more than ``WIDE`` frequent tokens there are indexed under them singly
 instead, where they also meet the others. A bitmap of fixed size leaves out tokens that only one text has.
 
-No index group is expanded into all of its pairs. First each member is verified against the smallest entity of its
-group and size class; the links found make components. Then only members of different components remain to be compared:
-those outside a group's largest component against the group's other members. Both steps together leave no candidate
-pair unverified unless the two are connected already, so the components are exact.
+No index group is expanded into all of its pairs. First members meet the smallest entity of their group and size class,
+and each entity is verified against the one of those whose sketch is nearest; the links found make components. Then only members of different components remain to be compared:
+those outside a group's largest component against the group's other members, unless their sketches prove that they
+differ too much. No candidate pair stays unverified unless the two are connected already, so the components are exact.
 """
 
 from __future__ import annotations
@@ -33,6 +33,8 @@ FREQUENT, MOST_FREQUENT = 32, 4_000_000
 WIDE = 10
 #: Bits of the bitmap of tokens that several texts have.
 BITMAP_BITS = 28
+#: 64-bit words of an entity's sketch.
+SKETCH_LONGS = 16
 TEXTS_PER_BUCKET = 2_000
 #: So many ids of texts to verify are broadcast at most (8 bytes each); beyond, the texts are joined by id.
 MOST_IDS = 2_000_000
@@ -66,36 +68,46 @@ def digest(tokens: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(tokens.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
-def entities(docs: DataFrame, key: str, text: str, words: int) -> DataFrame:
-    """(id, n, e): the size and digest of every text's shingle set; e is null for empty sets."""
+def sketch(tokens: np.ndarray) -> np.ndarray:
+    """Parities of the tokens' counts in 1024 cells: two sketches differ in no more cells than their sets in tokens."""
+    cells = np.bincount((tokens & np.uint64(64 * SKETCH_LONGS - 1)).astype(np.int64), minlength=64 * SKETCH_LONGS) & 1
+    return np.packbits(cells.astype(np.uint8)).view(np.int64)
 
-    def run(batches):
-        for batch in batches:
-            sets = list(shingle_sets(batch.column(1), words))
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([digest(s) if len(s) else None for s in sets], pa.int64())], ["id", "n", "e"])
 
-    return docs.select(F.col(key).cast("long").alias("id"), text).mapInArrow(run, "id long, n long, e long")
+def token_layout(rows: int) -> tuple[int, int]:
+    """Bits that tokens keep in counting, and those of them that name the bucket."""
+    buckets = max(4, math.ceil(math.log2(blocks_of(rows, TEXTS_PER_BUCKET))))
+    return max(32, min(52, math.ceil(math.log2(max(rows, 1) * 1000)) + 5)), min(buckets, BITMAP_BITS - 3)
 
 
-def token_classes(docs: DataFrame, text: str, words: int, rows: int) -> tuple[np.ndarray, int, np.ndarray]:
-    """Sorted frequent tokens (their upper bits), the shift to those bits, and the bitmap of tokens in several texts.
+def read_texts(docs: DataFrame, key: str, text: str, words: int, layout: tuple[int, int]) -> DataFrame:
+    """One pass over all texts: for every row (id, n, e, sketch) with the size and digest of its shingle set (e is null
+    for empty sets), and rows (bucket, blob) with the tokens of a batch as sorted, compressed differences."""
+    bits, bucket_bits = layout
+    shift, in_bucket = np.uint64(64 - bits), bits - bucket_bits
 
-    Tasks send their tokens as sorted, compressed differences, dealt over buckets by the uppermost bits.
-    """
-    buckets = 1 << max(4, math.ceil(math.log2(blocks_of(rows, TEXTS_PER_BUCKET))))
-    bucket_bits = min(buckets.bit_length() - 1, BITMAP_BITS - 3)
-    bits = max(32, min(52, math.ceil(math.log2(max(rows, 1) * 1000)) + 5))
-    shift, in_bucket, in_map = np.uint64(64 - bits), bits - bucket_bits, BITMAP_BITS - bucket_bits
-
-    def deal(batches):
+    def run(batches):
         pack = zstandard.ZstdCompressor(level=1)
+        names = ["id", "n", "e", "sketch", "bucket", "blob"]
         for batch in batches:
-            sets = list(shingle_sets(batch.column(0), words))
+            sets = list(shingle_sets(batch.column(1), words))
+            none = lambda kind, n=len(sets): pa.nulls(n, kind)
+            sketches = [sketch(s) if len(s) else None for s in sets]
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([digest(s) if len(s) else None for s in sets], pa.int64()), pa.array(sketches, pa.list_(pa.int64())), none(pa.int32()), none(pa.binary())], names)
             tokens = np.sort(np.concatenate([*sets, np.zeros(0, np.uint64)])) >> shift
             ends = np.searchsorted(tokens >> np.uint64(in_bucket), np.arange((1 << bucket_bits) + 1, dtype=np.uint64))
             found = [b for b in range(1 << bucket_bits) if ends[b + 1] > ends[b]]
             blobs = [pack.compress(np.diff(tokens[ends[b] : ends[b + 1]], prepend=np.uint64(b << in_bucket)).astype(np.uint64 if in_bucket > 32 else np.uint32).tobytes()) for b in found]
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "blob"])
+            none = lambda kind, n=len(found): pa.nulls(n, kind)
+            yield pa.RecordBatch.from_arrays([none(pa.int64()), none(pa.int64()), none(pa.int64()), none(pa.list_(pa.int64())), pa.array(found, pa.int32()), pa.array(blobs, pa.binary())], names)
+
+    return docs.select(F.col(key).cast("long").alias("id"), text).mapInArrow(run, "id long, n long, e long, sketch array<long>, bucket int, blob binary")
+
+
+def token_classes(blobs: DataFrame, layout: tuple[int, int]) -> tuple[np.ndarray, int, np.ndarray]:
+    """Sorted frequent tokens (their upper bits), the shift to those bits, and the bitmap of tokens in several texts."""
+    bits, bucket_bits = layout
+    in_bucket, in_map = bits - bucket_bits, BITMAP_BITS - bucket_bits
 
     def count(group: pa.Table) -> pa.Table:
         bucket, unpack = group["bucket"][0].as_py(), zstandard.ZstdDecompressor()
@@ -104,9 +116,9 @@ def token_classes(docs: DataFrame, text: str, words: int, rows: int) -> tuple[np
         shared = np.zeros(1 << in_map, bool)
         shared[((tokens[n > 1] & np.uint64((1 << in_bucket) - 1)) >> np.uint64(max(0, in_bucket - in_map))).astype(np.int64)] = True
         often = n >= FREQUENT
-        return pa.table({"bucket": pa.array([bucket], pa.int32()), "shared": [np.packbits(shared).tobytes()], "tokens": pa.array([tokens[often].view(np.int64)], pa.list_(pa.int64())), "counts": pa.array([n[often]], pa.list_(pa.int64()))})
+        return pa.table({"bucket": pa.array([bucket], pa.int32()), "shared": [zstandard.compress(np.packbits(shared).tobytes())], "tokens": pa.array([tokens[often].view(np.int64)], pa.list_(pa.int64())), "counts": pa.array([n[often]], pa.list_(pa.int64()))})
 
-    counted = cut(docs.select(text).mapInArrow(deal, "bucket int, blob binary").groupBy("bucket").applyInArrow(count, "bucket int, shared binary, tokens array<long>, counts array<long>"))
+    counted = cut(blobs.groupBy("bucket").applyInArrow(count, "bucket int, shared binary, tokens array<long>, counts array<long>"))
     by_size = counted.select(F.explode("counts").alias("n")).groupBy(F.floor(F.log2("n")).alias("power")).count().collect()
     least = int(math.log2(FREQUENT))
     while sum(r["count"] for r in by_size if r["power"] >= least) > MOST_FREQUENT:
@@ -115,8 +127,8 @@ def token_classes(docs: DataFrame, text: str, words: int, rows: int) -> tuple[np
     bitmap = np.zeros(1 << (BITMAP_BITS - 3), np.uint8)
     size = (1 << in_map) // 8
     for row in counted.select("bucket", "shared").toLocalIterator():
-        bitmap[row["bucket"] * size : (row["bucket"] + 1) * size] = np.frombuffer(row["shared"], np.uint8)
-    return np.sort(often.to_numpy().view(np.uint64)), int(shift), bitmap
+        bitmap[row["bucket"] * size : (row["bucket"] + 1) * size] = np.frombuffer(zstandard.decompress(row["shared"]), np.uint8)
+    return np.sort(often.to_numpy().view(np.uint64)), 64 - bits, bitmap
 
 
 def index(docs: DataFrame, text: str, words: int, percent: int, classes: tuple[np.ndarray, int, np.ndarray]) -> DataFrame:
@@ -166,11 +178,19 @@ def may_link(n: str, m: str, i: str, j: str, percent: int) -> Column:
     return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & ((100 + percent) * rest >= percent * (n + m))
 
 
-def verified(pairs: DataFrame, docs: DataFrame, first: DataFrame, key: str, text: str, words: int, percent: int) -> DataFrame:
+def sketched(pairs: DataFrame, first: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) that the sketches don't rule out, with ``apart``, the cells in which these differ."""
+    side = lambda e, s, n: first.select(F.col("e").alias(e), F.col("sketch").alias(s), F.col("n").alias(n))
+    rows = pairs.join(side("a", "x", "xn"), "a").join(side("b", "y", "yn"), "b")
+    apart = F.aggregate(F.zip_with("x", "y", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, k: t + k)
+    rows = rows.withColumn("apart", apart).where((100 + percent) * F.col("apart") <= (100 - percent) * (F.col("xn") + F.col("yn")))
+    return rows.select("a", "b", "apart")
+
+
+def verified(pairs: DataFrame, docs: DataFrame, first: DataFrame, key: str, text: str, words: int, percent: int, repeats: bool) -> DataFrame:
     """Those pairs (a, b) of entities whose sets are alike; ``first`` has a text's id for each entity (e, id)."""
     pairs = cut(pairs)
-    involved = pairs.select(F.col("a").alias("e")).union(pairs.select("b")).distinct().join(first, "e")
-    involved = cut(involved)
+    involved = cut(pairs.select(F.col("a").alias("e")).union(pairs.select("b")).distinct().join(first.select("e", "id"), "e"))
     few = involved.count() <= MOST_IDS
 
     @F.arrow_udf("binary")
@@ -187,7 +207,7 @@ def verified(pairs: DataFrame, docs: DataFrame, first: DataFrame, key: str, text
         return pa.array(out, pa.bool_())
 
     texts = docs.select(F.col(key).cast("long").alias("id"), text).join(F.broadcast(involved) if few else involved, "id")
-    sets = texts.dropDuplicates(["e"]).select("e", tokens(F.col(text)).alias("s"))
+    sets = (texts.dropDuplicates(["e"]) if repeats else texts).select("e", tokens(F.col(text)).alias("s"))
     sets = cut(sets)
     both = pairs.join(sets.select(F.col("e").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("e").alias("b"), F.col("s").alias("y")), "b")
     return both.where(alike("x", "y")).select("a", "b")
@@ -217,11 +237,12 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     shingle; null texts and texts without words have none and link with nothing. Rows may repeat; equal sets are linked
     always.
     """
-    own = cut(entities(docs, key, text, words))
-    first = own.where("e is not null").groupBy("e").agg(F.min("id").alias("id"), F.count("*").alias("copies"))
-    first = cut(first)
-    rows = own.count()
-    found = index(docs, text, words, percent, token_classes(docs, text, words, rows)).distinct()
+    layout = token_layout(docs.count())
+    read = cut(read_texts(docs, key, text, words, layout))
+    own = read.where("bucket is null").select("id", "n", "e")
+    first = cut(read.where("e is not null").groupBy("e").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("sketch").alias("sketch")))
+    repeats = not own.groupBy("id").count().where("count > 1").isEmpty()
+    found = index(docs, text, words, percent, token_classes(read.where("bucket is not null"), layout)).distinct()
     rare = found.where("kind = 0").withColumn("size", F.count("*").over(Window.partitionBy("key"))).where("size > 1").drop("size")
     members = cut(rare.union(found.where("kind > 0")))
     size_class = F.floor(F.log("n") / -math.log(percent / 100))
@@ -229,8 +250,12 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     pivots = classed.groupBy("key", "kind", "size_class").agg(F.min(F.struct("e", "n", "pos")).alias("p"))
     star = classed.join(pivots, ["key", "kind", "size_class"]).select("e", "n", "pos", F.col("p.e").alias("o"), F.col("p.n").alias("m"), F.col("p.pos").alias("at"))
     star = star.where((F.col("e") != F.col("o")) & may_link("n", "m", "pos", "at", percent)).select(F.greatest("e", "o").alias("a"), F.least("e", "o").alias("b")).distinct()
-    star = cut(star)
-    links = cut(verified(star, docs, first, key, text, words, percent))
+    near = sketched(star, first, percent)
+    nearest = near.groupBy("a").agg(F.min_by("b", F.struct("apart", "b")).alias("b"))
+    nearest = nearest.union(near.groupBy("b").agg(F.min_by("a", F.struct("apart", "a")).alias("a")).select("a", "b")).distinct()
+    check = lambda pairs: cut(verified(pairs, docs, first, key, text, words, percent, repeats))
+    nearest = cut(nearest)
+    links = check(nearest)
     label = components(links)
 
     kind = F.when(F.col("kind") == 1, 1).when(F.col("kind") == 0, 0).otherwise(2)
@@ -242,11 +267,10 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     rest = mixed.join(few, ["key", "group"]).where("c <> d and (c = main or e < o)")
     rest = rest.where((F.col("group") != 2) | (F.col("kind") == 3) | (F.col("other") == 3))
     rest = rest.where(may_link("n", "m", "pos", "at", percent)).select(F.greatest("e", "o").alias("a"), F.least("e", "o").alias("b")).distinct()
-    rest = rest.join(star, ["a", "b"], "left_anti")
-    more = cut(verified(rest, docs, first, key, text, words, percent))
+    more = check(sketched(rest.join(nearest, ["a", "b"], "left_anti"), first, percent).select("a", "b"))
     label = components(links.union(more))
 
-    ids = first.join(label, "e", "left").withColumn("c", F.coalesce("c", "e"))
+    ids = first.select("e", "id").join(label, "e", "left").withColumn("c", F.coalesce("c", "e"))
     least = ids.groupBy("c").agg(F.min("id").alias("component_id"))
     ids = ids.join(least, "c").select("e", "component_id")
     linked = own.where("e is not null").join(ids, "e").select("id", F.col("n").alias("n_shingles"), "component_id")
