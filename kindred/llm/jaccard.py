@@ -33,8 +33,8 @@ FREQUENT, MOST_FREQUENT = 32, 4_000_000
 WIDE = 10
 #: Bits of the bitmap of tokens that several texts have.
 BITMAP_BITS = 28
-#: 64-bit words of an entity's sketch.
-SKETCH_LONGS = 16
+#: Least cells of an entity's sketch, a power of two and a multiple of 8.
+SKETCH_CELLS = 1024
 TEXTS_PER_BUCKET = 2_000
 #: So many ids of texts to verify are broadcast at most (8 bytes each); beyond, the texts are joined by id.
 MOST_IDS = 2_000_000
@@ -68,10 +68,18 @@ def digest(tokens: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(tokens.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
-def sketch(tokens: np.ndarray) -> np.ndarray:
-    """Parities of the tokens' counts in 1024 cells: two sketches differ in no more cells than their sets in tokens."""
-    cells = np.bincount((tokens & np.uint64(64 * SKETCH_LONGS - 1)).astype(np.int64), minlength=64 * SKETCH_LONGS) & 1
-    return np.packbits(cells.astype(np.uint8)).view(np.int64)
+def sketch(tokens: np.ndarray) -> bytes:
+    """Parities of the tokens' counts in cells, at least ``SKETCH_CELLS`` and twice as many as tokens: two sketches
+    differ in no more cells than their sets in tokens. Cells are powers of two, so that a longer sketch folds."""
+    cells = max(SKETCH_CELLS, 1 << (2 * len(tokens) - 1).bit_length())
+    return np.packbits(np.bincount((tokens & np.uint64(cells - 1)).astype(np.int64), minlength=cells).astype(np.uint8) & 1).tobytes()
+
+
+def sketch_distance(x: np.ndarray, y: np.ndarray) -> int:
+    """Cells in which two sketches differ, the longer one folded to the other's length."""
+    n = min(len(x), len(y))
+    x, y = (np.bitwise_xor.reduce(v.reshape(-1, n), axis=0) for v in (x, y))
+    return int(np.bitwise_count(x ^ y).sum())
 
 
 def token_layout(rows: int) -> tuple[int, int]:
@@ -92,16 +100,16 @@ def read_texts(docs: DataFrame, key: str, text: str, words: int, layout: tuple[i
         for batch in batches:
             sets = list(shingle_sets(batch.column(1), words))
             none = lambda kind, n=len(sets): pa.nulls(n, kind)
-            sketches = [sketch(s) if len(s) else None for s in sets]
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([digest(s) if len(s) else None for s in sets], pa.int64()), pa.array(sketches, pa.list_(pa.int64())), none(pa.int32()), none(pa.binary())], names)
+            sketches = pa.array([sketch(s) if len(s) else None for s in sets], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([digest(s) if len(s) else None for s in sets], pa.int64()), sketches, none(pa.int32()), none(pa.binary())], names)
             tokens = np.sort(np.concatenate([*sets, np.zeros(0, np.uint64)])) >> shift
             ends = np.searchsorted(tokens >> np.uint64(in_bucket), np.arange((1 << bucket_bits) + 1, dtype=np.uint64))
             found = [b for b in range(1 << bucket_bits) if ends[b + 1] > ends[b]]
             blobs = [pack.compress(np.diff(tokens[ends[b] : ends[b + 1]], prepend=np.uint64(b << in_bucket)).astype(np.uint64 if in_bucket > 32 else np.uint32).tobytes()) for b in found]
             none = lambda kind, n=len(found): pa.nulls(n, kind)
-            yield pa.RecordBatch.from_arrays([none(pa.int64()), none(pa.int64()), none(pa.int64()), none(pa.list_(pa.int64())), pa.array(found, pa.int32()), pa.array(blobs, pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([none(pa.int64()), none(pa.int64()), none(pa.int64()), none(pa.binary()), pa.array(found, pa.int32()), pa.array(blobs, pa.binary())], names)
 
-    return docs.select(F.col(key).cast("long").alias("id"), text).mapInArrow(run, "id long, n long, e long, sketch array<long>, bucket int, blob binary")
+    return docs.select(F.col(key).cast("long").alias("id"), text).mapInArrow(run, "id long, n long, e long, sketch binary, bucket int, blob binary")
 
 
 def token_classes(blobs: DataFrame, layout: tuple[int, int]) -> tuple[np.ndarray, int, np.ndarray]:
@@ -178,20 +186,31 @@ def may_link(n: str, m: str, i: str, j: str, percent: int) -> Column:
     return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & ((100 + percent) * rest >= percent * (n + m))
 
 
+def of_pairs(pairs: DataFrame, first: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The pairs, and what ``first`` knows of the entities in them."""
+    pairs = cut(pairs)
+    involved = cut(pairs.select(F.col("a").alias("e")).union(pairs.select("b")).distinct())
+    return pairs, first.join(F.broadcast(involved) if involved.count() <= MOST_IDS else involved, "e", "left_semi")
+
+
 def sketched(pairs: DataFrame, first: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) that the sketches don't rule out, with ``apart``, the cells in which these differ."""
-    side = lambda e, s, n: first.select(F.col("e").alias(e), F.col("sketch").alias(s), F.col("n").alias(n))
-    rows = pairs.join(side("a", "x", "xn"), "a").join(side("b", "y", "yn"), "b")
-    apart = F.aggregate(F.zip_with("x", "y", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, k: t + k)
-    rows = rows.withColumn("apart", apart).where((100 + percent) * F.col("apart") <= (100 - percent) * (F.col("xn") + F.col("yn")))
-    return rows.select("a", "b", "apart")
+
+    @F.arrow_udf("long")
+    def apart(xs: pa.Array, ys: pa.Array) -> pa.Array:
+        return pa.array([sketch_distance(np.frombuffer(x.as_buffer(), np.uint8), np.frombuffer(y.as_buffer(), np.uint8)) for x, y in zip(xs, ys, strict=True)], pa.int64())
+
+    pairs, known = of_pairs(pairs, first)
+    side = lambda e, s, n: known.select(F.col("e").alias(e), F.col("sketch").alias(s), F.col("n").alias(n))
+    rows = pairs.join(side("a", "x", "xn"), "a").join(side("b", "y", "yn"), "b").withColumn("apart", apart("x", "y"))
+    return rows.where((100 + percent) * F.col("apart") <= (100 - percent) * (F.col("xn") + F.col("yn"))).select("a", "b", "apart")
 
 
 def verified(pairs: DataFrame, docs: DataFrame, first: DataFrame, key: str, text: str, words: int, percent: int, repeats: bool) -> DataFrame:
     """Those pairs (a, b) of entities whose sets are alike; ``first`` has a text's id for each entity (e, id)."""
-    pairs = cut(pairs)
-    involved = cut(pairs.select(F.col("a").alias("e")).union(pairs.select("b")).distinct().join(first.select("e", "id"), "e"))
-    few = involved.count() <= MOST_IDS
+    pairs, known = of_pairs(pairs, first)
+    known = cut(known.select("e", "id"))
+    few = known.count() <= MOST_IDS
 
     @F.arrow_udf("binary")
     def tokens(texts: pa.Array) -> pa.Array:
@@ -206,7 +225,7 @@ def verified(pairs: DataFrame, docs: DataFrame, first: DataFrame, key: str, text
             out.append(100 * both >= percent * (len(a) + len(b) - both))
         return pa.array(out, pa.bool_())
 
-    texts = docs.select(F.col(key).cast("long").alias("id"), text).join(F.broadcast(involved) if few else involved, "id")
+    texts = docs.select(F.col(key).cast("long").alias("id"), text).join(F.broadcast(known) if few else known, "id")
     sets = (texts.dropDuplicates(["e"]) if repeats else texts).select("e", tokens(F.col(text)).alias("s"))
     sets = cut(sets)
     both = pairs.join(sets.select(F.col("e").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("e").alias("b"), F.col("s").alias("y")), "b")

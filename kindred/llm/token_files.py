@@ -26,7 +26,7 @@ BLOCK, LANES = 4096, 1024
 TEXTS_PER_PART = 8_000
 #: Distinct words whose ids a task remembers, in each of two generations.
 WORDS_KEPT = 250_000
-_SLOTS = 12
+_SLOTS = 10
 _TOTAL = 15
 _RATE = 5
 ROW = "part int, row int, doc_ids array<long>, lengths array<long>, bits int, sizes array<int>, crcs array<long>, payload binary"
@@ -45,130 +45,150 @@ def _towards(n: int) -> np.ndarray:
 class _Encoder:
     def __init__(self, lanes: int, ids: int) -> None:
         self.low, self.range = np.zeros(lanes, np.int64), np.full(lanes, (1 << 32) - 1, np.int64)
-        self.out, self.at = np.zeros((lanes, 4 * ids + 8), np.int64), np.zeros(lanes, np.int64)
-
-    def symbol(self, lanes: np.ndarray, cdf: np.ndarray, symbols: np.ndarray) -> np.ndarray:
-        rows = np.arange(len(lanes))
-        start = cdf[rows, symbols]
-        self._take(lanes, start, cdf[rows, symbols + 1] - start)
+        self.width = 4 * ids + 8
+        self.out, self.at = np.zeros(lanes * self.width, np.int64), np.arange(lanes) * self.width
+
+    def symbol(self, lanes: np.ndarray | None, cdf: np.ndarray, symbols: np.ndarray) -> np.ndarray:
+        """Code a symbol in each of ``lanes`` (None: all) by its row of cumulative shares."""
+        at = np.arange(len(symbols)) * cdf.shape[1] + symbols
+        flat = cdf.reshape(-1)
+        start = flat.take(at)
+        self._take(lanes, start, flat.take(at + 1) - start)
         return symbols
 
     def even(self, lanes: np.ndarray, bits: int, symbols: np.ndarray) -> np.ndarray:
         self._take(lanes, symbols << (_TOTAL - bits), 1 << (_TOTAL - bits))
         return symbols
 
-    def _take(self, lanes: np.ndarray, start, share) -> None:
-        part = self.range[lanes] >> _TOTAL
-        low, left = self.low[lanes] + part * start, part * share
+    def _take(self, lanes: np.ndarray | None, start, share) -> None:
+        left = self.range if lanes is None else self.range.take(lanes)
+        part = left >> _TOTAL
+        low = (self.low if lanes is None else self.low.take(lanes)) + part * start
+        left = part * share
         full = np.flatnonzero(left < 1 << 16)
         if len(full):
-            who, value = lanes[full], low[full]
-            at = self.at[who]
-            self.out[who, at - 1] += value >> 32
-            self.out[who, at] = (value >> 16) & 0xFFFF
+            value = low.take(full)
+            who = full if lanes is None else lanes.take(full)
+            at = self.at.take(who)
+            self.out[at - 1] += value >> 32
+            self.out[at] = (value >> 16) & 0xFFFF
             self.at[who] = at + 1
-            low[full], left[full] = (value & 0xFFFF) << 16, left[full] << 16
-        self.low[lanes], self.range[lanes] = low, left
+            low[full] = (value & 0xFFFF) << 16
+            left[full] <<= 16
+        if lanes is None:
+            self.low, self.range = low, left
+        else:
+            self.low[lanes], self.range[lanes] = low, left
 
     def finish(self) -> list[bytes]:
-        lanes = np.arange(len(self.low))
-        for shift in (32, 16, 0):
-            word = self.low >> shift if shift == 32 else (self.low >> shift) & 0xFFFF
-            if shift == 32:
-                self.out[lanes, self.at - 1] += word
-            else:
-                self.out[lanes, self.at] = word
-                self.at += 1
-        width = int(self.at.max(initial=0))
-        for i in range(width - 1, 0, -1):  # carries run towards the start
-            self.out[:, i - 1] += self.out[:, i] >> 16
-        return [(row[:n] & 0xFFFF).astype("<u2").tobytes() for row, n in zip(self.out, self.at, strict=True)]
+        self.out[self.at - 1] += self.low >> 32
+        for shift in (16, 0):
+            self.out[self.at] = (self.low >> shift) & 0xFFFF
+            self.at += 1
+        words = self.out.reshape(len(self.low), self.width)
+        sizes = self.at - np.arange(len(self.low)) * self.width
+        for i in range(int(sizes.max(initial=0)) - 1, 0, -1):  # carries run towards the start
+            words[:, i - 1] += words[:, i] >> 16
+        return [(row[:n] & 0xFFFF).astype("<u2").tobytes() for row, n in zip(words, sizes, strict=True)]
 
 
 class _Decoder:
     def __init__(self, payloads: list[bytes], ids: int) -> None:
         width = max(len(p) // 2 for p in payloads) + 8
-        self.words = np.zeros((len(payloads), width), np.int64)
-        for row, p in zip(self.words, payloads, strict=True):
+        words = np.zeros((len(payloads), width), np.int64)
+        for row, p in zip(words, payloads, strict=True):
             row[: len(p) // 2] = np.frombuffer(p, "<u2")
-        self.code = (self.words[:, 0] << 16) | self.words[:, 1]
-        self.at, self.range = np.full(len(payloads), 2, np.int64), np.full(len(payloads), (1 << 32) - 1, np.int64)
-
-    def symbol(self, lanes: np.ndarray, cdf: np.ndarray, _) -> np.ndarray:
-        part = self.range[lanes] >> _TOTAL
-        slot = np.minimum(self.code[lanes] // part, (1 << _TOTAL) - 1)
-        symbols = (cdf[:, 1:] <= slot[:, None]).sum(1)
-        rows = np.arange(len(lanes))
-        start = cdf[rows, symbols]
-        self._take(lanes, part, start, cdf[rows, symbols + 1] - start)
+        self.code = (words[:, 0] << 16) | words[:, 1]
+        self.words, self.at = words.reshape(-1), np.arange(len(payloads)) * width + 2
+        self.range = np.full(len(payloads), (1 << 32) - 1, np.int64)
+
+    def _slot(self, lanes: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        part = (self.range if lanes is None else self.range.take(lanes)) >> _TOTAL
+        code = self.code if lanes is None else self.code.take(lanes)
+        return part, code, np.minimum(code // part, (1 << _TOTAL) - 1)
+
+    def symbol(self, lanes: np.ndarray | None, cdf: np.ndarray, _) -> np.ndarray:
+        part, code, slot = self._slot(lanes)
+        symbols = np.count_nonzero(cdf[:, 1:] <= slot[:, None], axis=1)
+        at = np.arange(len(symbols)) * cdf.shape[1] + symbols
+        flat = cdf.reshape(-1)
+        start = flat.take(at)
+        self._take(lanes, code - part * start, part * (flat.take(at + 1) - start))
         return symbols
 
     def even(self, lanes: np.ndarray, bits: int, _) -> np.ndarray:
-        part = self.range[lanes] >> _TOTAL
-        symbols = np.minimum(self.code[lanes] // part, (1 << _TOTAL) - 1) >> (_TOTAL - bits)
-        self._take(lanes, part, symbols << (_TOTAL - bits), 1 << (_TOTAL - bits))
+        part, code, slot = self._slot(lanes)
+        symbols = slot >> (_TOTAL - bits)
+        self._take(lanes, code - part * (symbols << (_TOTAL - bits)), part << (_TOTAL - bits))
         return symbols
 
-    def _take(self, lanes: np.ndarray, part: np.ndarray, start, share) -> None:
-        code, left = self.code[lanes] - part * start, part * share
+    def _take(self, lanes: np.ndarray | None, code: np.ndarray, left: np.ndarray) -> None:
         low = np.flatnonzero(left < 1 << 16)
         if len(low):
-            who = lanes[low]
-            code[low] = (code[low] << 16) | self.words[who, self.at[who]]
+            who = low if lanes is None else lanes.take(low)
+            at = self.at.take(who)
+            code[low] = (code.take(low) << 16) | self.words.take(at)
             left[low] <<= 16
-            self.at[who] += 1
-        self.code[lanes], self.range[lanes] = code, left
+            self.at[who] = at + 1
+        if lanes is None:
+            self.code, self.range = code, left
+        else:
+            self.code[lanes], self.range[lanes] = code, left
 
 
 class _Order:
-    """Predictions of the next id by a hashed context: one id and a confidence from 0 to 3 in each slot."""
+    """Predictions of the next id by a hashed context: in each slot an id, and below it a confidence from 0 to 3."""
 
     def __init__(self, lanes: int) -> None:
-        self.ids, self.sure = np.full((lanes, 1 << _SLOTS), -1, np.int32), np.zeros((lanes, 1 << _SLOTS), np.int8)
+        self.slots, self.base = np.full(lanes << _SLOTS, -4, np.int32), np.arange(lanes) << _SLOTS
+
+    def guess(self, context: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        at = self.base + (context & ((1 << _SLOTS) - 1))
+        held = self.slots.take(at)
+        return at, held >> 2, held & 3
 
-    def learn(self, lanes: np.ndarray, slot: np.ndarray, guess: np.ndarray, sure: np.ndarray, ids: np.ndarray) -> None:
-        right = guess == ids
-        sure = np.where(right, np.minimum(sure + 1, 3), sure - 1)
-        fresh = sure <= 0
-        self.sure[lanes, slot] = np.where(fresh, 1, sure)
-        self.ids[lanes, slot] = np.where(fresh, ids, guess)
+    def learn(self, at: np.ndarray, guess: np.ndarray, sure: np.ndarray, ids: np.ndarray) -> None:
+        """A right guess gains confidence, a wrong one loses it, and without any the id seen takes its place."""
+        held = np.where(guess == ids, (guess << 2) | np.minimum(sure + 1, 3), (guess << 2) | np.maximum(sure - 1, 0))
+        self.slots[at] = np.where((guess != ids) & (sure <= 1), (ids << 2) | 1, held)
 
 
 def _run(coder, lanes: int, ids: np.ndarray | None, length: int, bits: int) -> np.ndarray:
     """Code ``length`` ids of every lane; decoding, ``ids`` is None."""
-    everyone = np.arange(lanes)
     out = np.zeros((length, lanes), np.int32) if ids is None else ids
     two, one = _Order(lanes), _Order(lanes)
-    which, upper, lower = _even(3, (lanes, 32)), _even(16, (lanes,)), _even(16, (lanes, 16))
+    which, upper, lower = _even(3, (lanes * 32,)), _even(16, (lanes,)), _even(16, (lanes * 16,))
     to3, to16, low_bits = _towards(3), _towards(16), bits - 8
-    before, last = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
+    before, last, which_base = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64), np.arange(lanes) * 32
     for t in range(length):
-        s2 = ((before * 0x9E3779B1 + last * 0x85EBCA77) >> 9) & ((1 << _SLOTS) - 1)
-        s1 = ((last * 0xC2B2AE3D) >> 11) & ((1 << _SLOTS) - 1)
-        g2, c2, g1, c1 = two.ids[everyone, s2], two.sure[everyone, s2], one.ids[everyone, s1], one.sure[everyone, s1]
-        context = c2.astype(np.int64) * 8 + c1 * 2 + (g1 == g2)
-        cdf = which[everyone, context]
-        now = out[t] if ids is not None else None
-        hit = coder.symbol(everyone, cdf, np.where(now == g2, 0, np.where(now == g1, 1, 2)) if ids is not None else None)
-        which[everyone, context] = cdf + ((to3[hit] - cdf) >> _RATE)
-        miss = np.flatnonzero(hit == 2)
-        if ids is None:
+        at2, g2, c2 = two.guess((before * 0x9E3779B1 + last * 0x85EBCA77) >> 9)
+        at1, g1, c1 = one.guess((last * 0xC2B2AE3D) >> 11)
+        context = which_base + (c2 * 8 + c1 * 2 + (g1 == g2))
+        cdf = which.take(context, axis=0)
+        if ids is not None:
+            now = out[t]
+            hit = coder.symbol(None, cdf, np.where(now == g2, 0, np.where(now == g1, 1, 2)))
+        else:
+            hit = coder.symbol(None, cdf, None)
             now = np.where(hit == 0, g2, g1)
+        which[context] = cdf + ((to3.take(hit, axis=0) - cdf) >> _RATE)
+        miss = np.flatnonzero(hit == 2)
         if len(miss):
-            x = now[miss].astype(np.int64) if ids is not None else None
-            cdf = upper[miss]
+            x = now.take(miss).astype(np.int64) if ids is not None else None
+            cdf = upper.take(miss, axis=0)
             a = coder.symbol(miss, cdf, x >> (low_bits + 4) if x is not None else None)
-            upper[miss] = cdf + ((to16[a] - cdf) >> _RATE)
-            cdf = lower[miss, a]
+            upper[miss] = cdf + ((to16.take(a, axis=0) - cdf) >> _RATE)
+            at = miss * 16 + a
+            cdf = lower.take(at, axis=0)
             b = coder.symbol(miss, cdf, (x >> low_bits) & 15 if x is not None else None)
-            lower[miss, a] = cdf + ((to16[b] - cdf) >> _RATE)
+            lower[at] = cdf + ((to16.take(b, axis=0) - cdf) >> _RATE)
             c = coder.even(miss, low_bits, x & ((1 << low_bits) - 1) if x is not None else None)
             if ids is None:
                 now[miss] = (a << (low_bits + 4)) | (b << low_bits) | c
         if ids is None:
             out[t] = now
-        two.learn(everyone, s2, g2, c2, now)
-        one.learn(everyone, s1, g1, c1, now)
+        two.learn(at2, g2, c2, now)
+        one.learn(at1, g1, c1, now)
         before, last = last, now.astype(np.int64)
     return out
 
