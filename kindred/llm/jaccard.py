@@ -36,6 +36,8 @@ BITMAP_BITS = 28
 #: Least cells of an entity's sketch, a power of two and a multiple of 8.
 SKETCH_CELLS = 1024
 TEXTS_PER_BUCKET = 2_000
+#: Bytes of texts whose tokens a task sorts together.
+SLICE_BYTES = 16_000_000
 #: So many ids of texts to verify are broadcast at most (8 bytes each); beyond, the texts are joined by id.
 MOST_IDS = 2_000_000
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -64,6 +66,13 @@ def shingle_sets(texts: pa.Array, words: int):
                 yield np.zeros(0, np.uint64)
 
 
+def slices(batch: pa.RecordBatch):
+    """The batch's rows, texts (its second column) of about ``SLICE_BYTES`` at a time."""
+    _, offsets = utf8_parts(batch.column(1))
+    for i, j in chunks(offsets, SLICE_BYTES):
+        yield batch.slice(i, j - i)
+
+
 def digest(tokens: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(tokens.tobytes(), digest_size=8).digest(), "little", signed=True)
 
@@ -97,13 +106,16 @@ def read_texts(docs: DataFrame, key: str, text: str, words: int, layout: tuple[i
     def run(batches):
         pack = zstandard.ZstdCompressor(level=1)
         names = ["id", "n", "e", "sketch", "bucket", "blob"]
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             sets = list(shingle_sets(batch.column(1), words))
             none = lambda kind, n=len(sets): pa.nulls(n, kind)
             sketches = pa.array([sketch(s) if len(s) else None for s in sets], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([digest(s) if len(s) else None for s in sets], pa.int64()), sketches, none(pa.int32()), none(pa.binary())], names)
-            tokens = np.sort(np.concatenate([*sets, np.zeros(0, np.uint64)])) >> shift
-            ends = np.searchsorted(tokens >> np.uint64(in_bucket), np.arange((1 << bucket_bits) + 1, dtype=np.uint64))
+            tokens = np.concatenate([*sets, np.zeros(0, np.uint64)])
+            del sets
+            tokens >>= shift
+            tokens.sort()
+            ends = np.searchsorted(tokens, np.arange((1 << bucket_bits) + 1, dtype=np.uint64) << np.uint64(in_bucket))
             found = [b for b in range(1 << bucket_bits) if ends[b + 1] > ends[b]]
             blobs = [pack.compress(np.diff(tokens[ends[b] : ends[b + 1]], prepend=np.uint64(b << in_bucket)).astype(np.uint64 if in_bucket > 32 else np.uint32).tobytes()) for b in found]
             none = lambda kind, n=len(found): pa.nulls(n, kind)
@@ -154,7 +166,7 @@ def index(docs: DataFrame, text: str, words: int, percent: int, classes: tuple[n
                 p = n - (percent * n + 99) // 100 + 1
                 if 100 * n < percent * (n + 1) or (e := digest(tokens)) in seen:
                     continue  # no other set can be alike, or these rows are there already
-                if len(seen) < 500_000:
+                if len(seen) < 200_000:
                     seen.add(e)
                 upper = tokens >> np.uint64(shift)
                 frequent = often[np.minimum(np.searchsorted(often, upper), len(often) - 1)] == upper if len(often) else np.zeros(n, bool)
@@ -261,7 +273,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     own = read.where("bucket is null").select("id", "n", "e")
     first = cut(read.where("e is not null").groupBy("e").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("sketch").alias("sketch")))
     repeats = not own.groupBy("id").count().where("count > 1").isEmpty()
-    found = index(docs, text, words, percent, token_classes(read.where("bucket is not null"), layout)).distinct()
+    found = cut(index(docs, text, words, percent, token_classes(read.where("bucket is not null"), layout)).distinct())
     rare = found.where("kind = 0").withColumn("size", F.count("*").over(Window.partitionBy("key"))).where("size > 1").drop("size")
     members = cut(rare.union(found.where("kind > 0")))
     size_class = F.floor(F.log("n") / -math.log(percent / 100))
