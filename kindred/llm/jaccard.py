@@ -1,14 +1,17 @@
 """N-gram Jaccard join by token-combination prefixes: components of texts whose shingle sets are alike.
 
-Equal sets are one entity (64-bit digest of the sorted shingle hashes, beside the set's size). Shingles are ordered
-rare class first, frequent class last, by hash within a class; the classes come from document counts over all texts.
+Equal sets are one entity (64-bit digest of the sorted shingle hashes, beside the set's size). Shingles are ordered by
+class: those of one text only, rare ones, frequent ones; by hash within a class. The classes come from document counts
+over all texts.
 Two sets of size n and m that are alike share a token within the first p = n - ceil(t n) + 1 of theirs, and two tokens
 within the first p + 1. So an entity is indexed under its rare tokens singly, and under pairs of its frequent ones
 within the extended prefix; entities with more than ``WIDE`` frequent tokens there are indexed under them singly
-instead, where they also meet the others. A bitmap of fixed size leaves out tokens that only one text has.
+instead, where they also meet the others. Tokens that only one text has, told by a bitmap of fixed size, fill prefixes
+but are never indexed or shared.
 
-No index group is expanded into all of its pairs. First members meet the smallest entity of their group and size class,
-and each entity is verified against the one of those whose sketch is nearest; the links found make components. Then only members of different components remain to be compared:
+No index group is expanded into all of its pairs. First members meet the entity of their group and size class that has
+the fewest tokens of its own, as a group's origin would, and each entity is verified against the one of those whose
+sketch is nearest (and those of next size classes against each other); the links found make components. Then only members of different components remain to be compared:
 those outside a group's largest component against the group's other members, unless their sketches prove that they
 differ too much. No candidate pair stays unverified unless the two are connected already, so the components are exact.
 """
@@ -152,8 +155,9 @@ def token_classes(blobs: DataFrame, layout: tuple[int, int]) -> tuple[np.ndarray
 
 
 def index(docs: DataFrame, text: str, words: int, percent: int, classes: tuple[np.ndarray, int, np.ndarray]) -> DataFrame:
-    """(key, e, n, pos, class): the prefix tokens and combinations under which each entity is found; class is 0 for
-    rare tokens, 1 for pairs of frequent ones, 2 for frequent ones alone."""
+    """(key, e, n, own, pos, kind): the prefix tokens and combinations under which each entity is found, and how many
+    of its tokens no other text has; kind is 0 for rare tokens, 1 for pairs of frequent ones, 2 for frequent ones alone
+    (3 if the entity is not under pairs)."""
     shared = docs.sparkSession.sparkContext.broadcast(classes)
 
     def run(batches):
@@ -170,31 +174,34 @@ def index(docs: DataFrame, text: str, words: int, percent: int, classes: tuple[n
                     seen.add(e)
                 upper = tokens >> np.uint64(shift)
                 frequent = often[np.minimum(np.searchsorted(often, upper), len(often) - 1)] == upper if len(often) else np.zeros(n, bool)
-                rare, common = tokens[~frequent], tokens[frequent]
-                single = rare[:p]
-                at = single >> np.uint64(64 - BITMAP_BITS)
+                at = tokens >> np.uint64(64 - BITMAP_BITS)
                 several = (bitmap[(at >> np.uint64(3)).astype(np.int64)] >> (7 - (at & np.uint64(7)).astype(np.uint8))) & 1 > 0
-                common = common[: max(0, p + 1 - len(rare))]
-                alone = common[: max(0, p - len(rare))]
-                parts = [(single[several], np.flatnonzero(several), 0), (alone, len(rare) + np.arange(len(alone)), 2 if len(common) <= WIDE else 3)]
+                rare, common = tokens[several & ~frequent], tokens[frequent]
+                own = n - len(rare) - len(common)
+                before = own + len(rare)
+                single = rare[: max(0, p - own)]
+                common = common[: max(0, p + 1 - before)]
+                alone = common[: max(0, p - before)]
+                parts = [(single, own + np.arange(len(single)), 0), (alone, before + np.arange(len(alone)), 2 if len(common) <= WIDE else 3)]
                 if 2 <= len(common) <= WIDE:
                     i, j = np.triu_indices(len(common), 1)
-                    parts.append((mix(common[i] * np.uint64(3) + common[j]), len(rare) + i, 1))
+                    parts.append((mix(common[i] * np.uint64(3) + common[j]), before + i, 1))
                 for k, pos, kind in parts:
                     keys.append((k, pos, np.full(len(k), kind)))
-                    owners.append((e, n, len(k)))
+                    owners.append((e, n, own, len(k)))
             if keys:
                 k, pos, kind = (np.concatenate(x) for x in zip(*keys, strict=True))
-                e, n, reps = (np.array(x, np.int64) for x in zip(*owners, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(np.repeat(e, reps)), pa.array(np.repeat(n, reps)), pa.array(pos.astype(np.int64)), pa.array(kind.astype(np.int32))], ["key", "e", "n", "pos", "kind"])
+                e, n, own, reps = (np.array(x, np.int64) for x in zip(*owners, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(np.repeat(e, reps)), pa.array(np.repeat(n, reps)), pa.array(np.repeat(own, reps)), pa.array(pos.astype(np.int64)), pa.array(kind.astype(np.int32))], ["key", "e", "n", "own", "pos", "kind"])
 
-    return docs.select(text).mapInArrow(run, "key long, e long, n long, pos long, kind int")
+    return docs.select(text).mapInArrow(run, "key long, e long, n long, own long, pos long, kind int")
 
 
-def may_link(n: str, m: str, i: str, j: str, percent: int) -> Column:
-    """Sizes and places of a common prefix token allow the similarity: what both can still share suffices."""
-    n, m, i, j = F.col(n), F.col(m), F.col(i), F.col(j)
-    rest = F.least(n - i, m - j) + F.least(i, j)
+def may_link(percent: int) -> Column:
+    """Sizes and places of a common prefix token of entities (e, n, own, pos) and (o, m, others, at) allow the
+    similarity: what both can still share suffices. Own tokens come first and are never shared."""
+    n, m, i, j = (F.col(c) for c in ("n", "m", "pos", "at"))
+    rest = F.least(n - i, m - j) + F.least(i - F.col("own"), j - F.col("others"))
     return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & ((100 + percent) * rest >= percent * (n + m))
 
 
@@ -278,12 +285,16 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     members = cut(rare.union(found.where("kind > 0")))
     size_class = F.floor(F.log("n") / -math.log(percent / 100))
     classed = members.withColumn("size_class", size_class)
-    pivots = classed.groupBy("key", "kind", "size_class").agg(F.min(F.struct("e", "n", "pos")).alias("p"))
-    star = classed.join(pivots, ["key", "kind", "size_class"]).select("e", "n", "pos", F.col("p.e").alias("o"), F.col("p.n").alias("m"), F.col("p.pos").alias("at"))
-    star = star.where((F.col("e") != F.col("o")) & may_link("n", "m", "pos", "at", percent)).select(F.greatest("e", "o").alias("a"), F.least("e", "o").alias("b")).distinct()
-    near = sketched(star, first, percent)
+    pivots = cut(classed.groupBy("key", "kind", "size_class").agg(F.min(F.struct("own", "e", "n", "pos")).alias("p")))
+    met = lambda rows: rows.where((F.col("e") != F.col("o")) & may_link(percent)).select(F.greatest("e", "o").alias("a"), F.least("e", "o").alias("b")).distinct()
+    other = pivots.select("key", "kind", "size_class", F.col("p.e").alias("o"), F.col("p.n").alias("m"), F.col("p.own").alias("others"), F.col("p.pos").alias("at"))
+    star = met(classed.join(other, ["key", "kind", "size_class"]))
+    below = other.withColumn("size_class", F.col("size_class") - 1)
+    beside = met(pivots.select("key", "kind", "size_class", "p.*").join(below, ["key", "kind", "size_class"]))
+    near = cut(sketched(star.union(beside).distinct(), first, percent))
     nearest = near.groupBy("a").agg(F.min_by("b", F.struct("apart", "b")).alias("b"))
-    nearest = nearest.union(near.groupBy("b").agg(F.min_by("a", F.struct("apart", "a")).alias("a")).select("a", "b")).distinct()
+    nearest = nearest.union(near.groupBy("b").agg(F.min_by("a", F.struct("apart", "a")).alias("a")).select("a", "b"))
+    nearest = nearest.union(near.join(beside, ["a", "b"], "left_semi").select("a", "b")).distinct()
     check = lambda pairs: cut(verified(pairs, docs, first, key, text, words, percent, repeats))
     nearest = cut(nearest)
     links = check(nearest)
@@ -294,10 +305,10 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     counts = placed.groupBy("key", "group", "c").agg(F.count("*").alias("size"))
     largest = counts.groupBy("key", "group").agg(F.max_by("c", F.struct("size", "c")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
     mixed = placed.join(largest.drop("parts"), ["key", "group"])
-    few = mixed.where("c <> main").select("key", "group", F.col("e").alias("o"), F.col("n").alias("m"), F.col("pos").alias("at"), F.col("kind").alias("other"), F.col("c").alias("d"))
+    few = mixed.where("c <> main").select("key", "group", F.col("e").alias("o"), F.col("n").alias("m"), F.col("own").alias("others"), F.col("pos").alias("at"), F.col("kind").alias("other"), F.col("c").alias("d"))
     rest = mixed.join(few, ["key", "group"]).where("c <> d and (c = main or e < o)")
     rest = rest.where((F.col("group") != 2) | (F.col("kind") == 3) | (F.col("other") == 3))
-    rest = rest.where(may_link("n", "m", "pos", "at", percent)).select(F.greatest("e", "o").alias("a"), F.least("e", "o").alias("b")).distinct()
+    rest = rest.where(may_link(percent)).select(F.greatest("e", "o").alias("a"), F.least("e", "o").alias("b")).distinct()
     more = check(sketched(rest.join(nearest, ["a", "b"], "left_anti"), first, percent).select("a", "b"))
     label = components(links.union(more))
 
