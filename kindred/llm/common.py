@@ -34,9 +34,16 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise in the shared folder and forget the lineage."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Materialise in the shared folder and forget the lineage. Nothing reads the shuffle files behind it any more, so
+    Spark is asked to remove them then and not when the driver next collects its garbage."""
+    spark, setting = df.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    shared_folder(spark)
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, "true")
+    try:
+        return df.select("*").checkpoint(eager=True)
+    finally:
+        spark.conf.set(setting, before)
 
 
 def held_out(doc_id: str = "doc_id", folds: int = 5) -> Column:

@@ -38,6 +38,8 @@ WIDE = 10
 BITMAP_BITS = 28
 #: Least cells of an entity's sketch, a power of two and a multiple of 8.
 SKETCH_CELLS = 1024
+#: Cells of the small sketches that rule out pairs where they meet.
+SMALL_CELLS = 256
 TEXTS_PER_BUCKET = 2_000
 #: Bytes of texts whose tokens a task sorts together.
 SLICE_BYTES = 16_000_000
@@ -87,6 +89,11 @@ def sketch(tokens: np.ndarray) -> bytes:
     return np.packbits(np.bincount((tokens & np.uint64(cells - 1)).astype(np.int64), minlength=cells).astype(np.uint8) & 1).tobytes()
 
 
+def small_sketch(cells: bytes) -> list[int]:
+    """A sketch folded to ``SMALL_CELLS``, as 64-bit numbers."""
+    return np.bitwise_xor.reduce(np.frombuffer(cells, np.int64).reshape(-1, SMALL_CELLS // 64), axis=0).tolist()
+
+
 def sketch_distance(x: np.ndarray, y: np.ndarray) -> int:
     """Cells in which two sketches differ, the longer one folded to the other's length."""
     n = min(len(x), len(y))
@@ -101,19 +108,20 @@ def token_layout(rows: int) -> tuple[int, int]:
 
 
 def read_texts(docs: DataFrame, key: str, text: str, words: int, layout: tuple[int, int]) -> DataFrame:
-    """One pass over all texts: for every row (id, n, e, sketch) with the size and digest of its shingle set (e is null
+    """One pass over all texts: for every row (id, n, e, sketch, small) with the size and digest of its shingle set (e is null
     for empty sets), and rows (bucket, blob) with the tokens of a batch as sorted, compressed differences."""
     bits, bucket_bits = layout
     shift, in_bucket = np.uint64(64 - bits), bits - bucket_bits
 
     def run(batches):
         pack = zstandard.ZstdCompressor(level=1)
-        names = ["id", "n", "e", "sketch", "bucket", "blob"]
+        names = ["id", "n", "e", "sketch", "small", "bucket", "blob"]
         for batch in (part for whole in batches for part in slices(whole)):
             sets = list(shingle_sets(batch.column(1), words))
             none = lambda kind, n=len(sets): pa.nulls(n, kind)
-            sketches = pa.array([sketch(s) if len(s) else None for s in sets], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([digest(s) if len(s) else None for s in sets], pa.int64()), sketches, none(pa.int32()), none(pa.binary())], names)
+            cells = [sketch(s) if len(s) else None for s in sets]
+            sketches, small = pa.array(cells, pa.binary()), pa.array([small_sketch(c) if c else None for c in cells], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([digest(s) if len(s) else None for s in sets], pa.int64()), sketches, small, none(pa.int32()), none(pa.binary())], names)
             tokens = np.concatenate([*sets, np.zeros(0, np.uint64)])
             del sets
             tokens >>= shift
@@ -122,9 +130,9 @@ def read_texts(docs: DataFrame, key: str, text: str, words: int, layout: tuple[i
             found = [b for b in range(1 << bucket_bits) if ends[b + 1] > ends[b]]
             blobs = [pack.compress(np.diff(tokens[ends[b] : ends[b + 1]], prepend=np.uint64(b << in_bucket)).astype(np.uint64 if in_bucket > 32 else np.uint32).tobytes()) for b in found]
             none = lambda kind, n=len(found): pa.nulls(n, kind)
-            yield pa.RecordBatch.from_arrays([none(pa.int64()), none(pa.int64()), none(pa.int64()), none(pa.binary()), pa.array(found, pa.int32()), pa.array(blobs, pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([none(pa.int64()), none(pa.int64()), none(pa.int64()), none(pa.binary()), none(pa.list_(pa.int64())), pa.array(found, pa.int32()), pa.array(blobs, pa.binary())], names)
 
-    return docs.select(F.col(key).cast("long").alias("id"), text).mapInArrow(run, "id long, n long, e long, sketch binary, bucket int, blob binary")
+    return docs.select(F.col(key).cast("long").alias("id"), text).mapInArrow(run, "id long, n long, e long, sketch binary, small array<long>, bucket int, blob binary")
 
 
 def token_classes(blobs: DataFrame, layout: tuple[int, int]) -> tuple[np.ndarray, int, np.ndarray]:
@@ -278,7 +286,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     layout = token_layout(docs.count())
     read = cut(read_texts(docs, key, text, words, layout))
     own = read.where("bucket is null").select("id", "n", "e")
-    first = cut(read.where("e is not null").groupBy("e").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("sketch").alias("sketch")))
+    first = cut(read.where("e is not null").groupBy("e").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("small").alias("small")))
     repeats = not own.groupBy("id").count().where("count > 1").isEmpty()
     found = cut(index(docs, text, words, percent, token_classes(read.where("bucket is not null"), layout)).distinct())
     rare = found.where("kind = 0").withColumn("size", F.count("*").over(Window.partitionBy("key"))).where("size > 1").drop("size")
@@ -304,11 +312,12 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     placed = cut(members.withColumn("group", kind).join(label, "e", "left").withColumn("c", F.coalesce("c", "e")))
     counts = placed.groupBy("key", "group", "c").agg(F.count("*").alias("size"))
     largest = counts.groupBy("key", "group").agg(F.max_by("c", F.struct("size", "c")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
-    mixed = placed.join(largest.drop("parts"), ["key", "group"])
-    few = mixed.where("c <> main").select("key", "group", F.col("e").alias("o"), F.col("n").alias("m"), F.col("own").alias("others"), F.col("pos").alias("at"), F.col("kind").alias("other"), F.col("c").alias("d"))
+    mixed = cut(placed.join(largest.drop("parts"), ["key", "group"]).join(first.select("e", "small"), "e"))
+    few = mixed.where("c <> main").select("key", "group", F.col("e").alias("o"), F.col("n").alias("m"), F.col("own").alias("others"), F.col("pos").alias("at"), F.col("kind").alias("other"), F.col("c").alias("d"), F.col("small").alias("folded"))
     rest = mixed.join(few, ["key", "group"]).where("c <> d and (c = main or e < o)")
     rest = rest.where((F.col("group") != 2) | (F.col("kind") == 3) | (F.col("other") == 3))
-    rest = rest.where(may_link(percent)).select(F.greatest("e", "o").alias("a"), F.least("e", "o").alias("b")).distinct()
+    apart = sum((F.bit_count(F.col("small")[k].bitwiseXOR(F.col("folded")[k])) for k in range(SMALL_CELLS // 64)), F.lit(0))
+    rest = rest.where(may_link(percent) & ((100 + percent) * apart <= (100 - percent) * (F.col("n") + F.col("m")))).select(F.greatest("e", "o").alias("a"), F.least("e", "o").alias("b")).distinct()
     more = check(sketched(rest.join(nearest, ["a", "b"], "left_anti"), first, percent).select("a", "b"))
     label = components(links.union(more))
 
