@@ -1,7 +1,7 @@
 """Sharding by balanced label propagation over linked documents, in DataFrame operations only.
 
 Documents of one group are linked with one another (here: equal texts). Every linked document starts in a shard drawn
-by hash; round by round it moves to the shard with room that most of its neighbours are in, unless more of them are
+by hash, small groups as one; round by round it moves to the shard with room that most of its neighbours are in, unless more of them are
 where it is, as far as that shard's quota of rows allows. Where room is short, small groups go or stay together, and
 larger groups are split. Documents without links then fill the shards up to quotas that are at most one apart, so the
 ``rows`` law holds exactly.
@@ -19,8 +19,11 @@ from .common import blocks_of, cut
 
 ROUNDS = 10
 ROWS_PER_BUCKET = 20_000
-#: A group moves as one if it takes up at most this share of the room in its target shard.
+#: A group starts as one if it takes up at most this share of a shard's quota, and moves as one if at most this share of
+#: the room in its target shard.
 WHOLE_SHARE = 1 / 16
+#: Shards with less room than this share of their quota count as full: no round is spent on their last places.
+LEAST_ROOM = 1 / 32
 
 
 def numbered(rows: DataFrame, keys: list[str], out: str, buckets: int) -> DataFrame:
@@ -48,13 +51,14 @@ def per_shard(rows: DataFrame, shard: str, shards: int) -> list[int]:
 
 
 def propagate(linked: DataFrame, quota: list[int], rounds: int) -> DataFrame:
-    """Rows (row, group) with a shard each, after at most ``rounds`` of moves towards neighbours: as many or more of
+    """Rows (row, group, size of the group) with a shard each, after at most ``rounds`` of moves towards neighbours: as many or more of
     them must be at the target than, itself included, where a row is."""
     shards = len(quota)
-    placed = cut(linked.withColumn("shard", F.pmod(F.xxhash64("row"), F.lit(shards)).cast("int")))
+    start = F.when(F.col("size") <= min(quota) * WHOLE_SHARE, F.xxhash64("group")).otherwise(F.xxhash64("row"))
+    placed = cut(linked.select("row", "group", F.pmod(start, F.lit(shards)).cast("int").alias("shard")))
     for turn in range(rounds):
         load = per_shard(placed, "shard", shards)
-        room = [max(0, q - n) for q, n in zip(quota, load, strict=True)]
+        room = [q - n if q - n >= max(1, q * LEAST_ROOM) else 0 for q, n in zip(quota, load, strict=True)]
         votes = cut(placed.groupBy("group", "shard").agg(F.count("*").alias("n")))
         open_ = votes.where(by_shard(room, "shard") > 0).groupBy("group").agg(F.max(F.struct("n", F.xxhash64("group", "shard"), "shard")).alias("best"))
         target = votes.join(open_, "group").where((F.col("shard") != F.col("best.shard")) & (F.col("best.n") >= F.col("n")))
@@ -80,8 +84,8 @@ def balanced_shards(docs: DataFrame, group: str, shards: int = 8, rounds: int =
     n = rows.count()
     quota = [n // shards + (s < n % shards) for s in range(shards)]
     buckets = blocks_of(n, ROWS_PER_BUCKET)
-    pairs = rows.where("group is not null").groupBy("group").agg(F.count("*").alias("n")).where("n > 1")
-    linked = rows.select("row", "group").join(pairs.select("group"), "group", "left_semi")
+    pairs = rows.where("group is not null").groupBy("group").agg(F.count("*").alias("size")).where("size > 1")
+    linked = rows.select("row", "group").join(pairs, "group")
     placed = numbered(propagate(linked, quota, rounds), ["shard"], "place", buckets)
     kept = cut(placed.where(F.col("place") < by_shard(quota, "shard")).select("row", "shard"))
     need = [q - k for q, k in zip(quota, per_shard(kept, "shard", shards), strict=True)]
