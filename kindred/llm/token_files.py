@@ -12,6 +12,7 @@ Blocks of a row are coded side by side as lanes of numpy arrays: one step handle
 
 from __future__ import annotations
 
+import re
 import zlib
 from functools import lru_cache
 
@@ -229,7 +230,7 @@ class Words:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        words = [t.split() if t.isascii() else _ascii_words(t) for t in texts]
+        words = [t.split() if t.isascii() and not _separators.search(t) else _ascii_words(t) for t in texts]
         new = list({w for own in words for w in own} - self.fresh.keys())
         for w in new:
             if w in self.stale:
@@ -243,6 +244,8 @@ class Words:
         return out
 
 
+#: str.split() cuts at these too, but the tokenizer has tokens for them.
+_separators = re.compile("[\x1c-\x1f]")
 _white = str.maketrans(dict.fromkeys("\t\n\x0b\x0c\r", " "))
 
 

@@ -213,6 +213,15 @@ def test_token_files(spark, odd, empty, tmp_path):
     assert token_files.read_tokens(spark.read.schema(token_files.ROW).parquet(str(tmp_path / "b"))).count() == 0
 
 
+def test_words_keep_control_characters():
+    from tokenizers import Tokenizer
+
+    model = Tokenizer.from_file(queries.word_model())
+    texts = ["a\x1cb", "one\x1f two", "\x1d", "a \x1e b\x00c", "a\x0b\x0c\x1cb\r\n", "été\x1cb", "a\x85b", "plain words"]
+    found = token_files.Words(queries.word_model()).encode(texts)
+    assert [np.frombuffer(x, "<u4").tolist() for x in found] == [model.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 PAGE = "<html><head><title>t</title></head><body><header>Site</header><nav><ul><li><a href=/>home</a></ul></nav>{notice}<article><h1>Title {i}</h1><p>First  &amp; {i}<p>Second<br>line &lt;b&gt;{share}<script>x='</p>'</script></article><aside>side {i}</aside><section class='post comments'><p>reader {i}</section><form>f</form><footer>&copy; {i}</footer>"
 
 
