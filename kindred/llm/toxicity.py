@@ -1,9 +1,8 @@
 """Toxicity from the nearest labelled examples by exact TF-IDF cosine.
 
-Terms are words and word beginnings; those that labelled examples tie to toxic texts (log-likelihood ratio, higher
-rate) make up the vocabulary. Labelled examples are unit vectors over it, in an inverted index whose posting lists are
-cut into blocks of examples with the largest weight of each term in each block. A text's query visits blocks by
-falling upper bound and stops where no block can reach the k-th best cosine, so its neighbours are exact. Their votes,
+Terms are words and word beginnings that a few labelled examples hold; the ``MOST_TERMS`` that tell toxic from clean
+ones best (log-likelihood ratio, either way) make up the vocabulary. All labelled examples are unit vectors over it, in
+an inverted index. A text's query adds up the whole list of each of its terms, so its neighbours are exact. Their votes,
 weighted by cosine and by how many labelled texts each example stands for (near copies count as one example), are calibrated by isotonic regression on
 leave-one-out votes of the examples themselves.
 
@@ -13,7 +12,8 @@ a fixed bound and are broadcast; every document is scored from its whole text.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import InitVar, dataclass, field
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -26,14 +26,9 @@ TOXIC_EXAMPLES = 4_000
 CLEAN_EXAMPLES = 6_000
 MOST_TERMS = 4_096
 PREFIXES = (4, 5, 6)
-#: A term needs this log-likelihood ratio, and this ratio of its rates in toxic and clean examples.
-LEAST_G2 = 20.0
-LEAST_RATIO = 20.0
-#: Toxic examples that must hold a term: so many, and this share of all toxic examples besides.
-LEAST_TOXIC = 4
-LEAST_TOXIC_SHARE = 0.005
+#: Labelled examples of either class that must hold a term.
+LEAST_EXAMPLES = 4
 NEIGHBOURS = 15
-BLOCK = 64
 
 
 def term_counts(data: np.ndarray, offsets: np.ndarray, vocabulary: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -80,49 +75,36 @@ def signatures(texts: pa.Array) -> np.ndarray:
 
 @dataclass
 class BlockMaxIndex:
-    """Inverted lists of unit vectors (CSR by example), cut into blocks of ``BLOCK`` examples."""
+    """Inverted lists of unit vectors (CSR by example). Queries hold common terms and reach most examples, so lists are
+    added up whole, and no bounds of blocks are kept."""
 
     terms: int
     start: np.ndarray
-    term: np.ndarray
-    weight: np.ndarray
-    lists: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = field(init=False)
-    most: np.ndarray = field(init=False)
-
-    def __post_init__(self) -> None:
-        example = np.repeat(np.arange(len(self.start) - 1), np.diff(self.start))
-        blocks = -(-(len(self.start) - 1) // BLOCK)
-        self.most = np.zeros((self.terms, blocks))
-        np.maximum.at(self.most, (self.term, example // BLOCK), self.weight)
-        order = np.argsort(self.term, kind="stable")
-        ends = np.searchsorted(self.term[order], np.arange(self.terms + 1))
-        self.lists = []
-        for i, j in zip(ends[:-1], ends[1:], strict=True):
-            own = example[order[i:j]]
-            self.lists.append((own, self.weight[order[i:j]], np.searchsorted(own, np.arange(blocks + 1) * BLOCK)))
+    term: InitVar[np.ndarray]
+    weight: InitVar[np.ndarray]
+    ends: list[int] = field(init=False)
+    own: np.ndarray = field(init=False)
+    values: np.ndarray = field(init=False)
+
+    def __post_init__(self, term: np.ndarray, weight: np.ndarray) -> None:
+        order = np.argsort(term, kind="stable")
+        self.ends = np.searchsorted(term[order], np.arange(self.terms + 1)).tolist()
+        self.own = np.repeat(np.arange(len(self.start) - 1, dtype=np.int32), np.diff(self.start))[order]
+        self.values = weight[order]
 
     def search(self, term: np.ndarray, weight: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """The k examples of largest positive inner product, ties to the smaller number, best first."""
-        bound = weight @ self.most[term]
-        ids, scores, least = np.zeros(0, np.int64), np.zeros(0), 0.0
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or bound[b] < least - 1e-12:
-                break
-            part = np.zeros(BLOCK)
-            for t, w in zip(term.tolist(), weight.tolist(), strict=True):
-                own, values, cut = self.lists[t]
-                i, j = cut[b], cut[b + 1]
-                if j > i:
-                    part[own[i:j] - b * BLOCK] += w * values[i:j]
-            if 0 <= without - b * BLOCK < BLOCK:
-                part[without - b * BLOCK] = 0
-            hit = np.flatnonzero((part > 0) & (part >= least - 1e-12))
-            if len(hit):
-                ids, scores = np.append(ids, hit + b * BLOCK), np.append(scores, part[hit])
-                order = np.lexsort((ids, -np.round(scores, 12)))[:k]
-                ids, scores = ids[order], scores[order]
-                least = scores[-1] if len(ids) == k else 0.0
-        return ids, scores
+        scores = np.zeros(len(self.start) - 1)
+        for t, w in zip(term.tolist(), weight.tolist(), strict=True):
+            i, j = self.ends[t], self.ends[t + 1]
+            scores[self.own[i:j]] += w * self.values[i:j]
+        if without >= 0:
+            scores[without] = 0
+        ids = np.flatnonzero(scores > 0)
+        if len(ids) > k:
+            ids = ids[scores[ids] >= np.partition(scores[ids], len(ids) - k)[len(ids) - k] - 2e-12]
+        ids = ids[np.lexsort((ids, -np.round(scores[ids], 12)))[:k]]
+        return ids, scores[ids]
 
 
 def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -175,7 +157,7 @@ class ToxicityModel:
             start, term, weight = self.vectors(data[o[0] : o[-1]], o - o[0])
             for d in np.flatnonzero(np.diff(start)):
                 t, w = term[start[d] : start[d + 1]], weight[start[d] : start[d + 1]]
-                key = t.tobytes() + w.tobytes()
+                key = blake2b(t.tobytes() + w.tobytes(), digest_size=16).digest()
                 if key not in found:
                     if len(found) >= 50_000:
                         found.clear()
@@ -232,9 +214,8 @@ def _fit(chosen: DataFrame, have: dict, share: dict) -> ToxicityModel:
     expected = (a + c) * n1 / (n1 + n0)
     tie = lambda x, e: F.when(x > 0, x * F.ln(x / e)).otherwise(0.0)
     g2 = 2 * (tie(a, expected) + tie(c, a + c - expected))
-    ratio = ((a + 0.5) / (n1 + 1)) / ((c + 0.5) / (n0 + 1))
     terms = chosen.mapInArrow(count, "term long, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("a"), F.sum("clean").alias("c"))
-    terms = terms.where((a >= LEAST_TOXIC + LEAST_TOXIC_SHARE * n1) & (ratio >= LEAST_RATIO)).withColumn("g2", g2).where(F.col("g2") >= LEAST_G2).orderBy(F.desc("g2"), "term").limit(MOST_TERMS).toArrow()
+    terms = terms.where(a + c >= LEAST_EXAMPLES).withColumn("g2", g2).orderBy(F.desc("g2"), "term").limit(MOST_TERMS).toArrow()
     vocabulary = terms["term"].to_numpy().view(np.uint64)
     order = np.argsort(vocabulary)
     df = (terms["a"].to_numpy() / share[1] + terms["c"].to_numpy() / share[0])[order]

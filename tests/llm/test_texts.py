@@ -85,6 +85,23 @@ def test_toxicity_learns_words_and_edges(spark, odd, empty):
     assert {r["score"] for r in toxicity.with_toxicity(odd, none).collect()} == {0.0}
 
 
+def test_toxicity_sees_whole_texts(spark):
+    """Markers that clean texts hold too, or few toxic ones, count, and texts without any have clean neighbours."""
+    rng = np.random.default_rng(4)
+    lexicon = "the and for was his her not all".split()
+    toxic = {i for i in range(400) if i % 5 == 0}
+    rare = {0, 100, 200, 300, 390}
+    quoting = {i for i in range(400) if i % 10 == 1}
+    mark = lambda i: "crude " if i in rare else "vile " if i in toxic | quoting else ""
+    docs = spark.createDataFrame([(i, mark(i) + " ".join(rng.choice(lexicon, 6))) for i in range(400)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i in toxic)) for i in range(400)], "doc_id long, toxic int")
+    scored = {r["doc_id"]: r for r in toxicity.with_toxicity(docs, toxicity.train_toxicity(docs, labels)).collect()}
+    mean = lambda ids: np.mean([scored[i]["score"] for i in ids])
+    assert mean(toxic - rare) > 0.5 > 0.1 > mean(set(range(400)) - toxic - quoting)
+    assert all(set(scored[i]["evidence"]) & (rare - {i}) for i in rare)
+    assert all(r["evidence"] for r in scored.values())
+
+
 def brute_components(rows, words, percent):
     sets = {}
     for i, t in rows:
