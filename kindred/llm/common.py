@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -46,6 +49,25 @@ def cut(df: DataFrame) -> DataFrame:
         spark.conf.set(setting, before)
 
 
+def give_back() -> None:
+    """Return what is freed to the system: Python workers are reused, and one stage's memory would count for the next."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def giving_back(run: Callable) -> Callable:
+    """A function of batches for mapInArrow that gives memory back when its partition ends."""
+
+    def whole(batches) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        gc.collect()
+        give_back()
+
+    return whole
+
+
 def held_out(doc_id: str = "doc_id", folds: int = 5) -> Column:
     """True for the fold that learning never sees: crc32 of the id as text, mod ``folds``, is 0."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % folds == 0, F.lit(False))

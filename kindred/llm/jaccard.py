@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import blocks_of, chunks, cut, mix, utf8_parts, word_hashes
+from .common import blocks_of, chunks, cut, give_back, giving_back, mix, utf8_parts, word_hashes
 
 #: Words in a shingle, and the least similarity in hundredths.
 WORDS, PERCENT = 4, 85
@@ -41,6 +41,10 @@ SKETCH_CELLS = 1024
 #: Cells of the small sketches that rule out pairs where they meet.
 SMALL_CELLS = 256
 TEXTS_PER_BUCKET = 2_000
+#: Small frames are coalesced, so that a task has the rows of so many texts at least, or so many links.
+TEXTS_PER_TASK, LINKS_PER_TASK = 2_000, 50_000
+#: Members outside the largest component of an index group that a task holds against the group's others; larger groups are split.
+FEW_PER_TASK = 500
 #: Bytes of texts whose tokens a task sorts together.
 SLICE_BYTES = 16_000_000
 #: So many ids of texts to verify are broadcast at most (8 bytes each); beyond, the texts are joined by id.
@@ -119,9 +123,10 @@ def read_texts(docs: DataFrame, key: str, text: str, words: int, layout: tuple[i
         for batch in (part for whole in batches for part in slices(whole)):
             sets = list(shingle_sets(batch.column(1), words))
             none = lambda kind, n=len(sets): pa.nulls(n, kind)
-            cells = [sketch(s) if len(s) else None for s in sets]
+            links = [len(s) > 0 and i.is_valid for s, i in zip(sets, batch.column(0), strict=True)]
+            cells = [sketch(s) if x else None for s, x in zip(sets, links, strict=True)]
             sketches, small = pa.array(cells, pa.binary()), pa.array([small_sketch(c) if c else None for c in cells], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([digest(s) if len(s) else None for s in sets], pa.int64()), sketches, small, none(pa.int32()), none(pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([digest(s) if x else None for s, x in zip(sets, links, strict=True)], pa.int64()), sketches, small, none(pa.int32()), none(pa.binary())], names)
             tokens = np.concatenate([*sets, np.zeros(0, np.uint64)])
             del sets
             tokens >>= shift
@@ -132,7 +137,7 @@ def read_texts(docs: DataFrame, key: str, text: str, words: int, layout: tuple[i
             none = lambda kind, n=len(found): pa.nulls(n, kind)
             yield pa.RecordBatch.from_arrays([none(pa.int64()), none(pa.int64()), none(pa.int64()), none(pa.binary()), none(pa.list_(pa.int64())), pa.array(found, pa.int32()), pa.array(blobs, pa.binary())], names)
 
-    return docs.select(F.col(key).cast("long").alias("id"), text).mapInArrow(run, "id long, n long, e long, sketch binary, small array<long>, bucket int, blob binary")
+    return docs.select(F.col(key).cast("long").alias("id"), text).mapInArrow(giving_back(run), "id long, n long, e long, sketch binary, small array<long>, bucket int, blob binary")
 
 
 def token_classes(blobs: DataFrame, layout: tuple[int, int]) -> tuple[np.ndarray, int, np.ndarray]:
@@ -149,16 +154,18 @@ def token_classes(blobs: DataFrame, layout: tuple[int, int]) -> tuple[np.ndarray
         often = n >= FREQUENT
         return pa.table({"bucket": pa.array([bucket], pa.int32()), "shared": [zstandard.compress(np.packbits(shared).tobytes())], "tokens": pa.array([tokens[often].view(np.int64)], pa.list_(pa.int64())), "counts": pa.array([n[often]], pa.list_(pa.int64()))})
 
-    counted = cut(blobs.groupBy("bucket").applyInArrow(count, "bucket int, shared binary, tokens array<long>, counts array<long>"))
+    counted = cut(blobs.groupBy("bucket").applyInArrow(count, "bucket int, shared binary, tokens array<long>, counts array<long>").coalesce(1 << max(0, bucket_bits - 1)))
     by_size = counted.select(F.explode("counts").alias("n")).groupBy(F.floor(F.log2("n")).alias("power")).count().collect()
     least = int(math.log2(FREQUENT))
     while sum(r["count"] for r in by_size if r["power"] >= least) > MOST_FREQUENT:
         least += 1
-    often = counted.select(F.explode(F.arrays_zip("tokens", "counts")).alias("x")).where(F.col("x.counts") >= (1 << least)).select("x.tokens").toArrow()["tokens"]
+    often = F.filter(F.arrays_zip("tokens", "counts"), lambda x: x["counts"] >= (1 << least))
+    found = counted.select("bucket", "shared", F.transform(often, lambda x: x["tokens"]).alias("often")).toArrow()
     bitmap = np.zeros(1 << (BITMAP_BITS - 3), np.uint8)
     size = (1 << in_map) // 8
-    for row in counted.select("bucket", "shared").toLocalIterator():
-        bitmap[row["bucket"] * size : (row["bucket"] + 1) * size] = np.frombuffer(zstandard.decompress(row["shared"]), np.uint8)
+    for bucket, shared in zip(found["bucket"].to_pylist(), found["shared"], strict=True):
+        bitmap[bucket * size : (bucket + 1) * size] = np.frombuffer(zstandard.decompress(shared.as_py()), np.uint8)
+    often = found["often"].combine_chunks().flatten()
     return np.sort(often.to_numpy().view(np.uint64)), 64 - bits, bitmap
 
 
@@ -202,7 +209,7 @@ def index(docs: DataFrame, text: str, words: int, percent: int, classes: tuple[n
                 e, n, own, reps = (np.array(x, np.int64) for x in zip(*owners, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(np.repeat(e, reps)), pa.array(np.repeat(n, reps)), pa.array(np.repeat(own, reps)), pa.array(pos.astype(np.int64)), pa.array(kind.astype(np.int32))], ["key", "e", "n", "own", "pos", "kind"])
 
-    return docs.select(text).mapInArrow(run, "key long, e long, n long, own long, pos long, kind int")
+    return docs.select(text).mapInArrow(giving_back(run), "key long, e long, n long, own long, pos long, kind int")
 
 
 def may_link(percent: int) -> Column:
@@ -213,35 +220,39 @@ def may_link(percent: int) -> Column:
     return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & ((100 + percent) * rest >= percent * (n + m))
 
 
-def of_pairs(pairs: DataFrame, first: DataFrame) -> tuple[DataFrame, DataFrame]:
+def of_pairs(pairs: DataFrame, first: DataFrame, parts: int) -> tuple[DataFrame, DataFrame]:
     """The pairs, and what ``first`` knows of the entities in them."""
     pairs = cut(pairs)
-    involved = cut(pairs.select(F.col("a").alias("e")).union(pairs.select("b")).distinct())
-    return pairs, first.join(F.broadcast(involved) if involved.count() <= MOST_IDS else involved, "e", "left_semi")
+    involved = pairs.select(F.col("a").alias("e")).union(pairs.select("b")).distinct()
+    few = 2 * pairs.count() <= MOST_IDS
+    return pairs, first.join(F.broadcast(involved) if few else involved, "e", "left_semi").coalesce(parts)
 
 
-def sketched(pairs: DataFrame, first: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) that the sketches don't rule out, with ``apart``, the cells in which these differ."""
+def sketched(pairs: DataFrame, first: DataFrame, percent: int, parts: int) -> DataFrame:
+    """Pairs (a, b, ...) that the sketches don't rule out, with ``apart``, the cells in which these differ."""
 
     @F.arrow_udf("long")
     def apart(xs: pa.Array, ys: pa.Array) -> pa.Array:
         return pa.array([sketch_distance(np.frombuffer(x.as_buffer(), np.uint8), np.frombuffer(y.as_buffer(), np.uint8)) for x, y in zip(xs, ys, strict=True)], pa.int64())
 
-    pairs, known = of_pairs(pairs, first)
+    pairs, known = of_pairs(pairs, first, parts)
     side = lambda e, s, n: known.select(F.col("e").alias(e), F.col("sketch").alias(s), F.col("n").alias(n))
-    rows = pairs.join(side("a", "x", "xn"), "a").join(side("b", "y", "yn"), "b").withColumn("apart", apart("x", "y"))
-    return rows.where((100 + percent) * F.col("apart") <= (100 - percent) * (F.col("xn") + F.col("yn"))).select("a", "b", "apart")
+    rows = pairs.join(side("a", "x", "xn"), "a").coalesce(parts).join(side("b", "y", "yn"), "b").coalesce(parts).withColumn("apart", apart("x", "y"))
+    return rows.where((100 + percent) * F.col("apart") <= (100 - percent) * (F.col("xn") + F.col("yn"))).select(*pairs.columns, "apart")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, first: DataFrame, key: str, text: str, words: int, percent: int, repeats: bool) -> DataFrame:
-    """Those pairs (a, b) of entities whose sets are alike; ``first`` has a text's id for each entity (e, id)."""
-    pairs, known = of_pairs(pairs, first)
-    known = cut(known.select("e", "id"))
+def verified(pairs: DataFrame, docs: DataFrame, first: DataFrame, key: str, text: str, words: int, percent: int, repeats: bool, parts: int) -> DataFrame:
+    """Those pairs (a, b) of entities whose sets are alike; ``first`` has a text's id for each entity (e, id). Where an
+    id has several texts, only the one with the entity's digest counts."""
+    pairs, known = of_pairs(pairs, first.select("e", "id"), parts)
+    known = cut(known)
     few = known.count() <= MOST_IDS
 
-    @F.arrow_udf("binary")
+    @F.arrow_udf("struct<s binary, d long>")
     def tokens(texts: pa.Array) -> pa.Array:
-        return pa.array([s.tobytes() for s in shingle_sets(texts, words)], pa.binary())
+        sets = list(shingle_sets(texts, words))
+        give_back()
+        return pa.StructArray.from_arrays([pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([digest(s) for s in sets], pa.int64())], ["s", "d"])
 
     @F.arrow_udf("boolean")
     def alike(xs: pa.Array, ys: pa.Array) -> pa.Array:
@@ -253,23 +264,55 @@ def verified(pairs: DataFrame, docs: DataFrame, first: DataFrame, key: str, text
         return pa.array(out, pa.bool_())
 
     texts = docs.select(F.col(key).cast("long").alias("id"), text).join(F.broadcast(known) if few else known, "id")
-    sets = (texts.dropDuplicates(["e"]) if repeats else texts).select("e", tokens(F.col(text)).alias("s"))
-    sets = cut(sets)
-    both = pairs.join(sets.select(F.col("e").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("e").alias("b"), F.col("s").alias("y")), "b")
+    sets = texts.select("e", tokens(F.col(text)).alias("t")).where("t.d = e").select("e", "t.s")
+    sets = cut(sets.dropDuplicates(["e"]).coalesce(parts) if repeats else sets)
+    both = pairs.join(sets.select(F.col("e").alias("a"), F.col("s").alias("x")), "a").coalesce(parts).join(sets.select(F.col("e").alias("b"), F.col("s").alias("y")), "b").coalesce(parts)
     return both.where(alike("x", "y")).select("a", "b")
 
 
+def stars(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each node of the edges (u, v) but the smallest of its component, and that smallest one."""
+    nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    u, v, top = at[: len(u)], at[len(u) :], np.arange(len(nodes))
+    while True:
+        x, y = top[u], top[v]
+        least, new = np.minimum(x, y), top.copy()
+        np.minimum.at(new, x, least)
+        np.minimum.at(new, y, least)
+        while (jumped := new[new]).tolist() != new.tolist():
+            new = jumped
+        if (new == top).all():
+            break
+        top = new
+    low = np.flatnonzero(top < np.arange(len(nodes)))
+    return nodes[low], nodes[top[low]]
+
+
+def contracted(edges: DataFrame) -> DataFrame:
+    """Edges (u, v) that connect what ``edges`` connects: every task's edges as stars, slice by slice."""
+
+    def run(batches):
+        kept = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for batch in batches:
+            kept = stars(*(np.concatenate([k, batch.column(i).to_numpy()]) for i, k in enumerate(kept)))
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in kept], ["u", "v"])
+
+    return edges.mapInArrow(giving_back(run), "u long, v long")
+
+
 def components(links: DataFrame) -> DataFrame:
-    """(e, c): the smallest node that each linked node can reach, by alternating large-star and small-star steps."""
-    edges = cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
-    state = None
+    """(e, c): the smallest node that each linked node can reach. Every task turns its links into stars first; then
+    large-star and small-star steps alternate until nothing changes."""
+    links = cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v"))
+    parts = blocks_of(links.count(), LINKS_PER_TASK, least=4)
+    edges, state = cut(contracted(links.coalesce(parts))), None
     while True:
         both = edges.union(edges.select("v", "u")).toDF("u", "v")
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").coalesce(parts).distinct().coalesce(parts)
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
-        edges = cut(small.where("u <> v").distinct())
+        edges = cut(small.where("u <> v").coalesce(parts).distinct().coalesce(parts))
         now = tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
         if now == state:
             return edges.select(F.col("u").alias("e"), F.col("v").alias("c"))
@@ -281,48 +324,50 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
 
     Words are runs without ASCII white space, with A-Z lower-cased. Texts with fewer words than a shingle have one
     shingle; null texts and texts without words have none and link with nothing. Rows may repeat; equal sets are linked
-    always.
+    always. Rows without an id have a null component and link with nothing, as no id can name them. Other columns of
+    ``docs`` are not read.
     """
-    layout = token_layout(docs.count())
+    n = docs.count()
+    layout, parts = token_layout(n), blocks_of(n, TEXTS_PER_TASK)
     read = cut(read_texts(docs, key, text, words, layout))
     own = read.where("bucket is null").select("id", "n", "e")
-    first = cut(read.where("e is not null").groupBy("e").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("small").alias("small")))
-    repeats = not own.groupBy("id").count().where("count > 1").isEmpty()
-    found = cut(index(docs, text, words, percent, token_classes(read.where("bucket is not null"), layout)).distinct())
-    rare = found.where("kind = 0").withColumn("size", F.count("*").over(Window.partitionBy("key"))).where("size > 1").drop("size")
-    members = cut(rare.union(found.where("kind > 0")))
+    first = cut(read.where("e is not null").groupBy("e").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("small").alias("small")).coalesce(parts))
+    repeats = not own.groupBy("id").count().where("count > 1").coalesce(parts).isEmpty()
+    found = cut(index(docs, text, words, percent, token_classes(read.where("bucket is not null"), layout)).distinct().coalesce(parts))
+    rare = found.where("kind = 0").withColumn("size", F.count("*").over(Window.partitionBy("key"))).where("size > 1").drop("size").coalesce(parts)
     size_class = F.floor(F.log("n") / -math.log(percent / 100))
-    classed = members.withColumn("size_class", size_class)
-    pivots = cut(classed.groupBy("key", "kind", "size_class").agg(F.min(F.struct("own", "e", "n", "pos")).alias("p")))
-    met = lambda rows: rows.where((F.col("e") != F.col("o")) & may_link(percent)).select(F.greatest("e", "o").alias("a"), F.least("e", "o").alias("b")).distinct()
+    members = cut(rare.union(found.where("kind > 0")).withColumn("size_class", size_class).coalesce(parts))
+    pivots = cut(members.groupBy("key", "kind", "size_class").agg(F.min(F.struct("own", "e", "n", "pos")).alias("p")).coalesce(parts))
+    met = lambda rows, beside: rows.where((F.col("e") != F.col("o")) & may_link(percent)).select(F.greatest("e", "o").alias("a"), F.least("e", "o").alias("b"), F.lit(beside).alias("beside")).coalesce(parts)
     other = pivots.select("key", "kind", "size_class", F.col("p.e").alias("o"), F.col("p.n").alias("m"), F.col("p.own").alias("others"), F.col("p.pos").alias("at"))
-    star = met(classed.join(other, ["key", "kind", "size_class"]))
+    star = met(members.join(other, ["key", "kind", "size_class"]), False)
     below = other.withColumn("size_class", F.col("size_class") - 1)
-    beside = met(pivots.select("key", "kind", "size_class", "p.*").join(below, ["key", "kind", "size_class"]))
-    near = cut(sketched(star.union(beside).distinct(), first, percent))
-    nearest = near.groupBy("a").agg(F.min_by("b", F.struct("apart", "b")).alias("b"))
-    nearest = nearest.union(near.groupBy("b").agg(F.min_by("a", F.struct("apart", "a")).alias("a")).select("a", "b"))
-    nearest = nearest.union(near.join(beside, ["a", "b"], "left_semi").select("a", "b")).distinct()
-    check = lambda pairs: cut(verified(pairs, docs, first, key, text, words, percent, repeats))
-    nearest = cut(nearest)
+    beside = met(pivots.select("key", "kind", "size_class", "p.*").join(below, ["key", "kind", "size_class"]), True)
+    pairs = star.union(beside).groupBy("a", "b").agg(F.max("beside").alias("beside")).coalesce(parts)
+    near = cut(sketched(pairs, first, percent, parts))
+    ends = near.select(F.col("a").alias("e"), F.struct("apart", F.col("b").alias("o")).alias("x")).union(near.select("b", F.struct("apart", "a")))
+    nearest = ends.groupBy("e").agg(F.min("x").alias("x")).select(F.greatest("e", "x.o").alias("a"), F.least("e", "x.o").alias("b"))
+    nearest = cut(nearest.union(near.where("beside").select("a", "b")).coalesce(parts).distinct().coalesce(parts))
+    check = lambda pairs: cut(verified(pairs, docs, first, key, text, words, percent, repeats, parts))
     links = check(nearest)
     label = components(links)
 
     kind = F.when(F.col("kind") == 1, 1).when(F.col("kind") == 0, 0).otherwise(2)
-    placed = cut(members.withColumn("group", kind).join(label, "e", "left").withColumn("c", F.coalesce("c", "e")))
-    counts = placed.groupBy("key", "group", "c").agg(F.count("*").alias("size"))
-    largest = counts.groupBy("key", "group").agg(F.max_by("c", F.struct("size", "c")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
-    mixed = cut(placed.join(largest.drop("parts"), ["key", "group"]).join(first.select("e", "small"), "e"))
-    few = mixed.where("c <> main").select("key", "group", F.col("e").alias("o"), F.col("n").alias("m"), F.col("own").alias("others"), F.col("pos").alias("at"), F.col("kind").alias("other"), F.col("c").alias("d"), F.col("small").alias("folded"))
-    rest = mixed.join(few, ["key", "group"]).where("c <> d and (c = main or e < o)")
+    placed = cut(members.withColumn("group", kind).join(label, "e", "left").withColumn("c", F.coalesce("c", "e")).coalesce(parts))
+    counts = placed.groupBy("key", "group", "c").agg(F.count("*").alias("size")).coalesce(parts)
+    largest = counts.groupBy("key", "group").agg(F.max_by("c", F.struct("size", "c")).alias("main"), (F.sum("size") - F.max("size")).alias("others"), F.count("*").alias("parts"))
+    largest = largest.where("parts > 1").select("key", "group", "main", F.ceil(F.col("others") / FEW_PER_TASK).cast("int").alias("salts")).coalesce(parts)
+    mixed = cut(placed.join(largest, ["key", "group"]).coalesce(parts).join(first.select("e", "small"), "e").coalesce(parts))
+    few = mixed.where("c <> main").select("key", "group", F.explode(F.sequence(F.col("size_class") - 1, F.col("size_class") + 1)).alias("size_class"), F.pmod(F.xxhash64("e"), "salts").cast("int").alias("salt"), F.col("e").alias("o"), F.col("n").alias("m"), F.col("own").alias("others"), F.col("pos").alias("at"), F.col("kind").alias("other"), F.col("c").alias("d"), F.col("small").alias("folded"))
+    rest = mixed.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).join(few, ["key", "group", "size_class", "salt"]).where("c <> d and (c = main or e < o)")
     rest = rest.where((F.col("group") != 2) | (F.col("kind") == 3) | (F.col("other") == 3))
     apart = sum((F.bit_count(F.col("small")[k].bitwiseXOR(F.col("folded")[k])) for k in range(SMALL_CELLS // 64)), F.lit(0))
-    rest = rest.where(may_link(percent) & ((100 + percent) * apart <= (100 - percent) * (F.col("n") + F.col("m")))).select(F.greatest("e", "o").alias("a"), F.least("e", "o").alias("b")).distinct()
-    more = check(sketched(rest.join(nearest, ["a", "b"], "left_anti"), first, percent).select("a", "b"))
+    rest = rest.where(may_link(percent) & ((100 + percent) * apart <= (100 - percent) * (F.col("n") + F.col("m")))).select(F.greatest("e", "o").alias("a"), F.least("e", "o").alias("b")).coalesce(parts).distinct().coalesce(parts)
+    more = check(sketched(rest.join(nearest, ["a", "b"], "left_anti").coalesce(parts), first, percent, parts).select("a", "b"))
     label = components(links.union(more))
 
-    ids = first.select("e", "id").join(label, "e", "left").withColumn("c", F.coalesce("c", "e"))
-    least = ids.groupBy("c").agg(F.min("id").alias("component_id"))
-    ids = ids.join(least, "c").select("e", "component_id")
-    linked = own.where("e is not null").join(ids, "e").select("id", F.col("n").alias("n_shingles"), "component_id")
+    ids = first.select("e", "id").join(label, "e", "left").withColumn("c", F.coalesce("c", "e")).coalesce(parts)
+    least = ids.groupBy("c").agg(F.min("id").alias("component_id")).coalesce(parts)
+    ids = ids.join(least, "c").select("e", "component_id").coalesce(parts)
+    linked = own.where("e is not null").join(ids, "e").select("id", F.col("n").alias("n_shingles"), "component_id").coalesce(parts)
     return linked.union(own.where("e is null").select("id", "n", "id"))

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, utf8_parts
+from .common import chunks, give_back, giving_back, utf8_parts
 
 #: Most labelled texts per language that training reads; a language with fewer gives all.
 TRAIN_PER_LANGUAGE = 8_000
@@ -131,7 +131,7 @@ def train_language_id(labelled: DataFrame, text: str = "text", lang: str = "lang
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["cell", "n"])
 
-    counted = chosen.mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    counted = chosen.mapInArrow(giving_back(count), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros(len(languages) * buckets)
     counts[counted["cell"].to_numpy()] = counted["n"].to_numpy()
     counts = counts.reshape(len(languages), buckets) + alpha
@@ -150,6 +150,7 @@ def with_language(docs: DataFrame, model: LanguageModel, text: str = "text", out
     @F.arrow_udf("struct<p string, s double>")
     def predict(texts: pa.Array) -> pa.Array:
         names, scores = shared.value.predict(texts) if shared.value.languages else ([UNDETERMINED] * len(texts), np.zeros(len(texts)))
+        give_back()
         return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores)], ["p", "s"])
 
     return docs.withColumn("_p", predict(F.col(text))).withColumns({out: F.col("_p.p"), score: F.col("_p.s")}).drop("_p")

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LETTERS_ONLY, chunks, mix, utf8_parts, word_hashes
+from .common import LETTERS_ONLY, chunks, give_back, giving_back, mix, utf8_parts, word_hashes
 
 TOXIC_EXAMPLES = 4_000
 CLEAN_EXAMPLES = 6_000
@@ -214,7 +214,7 @@ def _fit(chosen: DataFrame, have: dict, share: dict) -> ToxicityModel:
     expected = (a + c) * n1 / (n1 + n0)
     tie = lambda x, e: F.when(x > 0, x * F.ln(x / e)).otherwise(0.0)
     g2 = 2 * (tie(a, expected) + tie(c, a + c - expected))
-    terms = chosen.mapInArrow(count, "term long, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("a"), F.sum("clean").alias("c"))
+    terms = chosen.mapInArrow(giving_back(count), "term long, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("a"), F.sum("clean").alias("c"))
     terms = terms.where(a + c >= LEAST_EXAMPLES).withColumn("g2", g2).orderBy(F.desc("g2"), "term").limit(MOST_TERMS).toArrow()
     vocabulary = terms["term"].to_numpy().view(np.uint64)
     order = np.argsort(vocabulary)
@@ -232,7 +232,7 @@ def _fit(chosen: DataFrame, have: dict, share: dict) -> ToxicityModel:
                 parts = [pa.ListArray.from_arrays(pa.array(start, pa.int32()), pa.array(x)) for x in (term, weight)]
                 yield pa.RecordBatch.from_arrays([*(batch.column(x).slice(i, j - i) for x in (0, 2, 3)), *parts], ["k", "y", "n", "term", "weight"])
 
-    found = chosen.mapInArrow(vectors, "k long, y int, n long, term array<long>, weight array<double>").toArrow().sort_by("k").combine_chunks()
+    found = chosen.mapInArrow(giving_back(vectors), "k long, y int, n long, term array<long>, weight array<double>").toArrow().sort_by("k").combine_chunks()
     start = found["term"].combine_chunks().offsets.to_numpy()
     sizes = np.diff(start)
     y, k = found["y"].to_numpy(), found["k"].fill_null(-1).to_numpy()
@@ -267,6 +267,7 @@ def with_toxicity(docs: DataFrame, model: ToxicityModel, text: str = "text", out
     @F.arrow_udf("struct<s double, e array<long>>")
     def score(texts: pa.Array) -> pa.Array:
         scores, near = shared.value.score(texts, found)
+        give_back()
         return pa.StructArray.from_arrays([pa.array(scores), pa.array(near, pa.list_(pa.int64()))], ["s", "e"])
 
     return docs.withColumn("_s", score(F.col(text))).withColumns({out: F.col("_s.s"), evidence: F.col("_s.e")}).drop("_s")

@@ -156,6 +156,25 @@ def test_jaccard_frequent_classes(spark, monkeypatch):
     assert got == {i: c for i, (_, c) in brute_components(rows, 4, 85).items()}
 
 
+def test_jaccard_one_passage_in_many_texts(spark, monkeypatch):
+    """A long passage with 2 to 20 % of own words at the end: the prefix tokens are shared, but few pairs are alike."""
+    monkeypatch.setattr(jaccard, "FREQUENT", 8)
+    monkeypatch.setattr(jaccard, "FEW_PER_TASK", 16)
+    passage = " ".join(f"p{k}" for k in range(100))
+    rows = [(i, f"{passage} " + " ".join(f"o{i // 2 if i % 7 == 0 else i}x{k}" for k in range(2 + i % 19))) for i in range(150)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.near_duplicates(docs).collect()}
+    assert got == brute_components(rows, 4, 85) and 2 < len({c for _, c in got.values()}) < 150
+
+
+def test_jaccard_ids_null_and_repeated(spark):
+    """Rows without an id link with nothing; of an id with two texts, each links by its own."""
+    a, b = "one two three four five six", "seven eight nine ten eleven twelve"
+    docs = spark.createDataFrame([(None, a), (1, a), (1, b), (2, b), (3, "other words stand here alone"), (None, b)], "doc_id long, text string").withColumn("e", F.lit("clash"))
+    got = sorted(map(tuple, jaccard.near_duplicates(docs).collect()), key=str)
+    assert got == sorted([(None, 3, None), (1, 3, 1), (1, 3, 1), (2, 3, 1), (3, 2, 3), (None, 3, None)], key=str)
+
+
 def test_jaccard_empty_and_repeated(spark, odd, empty):
     assert jaccard.near_duplicates(empty).count() == 0
     got = jaccard.near_duplicates(odd).collect()
