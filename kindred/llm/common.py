@@ -49,6 +49,18 @@ def cut(df: DataFrame) -> DataFrame:
         spark.conf.set(setting, before)
 
 
+#: Bytes of an Arrow batch that goes to a Python worker, where the session has Spark's own setting; long texts would
+#: otherwise come 10,000 at a time.
+BATCH_BYTES = 8 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Bound Arrow batches by bytes, unless the session has a setting of its own."""
+    setting = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(setting, "64m") in ("64m", f"{64 << 20}b"):
+        spark.conf.set(setting, str(BATCH_BYTES))
+
+
 def give_back() -> None:
     """Return what is freed to the system: Python workers are reused, and one stage's memory would count for the next."""
     pa.default_memory_pool().release_unused()

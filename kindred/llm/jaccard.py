@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import blocks_of, chunks, cut, give_back, giving_back, mix, utf8_parts, word_hashes
+from .common import blocks_of, bound_batches, chunks, cut, give_back, giving_back, mix, utf8_parts, word_hashes
 
 #: Words in a shingle, and the least similarity in hundredths.
 WORDS, PERCENT = 4, 85
@@ -250,9 +250,9 @@ def verified(pairs: DataFrame, docs: DataFrame, first: DataFrame, key: str, text
 
     @F.arrow_udf("struct<s binary, d long>")
     def tokens(texts: pa.Array) -> pa.Array:
-        sets = list(shingle_sets(texts, words))
+        found = [(s.tobytes(), digest(s)) for s in shingle_sets(texts, words)]
         give_back()
-        return pa.StructArray.from_arrays([pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([digest(s) for s in sets], pa.int64())], ["s", "d"])
+        return pa.StructArray.from_arrays([pa.array([x[i] for x in found], kind) for i, kind in enumerate((pa.binary(), pa.int64()))], ["s", "d"])
 
     @F.arrow_udf("boolean")
     def alike(xs: pa.Array, ys: pa.Array) -> pa.Array:
@@ -327,6 +327,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     always. Rows without an id have a null component and link with nothing, as no id can name them. Other columns of
     ``docs`` are not read.
     """
+    bound_batches(docs.sparkSession)
     n = docs.count()
     layout, parts = token_layout(n), blocks_of(n, TEXTS_PER_TASK)
     read = cut(read_texts(docs, key, text, words, layout))

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, give_back, giving_back, utf8_parts
+from .common import bound_batches, chunks, give_back, giving_back, utf8_parts
 
 #: Most labelled texts per language that training reads; a language with fewer gives all.
 TRAIN_PER_LANGUAGE = 8_000
@@ -145,6 +145,7 @@ def with_language(docs: DataFrame, model: LanguageModel, text: str = "text", out
 
     Null or letterless texts, and any text of a model without languages, give ``und`` and 0.
     """
+    bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.arrow_udf("struct<p string, s double>")

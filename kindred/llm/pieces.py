@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bound_batches
+
 MARK = "▁"
 #: A character without a piece scores so much less than the worst piece.
 UNKNOWN_PENALTY = 10.0
@@ -200,6 +202,8 @@ def with_pieces(docs: DataFrame, path: str, text: str = "text", n: int = N_BEST)
     pieces. A text that holds the space mark itself decodes to a space there, so ``exact`` is false for it.
     """
 
+    bound_batches(docs.sparkSession)
+
     @F.arrow_udf("struct<ids binary, n_pieces long, scores array<double>, crcs array<long>, exact boolean>")
     def encode(texts: pa.Array) -> pa.Array:
         model, columns = load(path), ([], [], [], [], [])

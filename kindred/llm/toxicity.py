@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LETTERS_ONLY, chunks, give_back, giving_back, mix, utf8_parts, word_hashes
+from .common import LETTERS_ONLY, bound_batches, chunks, give_back, giving_back, mix, utf8_parts, word_hashes
 
 TOXIC_EXAMPLES = 4_000
 CLEAN_EXAMPLES = 6_000
@@ -261,6 +261,7 @@ def with_toxicity(docs: DataFrame, model: ToxicityModel, text: str = "text", out
     Null and empty texts, and texts without a known term, get the rate of toxic labels among such examples and no
     evidence. Columns already so named are replaced.
     """
+    bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     found: dict = {}
 
