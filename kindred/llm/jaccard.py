@@ -248,11 +248,12 @@ def verified(pairs: DataFrame, docs: DataFrame, first: DataFrame, key: str, text
     known = cut(known)
     few = known.count() <= MOST_IDS
 
-    @F.arrow_udf("struct<s binary, d long>")
-    def tokens(texts: pa.Array) -> pa.Array:
-        found = [(s.tobytes(), digest(s)) for s in shingle_sets(texts, words)]
-        give_back()
-        return pa.StructArray.from_arrays([pa.array([x[i] for x in found], kind) for i, kind in enumerate((pa.binary(), pa.int64()))], ["s", "d"])
+    def tokens(batches):
+        for batch in batches:
+            e = batch.column(0).to_pylist()
+            found = [(k, s.tobytes()) for k, s in zip(e, shingle_sets(batch.column(1), words), strict=True) if digest(s) == k]
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], kind) for i, kind in enumerate((pa.int64(), pa.binary()))], ["e", "s"])
+            give_back()
 
     @F.arrow_udf("boolean")
     def alike(xs: pa.Array, ys: pa.Array) -> pa.Array:
@@ -264,7 +265,7 @@ def verified(pairs: DataFrame, docs: DataFrame, first: DataFrame, key: str, text
         return pa.array(out, pa.bool_())
 
     texts = docs.select(F.col(key).cast("long").alias("id"), text).join(F.broadcast(known) if few else known, "id")
-    sets = texts.select("e", tokens(F.col(text)).alias("t")).where("t.d = e").select("e", "t.s")
+    sets = texts.select("e", text).mapInArrow(tokens, "e long, s binary")
     sets = cut(sets.dropDuplicates(["e"]).coalesce(parts) if repeats else sets)
     both = pairs.join(sets.select(F.col("e").alias("a"), F.col("s").alias("x")), "a").coalesce(parts).join(sets.select(F.col("e").alias("b"), F.col("s").alias("y")), "b").coalesce(parts)
     return both.where(alike("x", "y")).select("a", "b")
