@@ -2,7 +2,7 @@
 
 Terms are words and word beginnings that a few labelled examples hold; the ``MOST_TERMS`` that tell toxic from clean
 ones best (log-likelihood ratio, either way) make up the vocabulary. All labelled examples are unit vectors over it, in
-an inverted index. A text's query adds up the whole list of each of its terms, so its neighbours are exact. Their votes,
+a block-max inverted index, whose bounds leave out blocks without changing the neighbours found. Their votes,
 weighted by cosine and by how many labelled texts each example stands for (near copies count as one example), are calibrated by isotonic regression on
 leave-one-out votes of the examples themselves.
 
@@ -12,8 +12,7 @@ a fixed bound and are broadcast; every document is scored from its whole text.
 
 from __future__ import annotations
 
-from dataclasses import InitVar, dataclass, field
-from hashlib import blake2b
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +28,10 @@ PREFIXES = (4, 5, 6)
 #: Labelled examples of either class that must hold a term.
 LEAST_EXAMPLES = 4
 NEIGHBOURS = 15
+#: Examples in a block of the index, terms whose lists are dense, and queries that are searched together.
+BLOCK, COMMON, TOGETHER = 256, 384, 64
+#: How far apart single-precision sums of unit vectors' products may be.
+SLACK = 1e-4
 
 
 def term_counts(data: np.ndarray, offsets: np.ndarray, vocabulary: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -75,48 +78,109 @@ def signatures(texts: pa.Array) -> np.ndarray:
 
 @dataclass
 class BlockMaxIndex:
-    """Inverted lists of unit vectors (CSR by example). Queries hold common terms and reach most examples, so lists are
-    added up whole, and no bounds of blocks are kept."""
+    """Inverted lists of unit vectors (CSR by example), cut into blocks of ``BLOCK`` examples with the largest weight of
+    each list in each block.
+
+    A batch of queries adds up the lists of seldom terms first. What the common terms (``COMMON`` at most, those of the
+    longest lists, kept dense) can still add is bounded for every block, and a block is only added up for the queries whose
+    k-th best score so far its bound reaches. Sums are in single precision; examples that come within ``SLACK`` of the k-th
+    best are summed again in double precision, so the result is exact.
+    """
 
     terms: int
     start: np.ndarray
-    term: InitVar[np.ndarray]
-    weight: InitVar[np.ndarray]
-    ends: list[int] = field(init=False)
+    term: np.ndarray
+    weight: np.ndarray
+    common: np.ndarray = field(init=False)
+    place: np.ndarray = field(init=False)
+    ends: np.ndarray = field(init=False)
     own: np.ndarray = field(init=False)
     values: np.ndarray = field(init=False)
-
-    def __post_init__(self, term: np.ndarray, weight: np.ndarray) -> None:
-        order = np.argsort(term, kind="stable")
-        self.ends = np.searchsorted(term[order], np.arange(self.terms + 1)).tolist()
-        self.own = np.repeat(np.arange(len(self.start) - 1, dtype=np.int32), np.diff(self.start))[order]
-        self.values = weight[order]
-
-    def search(self, term: np.ndarray, weight: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """The k examples of largest positive inner product, ties to the smaller number, best first."""
-        scores = np.zeros(len(self.start) - 1)
-        for t, w in zip(term.tolist(), weight.tolist(), strict=True):
-            i, j = self.ends[t], self.ends[t + 1]
-            scores[self.own[i:j]] += w * self.values[i:j]
-        if without >= 0:
-            scores[without] = 0
+    dense: np.ndarray = field(init=False)
+    most: np.ndarray = field(init=False)
+
+    def __post_init__(self) -> None:
+        n, lens = len(self.start) - 1, np.bincount(self.term, minlength=self.terms)
+        self.common = np.sort(np.lexsort((np.arange(self.terms), -lens))[:COMMON])
+        self.place = np.full(self.terms, -1, np.int32)
+        self.place[self.common] = np.arange(len(self.common))
+        example, at = np.repeat(np.arange(n, dtype=np.int32), np.diff(self.start)), self.place[self.term]
+        self.dense = np.zeros((len(self.common), -(-n // BLOCK) * BLOCK), np.float32)
+        self.dense[at[at >= 0], example[at >= 0]] = self.weight[at >= 0]
+        self.most = self.dense.reshape(len(self.common), -1, BLOCK).max(2)
+        seldom = np.flatnonzero(at < 0)
+        seldom = seldom[np.argsort(self.term[seldom], kind="stable")]
+        self.ends = np.searchsorted(self.term[seldom], np.arange(self.terms + 1))
+        self.own, self.values = example[seldom], self.weight[seldom].astype(np.float32)
+
+    def search(self, start: np.ndarray, term: np.ndarray, weight: np.ndarray, k: int, without: np.ndarray | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each of the queries (CSR), but an example in ``without``, the k examples of largest positive inner product,
+        ties to the smaller number, best first."""
+        out = []
+        for i in range(0, len(start) - 1, TOGETHER):
+            s = start[i : i + TOGETHER + 1]
+            own = slice(s[0], s[-1])
+            out += self._batch(s - s[0], term[own], weight[own], k, None if without is None else without[i : i + TOGETHER])
+        return out
+
+    def _batch(self, start, term, weight, k, without):
+        queries, n = len(start) - 1, len(self.start) - 1
+        query = np.repeat(np.arange(queries), np.diff(start))
+        q = np.zeros((queries, len(self.common)), np.float32)
+        at = self.place[term]
+        q[query[at >= 0], at[at >= 0]] = weight[at >= 0]
+        rest = at < 0
+        first, size = self.ends[term[rest]], self.ends[term[rest] + 1] - self.ends[term[rest]]
+        before = np.cumsum(size) - size
+        each = np.arange(int(size.sum())) + np.repeat(first - before, size)
+        cells = np.repeat(query[rest] * self.dense.shape[1], size) + self.own[each]
+        scores = np.bincount(cells, np.repeat(weight[rest].astype(np.float32), size) * self.values[each], queries * self.dense.shape[1])
+        scores = scores.astype(np.float32).reshape(queries, -1)
+        if without is not None:
+            scores[np.arange(queries), without] = -np.inf
+        blocks = scores.reshape(queries, -1, BLOCK)
+        bounds = blocks.max(2) + q @ self.most
+        least, done = np.zeros(queries, np.float32), np.zeros(bounds.shape, bool)
+        for b in np.argsort(-bounds.sum(0), kind="stable"):
+            need = np.flatnonzero(bounds[:, b] + SLACK >= least)
+            if len(need):
+                blocks[need, b] += q[need] @ self.dense[:, b * BLOCK : (b + 1) * BLOCK]
+                done[need, b] = True
+                if k <= BLOCK:
+                    found = blocks[need, b]
+                    least[need] = np.maximum(least[need], np.partition(found, BLOCK - k, axis=1)[:, BLOCK - k])
+        blocks[~done] = -np.inf
+        return [self._exact(scores[i, :n], term[start[i] : start[i + 1]], weight[start[i] : start[i + 1]], k) for i in range(queries)]
+
+    def _exact(self, scores: np.ndarray, term: np.ndarray, weight: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         ids = np.flatnonzero(scores > 0)
         if len(ids) > k:
-            ids = ids[scores[ids] >= np.partition(scores[ids], len(ids) - k)[len(ids) - k] - 2e-12]
-        ids = ids[np.lexsort((ids, -np.round(scores[ids], 12)))[:k]]
-        return ids, scores[ids]
+            some = scores[ids]
+            ids = ids[some >= np.partition(some, len(ids) - k)[len(ids) - k] - SLACK]
+        if not len(ids):
+            return ids, np.zeros(0)
+        q = np.zeros(self.terms)
+        q[term] = weight
+        size = self.start[ids + 1] - self.start[ids]
+        before = np.cumsum(size) - size
+        each = np.arange(int(size.sum())) + np.repeat(self.start[ids] - before, size)
+        exact = np.add.reduceat(q[self.term[each]] * self.weight[each], before)
+        order = np.lexsort((ids, -np.round(exact, 12)))[:k]
+        order = order[exact[order] > 0]
+        return ids[order], exact[order]
 
 
 def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Knots of the non-decreasing step fit of y on x by pooling adjacent violators."""
+    """The non-decreasing fit of y on x by pooling adjacent violators: mean x and mean y of each pool."""
     pools: list[list[float]] = []
     for v in np.unique(x):
         same = x == v
-        pools.append([float(v), float((w * y)[same].sum()), float(w[same].sum())])
+        total = float(w[same].sum())
+        pools.append([total * float(v), float((w * y)[same].sum()), total])
         while len(pools) > 1 and pools[-2][1] * pools[-1][2] >= pools[-1][1] * pools[-2][2]:
             last = pools.pop()
-            pools[-1] = [last[0], pools[-1][1] + last[1], pools[-1][2] + last[2]]
-    return np.array([p[0] for p in pools]), np.array([p[1] / p[2] for p in pools])
+            pools[-1] = [a + b for a, b in zip(pools[-1], last, strict=True)]
+    return np.array([p[0] / p[2] for p in pools]), np.array([p[1] / p[2] for p in pools])
 
 
 @dataclass
@@ -136,8 +200,8 @@ class ToxicityModel:
         return float((w * self.toxic[ids]).sum() / w.sum())
 
     def calibrated(self, vote: float) -> float:
-        at, value = self.knots
-        return float(value[min(int(np.searchsorted(at, vote)), len(at) - 1)])
+        """The vote on the fitted line, straight between the pools' means."""
+        return float(np.interp(vote, *self.knots))
 
     def vectors(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Unit TF-IDF vectors of texts as (start, term, weight)."""
@@ -146,24 +210,17 @@ class ToxicityModel:
         norm = np.sqrt(np.bincount(text, weight * weight, len(offsets) - 1))
         return np.searchsorted(text, np.arange(len(offsets))), term, weight / norm[text]
 
-    def score(self, texts: pa.Array, found: dict) -> tuple[np.ndarray, list[list[int]]]:
-        """Scores and the ids of the neighbours. ``found`` keeps answers to repeated vectors."""
+    def score(self, texts: pa.Array) -> tuple[np.ndarray, list[list[int]]]:
+        """Scores and the ids of the neighbours."""
         data, offsets = utf8_parts(texts)
         scores, near = np.full(len(texts), self.base), [[] for _ in range(len(texts))]
         if self.index is None:
             return scores, near
         for i, j in chunks(offsets):
             o = offsets[i : j + 1]
-            start, term, weight = self.vectors(data[o[0] : o[-1]], o - o[0])
-            for d in np.flatnonzero(np.diff(start)):
-                t, w = term[start[d] : start[d + 1]], weight[start[d] : start[d + 1]]
-                key = blake2b(t.tobytes() + w.tobytes(), digest_size=16).digest()
-                if key not in found:
-                    if len(found) >= 50_000:
-                        found.clear()
-                    ids, cosine = self.index.search(t, w, NEIGHBOURS)
-                    found[key] = (self.calibrated(self.vote(ids, cosine)), self.example_ids[ids].tolist()) if len(ids) else (self.base, [])
-                scores[i + d], near[i + d] = found[key]
+            for d, (ids, cosine) in enumerate(self.index.search(*self.vectors(data[o[0] : o[-1]], o - o[0]), NEIGHBOURS), i):
+                if len(ids):
+                    scores[d], near[d] = self.calibrated(self.vote(ids, cosine)), self.example_ids[ids].tolist()
         return scores, near
 
 
@@ -243,9 +300,8 @@ def _fit(chosen: DataFrame, have: dict, share: dict) -> ToxicityModel:
     term, weight = (found[x].combine_chunks().flatten().to_numpy() for x in ("term", "weight"))
     model.index = BlockMaxIndex(len(vocabulary), np.append(0, np.cumsum(sizes[~silent])), term, weight)
     votes, truth, w = [], [], []
-    for e in range(len(model.toxic)):
-        own = slice(model.index.start[e], model.index.start[e + 1])
-        ids, cosine = model.index.search(term[own], weight[own], NEIGHBOURS, without=e)
+    found = model.index.search(model.index.start, term, weight, NEIGHBOURS, np.arange(len(model.toxic)))
+    for e, (ids, cosine) in enumerate(found):
         if len(ids):
             votes.append(model.vote(ids, cosine))
             truth.append(model.toxic[e])
@@ -263,11 +319,10 @@ def with_toxicity(docs: DataFrame, model: ToxicityModel, text: str = "text", out
     """
     bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    found: dict = {}
 
     @F.arrow_udf("struct<s double, e array<long>>")
     def score(texts: pa.Array) -> pa.Array:
-        scores, near = shared.value.score(texts, found)
+        scores, near = shared.value.score(texts)
         give_back()
         return pa.StructArray.from_arrays([pa.array(scores), pa.array(near, pa.list_(pa.int64()))], ["s", "e"])
 

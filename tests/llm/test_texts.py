@@ -50,25 +50,29 @@ def test_language_edges(spark, odd, empty):
     assert {r["lang_pred"] for r in language.with_language(odd, nothing).collect()} == {"und"}
 
 
-def test_block_max_search_is_exact():
+@pytest.mark.parametrize("block", [16, 256])
+def test_block_max_search_is_exact(monkeypatch, block):
+    monkeypatch.setattr(toxicity, "BLOCK", block)
+    monkeypatch.setattr(toxicity, "COMMON", 9)
     rng = np.random.default_rng(3)
     rows = [np.sort(rng.choice(40, rng.integers(1, 8), replace=False)) for _ in range(500)]
     weights = [(w := rng.integers(1, 4, len(r)).astype(float)) / np.linalg.norm(w) for r in rows]
-    index = toxicity.BlockMaxIndex(40, np.append(0, np.cumsum([len(r) for r in rows])), np.concatenate(rows), np.concatenate(weights))
+    start, term, weight = np.append(0, np.cumsum([len(r) for r in rows])), np.concatenate(rows), np.concatenate(weights)
+    index = toxicity.BlockMaxIndex(40, start, term, weight)
     dense = np.zeros((500, 40))
     for i, (r, w) in enumerate(zip(rows, weights, strict=True)):
         dense[i, r] = w
-    for i in range(0, 500, 25):
-        ids, cosine = index.search(rows[i], weights[i], 10, without=i)
+    for i, (ids, cosine) in enumerate(index.search(start, term, weight, 10, np.arange(500))):
         want = np.round(dense @ dense[i], 12)
         want[i] = 0
         order = [j for j in np.lexsort((np.arange(500), -want))[:10] if want[j] > 0]
         assert ids.tolist() == order and np.allclose(cosine, want[order])
+    assert [len(x) for x, _ in index.search(np.array([0, 0]), term[:0], weight[:0], 10)] == [0]
 
 
 def test_isotonic_pools():
     x, y = toxicity.isotonic(np.array([1.0, 2, 3, 4]), np.array([0.0, 1, 0, 1]), np.ones(4))
-    assert x.tolist() == [1, 3, 4] and y.tolist() == [0, 0.5, 1]
+    assert x.tolist() == [1, 2.5, 4] and y.tolist() == [0, 0.5, 1]
 
 
 def test_toxicity_learns_words_and_edges(spark, odd, empty):
