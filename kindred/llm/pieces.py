@@ -7,12 +7,14 @@ piece joins. Each part is solved alone: a forward Viterbi pass gives the best
 score up to every position, and these are exact heuristics for an A-star search backwards from the end, which yields
 segmentations best first. The N best of a text combine the N - 1 smallest losses over all of its segments.
 
-Tasks keep the answers to recent segments in two generations of bounded size.
+The parts of a batch of texts that are new are solved side by side, those of one length as rows of numpy arrays: one step
+relaxes a position of every lattice, or takes the best state off every agenda. Long parts are solved one by one. Tasks
+keep the answers to recent segments in two generations of bounded size.
 """
 
 from __future__ import annotations
 
-import heapq
+import gc
 import re
 import zlib
 from array import array
@@ -25,15 +27,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches
+from .common import bound_batches, give_back, mix
 
 MARK = "▁"
 #: A character without a piece scores so much less than the worst piece.
 UNKNOWN_PENALTY = 10.0
 #: Scores below this are those of reserved pieces, not of worst ones.
 RESERVED = -1e8
-#: Segments that a generation of the cache holds.
-GENERATION = 200_000
+#: A generation of the cache ends with the batch in which it reaches so many segments.
+GENERATION = 80_000
+#: Parts up to this length are solved side by side, as many as have so many lattice cells.
+SIDE_BY_SIDE, CELLS = 40, 1_500_000
+#: Characters of texts whose new parts are solved together.
+TOGETHER = 2_000_000
 N_BEST = 3
 
 
@@ -54,6 +60,15 @@ class Pieces:
         self.raw = [b"" if c or u else bytes([int(n[1:-1], 16)]) if b else n.encode() for n, (c, u, b) in zip(self.names, kinds, strict=True)]
         self.fresh: dict[str, tuple] = {}
         self.stale: dict[str, tuple] = {}
+        self.longest = max(map(len, score), default=1)
+        hashed = np.concatenate([h for length in range(1, self.longest + 1) if (h := hashes(codes([x for x in score if len(x) == length], length))[-1][:, 0]).size] or [np.zeros(0, np.uint64)])
+        found = [v for length in range(1, self.longest + 1) for x, v in score.items() if len(x) == length]
+        order = np.argsort(hashed)
+        self.hashes, self.ids, self.scores = hashed[order], np.array([v[0][0] for v in found], np.int32)[order], np.array([v[1] for v in found])[order]
+        self.maybe = np.zeros(1 << 20, bool)
+        self.maybe[(self.hashes >> np.uint64(44)).astype(np.int64)] = True
+        pairs = codes(sorted(self.joined), 2).astype(np.uint64)
+        self.pairs = np.sort(pairs[:, 0] << np.uint64(32) | pairs[:, 1])
 
     def lattice(self, segment: str) -> tuple[list[list[tuple[int, tuple]]], list[float]]:
         """For each position, what ends there (start, (ids, score)), and the best score up to it (forward Viterbi)."""
@@ -105,41 +120,147 @@ class Pieces:
             del agenda[wanted:]
         return out
 
-    def independent(self, segment: str) -> list[str]:
-        """Parts of a segment between characters that no piece holds side by side."""
-        cuts = [i for i in range(1, len(segment)) if segment[i - 1 : i + 1] not in self.joined]
-        return [segment[i:j] for i, j in zip([0, *cuts], [*cuts, len(segment)], strict=True)] if cuts else [segment]
-
-    def remembered(self, text: str, solve) -> tuple[float, bytes, list[tuple[float, bytes]], float]:
-        """Score and ids of the best, (loss, ids) of the others, and the least loss."""
-        hit = self.stale.get(text)
-        if hit is None:
-            found = solve(text)
-            losses = [(found[0][0] - s, ids) for s, ids in found[1:]]
-            hit = (*found[0], losses, losses[0][0] if losses else float("inf"))
-        if len(self.fresh) >= GENERATION:
-            self.stale, self.fresh = self.fresh, {}
-        self.fresh[text] = hit
-        return hit
+    def side_by_side(self, parts: list[str], n: int) -> list[list[tuple[float, bytes]]]:
+        """What ``n_best`` finds for each of ``parts``, all of one length, ids packed."""
+        size, length = len(parts), len(parts[0])
+        wide = min(self.longest, length)
+        # cells: by part, end and start; the last ``wide`` starts before an end, in order
+        score, piece = np.full((size, length + 1, wide), -np.inf), np.full((size, length + 1, wide), -1, np.int32)
+        for m, h in enumerate(hashes(codes(parts, length))[:wide], 1):
+            row, i = np.nonzero(self.maybe[(h >> np.uint64(44)).astype(np.int64)])
+            h = h[row, i]
+            at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
+            hit = self.hashes[at] == h
+            row, i, at = row[hit], i[hit], at[hit]
+            score[row, i + m, wide - m], piece[row, i + m, wide - m] = self.scores[at], self.ids[at]
+        row, end = np.nonzero(np.isneginf(score[:, 1:, -1]))
+        score[row, end + 1, -1] = self.unknown
+        best = np.full((size, length + 1), -np.inf)
+        best[:, 0] = 0
+        for j in range(1, length + 1):
+            m = min(wide, j)
+            best[:, j] = (best[:, j - m : j] + score[:, j, wide - m :]).max(1)
+
+        out = [[] for _ in range(size)]
+        who, cost, at = np.arange(size), np.full((size, n), np.inf), np.full((size, n), length)
+        cost[:, 0] = -best[:, -1]
+        done, path, used, wanted = np.zeros((size, n)), np.zeros((size, n, length), np.int32), np.zeros((size, n), np.int64), np.full(size, n)
+        steps, columns = np.arange(wide), np.arange(n)
+        while len(who):
+            ended = at[:, 0] == 0
+            if ended.any():
+                e = np.flatnonzero(ended)
+                blob, first = path[e, 0].tobytes(), (length - used[e, 0]).tolist()
+                for k, (row, s, f) in enumerate(zip(who[e].tolist(), done[e, 0].tolist(), first, strict=True)):
+                    ids = blob[4 * (k * length + f) : 4 * (k + 1) * length]
+                    out[row].append((s, self.with_bytes(ids, parts[row]) if _unknown in ids else ids))
+                wanted[e] -= 1
+            now, s0, u0 = at[:, 0], done[:, 0], used[:, 0]
+            start = now[:, None] - wide + steps
+            part = score[who, now]
+            part[ended] = -np.inf
+            reached = s0[:, None] + part
+            estimate = -(reached + np.take_along_axis(best[who], np.maximum(start, 0), 1))
+            estimate[start < 0] = np.inf
+            every = np.concatenate([cost[:, 1:], estimate], 1)
+            order = np.argsort(every, axis=1, kind="stable")[:, :n]
+            cost = np.take_along_axis(every, order, 1)
+            cost[columns >= wanted[:, None]] = np.inf
+            new = order >= n - 1
+            old, step = np.where(new, 0, order + 1), np.where(new, order - (n - 1), 0)
+            path = np.take_along_axis(path, old[:, :, None], 1)
+            r, c = np.nonzero(new & (cost < np.inf))
+            k = step[r, c]
+            path[r, c, length - 1 - u0[r]] = piece[who[r], now[r], k]
+            done = np.where(new, np.take_along_axis(reached, step, 1), np.take_along_axis(done, old, 1))
+            at = np.where(new, np.take_along_axis(start, step, 1), np.take_along_axis(at, old, 1))
+            used = np.where(new, u0[:, None] + 1, np.take_along_axis(used, old, 1))
+            keep = cost[:, 0] < np.inf
+            if not keep.all():
+                who, cost, at, done, path, used, wanted = (x[keep] for x in (who, cost, at, done, path, used, wanted))
+        return out
 
-    def segment(self, text: str, n: int) -> tuple:
-        """The n best of a segment: of its independent parts, combined."""
+    def with_bytes(self, ids: bytes, part: str) -> bytes:
+        """Ids in which characters without a piece (-1) become their bytes' ids."""
+        out, i = [], 0
+        for x in array("i", ids):
+            if x >= 0:
+                out.append(x)
+                i += len(self.names[x])
+            else:
+                out += [self.bytes.get(b, self.unknown_id) for b in part[i].encode("utf-8", "replace")]
+                i += 1
+        return pack(out)
+
+    def solved(self, parts: list[str], n: int) -> dict[str, tuple]:
+        """Score and ids of the best, (loss, ids) of the others, and the least loss, of each part."""
+        by_length: dict[int, list[str]] = {}
+        for part in parts:
+            by_length.setdefault(len(part), []).append(part)
+        out = {}
+        for length, own in by_length.items():
+            most = max(1, CELLS // ((length + 1) * min(self.longest, length))) if length <= SIDE_BY_SIDE else 1
+            for i in range(0, len(own), most):
+                some = own[i : i + most]
+                found = self.side_by_side(some, n) if length <= SIDE_BY_SIDE else [[(score, pack(ids)) for score, ids in self.n_best(x, n)] for x in some]
+                out.update(zip(some, map(answer, found), strict=True))
+        return out
 
-        def part(s: str) -> tuple:
-            return self.fresh.get(s) or self.remembered(s, lambda x: [(score, pack(ids)) for score, ids in self.n_best(x, n)])
+    def independent(self, segments: list[str]) -> list[list[str]]:
+        """Parts of each segment between characters that no piece holds side by side."""
+        code = codes(["".join(segments)], sum(map(len, segments)))[0].astype(np.uint64)
+        pair = code[:-1] << np.uint64(32) | code[1:]
+        at = np.minimum(np.searchsorted(self.pairs, pair), len(self.pairs) - 1)
+        ends = np.cumsum([len(s) for s in segments])
+        apart = self.pairs[at] != pair
+        apart[ends[:-1] - 1] = False
+        cuts = np.flatnonzero(apart) + 1
+        within = np.searchsorted(cuts, [0, *ends])
+        out = [[s] for s in segments]
+        for k in np.flatnonzero(np.diff(within)).tolist():
+            s = segments[k]
+            own = (cuts[within[k] : within[k + 1]] - (ends[k] - len(s))).tolist()
+            out[k] = [s[a:b] for a, b in zip([0, *own], [*own, len(s)], strict=True)]
+        return out
 
-        parts = self.independent(text)
-        return part(text) if len(parts) == 1 else self.remembered(text, lambda _: [way[:2] for way in combined([part(s) for s in parts], n)])
+    def learn(self, wanted: set[str], n: int) -> None:
+        """See to it that ``fresh`` answers for all of the segments."""
+        if len(self.fresh) >= GENERATION:
+            self.stale, self.fresh = self.fresh, {}
+        new = [s for s in wanted if s not in self.fresh]
+        self.fresh.update((s, self.stale[s]) for s in new if s in self.stale)
+        new = [s for s in new if s not in self.fresh]
+        if not new:
+            return
+        gc.disable()  # many small tuples, none of them in a cycle
+        try:
+            parts = self.independent(new)
+            found = self.solved(list({p for own in parts for p in own}), n)
+            for s, own in zip(new, parts, strict=True):
+                self.fresh[s] = found[s] if len(own) == 1 else answer([way[:2] for way in combined([found[p] for p in own], n)])
+        finally:
+            gc.enable()
 
     def encode(self, text: str, n: int = N_BEST) -> tuple[list[tuple[float, bytes]], bool]:
         """At most n segmentations of a text, best first (ties go to the change of the earliest segment), and whether
         all of them decode to it."""
-        if not text:
-            return [(0.0, b"")], True
-        get, parts = self.fresh.get, []
-        for s in segments(text):
-            parts.append(get(s) or self.segment(s, n))
-            get = self.fresh.get
+        return next(self.encode_all([text], n))
+
+    def encode_all(self, texts: list[str], n: int = N_BEST):
+        """What ``encode`` gives, for each of the texts."""
+        i = 0
+        while i < len(texts):
+            j, size = i + 1, len(texts[i])
+            while j < len(texts) and size + len(texts[j]) <= TOGETHER:
+                size += len(texts[j])
+                j += 1
+            own = [segments(t) if t else [] for t in texts[i:j]]
+            self.learn({s for x in own for s in x}, n)
+            for text, x in zip(texts[i:j], own, strict=True):
+                yield self._whole(text, [self.fresh[s] for s in x], n) if text else ([(0.0, b"")], True)
+            i = j
+
+    def _whole(self, text: str, parts: list[tuple], n: int) -> tuple[list[tuple[float, bytes]], bool]:
         ways = combined(parts, n)
         same = all(self.raw_of(parts[k][1]) == self.raw_of(parts[k][2][r][1]) for _, _, chosen in ways for _, k, r in chosen)
         return [way[:2] for way in ways], same and self.decode(ways[0][1]) == text
@@ -157,13 +278,15 @@ class Pieces:
 def combined(parts: list[tuple], n: int) -> list[tuple[float, bytes, tuple]]:
     """The n best ways through parts on end, as (score, ids, what differs from the best: (loss, part, choice)). Only the
     n - 1 smallest losses of all parts can take part."""
-    least = np.fromiter(map(_least, parts), float, len(parts))
-    near = np.flatnonzero(least <= (np.partition(least, n - 2)[n - 2] if 1 < n <= len(parts) else np.inf))
-    losses = heapq.nsmallest(n - 1, ((loss, int(k), r) for k in near for r, (loss, _) in enumerate(parts[k][2])))
-    ways = [(0.0, ())]
-    for size in range(1, n):
-        ways += [(sum(c[0] for c in chosen), chosen) for chosen in combinations(losses, size) if len({c[1] for c in chosen}) == size]
-    ways.sort(key=lambda w: (w[0], [c[1:] for c in w[1]]))
+    near = range(len(parts))
+    if len(parts) > 16:
+        least = np.fromiter(map(_least, parts), float, len(parts))
+        near = np.flatnonzero(least <= (np.partition(least, n - 2)[n - 2] if n > 1 else np.inf)).tolist()
+    losses = sorted([(loss, k, r) for k in near for r, (loss, _) in enumerate(parts[k][2])])[: n - 1]
+    ways = [(0.0, ()), *((c[0], (c,)) for c in losses)]
+    if n > 3:  # two changes never come before the second best single one
+        ways += [(sum(c[0] for c in chosen), chosen) for size in range(2, n) for chosen in combinations(losses, size) if len({c[1] for c in chosen}) == size]
+        ways.sort(key=lambda w: (w[0], [c[1:] for c in w[1]]))
     best, ids, out = sum(map(_best, parts)), list(map(_ids, parts)), []
     for loss, chosen in ways[:n]:
         own = ids.copy() if chosen else ids
@@ -176,7 +299,32 @@ def combined(parts: list[tuple], n: int) -> list[tuple[float, bytes, tuple]]:
 _best, _ids, _least = itemgetter(0), itemgetter(1), itemgetter(3)
 
 
-def pack(ids: tuple[int, ...]) -> bytes:
+def answer(found: list[tuple[float, bytes]]) -> tuple[float, bytes, list[tuple[float, bytes]], float]:
+    """Score and ids of the best, (loss, ids) of the others, and the least loss."""
+    losses = [(found[0][0] - s, ids) for s, ids in found[1:]]
+    return (*found[0], losses, losses[0][0] if losses else float("inf"))
+
+
+_unknown = b"\xff\xff\xff\xff"
+
+
+def codes(texts: list[str], length: int) -> np.ndarray:
+    """Code points of texts of one length, a row for each."""
+    return np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(texts), length)
+
+
+def hashes(code: np.ndarray) -> list[np.ndarray]:
+    """64-bit hashes of all runs of 1, 2, ... code points of each row, by start."""
+    code, out = code.astype(np.uint64), []
+    h = np.zeros(code.shape, np.uint64)
+    for m in range(1, code.shape[1] + 1):
+        h = (h[:, : code.shape[1] - m + 1] + code[:, m - 1 :] + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+        out.append(mix(h + np.uint64(m)))
+    return out
+
+
+def pack(ids) -> bytes:
     return array("I", ids).tobytes()
 
 
@@ -207,12 +355,12 @@ def with_pieces(docs: DataFrame, path: str, text: str = "text", n: int = N_BEST)
     @F.arrow_udf("struct<ids binary, n_pieces long, scores array<double>, crcs array<long>, exact boolean>")
     def encode(texts: pa.Array) -> pa.Array:
         model, columns = load(path), ([], [], [], [], [])
-        for t in texts:
-            value = t.as_py() or ""
-            found, exact = model.encode(value, n)
+        values = [t or "" for t in texts.to_pylist()]
+        for found, exact in model.encode_all(values, n):
             row = (found[0][1], len(found[0][1]) // 4, [s for s, _ in found], [zlib.crc32(ids) for _, ids in found], exact)
             for column, x in zip(columns, row, strict=True):
                 column.append(x)
+        give_back()
         kinds = (pa.binary(), pa.int64(), pa.list_(pa.float64()), pa.list_(pa.int64()), pa.bool_())
         return pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["ids", "n_pieces", "scores", "crcs", "exact"])
 
