@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kindred.llm.common import held_out, shared_folder, table
+from kindred.llm.common import blocks_of, held_out, shared_folder, table
 from kindred.llm.jaccard import near_duplicates
 from kindred.llm.language import UNDETERMINED, train_language_id, with_language
 from kindred.llm.mixing import mixed
@@ -26,39 +26,48 @@ CERTAIN_FROM = 0.5
 WORDS, PERCENT = 5, 80
 #: Tokens that the mixture keeps, as a share of those that reach it.
 MIX_SHARE = 0.8
+#: A file that a stage writes has the documents that are left of so many, at least.
+DOCUMENTS_PER_FILE = 2_000
+
+
+def few_files(kept: DataFrame, docs: DataFrame) -> DataFrame:
+    """``kept``, in no more partitions than ``docs`` is large enough for; many small files would cost more than they hold."""
+    return kept.coalesce(blocks_of(docs.count(), DOCUMENTS_PER_FILE))
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below ``TOXIC_FROM``."""
     model = train_toxicity(docs, table(spark, sf_dir, "labels").where(~held_out()))
-    return with_toxicity(docs, model, out="_score", evidence="_evidence").where(F.col("_score") < TOXIC_FROM).select(COLUMNS)
+    scored = with_toxicity(docs, model, out="_score", evidence="_evidence")
+    return few_files(scored.where(F.col("_score") < TOXIC_FROM).select(COLUMNS), docs)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language can be told."""
     model = train_language_id(docs.where(~held_out()))
     known = (F.col("_lang") != UNDETERMINED) & (F.col("_score") >= CERTAIN_FROM)
-    return with_language(docs, model, out="_lang", score="_score").where(known).select(COLUMNS)
+    return few_files(with_language(docs, model, out="_lang", score="_score").where(known).select(COLUMNS), docs)
 
 
 def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of each component; rows without an id stay, as they can't be named."""
+    """The document of the smallest id of each component; rows without an id stay, as they can't be named. Of rows that
+    share an id, one of each text stays if its component's smallest id is theirs."""
     found = near_duplicates(docs, words=WORDS, percent=PERCENT).where("id = component_id")
     kept = docs.join(found.groupBy(F.col("id").alias("doc_id")).agg(F.count("*").alias("_rows")), "doc_id")
     once = kept.where("_rows = 1").select(COLUMNS)
-    repeated = kept.where("_rows > 1").dropDuplicates(["doc_id"]).select(COLUMNS)
-    return once.unionByName(repeated).unionByName(docs.where("doc_id is null").select(COLUMNS))
+    repeated = kept.where("_rows > 1").groupBy("doc_id", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("_text")).agg(F.min(F.struct(*COLUMNS)).alias("_row")).select("_row.*")
+    return few_files(once.unionByName(repeated).unionByName(docs.where("doc_id is null").select(COLUMNS)), docs)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the mixture takes, in whole or in part; rows without an id are never taken."""
     taken = mixed(docs.withColumn("domain", domain_of()), MIX_LEVELS, share=MIX_SHARE, epochs=1, weights=MIX_WEIGHTS)
-    return docs.join(taken.select("doc_id"), "doc_id", "left_semi").select(COLUMNS)
+    return few_files(docs.join(taken.select("doc_id"), "doc_id", "left_semi").select(COLUMNS), docs)
 
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The best segmentations of the documents that are left."""
-    return with_pieces(docs, piece_model()).select("doc_id", "lang", "source", "pieces.n_pieces", "pieces.scores", "pieces.crcs", "pieces.exact")
+    return few_files(with_pieces(docs, piece_model()), docs).select("doc_id", "lang", "source", "pieces.n_pieces", "pieces.scores", "pieces.crcs", "pieces.exact")
 
 
 STAGES: list[tuple[str, Stage]] = [("toxicity", toxicity), ("language", language), ("near duplicates", near_duplicate), ("mixing", mixing), ("pieces", pieces)]

@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 from .common import blocks_of, cut
 
 ROWS_PER_BUCKET = 20_000
+#: Small results are coalesced, so that a task has the rows of so many texts at least.
+TEXTS_PER_TASK = 2_000
 SEED = 2011
 
 
@@ -74,7 +76,8 @@ def mixed(docs: DataFrame, levels: list[str], budget: int | None = None, share:
     """
     named = {f"_{i}": F.coalesce(F.col(c).cast("string"), F.lit("(none)")) for i, c in enumerate(levels)}
     path = list(named)
-    rows = cut(docs.select(key, *levels, words(text).alias("n_tokens")).withColumns(named).where("n_tokens > 0"))
+    parts = blocks_of(docs.count(), TEXTS_PER_TASK)
+    rows = cut(docs.coalesce(parts).select(key, *levels, words(text).alias("n_tokens")).withColumns(named).where("n_tokens > 0"))
     order = F.xxhash64(F.lit(seed), F.col(key), "n_tokens")
     sums = rows.groupBy(*path).agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("n")).persist()
     try:
@@ -96,7 +99,7 @@ def mixed(docs: DataFrame, levels: list[str], budget: int | None = None, share:
     ends = rows.where("_case = 1").withColumn("_left", F.col("last") - F.col("_before") - F.coalesce(F.sum("n_tokens").over(inside), F.lit(0)))
     ends = ends.withColumn("part", F.greatest(F.lit(0), F.least(F.col("n_tokens"), F.col("_left")))).drop("_left")
     rest = rows.where("_case <> 1").withColumn("part", F.when(F.col("_case") == 2, F.col("n_tokens")).otherwise(0).cast("long"))
-    taken = rest.unionByName(ends)
+    taken = rest.coalesce(parts).unionByName(ends.coalesce(parts))
     whole = F.col("epochs") + (F.col("part") == F.col("n_tokens")).cast("long")
     taken = taken.withColumn("epochs", whole).withColumn("part", F.when(F.col("part") == F.col("n_tokens"), 0).otherwise(F.col("part")).cast("long"))
     return taken.where("epochs > 0 or part > 0").drop(*path, "_order", "_bucket", "_before", "last", "_case")
