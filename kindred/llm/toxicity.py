@@ -3,7 +3,7 @@
 Terms are words and word beginnings that a few labelled examples hold; the ``MOST_TERMS`` that tell toxic from clean
 ones best (log-likelihood ratio, either way) make up the vocabulary. All labelled examples are unit vectors over it, in
 a block-max inverted index, whose bounds leave out blocks without changing the neighbours found. Their votes,
-weighted by cosine and by how many labelled texts each example stands for (near copies count as one example), are calibrated by isotonic regression on
+weighted by inverse distance and by how many labelled texts each example stands for (near copies count as one example), are calibrated by isotonic regression on
 leave-one-out votes of the examples themselves.
 
 The classifier is fitted on a bounded sample (``TOXIC_EXAMPLES`` and ``CLEAN_EXAMPLES``), so index and vocabulary have
@@ -27,7 +27,9 @@ MOST_TERMS = 4_096
 PREFIXES = (4, 5, 6)
 #: Labelled examples of either class that must hold a term.
 LEAST_EXAMPLES = 4
-NEIGHBOURS = 15
+NEIGHBOURS = 5
+#: Added to a neighbour's distance (1 - cosine), so that an equal text weighs as many times more as a far one.
+LEAST_DISTANCE = 0.05
 #: Examples in a block of the index, terms whose lists are dense, and queries that are searched together.
 BLOCK, COMMON, TOGETHER = 256, 384, 64
 #: How far apart single-precision sums of unit vectors' products may be.
@@ -196,7 +198,7 @@ class ToxicityModel:
     knots: tuple[np.ndarray, np.ndarray] = (np.array([1.0]), np.array([1.0]))
 
     def vote(self, ids: np.ndarray, cosine: np.ndarray) -> float:
-        w = cosine * self.stands_for[ids]
+        w = self.stands_for[ids] / (1 + LEAST_DISTANCE - np.minimum(cosine, 1))
         return float((w * self.toxic[ids]).sum() / w.sum())
 
     def calibrated(self, vote: float) -> float:
