@@ -18,6 +18,7 @@ import gc
 import re
 import zlib
 from array import array
+from collections.abc import Iterator
 from functools import lru_cache
 from itertools import combinations
 from operator import itemgetter
@@ -353,16 +354,20 @@ def with_pieces(docs: DataFrame, path: str, text: str = "text", n: int = N_BEST)
     bound_batches(docs.sparkSession)
 
     @F.arrow_udf("struct<ids binary, n_pieces long, scores array<double>, crcs array<long>, exact boolean>")
-    def encode(texts: pa.Array) -> pa.Array:
-        model, columns = load(path), ([], [], [], [], [])
-        values = [t or "" for t in texts.to_pylist()]
-        for found, exact in model.encode_all(values, n):
-            row = (found[0][1], len(found[0][1]) // 4, [s for s, _ in found], [zlib.crc32(ids) for _, ids in found], exact)
-            for column, x in zip(columns, row, strict=True):
-                column.append(x)
-        give_back()
-        kinds = (pa.binary(), pa.int64(), pa.list_(pa.float64()), pa.list_(pa.int64()), pa.bool_())
-        return pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["ids", "n_pieces", "scores", "crcs", "exact"])
+    def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        model, kinds = load(path), (pa.binary(), pa.int64(), pa.list_(pa.float64()), pa.list_(pa.int64()), pa.bool_())
+        try:
+            for texts in batches:
+                columns = ([], [], [], [], [])
+                for found, exact in model.encode_all([t or "" for t in texts.to_pylist()], n):
+                    row = (found[0][1], len(found[0][1]) // 4, [s for s, _ in found], [zlib.crc32(ids) for _, ids in found], exact)
+                    for column, x in zip(columns, row, strict=True):
+                        column.append(x)
+                yield pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["ids", "n_pieces", "scores", "crcs", "exact"])
+        finally:  # the worker goes on to other stages
+            model.fresh, model.stale = {}, {}
+            gc.collect()
+            give_back()
 
     return docs.withColumn("pieces", encode(F.col(text)))
 
