@@ -1,10 +1,11 @@
 """Sharding by balanced label propagation over linked documents, in DataFrame operations only.
 
 Documents of one group are linked with one another (here: equal texts). Every linked document starts in a shard drawn
-by hash, small groups as one; round by round it moves to the shard with room that most of its neighbours are in, unless more of them are
-where it is, as far as that shard's quota of rows allows. Where room is short, small groups go or stay together, and
-larger groups are split. Documents without links then fill the shards up to quotas that are at most one apart, so the
-``rows`` law holds exactly.
+by hash of its row, so at first most links are cut. Round by round, documents move to the shard with room that most of
+their neighbours are in, unless more of them are where they are, as far as that shard's quota of rows allows. Where room
+is short, a group's small parts go or stay together, and large ones are split. The rounds end when nothing moves any
+more. Documents without links then fill the shards up to quotas that are at most one apart, so the ``rows`` law holds
+exactly.
 
 Positions (slots, and ranks that decide who overflows) come from two levels: counts of hash buckets of bounded size
 are summed up, and rows are numbered within a bucket. No window ever spans a shard or a group.
@@ -17,13 +18,14 @@ from pyspark.sql import functions as F
 
 from .common import blocks_of, cut
 
-ROUNDS = 10
+ROUNDS = 12
 ROWS_PER_BUCKET = 20_000
-#: A group starts as one if it takes up at most this share of a shard's quota, and moves as one if at most this share of
-#: the room in its target shard.
+#: Small tables are coalesced, so that a task has so many rows at least.
+TEXTS_PER_TASK = 5_000
+#: A group's part moves as one if it takes up at most this share of the room in its target shard.
 WHOLE_SHARE = 1 / 16
-#: Shards with less room than this share of their quota count as full: no round is spent on their last places.
-LEAST_ROOM = 1 / 32
+#: Of the places that documents are about to leave in a round, so many are given to others in the same round.
+GIVEN_AHEAD = 0.25
 
 
 def numbered(rows: DataFrame, keys: list[str], out: str, buckets: int) -> DataFrame:
@@ -50,19 +52,34 @@ def per_shard(rows: DataFrame, shard: str, shards: int) -> list[int]:
     return [n.get(s, 0) for s in range(shards)]
 
 
-def propagate(linked: DataFrame, quota: list[int], rounds: int) -> DataFrame:
-    """Rows (row, group, size of the group) with a shard each, after at most ``rounds`` of moves towards neighbours: as many or more of
-    them must be at the target than, itself included, where a row is."""
+def cut_links(placed: DataFrame) -> int:
+    """Pairs of rows of one group that are in different shards."""
+    n = placed.groupBy("group", "shard").agg(F.count("*").alias("n")).groupBy("group").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("same"))
+    return n.agg(F.coalesce(F.sum((F.col("n") * F.col("n") - F.col("same")) / 2), F.lit(0)).cast("long")).first()[0]
+
+
+def start(linked: DataFrame, shards: int) -> DataFrame:
+    """Each linked row in a shard drawn by hash."""
+    return linked.select("row", "group", F.pmod(F.xxhash64("row", F.lit(3)), F.lit(shards)).cast("int").alias("shard"))
+
+
+def propagate(linked: DataFrame, quota: list[int], rounds: int, parts: int = 8) -> DataFrame:
+    """Rows (row, group) with a shard each, after at most ``rounds`` of moves towards neighbours: as many or more of them
+    must be at the target as are, itself included, where a row is. A shard that gets more than its quota in a round has
+    no room in the next ones."""
     shards = len(quota)
-    start = F.when(F.col("size") <= min(quota) * WHOLE_SHARE, F.xxhash64("group")).otherwise(F.xxhash64("row"))
-    placed = cut(linked.select("row", "group", F.pmod(start, F.lit(shards)).cast("int").alias("shard")))
+    placed = cut(start(linked, shards).coalesce(parts))
     for turn in range(rounds):
-        load = per_shard(placed, "shard", shards)
-        room = [q - n if q - n >= max(1, q * LEAST_ROOM) else 0 for q, n in zip(quota, load, strict=True)]
-        votes = cut(placed.groupBy("group", "shard").agg(F.count("*").alias("n")))
+        votes = cut(placed.groupBy("group", "shard").agg(F.count("*").alias("n")).coalesce(parts))
+        load = {r[0]: r[1] for r in votes.groupBy("shard").agg(F.sum("n")).collect()}
+        free = [q - load.get(s, 0) for s, q in enumerate(quota)]
+        wish = votes.groupBy("group").agg(F.max(F.struct("n", F.xxhash64("group", "shard"), "shard")).alias("best"))
+        leaving = votes.join(wish, "group").where(F.col("shard") != F.col("best.shard")).groupBy("shard").agg(F.sum("n")).collect()
+        ahead = {r[0]: int(r[1] * GIVEN_AHEAD) for r in leaving}
+        room = [f + ahead.get(s, 0) if f > 0 else 0 for s, f in enumerate(free)]
         open_ = votes.where(by_shard(room, "shard") > 0).groupBy("group").agg(F.max(F.struct("n", F.xxhash64("group", "shard"), "shard")).alias("best"))
         target = votes.join(open_, "group").where((F.col("shard") != F.col("best.shard")) & (F.col("best.n") >= F.col("n")))
-        target = cut(target.select("group", "shard", F.col("best.shard").alias("target"), F.col("n").alias("movers")))
+        target = cut(target.select("group", "shard", F.col("best.shard").alias("target"), F.col("n").alias("movers")).coalesce(parts))
         wanted = {r[0]: r[1] for r in target.groupBy("target").agg(F.sum("movers")).collect()}
         if not wanted:
             break
@@ -70,7 +87,7 @@ def propagate(linked: DataFrame, quota: list[int], rounds: int) -> DataFrame:
         together = F.col("movers") <= by_shard([r * WHOLE_SHARE for r in room], "target")
         draw = F.when(together, chance("group", salt=turn)).otherwise(chance("row", salt=turn))
         moves = F.col("target").isNotNull() & (draw < by_shard(odds, "target"))
-        placed = cut(placed.join(target, ["group", "shard"], "left").select("row", "group", F.when(moves, F.col("target")).otherwise(F.col("shard")).alias("shard")))
+        placed = cut(placed.join(target, ["group", "shard"], "left").select("row", "group", F.when(moves, F.col("target")).otherwise(F.col("shard")).alias("shard")).coalesce(parts))
     return placed
 
 
@@ -78,16 +95,18 @@ def balanced_shards(docs: DataFrame, group: str, shards: int = 8, rounds: int =
     """``docs`` with shard (from 0) and slot (gapless from 0 in each shard); shards differ by one row at most.
 
     Rows whose ``group`` is null, or occurs once, have no links. Rows may repeat: each is a row of its own. Without rows
-    the result is empty.
+    the result is empty. Columns named shard or slot are replaced; row, group, place and pool are taken here, so others of
+    these names are dropped.
     """
-    rows = cut(docs.withColumn("row", F.monotonically_increasing_id()).withColumn("group", F.col(group)))
-    n = rows.count()
+    n = docs.count()
+    rows = cut(docs.coalesce(blocks_of(n, TEXTS_PER_TASK)).withColumn("group", F.col(group)).withColumn("row", F.monotonically_increasing_id()).drop("place", "pool", "shard", "slot"))
     quota = [n // shards + (s < n % shards) for s in range(shards)]
     buckets = blocks_of(n, ROWS_PER_BUCKET)
     pairs = rows.where("group is not null").groupBy("group").agg(F.count("*").alias("size")).where("size > 1")
     linked = rows.select("row", "group").join(pairs, "group")
-    placed = numbered(propagate(linked, quota, rounds), ["shard"], "place", buckets)
-    kept = cut(placed.where(F.col("place") < by_shard(quota, "shard")).select("row", "shard"))
+    parts = blocks_of(n, TEXTS_PER_TASK)
+    placed = numbered(propagate(linked, quota, rounds, parts), ["shard"], "place", buckets)
+    kept = cut(placed.where(F.col("place") < by_shard(quota, "shard")).select("row", "shard").coalesce(parts))
     need = [q - k for q, k in zip(quota, per_shard(kept, "shard", shards), strict=True)]
     free = numbered(rows.select("row").join(kept, "row", "left_anti").withColumn("pool", F.lit(0)), ["pool"], "place", buckets)
     shard, end = F.lit(shards - 1), sum(need)
@@ -95,7 +114,7 @@ def balanced_shards(docs: DataFrame, group: str, shards: int = 8, rounds: int =
         end -= need[s + 1]
         shard = F.when(F.col("place") < end, s).otherwise(shard)
     everyone = kept.unionByName(free.select("row", shard.cast("int").alias("shard")))
-    return numbered(rows.join(everyone, "row"), ["shard"], "slot", buckets).drop("row", "group")
+    return numbered(rows.join(everyone, "row").coalesce(parts), ["shard"], "slot", buckets).coalesce(parts).drop("row", "group")
 
 
 def sharded_documents(docs: DataFrame, shards: int = 8) -> DataFrame:

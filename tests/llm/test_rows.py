@@ -134,6 +134,25 @@ def test_sharding_law_and_links(spark):
     assert sharding.sharded_documents(docs.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("linked_share", [0.3, 1.0])
+def test_propagation_cuts_fewer_links(spark, linked_share):
+    """Rounds gather groups: fewer links are cut after each of them, also where nearly every row is linked."""
+    n = 1200
+    rows = [(i, f"g{i % 60}" if i % 6 else "hot") for i in range(int(n * linked_share))]
+    linked = spark.createDataFrame(rows, "row long, group string")
+    quota = [n // 8] * 8
+    cuts = [sharding.cut_links(sharding.propagate(linked, quota, r)) for r in (0, 1, 3, sharding.ROUNDS)]
+    assert cuts[0] == sharding.cut_links(sharding.start(linked, 8)) and cuts[0] > cuts[1] >= cuts[3] and cuts[3] < 0.8 * cuts[0]
+    docs = spark.createDataFrame(rows, "row long, group string").withColumn("pool", F.lit("clash"))
+    got = sharding.balanced_shards(docs.withColumnRenamed("group", "name"), "name").collect()
+    sizes = Counter(r["shard"] for r in got)
+    assert max(sizes.values()) - min(sizes.values()) <= 1
+    left = defaultdict(Counter)
+    for r in got:
+        left[r["name"]][r["shard"]] += 1
+    assert sum((sum(c.values()) ** 2 - sum(x * x for x in c.values())) // 2 for c in left.values()) < 0.9 * cuts[0]
+
+
 def test_pipeline(spark, folder, tmp_path):
     docs = common.table(spark, folder, "documents")
     labels = {r["doc_id"]: r["toxic"] for r in common.table(spark, folder, "labels").collect()}
