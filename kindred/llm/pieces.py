@@ -36,11 +36,11 @@ UNKNOWN_PENALTY = 10.0
 #: Scores below this are those of reserved pieces, not of worst ones.
 RESERVED = -1e8
 #: A generation of the cache ends with the batch in which it reaches so many segments.
-GENERATION = 60_000
+GENERATION = 40_000
 #: Parts up to this length are solved side by side, as many as have so many lattice cells.
-SIDE_BY_SIDE, CELLS = 40, 1_500_000
+SIDE_BY_SIDE, CELLS = 40, 600_000
 #: Characters of texts whose new parts are solved together.
-TOGETHER = 2_000_000
+TOGETHER = 1_000_000
 N_BEST = 3
 
 
