@@ -51,49 +51,70 @@ def field_coverage(entries: DataFrame, by: str, fields: list[str], flags: list[s
     return long.groupBy(by, "field").agg(F.round(F.avg("has"), 3).alias("coverage")).where("coverage > 0")
 
 
+# The marks by which the pages' markup names its parts.
+GRID_ITEM = '(?s)<li class="(?:griditem|posteritem)"[^>]*>(.*?)</li>'
+FILM_UID = r"film:(\d+)"
+PERSON_ROW = '(?s)<td class="col-member table-person">(.*?)</tr>'
+PERSON_NAME = r'(?s)<a href="/([^/"]+)/" class="name">\s*(.*?)\s*</a>'
+PERSON_FOLLOWERS = r"([0-9,]+)\s*(?:&nbsp;|\s)followers"
+PERSON_FILMS = r'icon-watched" href="/[^/"]+/films/">([0-9,]+)</a>'
+REVIEW_START = '<article class="production-viewing[^>]*>'
+REVIEW_USER = r'<a href="/([^/"]+)/film/[^"]*"\s+class="context"'
+REVIEW_NAME = '(?s)<strong class="displayname">(.*?)</strong>'
+REVIEW_STARS = 'class="glyph -rating"[^>]*aria-label="([★½]+)"'
+REVIEW_DATE = '<time class="timestamp" datetime="([^"]+)"'
+REVIEW_FULL = 'data-full-text-url="([^"]+)"'
+REVIEW_VIEWING = r'data-full-text-url="[^"]*?viewing:(\d+)'
+REVIEW_COMMENTS = '(?s)#comments"[^>]*>.*?<span class="label">([0-9,]+)</span>'
+REVIEW_BODY = '(?s)class="[^"]*js-review-body[^"]*"[^>]*>(.*?)<div class="viewing-actions"'
+REVIEW_LIKES = '(?s)data-component-class="LikeComponent".*?data-count="([0-9,]+)"'
+LIKED, SPOILER = ("inline-liked", "<title>Liked</title>"), ("js-spoiler-container", "may contain spoilers")
+POSTER = r'"image"\s*:\s*"(https://a\.ltrbxd\.com/resized/[^"]+)"'
+POSTER_SIZE, POSTER_WANTED = r"-\d+-\d+-\d+-\d+-crop\.jpg", "-0-125-0-187-crop.jpg"
+
+
 def films(pages: DataFrame) -> DataFrame:
     """Films of a grid in page order; the rating is looked for behind the viewing data only."""
-    chunks = F.regexp_extract_all("body", F.lit('(?s)<li class="(?:griditem|posteritem)[^"]*"[^>]*>(.*?)</li>'), F.lit(1))
-    rows = pages.select("url", F.posexplode(chunks).alias("pos", "chunk"))
+    rows = pages.select("url", F.posexplode(F.regexp_extract_all("body", F.lit(GRID_ITEM), F.lit(1))).alias("pos", "chunk"))
     name = decoded(first_match("chunk", 'data-item-name="([^"]*)"'))
     at = F.locate("poster-viewingdata", F.col("chunk"))
-    stars = F.when(at > 0, first_match(F.expr("substring(chunk, locate('poster-viewingdata', chunk))"), r"rated-(\d+)"))
+    stars = F.when(at > 0, first_match(F.expr("substring(chunk, locate('poster-viewingdata', chunk))"), r"\brated-(\d{1,2})\b"))
     return rows.select(
         "url", "pos", first_match("chunk", 'data-item-slug="([^"]*)"').alias("slug"),
         F.regexp_replace(name, r"\s*\(\d{4}\)\s*$", "").alias("title"),
         F.regexp_extract(name, r"\((\d{4})\)\s*$", 1).try_cast("int").alias("year"),
-        first_match("chunk", r'data-film-id="(\d+)"').try_cast("bigint").alias("film_id"),
+        first_match("chunk", FILM_UID).try_cast("bigint").alias("film_id"),
         (stars.try_cast("double") / 2).alias("rating"),
     ).where("slug is not null")
 
 
 def people(pages: DataFrame) -> DataFrame:
-    """Members of a follow list, with their counts."""
-    chunks = F.regexp_extract_all("body", F.lit('(?s)(<td class="[^"]*table-person[^"]*".*?)</tr>'), F.lit(1))
-    count = lambda what: separated_int(first_match("chunk", rf"(?s)>\s*([0-9][0-9,]*)(?:&nbsp;|\s)*{what}"))
-    return pages.select("url", F.posexplode(chunks).alias("pos", "chunk")).select(
-        "url", "pos", first_match("chunk", 'href="/([A-Za-z0-9_]+)/"').alias("username"),
-        F.nullif(stripped(first_match("chunk", '(?s)class="name"[^>]*>(.*?)</a>')), F.lit("")).alias("display_name"),
-        count("films").alias("n_films"), count("followers").alias("n_followers"),
+    """Members of a follow list, with their counts; rows without a name link are left out."""
+    rows = pages.select("url", F.posexplode(F.regexp_extract_all("body", F.lit(PERSON_ROW), F.lit(1))).alias("pos", "chunk"))
+    return rows.select(
+        "url", "pos", first_match("chunk", PERSON_NAME).alias("username"),
+        F.nullif(stripped(F.regexp_extract("chunk", PERSON_NAME, 2)), F.lit("")).alias("display_name"),
+        separated_int(first_match("chunk", PERSON_FILMS)).alias("n_films"), separated_int(first_match("chunk", PERSON_FOLLOWERS)).alias("n_followers"),
     ).where("username is not null")
 
 
 def reviews(pages: DataFrame) -> DataFrame:
-    """Reviews of a page in page order; text that ends in an ellipsis is marked as truncated."""
-    parts = F.split("body", r'<(?:article|li) class="[^"]*(?:production-viewing|film-detail)[^"]*"')
+    """Reviews of a page in page order, those with an author; text that ends in an ellipsis is marked as truncated."""
+    parts = F.split("body", REVIEW_START)
     rows = pages.select("url", F.posexplode(F.when(F.size(parts) > 1, F.slice(parts, F.lit(2), F.size(parts) - 1))).alias("pos", "chunk"))
-    text = stripped(F.regexp_extract("chunk", r"(?s)js-review-body[^>]*>(.*?)(?:<div class=\"[^\"]*viewing-actions|$)", 1))
+    text = F.when(F.col("chunk").rlike(REVIEW_BODY), stripped(F.regexp_extract("chunk", REVIEW_BODY, 1)))
+    holds = lambda marks: F.contains("chunk", F.lit(marks[0])) | F.contains("chunk", F.lit(marks[1]))
     return rows.select(
-        "url", "pos", first_match("chunk", 'data-owner="([^"]*)"').alias("username"),
-        F.nullif(stripped(first_match("chunk", '(?s)class="displayname"[^>]*>(.*?)<')), F.lit("")).alias("display_name"),
-        glyph_rating(F.regexp_extract("chunk", r"(?s)class=\"[^\"]*rating[^\"]*\"[^>]*>([^<]*)<", 1)).alias("rating"),
-        F.contains("chunk", F.lit("icon-liked")).alias("liked"), F.contains("chunk", F.lit("contains-spoilers")).alias("spoiler"),
-        first_match("chunk", 'datetime="([^"]*)"').alias("date"), text.alias("text"), F.endswith(text, F.lit("…")).alias("truncated"),
-        first_match("chunk", 'data-full-text-url="([^"]*)"').alias("full_text_url"),
-        first_match("chunk", r'data-viewing-id="(\d+)"').try_cast("bigint").alias("viewing_id"),
-        separated_int(first_match("chunk", r"([0-9][0-9,]*)(?:&nbsp;|\s)*comments?")).alias("n_comments"),
-        separated_int(first_match("chunk", r'data-count="([0-9,]+)"')).alias("n_likes"),
-    )
+        "url", "pos", first_match("chunk", REVIEW_USER).alias("username"),
+        F.nullif(stripped(first_match("chunk", REVIEW_NAME)), F.lit("")).alias("display_name"),
+        glyph_rating(F.regexp_extract("chunk", REVIEW_STARS, 1)).alias("rating"),
+        holds(LIKED).alias("liked"), holds(SPOILER).alias("spoiler"),
+        first_match("chunk", REVIEW_DATE).alias("date"), text.alias("text"), F.coalesce(F.endswith(text, F.lit("…")), F.lit(False)).alias("truncated"),
+        first_match("chunk", REVIEW_FULL).alias("full_text_url"),
+        first_match("chunk", REVIEW_VIEWING).try_cast("bigint").alias("viewing_id"),
+        separated_int(first_match("chunk", REVIEW_COMMENTS)).alias("n_comments"),
+        separated_int(first_match("chunk", REVIEW_LIKES)).alias("n_likes"),
+    ).where("username is not null")
 
 
 def backfilled(rows: DataFrame, full: DataFrame, key: str, text: str = "text", truncated: str = "truncated") -> DataFrame:
@@ -113,10 +134,12 @@ def histogram(pages: DataFrame) -> DataFrame:
 
 
 def film_ids(pages: DataFrame) -> DataFrame:
-    poster = F.regexp_replace(first_match("body", r'"image":\s*"([^"]+)"'), r"\\/", "/")
-    return pages.select(
+    link = F.regexp_replace(first_match("body", POSTER), r"\\/", "/")
+    rest = F.expr("substring(link, at)")
+    poster = F.when(F.col("at") > 0, F.concat(F.expr("substring(link, 1, at - 1)"), F.lit(POSTER_WANTED), F.substr(rest, F.length(F.regexp_extract(rest, POSTER_SIZE, 0)) + 1))).otherwise(F.col("link"))
+    return pages.select("url", "body", link.alias("link")).withColumn("at", F.regexp_instr("link", F.lit(POSTER_SIZE))).select(
         "url", first_match("body", r'data-tmdb-id="(\d+)"').try_cast("bigint").alias("tmdb_id"), first_match("body", 'data-tmdb-type="([^"]*)"').alias("tmdb_type"),
-        first_match("body", r"imdb\.com/title/(tt\d+)").alias("imdb_id"), F.regexp_replace(poster, r"-0-\d+-0-\d+-crop", "-0-230-0-345-crop").alias("poster"),
+        first_match("body", r"imdb\.com/title/(tt\d+)").alias("imdb_id"), poster.alias("poster"),
     )
 
 

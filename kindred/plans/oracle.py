@@ -123,6 +123,15 @@ _COHORT = f"""select user_id, n_scored, rmse, auc_cf, auc_user, round(n_scored /
 
 STATEMENTS: dict[str, str] = {
     "percentile_agreement": "select a, b, n_common, round(r, 6) + 0.0::double as r from agreement0 where n_common >= 8",
+    "diary_feed": "select * from (values (0, false, 'Alpha', 1999, 77::bigint, 4.5::double, '2024-01-02', false, true, 'alpha'), (1, true, null, null, null, null, null, false, false, null)) t(pos, skipped, film_title, film_year, tmdb_id, rating, watched_date, rewatch, liked, slug)",
+    "films_grid": "select * from (values (0, 'alpha', 'Alpha', 1999, 11::bigint, 4.5::double), (1, 'beta', 'Beta', null, 12, null)) t(pos, slug, title, year, film_id, rating)",
+    "people_list": "select * from (values (0, 'ann', 'Ann & Co', 42::bigint, 1234::bigint), (1, 'bob_2', 'Bob', null, null)) t(pos, username, display_name, n_films, n_followers)",
+    "review_rows": "select * from (values (0, 'ann', 'Ann', 3.5::double, true, false, '2024-02-03', 'Fine & more…', true, '/s/full-text/viewing:5/', 5::bigint, 1002::bigint, 31::bigint), (1, 'bob', null, null, false, true, null, 'Plain', false, null, null, null, null)) t(pos, username, display_name, rating, liked, spoiler, date, text, truncated, full_text_url, viewing_id, n_comments, n_likes)",
+    "rating_histogram_page": "select * from (values (0.5::double, 1003::bigint), (3.5, 7), (1.0, 9)) t(stars, n)",
+    "film_page_ids": "select 603::bigint as tmdb_id, 'movie' as tmdb_type, 'tt0133093' as imdb_id, 'https://a.ltrbxd.com/resized/film-poster/1-alpha-0-125-0-187-crop.jpg' as poster",
+    "members_page": "select * from (values ('ann'), ('bob_2')) t(username)",
+    "anti_cached": "select distinct url from pages where url not in (select url from pages where strpos(url, '?') = 0)",
+    "text_summary": "select lang, count(*) as n, count(quality) as n_rated, round(avg(quality), 6) as mean_quality, count(*) filter (length(trim(text)) > 0) as with_text, count(*) filter (suffix(text, '…')) as truncated, count(*) filter (toxic = 1) as toxic from documents left join labels using (doc_id) group by lang",
     "cache_freshness": "select url, status between 200 and 299 or 1000000.0 - fetched_at <= 21600 as usable, regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) || '/' || substr(sha256(url), 1, 2) || '/' || sha256(url) as key from store",
     "cache_stats": "select count(*) as entries, count(*) filter (status between 200 and 299) as ok, count(*) filter (status not between 200 and 299) as failed, cast(coalesce(sum(strlen(body)), 0) as bigint) as body_bytes from store",
     "ordered_dedup": "select trim(regexp_replace(url, '[?#].*$', '')) as url, min(page_id) as pos from pages where trim(regexp_replace(url, '[?#].*$', '')) <> '' and url not like '#%' group by 1",

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from kindred.functions import columns as C
 from kindred.functions.columns import six
 from kindred.operators import extract, metrics, models, ratings, similarity
+from kindred.plans import markup
 from kindred.plans.base import BUDGET, FRIENDS, MAX_PAGES, MIN_POOL, SEED, Base
 from kindred.sources import pages
 
@@ -192,7 +193,20 @@ def mf_als(b: Base) -> DataFrame:
     return metrics.errors(out, ["part"])
 
 
+def page(b: Base, body: str) -> DataFrame:
+    return b.rows([("https://s.example/x/", body)], "url string, body string")
+
+
 QUERIES: dict[str, Query] = {
+    "diary_feed": lambda b: extract.diary(page(b, markup.FEED)).select("pos", "skipped", "film_title", "film_year", "tmdb_id", "rating", "watched_date", "rewatch", "liked", "slug"),
+    "films_grid": lambda b: extract.films(page(b, markup.GRID)).drop("url"),
+    "people_list": lambda b: extract.people(page(b, markup.PEOPLE)).drop("url"),
+    "review_rows": lambda b: extract.reviews(page(b, markup.REVIEWS)).drop("url"),
+    "rating_histogram_page": lambda b: extract.histogram(page(b, markup.HISTOGRAM)).drop("url"),
+    "film_page_ids": lambda b: extract.film_ids(page(b, markup.FILM)).drop("url"),
+    "members_page": lambda b: extract.members(page(b, markup.PEOPLE)).drop("url"),
+    "anti_cached": anti_cached,
+    "text_summary": text_summary,
     "percentile_agreement": lambda b: rounded(b.agreement, "r"),
     "cache_freshness": lambda b: b.rows(STORE, pages.PAGE).select("url", pages.usable(NOW).alias("usable"), pages.store_key().alias("key")),
     "cache_stats": lambda b: pages.store_stats(b.rows(STORE, pages.PAGE)),

@@ -15,19 +15,19 @@ FEED = """<?xml version='1.0'?><rss xmlns:letterboxd="x" xmlns:tmdb="y"><channel
 <item><title>A list</title><link>https://s.example/ann/list/l/</link><guid isPermaLink="false">letterboxd-list-3</guid></item>
 </channel></rss>"""
 
-GRID = """<ul><li class="griditem"><div data-item-slug="alpha" data-item-name="Alpha (1999)" data-film-id="11"></div><span class="rated-2"></span><p class="poster-viewingdata"><span class="rating rated-9">x</span></p></li>
-<li class="posteritem"><div data-item-slug="beta" data-item-name="Be &amp; ta" data-film-id="12"></div><p class="poster-viewingdata"></p></li>
+GRID = """<ul><li class="griditem"><div data-item-slug="alpha" data-item-name="Alpha (1999)" data-postered-identifier='{"uid":"film:11"}'></div><span class="rated-2"></span><p class="poster-viewingdata" data-item-uid="film:11"><span class="rating -micro -darker rated-9">x</span></p></li>
+<li class="posteritem"><div data-item-slug="beta" data-item-name="Be &amp; ta"></div><p class="poster-viewingdata" data-item-uid="film:12"></p></li>
 <li class="griditem"><div data-item-name="No slug (2000)"></div></li><li class="posteritem"><div data-item-slug="gamma" data-item-name="Gamma (2010)"></div><i class="rated-4"></i></li></ul>"""
 
-PEOPLE = """<table><tr><td class="table-person"><a href="/ann/" class="name">Ann &amp; Co</a> <a>1,234&nbsp;followers</a></td><td><a href="/ann/films/">  42 films</a></td></tr>
-<tr><td class="table-person"><a href="/bob_2/" class="name">Bob</a></td></tr></table>"""
+PEOPLE = """<table><tr><td class="col-member table-person"><div class="person-summary"><a href="/ann/" class="name"> Ann &amp; Co </a> <a>1,234&nbsp;followers</a></div></td><td><a class="icon-watched" href="/ann/films/">42</a></td></tr>
+<tr><td class="col-member table-person"><a href="/bob_2/" class="name">Bob</a></td></tr><tr><td class="col-member table-person"><a href="/no/">nobody</a></td></tr></table>"""
 
-REVIEWS = """<section><article class="production-viewing" data-owner="ann" data-viewing-id="5"><strong class="displayname">Ann</strong><span class="rating -green">★★★½</span><time datetime="2024-02-03"></time><span class="icon-liked"></span><a>1,002 comments</a><p data-count="31"></p><div class="body-text js-review-body"><p>Fine &lt;3 &amp;amp; more…</p></div><div class="viewing-actions"></div></article>
-<article class="production-viewing" data-owner="bob" data-viewing-id="6"><div class="contains-spoilers js-review-body" data-full-text-url="/full/6"><p>Plain</p></div></article></section>"""
+REVIEWS = """<section><article class="production-viewing -viewing"><a href="/ann/film/alpha/" class="context">Review by</a><strong class="displayname">Ann</strong><svg class="glyph -rating" viewBox="0 0" aria-label="★★★½"></svg><time class="timestamp" datetime="2024-02-03"></time><span class="inline-liked"></span><a href="/ann/film/alpha/#comments"><i></i><span class="label">1,002</span></a><p data-count="7"></p><div class="body-text -prose js-review-body" data-full-text-url="/s/full-text/viewing:5/"><p>Fine &lt;3 &amp;amp; more…</p></div><div class="viewing-actions"></div><p data-component-class="LikeComponent" data-count="31"></p></article>
+<article class="production-viewing -viewing"><a href="/bob/film/alpha/1/" class="context"></a><div class="js-spoiler-container"><div class="js-review-body" data-full-text-url="/s/full-text/viewing:6/"><p>Plain</p></div><div class="viewing-actions"></div></div></article><article class="production-viewing -viewing"><p>by nobody</p></article></section>"""
 
 HISTOGRAM = """<li><a title="1,003&nbsp;half-★ ratings (1%)"></a></li><li><a title="20 ★★★½ ratings"></a></li><li><a title="7 ★★★½ ratings"></a></li><li><a title="9 ★ ratings"></a></li>"""
 
-FILM = """<body data-tmdb-type="movie" data-tmdb-id="603"><a href="http://www.imdb.com/title/tt0133093/maindetails"></a><script>{"image":"https:\\/\\/a.example\\/film-0-1000-0-1500-crop.jpg"}</script></body>"""
+FILM = """<body data-tmdb-type="movie" data-tmdb-id="603"><a href="http://www.imdb.com/title/tt0133093/maindetails"></a><script>{"image":"https://a.example/other.jpg"}{"image" : "https://a.ltrbxd.com/resized/film-poster\\/1-alpha-0-1000-0-1500-crop.jpg?v=1-2-3-4-crop.jpg"}</script></body>"""
 
 
 def page(spark, body, url="https://s.example/x/"):
@@ -64,7 +64,7 @@ def test_reviews_and_backfill(spark):
     a, b = found.orderBy("pos").collect()
     assert (a["username"], a["rating"], a["liked"], a["spoiler"], a["truncated"], a["n_comments"], a["n_likes"], a["date"]) == ("ann", 3.5, True, False, True, 1002, 31, "2024-02-03")
     assert a["text"] == "Fine <3 &amp; more…"
-    assert (b["rating"], b["spoiler"], b["truncated"], b["full_text_url"], b["text"]) == (None, True, False, "/full/6", "Plain")
+    assert (b["rating"], b["spoiler"], b["truncated"], b["full_text_url"], b["text"]) == (None, True, False, "/s/full-text/viewing:6/", "Plain")
     full = spark.createDataFrame([(5, "whole"), (6, "unused")], "viewing_id long, text string")
     assert {r["viewing_id"]: r["text"] for r in extract.backfilled(found, full, "viewing_id").collect()} == {5: "whole", 6: "Plain"}
     assert extract.reviews(page(spark, "nothing")).count() == 0
@@ -73,7 +73,7 @@ def test_reviews_and_backfill(spark):
 def test_histogram_and_ids(spark):
     assert {r["stars"]: r["n"] for r in extract.histogram(page(spark, HISTOGRAM)).collect()} == {0.5: 1003, 3.5: 7, 1.0: 9}
     a, b = extract.film_ids(page(spark, FILM)).first(), extract.film_ids(page(spark, "<p>")).first()
-    assert (a["tmdb_id"], a["tmdb_type"], a["imdb_id"], a["poster"]) == (603, "movie", "tt0133093", "https://a.example/film-0-230-0-345-crop.jpg")
+    assert (a["tmdb_id"], a["tmdb_type"], a["imdb_id"], a["poster"]) == (603, "movie", "tt0133093", "https://a.ltrbxd.com/resized/film-poster/1-alpha-0-125-0-187-crop.jpg?v=1-2-3-4-crop.jpg")
     assert b["tmdb_id"] is None and b["imdb_id"] is None
 
 
