@@ -74,12 +74,15 @@ def eligible(films: DataFrame, max_pages: int, min_pool: int, mode: str = "taste
     return films.withColumn("eligible", fits)
 
 
-def chosen(films: DataFrame, budget: int) -> DataFrame:
-    """Whole films while their pages fit the budget, cheapest first. Costs ascend, so the first that doesn't fit ends
+def chosen(films: DataFrame, budget: int | None = None, percent: int = 20) -> DataFrame:
+    """Whole films while their pages fit the budget (in pages; without one, that percentage of the eligible films'
+    pages, so that the choice keeps up with the raters), cheapest first. Costs ascend, so the first that doesn't fit ends
     the choice: a running sum over the eligible films (one row each) decides."""
     order = Window.partitionBy("eligible").orderBy("pages_ge4", "film").rowsBetween(Window.unboundedPreceding, 0)
     films = films.withColumn("running", F.sum("pages_ge4").over(order))
-    return films.withColumn("chosen", F.col("eligible") & (F.col("running") <= budget))
+    total = F.sum("pages_ge4").over(Window.partitionBy("eligible"))
+    fits = F.col("running") <= budget if budget is not None else 100 * F.col("running") <= percent * total
+    return films.withColumn("chosen", F.col("eligible") & fits)
 
 
 def reasons(films: DataFrame, max_pages: int, min_pool: int) -> Column:

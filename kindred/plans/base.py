@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from kindred.operators import metrics, models, ratings, similarity
 
+#: BUDGET is a percentage of the eligible films' pages.
 MAX_PAGES, MIN_POOL, BUDGET, SEED = 2_000, 3, 20, 7
 FRIENDS = 15
 
@@ -45,7 +46,7 @@ class Base:
 
     @cached_property
     def planned(self) -> DataFrame:
-        return ratings.chosen(ratings.eligible(ratings.with_idf(self.catalogue), MAX_PAGES, MIN_POOL), BUDGET)
+        return ratings.chosen(ratings.eligible(ratings.with_idf(self.catalogue), MAX_PAGES, MIN_POOL), percent=BUDGET)
 
     @cached_property
     def seeds(self) -> DataFrame:

@@ -19,7 +19,7 @@ cat as (select *, cast(ceil(raters_ge4 / 25.0) as bigint) as pages_ge4, cast(cei
 crowd as (select film, sum(stars * n) / sum(n) as lb_avg from hist group by film),
 idfs as (select *, ln(sum(lb_total) over () / greatest(lb_total, 1)) as idf, pages_ge4 <= 2000 and raters_ge4 >= 3 as eligible from cat),
 planned0 as (select *, cast(sum(pages_ge4) over (partition by eligible order by pages_ge4, film rows unbounded preceding) as bigint) as running from idfs),
-planned as (select *, eligible and running <= 20 as chosen from planned0),
+planned as (select *, eligible and 100 * running <= 20 * sum(pages_ge4) over (partition by eligible) as chosen from planned0),
 seeds as (select film, idf from planned where chosen),
 edges as (
     select distinct e.user_id, e.film, e.kind, s.idf from (
@@ -151,7 +151,7 @@ STATEMENTS: dict[str, str] = {
     "seed_exclusion": "select user_id, film, rating from ratings where film not in (select film from seeds)",
     "friends_of_friends": "select x.src, y.dst, count(*) as paths from follows x join follows y on x.dst = y.src where x.src <> y.dst and not exists (select 1 from follows z where z.src = x.src and z.dst = y.dst) group by all",
     "heart_bump": "select user_id, film, case when liked and rating >= 3.5 and rating < 4 then 4.0 else rating end as rating from (select r.user_id, r.film, r.rating, exists (select 1 from feed f where f.liked and f.user_id = r.user_id and f.film = r.film) as liked from ratings r)",
-    "fulltext_backfill": "select doc_id, case when length(text) > 40 and lang = 'en' then text else substr(text, 1, 40) end as text, length(text) > 40 as truncated from documents",
+    "fulltext_backfill": "select doc_id, text, coalesce(length(text) > 200, false) as truncated from documents",
     "film_histogram": "select film, stars, n from hist",
     "film_pool_cost": "select film, lb_total, raters_ge4, pages_ge4, pages_all from cat",
     "crowd_average": "select film, round(lb_avg, 6) as lb_avg from crowd",
@@ -225,7 +225,7 @@ STATEMENTS: dict[str, str] = {
     "ranked_candidates": "select * from candidates order by n_seeds desc, score desc, user_id limit 30",
     "most_popular": "select film, lb_total from cat order by lb_total desc, film limit 8",
     "pages_to_enumerate": "select film, cast(sum(ceil(n / 25.0)) as bigint) as pages from hist where stars >= 4.5 group by film",
-    "crowd_fallback_join": "select user_id, film, round(coalesce(lb_avg, 3.0), 6) as pred from ratings left join (select * from crowd where film % 2 = 0) using (film)",
+    "crowd_fallback_join": "select user_id, film, round(coalesce(lb_avg, 3.0), 6) as pred from ratings left join crowd using (film)",
     "baseline_ladder": "select model, user_id, film, round(pred, 6) as pred, actual from base",
     "neighbour_cf": "select user_id, film, round(pred, 6) as pred, actual from cf",
     "cf_blend": "select user_id, film, round(greatest(0.5, least(5.0, 0.5 * b.pred + 0.5 * raw)), 6) as pred, cf.actual from cf join (select user_id, film, pred from base where model = 'user + crowd') b using (user_id, film)",

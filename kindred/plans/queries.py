@@ -11,7 +11,7 @@ from kindred.functions import columns as C
 from kindred.functions.columns import six
 from kindred.operators import extract, metrics, models, ratings, similarity
 from kindred.plans import markup
-from kindred.plans.base import BUDGET, FRIENDS, MAX_PAGES, MIN_POOL, SEED, Base
+from kindred.plans.base import FRIENDS, MAX_PAGES, MIN_POOL, SEED, Base
 from kindred.sources import pages
 
 Query = Callable[[Base], DataFrame]
@@ -50,10 +50,11 @@ def html_strip_tags(b: Base) -> DataFrame:
 
 
 def fulltext_backfill(b: Base) -> DataFrame:
-    docs = b.table("documents")
-    short = F.substr("text", F.lit(1), F.lit(40))
-    cut = docs.select("doc_id", short.alias("text"), (F.length("text") > 40).alias("truncated"))
-    return extract.backfilled(cut, docs.where(F.col("lang") == "en").select("doc_id", "text"), "doc_id")
+    """A listing shows long texts up to an ellipsis; all of them are filled up from the whole texts."""
+    docs = b.table("documents").select("doc_id", "text")
+    long = F.coalesce(F.length("text") > 200, F.lit(False))
+    listing = docs.select("doc_id", F.when(long, F.concat(F.substr("text", F.lit(1), F.lit(200)), F.lit("…"))).otherwise(F.col("text")).alias("text"), long.alias("truncated"))
+    return extract.backfilled(listing, docs, "doc_id")
 
 
 def text_summary(b: Base) -> DataFrame:
@@ -278,7 +279,7 @@ QUERIES: dict[str, Query] = {
     "ranked_candidates": lambda b: b.candidates.orderBy(F.desc("n_seeds"), F.desc("score"), "user_id").limit(30),
     "most_popular": lambda b: b.catalogue.orderBy(F.desc("lb_total"), "film").limit(8).select("film", "lb_total"),
     "pages_to_enumerate": lambda b: b.hist.where("stars >= 4.5").groupBy("film").agg(F.sum(C.pages_for(F.col("n"), ratings.PER_PAGE)).alias("pages")),
-    "crowd_fallback_join": lambda b: rounded(b.ratings.join(b.crowd.where(F.col("film") % 2 == 0), "film", "left").withColumn("pred", F.coalesce("lb_avg", F.lit(3.0))).select("user_id", "film", "pred"), "pred"),
+    "crowd_fallback_join": lambda b: rounded(b.ratings.join(b.crowd, "film", "left").withColumn("pred", F.coalesce("lb_avg", F.lit(3.0))).select("user_id", "film", "pred"), "pred"),
     "baseline_ladder": lambda b: rounded(b.baselines, "pred"),
     "neighbour_cf": lambda b: rounded(b.cf.select("user_id", "film", "pred", "actual"), "pred"),
     "cf_blend": lambda b: rounded(models.blended(b.cf, b.baselines), "pred"),
