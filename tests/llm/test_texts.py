@@ -275,6 +275,26 @@ def test_html_wrapper(spark):
     assert html.with_main_text(spark.createDataFrame([], "url string, html string")).count() == 0
 
 
+NEUTRAL = "<html><body><div class=a><div class=b><p>Site name</p><div>All topics <b>and more</b></div></div></div><div class=c><h1>Title {i}</h1><p>Own words {i} of page {i}</p></div><div class=d><div><p>Made by us</p><p>since 1999</p></div></div>"
+
+
+def test_html_induction_alone(spark):
+    """Furniture without telling tags or names, some of it nested, goes by alignment only, whatever the order of pages."""
+    rows = [(i, f"https://n.example/{i}", NEUTRAL.format(i=i)) for i in range(12)]
+    assert html.main_text(rows[3][2], None) != "Title 3 Own words 3 of page 3"
+    for order in (rows, rows[::-1]):
+        got = {r["page_id"]: r["text"] for r in html.with_main_text(spark.createDataFrame(order, "page_id long, url string, html string")).collect()}
+        assert got == {i: f"Title {i} Own words {i} of page {i}" for i in range(12)}
+
+
+def test_html_deep_and_misnamed_pages(spark):
+    deep = "<div>" * 5000 + "deep text" + "</div>" * 5000 + "<p>after"
+    layout = "<div class='layout has-sidebar'><article class='post social-news'><p>Long article text that is most of the page</p></article><div class=sidebar>side</div></div>"
+    rows = [(1, "https://d.example/", deep), (2, "https://e.example/", layout)]
+    got = {r["page_id"]: r["text"] for r in html.with_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {1: "deep text after", 2: "Long article text that is most of the page"}
+
+
 def test_html_joined_by_host(spark, folder, monkeypatch):
     whole = {r["page_id"]: r["text"] for r in queries.op1_html_extraction(spark, folder).collect()}
     monkeypatch.setattr(html, "BROADCAST_BYTES", 0)
