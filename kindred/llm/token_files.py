@@ -25,6 +25,8 @@ from .common import blocks_of
 
 BLOCK, LANES = 4096, 1024
 TEXTS_PER_PART = 8_000
+#: The starts of so many file rows (of up to ``BLOCK`` * ``LANES`` ids) are broadcast at most; beyond, the ids are shuffled to them.
+MOST_ROWS = 1_000_000
 #: Distinct words whose ids a task remembers, in each of two generations.
 WORDS_KEPT = 250_000
 _SLOTS = 10
@@ -319,4 +321,5 @@ def read_tokens(files: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([row["part"]] * len(whole), pa.int32()), pa.array([row["row"]] * len(whole), pa.int32()), pa.array(row["doc_ids"], pa.int64()), pa.array(firsts, pa.int64()), pa.array(row["lengths"], pa.int64()), pa.array(whole, pa.binary())], ["part", "row", "doc_id", "first", "n_tokens", "ids"])
 
     found = files.mapInArrow(docs, "part int, row int, doc_id long, first long, n_tokens long, ids binary")
-    return found.join(starts, ["part", "row"]).select("doc_id", (F.col("start") + F.col("first")).alias("start"), "n_tokens", "ids")
+    few = files.count() <= MOST_ROWS
+    return found.join(F.broadcast(starts) if few else starts, ["part", "row"]).select("doc_id", (F.col("start") + F.col("first")).alias("start"), "n_tokens", "ids")
