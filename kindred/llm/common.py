@@ -51,7 +51,7 @@ def cut(df: DataFrame) -> DataFrame:
 
 #: Bytes of an Arrow batch that goes to a Python worker, where the session has Spark's own setting; long texts would
 #: otherwise come 10,000 at a time.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 
 
 def bound_batches(spark: SparkSession) -> None:

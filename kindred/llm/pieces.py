@@ -36,11 +36,11 @@ UNKNOWN_PENALTY = 10.0
 #: Scores below this are those of reserved pieces, not of worst ones.
 RESERVED = -1e8
 #: A generation of the cache ends with the batch in which it reaches so many segments.
-GENERATION = 40_000
+GENERATION = 15_000
 #: Parts up to this length are solved side by side, as many as have so many lattice cells.
-SIDE_BY_SIDE, CELLS = 40, 600_000
+SIDE_BY_SIDE, CELLS = 40, 300_000
 #: Characters of texts whose new parts are solved together.
-TOGETHER = 1_000_000
+TOGETHER = 500_000
 N_BEST = 3
 
 
@@ -363,7 +363,11 @@ def with_pieces(docs: DataFrame, path: str, text: str = "text", n: int = N_BEST)
                     row = (found[0][1], len(found[0][1]) // 4, [s for s, _ in found], [zlib.crc32(ids) for _, ids in found], exact)
                     for column, x in zip(columns, row, strict=True):
                         column.append(x)
-                yield pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["ids", "n_pieces", "scores", "crcs", "exact"])
+                out = pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["ids", "n_pieces", "scores", "crcs", "exact"])
+                del columns, texts
+                yield out
+                del out
+                give_back()
         finally:  # the worker goes on to other stages
             model.fresh, model.stale = {}, {}
             gc.collect()
