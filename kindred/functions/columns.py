@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from string import Formatter
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -82,6 +83,33 @@ def paged(base: Column, page: Column) -> Column:
     return F.concat(base, F.when(page == 1, F.lit("")).otherwise(F.concat(F.lit("page/"), page.cast("string"), F.lit("/"))))
 
 
+#: Addresses by kind; the first page of a list has no suffix. Fixed values.
+ADDRESSES = {
+    "feed": "/{user}/rss/",
+    "films": "/{user}/films/{page}",
+    "following": "/{user}/following/{page}",
+    "followers": "/{user}/followers/{page}",
+    "film": "/film/{film}/",
+    "reviews": "/film/{film}/reviews/by/{sort}/",
+    "histogram": "/csi/film/{film}/rating-histogram/",
+    "friends": "/{user}/friends/film/{film}/",
+    "rated": "/film/{film}/members/rated/{stars}/{page}",
+    "members": "/film/{film}/members/{page}",
+    "likes": "/film/{film}/likes/{page}",
+}
+
+
+def address(kind: str, base: str, **parts: Column) -> Column:
+    """Address of a page; ``parts`` fill in its kind's names: user, film, sort, stars (a rating) and page (a number)."""
+    tokens = F.create_map(*[F.lit(x) for token, stars in STAR_TOKENS.items() if token != "1/2" for x in (stars, token)])
+    if "stars" in parts:
+        parts["stars"] = F.try_element_at(tokens, parts["stars"].cast("double"))
+    if "page" in parts:
+        parts["page"] = paged(F.lit(""), parts["page"])
+    pieces = [x for text, name, *_ in Formatter().parse(ADDRESSES[kind]) for x in (F.lit(text), parts[name].cast("string") if name else None) if x is not None]
+    return F.concat(F.lit(base), *pieces)
+
+
 def sha_shard(x: Column, shards: int) -> Column:
     """The whole SHA-256 digest as a number, modulo ``shards``."""
     digits = F.transform(F.sequence(F.lit(1), F.lit(64)), lambda i: F.conv(F.substr(F.sha2(x.cast("binary"), 256), i, F.lit(1)), 16, 10).cast("long"))

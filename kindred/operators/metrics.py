@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kindred.functions.aggregates import auc, average_rank, positional
+from kindred.functions.aggregates import elements
 from kindred.functions.columns import ln_factorial, share, six
 from kindred.operators.similarity import MIRROR, TWIN
 
 LIKED = 4.0
+#: Slices that a unit of predictions is cut into where groups are large.
+SLICES_PER_UNIT = 4_096
 
 
 def errors(predictions: DataFrame, by: list[str]) -> DataFrame:
@@ -35,10 +37,23 @@ def precision_at(predictions: DataFrame, by: list[str], k: int, fixed: bool = Fa
     return top.groupBy(*by).agg(six(hits / (F.lit(float(k)) if fixed else F.count("*"))).alias("precision_at_k"))
 
 
-def areas(predictions: DataFrame, by: list[str], threshold: float = LIKED) -> DataFrame:
-    """AUC by group, from ranks (never from pairs); null without both classes."""
-    rows = predictions.withColumn("_p", F.round("pred", 9)).withColumn("_rank", average_rank(by, "_p")).withColumn("_y", F.col("actual") >= threshold)
-    return rows.groupBy(*by).agg(six(auc("_y", "_rank")).alias("auc"))
+def areas(predictions: DataFrame, by: list[str], threshold: float = LIKED, large: bool = False) -> DataFrame:
+    """AUC by group, ties half, from the counts of distinct predictions (never from pairs); null without both classes.
+    Predictions count as equal if their first nine decimals are. ``large``: groups may be too large for one task, so
+    negatives are counted by slices of predictions first and then within each slice."""
+    true = F.col("actual") >= threshold
+    counts = predictions.groupBy(*by, F.round("pred", 9).alias("_p")).agg(F.count_if(true).alias("_pos"), F.count_if(~true).alias("_neg"))
+    inside, before = list(by), F.lit(0)
+    if large:
+        counts = counts.withColumn("_slice", F.floor(F.col("_p") * SLICES_PER_UNIT))
+        ahead = Window.partitionBy(*by).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+        sums = counts.groupBy(*by, "_slice").agg(F.sum("_neg").alias("_n"))
+        sums = sums.select(*by, "_slice", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_before"))
+        inside.append("_slice")
+        counts, before = counts.join(sums, inside), F.col("_before")
+    upto = F.sum("_neg").over(Window.partitionBy(*inside).orderBy("_p").rowsBetween(Window.unboundedPreceding, 0))
+    rows = counts.withColumn("_won", F.col("_pos") * (before + upto - F.col("_neg") / 2))
+    return rows.groupBy(*by).agg(six(F.try_divide(F.sum("_won"), F.sum("_pos").cast("double") * F.sum("_neg"))).alias("auc"))
 
 
 def ndcg(predictions: DataFrame, by: list[str], k: int, threshold: float = LIKED) -> DataFrame:
@@ -66,7 +81,7 @@ def calibration(rows: DataFrame, by: list[str], p: str = "p", label: str = "labe
     rows = rows.withColumn("_q", q)
     loss = -F.when(y == 1, F.ln("_q")).otherwise(F.ln(1 - F.col("_q")))
     sums = rows.groupBy(*by).agg(six(F.avg((F.col("_q") - y) ** 2)).alias("brier"), six(F.avg(loss)).alias("logloss"))
-    ranks = areas(rows.select(*by, F.col("_q").alias("pred"), y.alias("actual")), by, threshold=1.0)
+    ranks = areas(rows.select(*by, F.col("_q").alias("pred"), y.alias("actual")), by, threshold=1.0, large=True)
     return sums.join(ece(rows, by, "_q", label), by).join(ranks, by)
 
 
@@ -79,18 +94,10 @@ def arm_summary(scored: DataFrame, high: int = 15) -> DataFrame:
         F.count("*").alias("n_attempted"), n.alias("n"), F.count_if(r >= TWIN).alias("twins"), F.count_if(r <= MIRROR).alias("mirrors"), six(F.avg("r")).alias("mean_r"), six(F.avg(F.abs("r"))).alias("mean_abs"),
         F.count_if(hi).alias("hi_n"), F.count_if(hi & (r >= TWIN)).alias("hi_twins"), six(F.avg(F.when(hi, r))).alias("hi_mean_r"),
     )
-    median = upper_median(scored.where("r is not null"), "arm", "n_common").withColumnRenamed("value", "median_common")
+    median = elements(scored.where("r is not null"), "arm", "n_common", {"median_common": 0.5})
     return rows.join(median, "arm", "left").withColumns({"scorable": six(share(F.col("n"), F.col("n_attempted"))), "twin_rate": six(share(F.col("twins"), F.col("n")))})
 
 
-def upper_median(rows: DataFrame, by: str, value: str) -> DataFrame:
-    """(by, value): element n // 2 of the sorted integers, from their counts: no list of all values is built."""
-    counts = rows.groupBy(by, value).agg(F.count("*").alias("n"))
-    below = F.sum("n").over(Window.partitionBy(by).orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
-    at = F.floor(F.sum("n").over(Window.partitionBy(by)) / 2)
-    return counts.select(by, F.col(value).alias("value"), (below > at).alias("past")).where("past").groupBy(by).agg(F.min("value").alias("value"))
-
-
 def fisher(tables: DataFrame, a: str, b: str, c: str, d: str) -> DataFrame:
     """Adds p: Fisher's exact test, two-sided: all tables no likelier than the one seen (1e-12 as slack)."""
     a_, b_, c_, d_ = (F.col(x) for x in (a, b, c, d))
@@ -121,4 +128,5 @@ def cohort_distribution(rows: DataFrame) -> DataFrame:
     ok = rows.where("auc_cf is not null and auc_user is not null")
     values = F.explode(F.array(*[F.struct(F.lit(k).alias("metric"), F.col(k).cast("double").alias("v")) for k in ("auc_cf", "auc_user", "coverage", "n_scored")]))
     long = ok.select(values.alias("x"), (F.col("auc_cf") > F.col("auc_user")).alias("won"), (F.col("auc_cf") > 0.7).alias("good")).select("x.metric", "x.v", "won", "good")
-    return long.groupBy("metric").agg(F.count("*").alias("n"), six(F.median("v")).alias("median"), positional("v", 0.25).alias("lower"), positional("v", 0.75).alias("upper"), F.count_if(F.col("won")).alias("wins"), F.count_if(F.col("good")).alias("good"))
+    sums = long.groupBy("metric").agg(F.count("*").alias("n"), six(F.median("v")).alias("median"), F.count_if(F.col("won")).alias("wins"), F.count_if(F.col("good")).alias("good"))
+    return sums.join(elements(long, "metric", "v", {"lower": 0.25, "upper": 0.75}), "metric")

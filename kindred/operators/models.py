@@ -89,10 +89,11 @@ def isotonic(cal: DataFrame, rows: DataFrame, score: str = "score", label: str =
 
 
 def temperature(cal: DataFrame, rows: DataFrame, score: str = "score", label: str = "label", middle: float = 3.5, steps: int = 400) -> DataFrame:
-    """``rows`` with p = sigmoid((score - middle) / T), T the best of a logarithmic grid from 0.05 to 20 by log loss,
-    which one aggregation over the calibration rows finds."""
+    """``rows`` with p = sigmoid((score - middle) / T), T the best of a logarithmic grid from 0.05 to 20 by log loss over
+    the calibration rows. They are counted by score (to four decimals) and label before the grid multiplies them."""
     grid = F.transform(F.sequence(F.lit(0), F.lit(steps)), lambda i: F.exp(F.lit(-2.995732) + i * (5.991465 / steps)))
-    p = clamp(1 / (1 + F.exp(-(F.col(score) - middle) / F.col("t"))), 1e-6, 1 - 1e-6)
-    loss = F.avg(-F.when(F.col(label) == 1, F.ln(p)).otherwise(F.ln(1 - p)))
-    best = cal.select(score, label, F.explode(grid).alias("t")).groupBy("t").agg(loss.alias("loss")).agg(F.min_by("t", "loss").alias("t"))
+    counts = cal.groupBy(F.round(score, 4).alias("s"), F.col(label).alias("y")).agg(F.count("*").alias("n"))
+    p = clamp(1 / (1 + F.exp(-(F.col("s") - middle) / F.col("t"))), 1e-6, 1 - 1e-6)
+    loss = F.sum(-F.col("n") * F.when(F.col("y") == 1, F.ln(p)).otherwise(F.ln(1 - p)))
+    best = counts.select("s", "y", "n", F.explode(grid).alias("t")).groupBy("t").agg(loss.alias("loss")).agg(F.min_by("t", "loss").alias("t"))
     return rows.crossJoin(F.broadcast(best)).withColumn("p", 1 / (1 + F.exp(-(F.col(score) - middle) / F.col("t")))).drop("t")

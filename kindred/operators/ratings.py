@@ -15,6 +15,10 @@ from kindred.functions.columns import pages_for, share, six
 
 FEED_LENGTH = 20
 PER_PAGE, FILMS_PER_PAGE = 25, 72
+#: Running sums over films are taken in blocks of so many film ids.
+FILMS_PER_BLOCK = 1_000
+#: Rows are placed in a global order by way of so many slices of it, at most.
+SLICES = 1 << 16
 MIN_SD, MAX_MODAL, MIN_RATED = 0.5, 0.5, 30
 
 
@@ -66,7 +70,8 @@ def crowd(hist: DataFrame) -> DataFrame:
 
 def with_idf(films: DataFrame, total: str = "lb_total") -> DataFrame:
     """idf over the films given: the finder passes its seeds, the picker the whole catalogue."""
-    return films.withColumn("idf", F.ln(F.sum(total).over(Window.partitionBy()) / F.greatest(F.col(total), F.lit(1))))
+    whole = films.agg(F.sum(total).alias("_whole"))
+    return films.crossJoin(F.broadcast(whole)).withColumn("idf", F.ln(F.col("_whole") / F.greatest(F.col(total), F.lit(1)))).drop("_whole")
 
 
 def eligible(films: DataFrame, max_pages: int, min_pool: int, mode: str = "taste") -> DataFrame:
@@ -77,12 +82,16 @@ def eligible(films: DataFrame, max_pages: int, min_pool: int, mode: str = "taste
 def chosen(films: DataFrame, budget: int | None = None, percent: int = 20) -> DataFrame:
     """Whole films while their pages fit the budget (in pages; without one, that percentage of the eligible films'
     pages, so that the choice keeps up with the raters), cheapest first. Costs ascend, so the first that doesn't fit ends
-    the choice: a running sum over the eligible films (one row each) decides."""
-    order = Window.partitionBy("eligible").orderBy("pages_ge4", "film").rowsBetween(Window.unboundedPreceding, 0)
-    films = films.withColumn("running", F.sum("pages_ge4").over(order))
-    total = F.sum("pages_ge4").over(Window.partitionBy("eligible"))
-    fits = F.col("running") <= budget if budget is not None else 100 * F.col("running") <= percent * total
-    return films.withColumn("chosen", F.col("eligible") & fits)
+    the choice. Running sums are taken within blocks of equal cost, and over the blocks' sums before them."""
+    films = films.withColumn("_block", F.floor(F.col("film") / FILMS_PER_BLOCK))
+    block = ["eligible", "pages_ge4", "_block"]
+    blocks = films.groupBy(*block).agg(F.sum("pages_ge4").alias("_pages"))
+    ahead = Window.partitionBy("eligible").orderBy("pages_ge4", "_block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.withColumns({"_before": F.coalesce(F.sum("_pages").over(ahead), F.lit(0)), "_total": F.sum("_pages").over(Window.partitionBy("eligible"))})
+    inside = F.sum("pages_ge4").over(Window.partitionBy(*block).orderBy("film").rowsBetween(Window.unboundedPreceding, 0))
+    films = films.join(blocks.drop("_pages"), block).withColumn("running", F.col("_before") + inside)
+    fits = F.col("running") <= budget if budget is not None else 100 * F.col("running") <= percent * F.col("_total")
+    return films.withColumn("chosen", F.col("eligible") & fits).drop("_block", "_before", "_total")
 
 
 def reasons(films: DataFrame, max_pages: int, min_pool: int) -> Column:
@@ -140,25 +149,39 @@ def draw(*columns: str, seed: int) -> Column:
     return F.md5(F.concat_ws(":", *columns, F.lit(str(seed))).cast("binary"))
 
 
-def uniform(*columns: str, seed: int) -> Column:
-    """The draw as a number from 0 to 1, so that a split needs no sort."""
-    return F.conv(F.substr(draw(*columns, seed=seed), F.lit(1), F.lit(8)), 16, 10).cast("double") / float(1 << 32)
+def placed(rows: DataFrame, slice_of: Column, *order: Column | str) -> DataFrame:
+    """Adds place, from 1, in the order of ``slice_of`` and then ``order``, and n, the number of rows. Slices (``SLICES``
+    at most) are counted first, so each is sorted by itself and no task sees all rows."""
+    rows = rows.withColumn("_slice", slice_of)
+    counts = rows.groupBy("_slice").agg(F.count("*").alias("_n"))
+    ahead = Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.withColumns({"_before": F.coalesce(F.sum("_n").over(ahead), F.lit(0)), "n": F.sum("_n").over(Window.partitionBy())})
+    inside = F.row_number().over(Window.partitionBy("_slice").orderBy(*order))
+    return rows.join(F.broadcast(counts.drop("_n")), "_slice").withColumn("place", F.col("_before") + inside).drop("_slice", "_before")
 
 
-def hash_split(ratings: DataFrame, cuts: dict[str, float], seed: int) -> DataFrame:
-    """Parts by share: the name of the first cut that the draw is below."""
-    x, part = uniform("user_id", "film", seed=seed), None
-    for name, below in cuts.items():
-        part = F.when(x < below, name) if part is None else part.when(x < below, name)
-    return ratings.withColumn("part", part)
+def drawn(rows: DataFrame, seed: int) -> DataFrame:
+    """``placed`` in the random order of ``draw`` over users and films; slices are its first four digits."""
+    order = draw("user_id", "film", seed=seed)
+    return placed(rows, F.conv(F.substr(order, F.lit(1), F.lit(4)), 16, 10).cast("long"), order, "user_id", "film")
+
+
+def random_split(ratings: DataFrame, cuts: dict[str, float], seed: int) -> DataFrame:
+    """Parts of exact size: the name of the first cut whose share of all rows, rounded down, reaches the row's place."""
+    part = None
+    for name, share_below in cuts.items():
+        fits = F.col("place") <= F.floor(F.lit(share_below) * F.col("n"))
+        part = F.when(fits, name) if part is None else part.when(fits, name)
+    return drawn(ratings, seed).withColumn("part", part).drop("place", "n")
 
 
 def temporal_split(ratings: DataFrame, train: float = 0.9) -> DataFrame:
-    """Global cut by time: ratings up to the ``train`` quantile of time are train. The cut is an aggregate, so nothing
-    is sorted in one partition."""
+    """Global cut by time: the first ``train`` of all ratings, rounded down, are train; ties by user and film."""
     micros = F.unix_micros(F.col("ts").cast("timestamp"))
-    cut = ratings.agg(F.percentile(micros, train).alias("cut"))
-    return ratings.crossJoin(F.broadcast(cut)).withColumn("is_test", micros > F.col("cut")).drop("cut")
+    span = ratings.agg(F.min(micros).alias("_low"), ((F.max(micros) - F.min(micros)) / (SLICES - 1) + 1).alias("_width"))
+    rows = ratings.crossJoin(F.broadcast(span))
+    rows = placed(rows, F.coalesce(F.floor((micros - F.col("_low")) / F.col("_width")), F.lit(-1)), "ts", "user_id", "film")
+    return rows.withColumn("is_test", F.col("place") > F.floor(F.lit(train) * F.col("n"))).drop("_low", "_width", "place", "n")
 
 
 def last_out(ratings: DataFrame) -> DataFrame:
@@ -180,3 +203,9 @@ def holdout(ratings: DataFrame, size: int, least: int, seed: int) -> DataFrame:
 
 def sampled(rows: DataFrame, size: int, key: str, seed: int) -> DataFrame:
     return rows.orderBy(draw(key, seed=seed), key).limit(size)
+
+
+def frame_pool(ratings: DataFrame, films: DataFrame, frame: int = 20, least: float = 4.0) -> DataFrame:
+    """(user_id): who rated one of the ``frame`` most rated films high, each once."""
+    popular = films.orderBy(F.desc("lb_total"), "film").limit(frame).select("film")
+    return ratings.where(F.col("rating") >= least).join(popular, "film", "left_semi").select("user_id").distinct()

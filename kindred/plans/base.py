@@ -56,11 +56,14 @@ class Base:
     def candidates(self) -> DataFrame:
         return ratings.candidates(ratings.seed_edges(self.feed, self.ratings, self.seeds))
 
+    @cached_property
+    def first_user(self) -> DataFrame:
+        return self.ratings.agg(F.min("user_id").alias("user_id"))
+
     @cached_property
     def mine(self) -> DataFrame:
         """One member's ratings of the seeds: those of the smallest id."""
-        first = self.ratings.agg(F.min("user_id").alias("user_id"))
-        return self.ratings.join(self.seeds, "film", "left_semi").join(first, "user_id", "left_semi").select("film", F.col("rating").alias("my_rating"))
+        return self.ratings.join(self.seeds, "film", "left_semi").join(self.first_user, "user_id", "left_semi").select("film", F.col("rating").alias("my_rating"))
 
     @cached_property
     def split(self) -> DataFrame:
@@ -85,7 +88,7 @@ class Base:
 
     @cached_property
     def parts(self) -> DataFrame:
-        return ratings.hash_split(self.ratings, {"train": 0.7, "cal": 0.85, "test": 1.1}, SEED)
+        return ratings.random_split(self.ratings, {"train": 0.7, "cal": 0.85, "test": 1.0}, SEED)
 
     @cached_property
     def scored(self) -> DataFrame:

@@ -62,8 +62,8 @@ base as (
     union all select 'user + crowd', user_id, film, mu + lb_avg - overall, actual from test where lb_avg is not null),
 preds as (select model, user_id, film, pred, actual from base union all select 'neighbour cf', user_id, film, pred, actual from cf),
 drawn as (select *, md5(concat_ws(':', user_id, film, '7')) as draw from ratings),
-uniform as (select *, list_reduce(list_prepend(0, list_transform(string_split(substr(draw, 1, 8), ''), lambda c: cast(strpos('0123456789abcdef', c) - 1 as bigint))), lambda a, d: a * 16 + d) / 4294967296.0 as u from drawn),
-parts as (select *, case when u < 0.7 then 'train' when u < 0.85 then 'cal' else 'test' end as part from uniform),
+placed as (select *, row_number() over (order by draw, user_id, film) as place, count(*) over () as n from drawn),
+parts as (select *, case when place <= floor(0.7::double * n) then 'train' when place <= floor(0.85::double * n) then 'cal' else 'test' end as part from placed),
 bmu as (select avg(rating) as bmu from parts where part = 'train'),
 bi as (select film, sum(rating - bmu) / (count(*) + 25) as bi from parts, bmu where part = 'train' group by film),
 bu as (select user_id, sum(rating - bmu - bi) / (count(*) + 10) as bu from parts join bi using (film), bmu where part = 'train' group by user_id),
@@ -115,6 +115,10 @@ def _paired(metric: str) -> str:
     return f"""select user_id, round(sqrt(avg((pred - actual) * (pred - actual))), 6) as rmse from {metric} group by user_id"""
 
 
+#: The best temperature of the grid on the calibration part, applied to the test part.
+_TEMPERATURE = """(select 'temperature' as model, label, 1 / (1 + exp(-(score - 3.5) / t)) as p from scored, (
+    select t from (select round(score, 4) as s, label, count(*) as n from scored where part = 'cal' group by all), (select exp(-2.995732 + i * (5.991465 / 400)) as t from range(401) r(i))
+    group by t order by sum(-n * case when label = 1 then ln(greatest(1e-6, least(1 - 1e-6, 1 / (1 + exp(-(s - 3.5) / t))))) else ln(1 - greatest(1e-6, least(1 - 1e-6, 1 / (1 + exp(-(s - 3.5) / t))))) end), t limit 1) where part = 'test')"""
 _LN_P = "exp(lgamma(a + b + 1) + lgamma(c + d + 1) + lgamma(a + c + 1) + lgamma(b + d + 1) - lgamma(a + b + c + d + 1) - lgamma(i + 1) - lgamma(a + b - i + 1) - lgamma(a + c - i + 1) - lgamma(d - a + i + 1))"
 _COHORT = f"""select user_id, n_scored, rmse, auc_cf, auc_user, round(n_scored / n_test, 6) as coverage from (select user_id, count(*) filter (is_test) as n_test from split group by user_id)
     join (select user_id, count(*) as n_scored, 0 as rmse from cf group by user_id) using (user_id)
@@ -216,9 +220,9 @@ STATEMENTS: dict[str, str] = {
     "calibration_metrics": _calibration("naive"),
     "naive_calibration": "select user_id, film, label, model, round(p, 6) as p from naive",
     "recent_split": "select user_id, film, is_test from split",
-    "global_temporal_split": "select user_id, film, epoch_us(ts) > (select quantile_cont(cast(epoch_us(ts) as double), 0.9) from ratings) as is_test from ratings",
+    "global_temporal_split": "select user_id, film, row_number() over (order by ts, user_id, film) > floor(0.9::double * count(*) over ()) as is_test from ratings",
     "per_user_holdout": "select user_id, film, row_number() over (partition by user_id order by draw, film) <= 10 and count(*) over (partition by user_id) >= 25 as is_test from drawn",
-    "random_split": "select user_id, film, case when u < 0.9 then 'train' else 'test' end as part from uniform",
+    "random_split": "select user_id, film, case when place <= floor(0.9::double * n) then 'train' else 'test' end as part from placed",
     "three_way_split": "select user_id, film, part from parts",
     "leave_one_out_random": "select user_id, film, row_number() over (partition by user_id order by draw, film) = 1 as is_test from drawn",
     "control_sample": "select user_id, score from candidates where n_seeds = 1 order by md5(concat_ws(':', user_id, '7')), user_id limit 30",
@@ -239,6 +243,23 @@ STATEMENTS: dict[str, str] = {
             select 'both' as op, user_id from (select user_id from events where event_type = 'purchase' intersect select user_id from events where event_type = 'signup')
             union all select 'either', user_id from (select user_id from events where event_type = 'purchase' union select user_id from events where event_type = 'signup')
             union all select 'first only', user_id from (select user_id from events where event_type = 'purchase' except select user_id from events where event_type = 'signup')) group by op""",
+    "temperature_scaling": _calibration(_TEMPERATURE),
+    "page_addresses": """
+        select user_id, film, unnest(['feed', 'films', 'following', 'followers', 'film', 'reviews', 'histogram', 'friends', 'rated', 'members', 'likes']) as kind,
+            'https://s.example' || unnest([u || '/rss/', u || '/films/' || pg, u || '/following/' || pg, u || '/followers/' || pg, f || '/', f || '/reviews/by/activity/', '/csi' || f || '/rating-histogram/', u || '/friends' || f || '/',
+                f || '/members/rated/' || case when rating >= 1 then cast(cast(floor(rating) as integer) as varchar) else '' end || case when rating % 1 <> 0 then '%C2%BD' else '' end || '/' || pg, f || '/members/' || pg, f || '/likes/' || pg]) as url
+        from (select user_id, film, rating, '/' || user_id as u, '/film/' || film as f, case when film % 3 = 0 then '' else 'page/' || (film % 3 + 1) || '/' end as pg from ratings)""",
+    "missing_fields": """
+        select field, best, best < 0.5 as missing from (select unnest(['film', 'rating', 'liked_true']) as field, unnest([max(f), max(r), max(l)]) as best from (
+            select round(count(film) / count(*), 3) as f, round(count(rating) / count(*), 3) as r, round(count(*) filter (liked) / count(*), 3) as l from feed group by user_id))""",
+    "films_by_cost": "select film, pages_ge4, coalesce(rating, -1.0) as rating from cat left join (select film, rating from ratings where user_id = (select min(user_id) from ratings)) using (film)",
+    "first_common": """
+        select a, b, string_agg(cast(film as varchar), ',' order by film) as common from (
+            select l.user_id as a, r.user_id as b, film, row_number() over (partition by l.user_id, r.user_id order by film) as n from ratings l join ratings r using (film)
+            where l.user_id = (select min(user_id) from ratings) and r.user_id <> l.user_id) where n <= 20 group by a, b""",
+    "poster_lookup": "select film, coalesce(poster, '') as poster from cat left join (select page_id as film, min(url) as poster from pages group by page_id) using (film)",
+    "seed_ranking": "select * from agree order by n_shared desc, agree_rate desc, abs(mean_gap), user_id limit 30",
+    "frame_sample": "select user_id from (select distinct user_id from ratings where rating >= 4 and film in (select film from cat order by lb_total desc, film limit 20)) order by md5(concat_ws(':', user_id, '7')), user_id limit 50",
 }
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kindred.functions import columns as C
+from kindred.functions.aggregates import elements
 from kindred.functions.columns import six
 from kindred.operators import extract, metrics, models, ratings, similarity
 from kindred.plans import markup
@@ -16,6 +17,7 @@ from kindred.sources import pages
 
 Query = Callable[[Base], DataFrame]
 NOW = 1_000_000.0
+SITE = "https://s.example"
 STORE = [("https://a.example/1/", 200, "x", "http", 900_000.0), ("https://a.example/2/", 404, "", "http", 990_000.0), ("https://b.example/1/", 503, "", "http", 100_000.0), ("https://b.example/2/", 204, "yz", "http", 1.0)]
 ROUTED = [("https://a.example/u/rss/", 200), ("https://a.example/u/films/page/2/", 200), ("https://a.example/film/x/reviews/", 200), ("https://a.example/u/following/", 200), ("https://a.example/film/x/", 200), ("https://a.example/film/x/", 500), ("https://a.example/about", 200)]
 GLYPHS = [(1, "Film - ★★★★½"), (2, "Film - ★★"), (3, "Film"), (4, "Film - ½"), (5, "★ Film ★★★ ")]
@@ -131,9 +133,11 @@ def user_labels(b: Base) -> DataFrame:
 
 
 def quantiles(b: Base) -> DataFrame:
-    from kindred.functions.aggregates import positional
-
-    return user_labels(b).agg(*[positional(c, p).alias(f"{c}_{int(p * 100)}") for c in ("like_rate", "entropy", "sd") for p in (0.1, 0.5, 0.9)])
+    measures = ["like_rate", "entropy", "sd"]
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("measure"), F.col(c).alias("v")) for c in measures]))
+    long = user_labels(b).select(each.alias("m")).select("m.measure", "m.v")
+    found = elements(long, "measure", "v", {"10": 0.1, "50": 0.5, "90": 0.9})
+    return found.groupBy().pivot("measure", measures).agg(*[F.first(q).alias(q) for q in ("10", "50", "90")])
 
 
 def selection_budget(b: Base) -> DataFrame:
@@ -160,7 +164,7 @@ def rounded(df: DataFrame, *columns: str) -> DataFrame:
 
 def calibrated(fit: Callable) -> Query:
     def run(b: Base) -> DataFrame:
-        scored = b.scored.persist()
+        scored = b.scored
         out = fit(scored.where("part = 'cal'").select("score", "label"), scored.where("part = 'test'"))
         return metrics.calibration(out.withColumn("model", F.lit(fit.__name__)).select("model", "p", "label"), ["model"])
 
@@ -168,10 +172,41 @@ def calibrated(fit: Callable) -> Query:
 
 
 def sweep(b: Base) -> DataFrame:
-    cal = b.scored.where("part = 'cal'").withColumn("place", F.row_number().over(Window.partitionBy("part").orderBy(ratings.draw("user_id", "film", seed=SEED), "user_id", "film")))
+    cal = ratings.drawn(b.scored.where("part = 'cal'"), SEED)
     return cal.withColumn("size", F.explode(F.array(*[F.lit(n) for n in (50, 100, 200, 500, 1000, 5000)]))).where("place <= size").groupBy("size").agg(F.count("*").alias("n"), six(F.avg("score")).alias("mean_score"), six(F.avg("label")).alias("like_rate"))
 
 
+def page_addresses(b: Base) -> DataFrame:
+    parts = {"user": F.col("user_id"), "film": F.col("film"), "sort": F.lit("activity"), "stars": F.col("rating"), "page": F.col("page")}
+    kinds = F.create_map(*[x for kind in C.ADDRESSES for x in (F.lit(kind), C.address(kind, SITE, **parts))])
+    rows = b.ratings.withColumn("page", F.col("film") % 3 + 1)
+    return rows.select("user_id", "film", F.explode(kinds).alias("kind", "url"))
+
+
+def missing_fields(b: Base) -> DataFrame:
+    """Whether a field is filled in less than half of the entries of every member."""
+    fields = b.rows([("film",), ("rating",), ("liked_true",)], "field string")
+    best = extract.field_coverage(b.feed, "user_id", ["film", "rating"], ["liked"]).groupBy("field").agg(F.max("coverage").alias("best"))
+    return fields.join(best, "field", "left").select("field", F.coalesce("best", F.lit(0.0)).alias("best"), (F.coalesce("best", F.lit(0.0)) < 0.5).alias("missing"))
+
+
+def films_by_cost(b: Base) -> DataFrame:
+    rows = b.catalogue.join(b.ratings.join(b.first_user, "user_id", "left_semi").select("film", "rating"), "film", "left")
+    return rows.select("film", "pages_ge4", F.coalesce("rating", F.lit(-1.0)).alias("rating")).orderBy("pages_ge4", "film")
+
+
+def first_common(b: Base) -> DataFrame:
+    """The first 20 films that each member shares with the first one."""
+    pairs = similarity.co_rated(b.ratings.join(b.first_user, "user_id", "left_semi"), b.ratings, ordered=False)
+    first = pairs.withColumn("_n", F.row_number().over(Window.partitionBy("a", "b").orderBy("film"))).where("_n <= 20")
+    return first.groupBy("a", "b").agg(F.array_join(F.sort_array(F.collect_list("film")).cast("array<string>"), ",").alias("common"))
+
+
+def poster_lookup(b: Base) -> DataFrame:
+    posters = b.table("pages").groupBy(F.col("page_id").cast("int").alias("film")).agg(F.min("url").alias("poster"))
+    return b.catalogue.join(posters, "film", "left").select("film", F.coalesce("poster", F.lit("")).alias("poster"))
+
+
 def set_ops(b: Base) -> DataFrame:
     who = lambda kind: b.table("events").where(F.col("event_type") == kind).select("user_id")
     parts = {"both": who("purchase").intersect(who("signup")), "either": who("purchase").union(who("signup")).distinct(), "first only": who("purchase").subtract(who("signup"))}
@@ -263,7 +298,7 @@ QUERIES: dict[str, Query] = {
     "threshold_metrics": lambda b: metrics.decisions(b.predictions, ["model"]),
     "precision_at_k": lambda b: metrics.precision_at(b.predictions, ["model"], 10),
     "precision_at_5_fixed": lambda b: metrics.precision_at(b.predictions, ["model", "user_id"], 5, fixed=True),
-    "auc": lambda b: metrics.areas(b.predictions, ["model"]),
+    "auc": lambda b: metrics.areas(b.predictions, ["model"], large=True),
     "per_user_auc": lambda b: metrics.areas(b.predictions, ["model", "user_id"]),
     "fisher_exact": fisher_exact,
     "ece": lambda b: metrics.ece(b.naive, ["model"]),
@@ -272,7 +307,7 @@ QUERIES: dict[str, Query] = {
     "recent_split": lambda b: b.split.select("user_id", "film", "is_test"),
     "global_temporal_split": lambda b: ratings.temporal_split(b.ratings).select("user_id", "film", "is_test"),
     "per_user_holdout": lambda b: ratings.holdout(b.ratings, 10, 25, SEED).select("user_id", "film", "is_test"),
-    "random_split": lambda b: ratings.hash_split(b.ratings, {"train": 0.9, "test": 1.1}, SEED).select("user_id", "film", "part"),
+    "random_split": lambda b: ratings.random_split(b.ratings, {"train": 0.9, "test": 1.0}, SEED).select("user_id", "film", "part"),
     "three_way_split": lambda b: b.parts.select("user_id", "film", "part"),
     "leave_one_out_random": lambda b: ratings.random_out(b.ratings, SEED).select("user_id", "film", "is_test"),
     "control_sample": lambda b: ratings.sampled(b.candidates.where("n_seeds = 1").select("user_id", "score"), 30, "user_id", SEED),
@@ -293,6 +328,13 @@ QUERIES: dict[str, Query] = {
     "sha_shard": lambda b: b.table("pages").select("page_id", C.sha_shard(F.col("url"), 7).cast("int").alias("shard")),
     "host_eta": lambda b: b.table("pages").groupBy(C.host_of(F.col("url")).alias("host")).agg(F.count("*").alias("n")).agg(six(F.max("n") * 4.5).alias("seconds")),
     "set_ops": set_ops,
+    "page_addresses": page_addresses,
+    "missing_fields": missing_fields,
+    "films_by_cost": films_by_cost,
+    "first_common": first_common,
+    "poster_lookup": poster_lookup,
+    "seed_ranking": lambda b: ratings.agreement_on_seeds(b.ratings, b.mine).orderBy(F.desc("n_shared"), F.desc("agree_rate"), F.abs("mean_gap"), "user_id").limit(30),
+    "frame_sample": lambda b: ratings.sampled(ratings.frame_pool(b.ratings, b.catalogue), 50, "user_id", SEED),
 }
 
 

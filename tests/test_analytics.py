@@ -4,7 +4,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from kindred.functions.aggregates import midrank, pearson
+from kindred.functions.aggregates import elements, midrank, pearson
+from kindred.functions.columns import address
 from kindred.operators import metrics, models, ratings, similarity
 from kindred.streaming import pages as stream
 
@@ -85,12 +86,86 @@ def test_neighbours_by_hand(spark):
 
 def test_splits_cover(spark):
     rows = spark.createDataFrame([(u, f, float(f % 5), f) for u in range(30) for f in range(40)], "user_id long, film int, rating double, ts int")
-    assert {r["part"]: r["count"] > 300 for r in ratings.hash_split(rows, {"a": 0.5, "b": 1.1}, 3).groupBy("part").count().collect()} == {"a": True, "b": True}
+    assert {r["part"]: r["count"] for r in ratings.random_split(rows, {"a": 0.33, "b": 0.5, "c": 1.0}, 3).groupBy("part").count().collect()} == {"a": 396, "b": 204, "c": 600}
     assert ratings.holdout(rows, 10, 25, 1).where("is_test").count() == 300 and ratings.holdout(rows, 10, 41, 1).where("is_test").count() == 0
     assert ratings.last_out(rows).where("is_test").select("film").distinct().collect()[0][0] == 39
     assert ratings.random_out(rows, 1).where("is_test").count() == 30
 
 
+def test_temporal_split_is_exact(spark):
+    times = [None, *["2024-01-01 00:00:00"] * 60, *[f"2024-01-0{d} 00:00:0{d}" for d in range(2, 9)]]
+    rows = spark.createDataFrame([(u, 1, t) for u, t in enumerate(times)], "user_id long, film int, ts string").withColumn("ts", F.col("ts").cast("timestamp"))
+    got = ratings.temporal_split(rows, 0.5).where("is_test").select("user_id").collect()
+    assert {r["user_id"] for r in got} == set(range(34, 68))  # ties at the cut go by user
+    assert ratings.temporal_split(rows.limit(0)).count() == 0
+
+
+def test_large_groups_have_the_same_areas(spark):
+    rng = np.random.default_rng(5)
+    rows = spark.createDataFrame([(m, float(p), float(a)) for m in "ab" for p, a in zip(rng.normal(3, 2, 400).round(2), rng.choice([3.0, 4.0], 400), strict=True)], "model string, pred double, actual double")
+    assert sorted(metrics.areas(rows, ["model"]).collect()) == sorted(metrics.areas(rows, ["model"], large=True).collect())
+
+
+def test_elements(spark):
+    rows = spark.createDataFrame([("a", x) for x in (5.0, 1.0, 3.0, 3.0, None)] + [("b", 2.0)], "k string, v double")
+    assert sorted(map(tuple, elements(rows, "k", "v", {"low": 0.25, "mid": 0.5, "top": 0.9}).collect())) == [("a", 3.0, 3.0, 5.0), ("b", 2.0, 2.0, 2.0)]
+
+
+def test_budget_runs_over_blocks(spark):
+    rows = [(f, int(p)) for f, p in enumerate(np.random.default_rng(6).integers(1, 6, 3500))]
+    films = spark.createDataFrame(rows, "film int, pages_ge4 long").withColumn("eligible", F.col("film") % 3 > 0)
+    running, want = 0, {}
+    for f, p in sorted((r for r in rows if r[0] % 3), key=lambda r: (r[1], r[0])):
+        running += p
+        want[f] = (running, running <= 700)
+    assert {r["film"]: (r["running"], r["chosen"]) for r in ratings.chosen(films, 700).where("eligible").collect()} == want
+
+
+@pytest.fixture(scope="module")
+def scores(spark):
+    rng = np.random.default_rng(7)
+    x = rng.normal(3.5, 0.8, 300).round(2)
+    y = (rng.random(300) < 1 / (1 + np.exp(-2 * (x - 3.7)))).astype(int)
+    return x, y, spark.createDataFrame([(float(a), int(b)) for a, b in zip(x, y, strict=True)], "score double, label int")
+
+
+def test_platt_against_newton(scores):
+    x, y, rows = scores
+    design, w = np.column_stack([x, np.ones_like(x)]), np.zeros(2)
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-design @ w))
+        w -= np.linalg.solve(design.T @ (design * (p * (1 - p))[:, None]) + np.diag([1.0, 0.0]), design.T @ (p - y) + [w[0], 0.0])
+    for r in models.platt(rows, rows).select("score", "p").collect():
+        assert r["p"] == pytest.approx(1 / (1 + np.exp(-(w[0] * r["score"] + w[1]))), abs=1e-3)
+
+
+def test_isotonic_against_pooling(scores):
+    x, y, rows = scores
+    pools = []
+    for v in np.unique(x):
+        pools.append([y[x == v].mean(), (x == v).sum(), [v]])
+        while len(pools) > 1 and pools[-2][0] >= pools[-1][0]:
+            m, n, own = pools.pop()
+            pools[-1] = [(pools[-1][0] * pools[-1][1] + m * n) / (pools[-1][1] + n), pools[-1][1] + n, pools[-1][2] + own]
+    want = {v: m for m, _, own in pools for v in own}
+    for r in models.isotonic(rows, rows).select("score", "p").collect():
+        assert r["p"] == pytest.approx(want[r["score"]], abs=1e-9)
+
+
+def test_factors_learn_what_biases_cannot(spark):
+    """Two tastes with opposite views of two kinds of films: biases see nothing, factors do."""
+    rows = spark.createDataFrame([(u, f, 4.5 if u % 2 == f % 2 else 1.5) for u in range(20) for f in range(20) if (u * 7 + f * 3) % 5], "user_id long, film int, rating double")
+    asked = spark.createDataFrame([(u, f, 4.5 if u % 2 == f % 2 else 1.5) for u in range(20) for f in range(20) if (u * 7 + f * 3) % 5 == 0], "user_id long, film int, rating double")
+    error = lambda df: df.agg(F.sqrt(F.avg((F.col("pred") - F.col("rating")) ** 2))).first()[0]
+    assert error(models.factorised(rows, asked)) < 0.3 < 1.0 < error(models.bias_predictions(rows, asked))
+
+
+def test_addresses(spark):
+    parts = {"user": F.lit("ann"), "film": F.lit("alpha"), "sort": F.lit("activity"), "stars": F.lit(0.5), "page": F.lit(2)}
+    got = spark.range(1).select(*[address(kind, "https://s.example", **parts).alias(kind) for kind in ("feed", "films", "rated", "histogram")], address("likes", "", film=F.lit("x"), page=F.lit(1)).alias("first")).first()
+    assert tuple(got) == ("https://s.example/ann/rss/", "https://s.example/ann/films/page/2/", "https://s.example/film/alpha/members/rated/%C2%BD/page/2/", "https://s.example/csi/film/alpha/rating-histogram/", "/film/x/likes/")
+
+
 def test_daily_counts_stream(spark, tmp_path):
     events = spark.createDataFrame([("2024-01-01 01:00:00", "a"), ("2024-01-01 02:00:00", "a"), ("2024-01-02 03:00:00", "b")], "ts string, event_type string")
     events.write.parquet(str(tmp_path / "in"))
