@@ -2,10 +2,13 @@
 
 A file row holds whole documents in order: their ids and lengths, and their tokens on end, cut into blocks of
 ``BLOCK`` ids. Each block starts from a fresh model and has a crc32 of its ids, so any block can be read alone. Within
-a block, the ids seen after the same two ids (order 2) and after the same id (order 1) are predicted with a confidence;
-an adaptive distribution, chosen by both confidences, tells which prediction holds, if any. Otherwise the id's upper
-bits are coded by adaptive order-0 distributions of their two nibbles, and its lower bits evenly. All of it drives one
-carry-propagating range coder with 32-bit range and 16-bit output.
+a block, the ids seen after the same two ids (order 2) and after the same id (order 1) are predicted. Three models tell
+how likely it is that the next id is the one prediction, the other, or neither: by the confidence of order 2, by that of
+order 1, and by how often both ids were seen in the block at all (order 0). Their probabilities are averaged with weights
+that follow how well each model did in the block, and the mixture is coded. Where neither prediction holds, the id is
+coded by the block's order-0 distribution of ids: a tree of adaptive distributions of its nibbles, each under those
+before it (the last under a hash of them; bits below the upper 16 evenly). All of it drives one carry-propagating range
+coder with 32-bit range and 16-bit output. The arithmetic is in integers, so that every machine decodes alike.
 
 Blocks of a row are coded side by side as lanes of numpy arrays: one step handles the next id of every block.
 """
@@ -32,6 +35,10 @@ WORDS_KEPT = 250_000
 _SLOTS = 10
 _TOTAL = 15
 _RATE = 5
+#: How fast the mixture's weights follow what each model earns, and the least that a model keeps of 2**15.
+_WEIGHT_RATE, _LEAST_WEIGHT = 4, 512
+#: For each nibble of an id: bits of its table of distributions, and their rate.
+_LEVELS = ((0, 6), (4, 6), (8, 5), (9, 3))
 ROW = "part int, row int, doc_ids array<long>, lengths array<long>, bits int, sizes array<int>, crcs array<long>, payload binary"
 
 
@@ -48,8 +55,17 @@ def _towards(n: int) -> np.ndarray:
 class _Encoder:
     def __init__(self, lanes: int, ids: int) -> None:
         self.low, self.range = np.zeros(lanes, np.int64), np.full(lanes, (1 << 32) - 1, np.int64)
-        self.width = 4 * ids + 8
-        self.out, self.at = np.zeros(lanes * self.width, np.int64), np.arange(lanes) * self.width
+        self.width = 2 * ids + 16
+        self.out, self.at = np.zeros(lanes * self.width, np.int32), np.arange(lanes) * self.width
+
+    def reserve(self, words: int) -> None:
+        """See that each lane has room for so many words more."""
+        firsts = np.arange(len(self.low)) * self.width
+        if int((self.at - firsts).max(initial=0)) + words > self.width:
+            wider = np.zeros((len(self.low), 2 * self.width + words), np.int32)
+            wider[:, : self.width] = self.out.reshape(-1, self.width)
+            self.at += np.arange(len(self.low)) * (wider.shape[1] - self.width)
+            self.out, self.width = wider.reshape(-1), wider.shape[1]
 
     def symbol(self, lanes: np.ndarray | None, cdf: np.ndarray, symbols: np.ndarray) -> np.ndarray:
         """Code a symbol in each of ``lanes`` (None: all) by its row of cumulative shares."""
@@ -84,6 +100,7 @@ class _Encoder:
             self.low[lanes], self.range[lanes] = low, left
 
     def finish(self) -> list[bytes]:
+        self.reserve(2)
         self.out[self.at - 1] += self.low >> 32
         for shift in (16, 0):
             self.out[self.at] = (self.low >> shift) & 0xFFFF
@@ -105,6 +122,9 @@ class _Decoder:
         self.words, self.at = words.reshape(-1), np.arange(len(payloads)) * width + 2
         self.range = np.full(len(payloads), (1 << 32) - 1, np.int64)
 
+    def reserve(self, words: int) -> None:
+        """All words are there already."""
+
     def _slot(self, lanes: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         part = (self.range if lanes is None else self.range.take(lanes)) >> _TOTAL
         code = self.code if lanes is None else self.code.take(lanes)
@@ -156,42 +176,91 @@ class _Order:
         self.slots[at] = np.where((guess != ids) & (sure <= 1), (ids << 2) | 1, held)
 
 
+class _Mixture:
+    """Three models of which prediction holds, averaged by lane with weights that each model's probabilities earn."""
+
+    def __init__(self, lanes: int) -> None:
+        self.cdfs = _even(3, (3 * lanes * 16,))
+        self.base = (np.arange(3)[:, None] * lanes + np.arange(lanes)) * 16
+        self.weights = np.full((3, lanes), (1 << _TOTAL) // 3, np.int32)
+        self.weights[0] += (1 << _TOTAL) - self.weights.sum(axis=0)
+        self.to = _towards(3)
+
+    def open(self, contexts: np.ndarray) -> np.ndarray:
+        """The mixture under a context from 0 to 15 of each model in each lane."""
+        self.at = self.base + contexts
+        self.each = self.cdfs.take(self.at, axis=0)
+        return (self.each * self.weights[:, :, None]).sum(axis=0, dtype=np.int32) >> _TOTAL
+
+    def learn(self, mixed: np.ndarray, hit: np.ndarray) -> None:
+        self.cdfs[self.at] = self.each + ((self.to.take(hit, axis=0) - self.each) >> _RATE)
+        lane, n = np.arange(len(hit)) * 4 + hit, len(hit) * 4
+        lane = lane + np.arange(3)[:, None] * n
+        flat, whole = self.each.reshape(-1), mixed.reshape(-1)
+        own = flat.take(lane + 1) - flat.take(lane)
+        earned = self.weights * own // (whole.take(lane[0] + 1) - whole.take(lane[0]))
+        weights = np.clip(self.weights + ((earned - self.weights) >> _WEIGHT_RATE), _LEAST_WEIGHT, 1 << _TOTAL)
+        weights = ((weights << _TOTAL) // weights.sum(axis=0)).astype(np.int32)
+        weights[0] += (1 << _TOTAL) - weights.sum(axis=0, dtype=np.int32)
+        self.weights = weights
+
+
+class _Tree:
+    """The order-0 distribution of ids: their four upper nibbles, each under a hash of those before it, and even bits."""
+
+    def __init__(self, lanes: int, bits: int) -> None:
+        self.low = max(0, bits - 16)
+        self.levels = [(rate, 1 << size, _even(16, (lanes << size,))) for size, rate in _LEVELS]
+        self.to = _towards(16)
+
+    def code(self, coder, lanes: np.ndarray, ids: np.ndarray | None) -> np.ndarray:
+        above = np.zeros(len(lanes), np.int64)
+        for k, (rate, width, cdfs) in enumerate(self.levels):
+            at = lanes * width + ((above * 0x9E3779B1) >> 7) % width
+            cdf = cdfs.take(at, axis=0)
+            x = coder.symbol(lanes, cdf, (ids >> (self.low + 12 - 4 * k)) & 15 if ids is not None else None)
+            cdfs[at] = cdf + ((self.to.take(x, axis=0) - cdf) >> rate)
+            above = (above << 4) | x
+        if self.low:
+            above = (above << self.low) | coder.even(lanes, self.low, ids & ((1 << self.low) - 1) if ids is not None else None)
+        return above
+
+
 def _run(coder, lanes: int, ids: np.ndarray | None, length: int, bits: int) -> np.ndarray:
     """Code ``length`` ids of every lane; decoding, ``ids`` is None."""
     out = np.zeros((length, lanes), np.int32) if ids is None else ids
-    two, one = _Order(lanes), _Order(lanes)
-    which, upper, lower = _even(3, (lanes * 32,)), _even(16, (lanes,)), _even(16, (lanes * 16,))
-    to3, to16, low_bits = _towards(3), _towards(16), bits - 8
-    before, last, which_base = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64), np.arange(lanes) * 32
+    two, one, mixture, tree = _Order(lanes), _Order(lanes), _Mixture(lanes), _Tree(lanes, bits)
+    seen, seen_base = np.zeros(lanes << _SLOTS, np.uint8), np.arange(lanes) << _SLOTS
+    slot = lambda x: seen_base + (((x.astype(np.int64) * 0x9E3779B1) >> 13) & ((1 << _SLOTS) - 1))
+    before, last, contexts = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64), np.zeros((3, lanes), np.int64)
     for t in range(length):
+        if t % 64 == 0:
+            coder.reserve(64 * 6)
         at2, g2, c2 = two.guess((before * 0x9E3779B1 + last * 0x85EBCA77) >> 9)
         at1, g1, c1 = one.guess((last * 0xC2B2AE3D) >> 11)
-        context = which_base + (c2 * 8 + c1 * 2 + (g1 == g2))
-        cdf = which.take(context, axis=0)
+        alike = g1 == g2
+        contexts[0] = c2 * 4 + alike * 2 + (c1 > 1)
+        contexts[1] = c1 * 4 + alike * 2 + (c2 > 1)
+        contexts[2] = seen.take(slot(g2)) * 4 + seen.take(slot(g1))
+        cdf = mixture.open(contexts)
         if ids is not None:
             now = out[t]
             hit = coder.symbol(None, cdf, np.where(now == g2, 0, np.where(now == g1, 1, 2)))
         else:
             hit = coder.symbol(None, cdf, None)
             now = np.where(hit == 0, g2, g1)
-        which[context] = cdf + ((to3.take(hit, axis=0) - cdf) >> _RATE)
+        mixture.learn(cdf, hit)
         miss = np.flatnonzero(hit == 2)
         if len(miss):
-            x = now.take(miss).astype(np.int64) if ids is not None else None
-            cdf = upper.take(miss, axis=0)
-            a = coder.symbol(miss, cdf, x >> (low_bits + 4) if x is not None else None)
-            upper[miss] = cdf + ((to16.take(a, axis=0) - cdf) >> _RATE)
-            at = miss * 16 + a
-            cdf = lower.take(at, axis=0)
-            b = coder.symbol(miss, cdf, (x >> low_bits) & 15 if x is not None else None)
-            lower[at] = cdf + ((to16.take(b, axis=0) - cdf) >> _RATE)
-            c = coder.even(miss, low_bits, x & ((1 << low_bits) - 1) if x is not None else None)
+            found = tree.code(coder, miss, now.take(miss).astype(np.int64) if ids is not None else None)
             if ids is None:
-                now[miss] = (a << (low_bits + 4)) | (b << low_bits) | c
+                now[miss] = found
         if ids is None:
             out[t] = now
         two.learn(at2, g2, c2, now)
         one.learn(at1, g1, c1, now)
+        at = slot(now)
+        seen[at] = np.minimum(seen.take(at) + 1, 3)
         before, last = last, now.astype(np.int64)
     return out
 

@@ -239,6 +239,22 @@ def test_range_coder_extremes():
     assert sum(map(len, token_files.encode_blocks(np.tile([1, 2, 3], 3000), 16)[0])) < 2500
 
 
+@pytest.mark.parametrize("bits", [9, 15, 16, 17, 23])
+def test_range_coder_widths(bits):
+    ids = np.random.default_rng(bits).integers(0, 1 << bits, 10_000).astype(np.uint32)  # costs more than the room first made
+    blobs, crcs = token_files.encode_blocks(ids, bits)
+    assert (token_files.decode_blocks(blobs, crcs, len(ids), bits) == ids).all()
+
+
+def test_coder_mixes_orders(spark, folder):
+    """Texts take at most 9.5 bits an id (blocks start afresh, so the corpus's own entropy of 8.3 is out of reach), and
+    fewer than the same ids without their order."""
+    texts = [r["text"] or "" for r in common.table(spark, folder, "documents").select("text").collect()]
+    ids = np.concatenate([np.frombuffer(x, "<u4") for x in token_files.load(queries.word_model()).encode(texts)])
+    bits = lambda x: 8 * sum(map(len, token_files.encode_blocks(x, 16)[0])) / len(x)
+    assert bits(ids) < min(9.5, bits(np.random.default_rng(0).permutation(ids)))
+
+
 def test_token_files(spark, odd, empty, tmp_path):
     from tokenizers import Tokenizer
 
@@ -257,7 +273,7 @@ def test_words_keep_control_characters():
     from tokenizers import Tokenizer
 
     model = Tokenizer.from_file(queries.word_model())
-    texts = ["a\x1cb", "one\x1f two", "\x1d", "a \x1e b\x00c", "a\x0b\x0c\x1cb\r\n", "été\x1cb", "a\x85b", "plain words"]
+    texts = ["a\x1cb", "one\x1f two", "\x1d", "a \x1e b\x00c", "a\x0b\x0c\x1cb\r\n", "été\x1cb", "a\x85b", "plain words", *[f"ab{chr(c)}cd {chr(c)} é{chr(c)}f" for c in range(128)]]
     found = token_files.Words(queries.word_model()).encode(texts)
     assert [np.frombuffer(x, "<u4").tolist() for x in found] == [model.encode(t, add_special_tokens=False).ids for t in texts]
 
