@@ -28,11 +28,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The checkpoint folder, which the driver and all executors share.
 
-    It comes from spark.checkpoint.dir; a temporary one is set only where none is configured (tests).
+    It comes from spark.checkpoint.dir; a temporary one is set only where none is configured and Spark runs in one process
+    (tests). Raises ValueError on a cluster without the setting, as executors couldn't read a folder of the driver's.
     """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="kindred-checkpoint-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and context.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="kindred-checkpoint-"))
     return context.getCheckpointDir()
 
 

@@ -167,3 +167,18 @@ def test_pipeline(spark, folder, tmp_path):
     assert again == ids[-1] and len(again) > 0
     letters = docs.limit(3).withColumn("text", F.when(F.col("doc_id") % 2 == 0, F.lit(None)).otherwise(F.lit("123")))
     assert corpus_pipeline.language(spark, docs.unionByName(letters.withColumn("doc_id", F.col("doc_id") + 10**6)), folder).where("doc_id >= 1000000").count() == 0
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace as Fake
+
+    def session(master, folder):
+        held = []
+        context = Fake(master=master, getCheckpointDir=lambda: held[-1] if held else None, setCheckpointDir=held.append)
+        return Fake(sparkContext=context, conf=Fake(get=lambda name, default: folder))
+
+    for master in ("spark://host:7077", "yarn", "local-cluster[2,1,512]"):
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            common.shared_folder(session(master, None))
+        assert common.shared_folder(session(master, "/shared")) == "/shared"
+    assert "kindred-checkpoint-" in common.shared_folder(session("local[4]", None))
