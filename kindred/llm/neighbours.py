@@ -33,28 +33,34 @@ def quantise(m: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The exact integer product of int8 codes, as float64."""
-    out = np.zeros((len(a), len(b)))
-    for i in range(0, a.shape[1], EXACT_DIMS):
-        out += a[:, i : i + EXACT_DIMS].astype(np.float32) @ b[:, i : i + EXACT_DIMS].astype(np.float32).T
+    """The exact integer product of int8 codes, as float64, over the components that both have."""
+    out, dims = np.zeros((len(a), len(b))), min(a.shape[1], b.shape[1])
+    for i in range(0, dims, EXACT_DIMS):
+        some = slice(i, min(i + EXACT_DIMS, dims))
+        out += a[:, some].astype(np.float32) @ b[:, some].astype(np.float32).T
     return out
 
 
 def exact(q: np.ndarray, c: np.ndarray, rows: np.ndarray, columns: np.ndarray) -> np.ndarray:
-    """Inner products in double precision, summed in the order of the components."""
-    out = np.zeros(len(rows))
+    """Inner products in double precision, summed in the order of the components that both have."""
+    out, dims = np.zeros(len(rows)), min(q.shape[1], c.shape[1])
     for i in range(0, len(rows), PAIRS):
-        terms = q[rows[i : i + PAIRS]] * c[columns[i : i + PAIRS]]
+        terms = q[rows[i : i + PAIRS], :dims] * c[columns[i : i + PAIRS], :dims]
         for column in terms.T:
             out[i : i + PAIRS] += column
     return out
 
 
+def prepare(c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Codes, scale, norm of what they miss, and norm, by row."""
+    c = c.astype(np.float64, copy=False)
+    return *quantise(c), np.linalg.norm(c, axis=1)
+
+
 def tile(k: int):
-    def run(q_ids: np.ndarray, q: np.ndarray, c: np.ndarray, c_ids: np.ndarray):
-        q, c = q.astype(np.float64), c.astype(np.float64)
-        (qc, qs, qe), (cc, cs, ce) = quantise(q), quantise(c)
-        qn, cn = np.linalg.norm(q, axis=1), np.linalg.norm(c, axis=1)
+    def run(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray, ready: tuple):
+        q, c = q.astype(np.float64, copy=False), c.astype(np.float64, copy=False)
+        (qc, qs, qe, qn), (cc, cs, ce, cn) = prepare(q), ready
         ids, found, values = [], [], []
         for i in range(0, len(q), STRIP):
             s = slice(i, i + STRIP)
@@ -86,4 +92,4 @@ def nearest(queries: DataFrame, candidates: DataFrame, k: int = 20, dtype: str =
     candidates than ``k`` are all returned. Of rows that repeat an id the smallest vector counts, and short vectors
     get zeros. Rows with a null id, or a null, zero or non-finite vector, must have been removed.
     """
-    return search(queries, candidates, k, "double", dtype, tile(k), QUERIES_PER_BLOCK, ROWS_PER_BLOCK)
+    return search(queries, candidates, k, "double", dtype, prepare, tile(k), QUERIES_PER_BLOCK, ROWS_PER_BLOCK)

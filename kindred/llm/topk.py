@@ -35,12 +35,12 @@ def select(scores: np.ndarray, k: int) -> np.ndarray:
 
 
 def tile(k: int):
-    def run(q_ids: np.ndarray, q: np.ndarray, c: np.ndarray, c_ids: np.ndarray):
-        lists, scores, part = postings(c), np.zeros(len(c_ids), np.int64), np.zeros(len(c_ids), np.int64)
+    def run(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray, lists: list):
+        scores, part = np.zeros(len(c_ids), np.int64), np.zeros(len(c_ids), np.int64)
         ids, found, values = [], [], []
         for query, row in zip(q_ids, q, strict=True):
             scores[:] = 0
-            for term in np.flatnonzero(row):
+            for term in np.flatnonzero(row[: len(lists)]):
                 rows, weights = lists[term]
                 if rows is None:
                     scores += np.multiply(weights, row[term], out=part)
@@ -67,4 +67,4 @@ def exact_top_k(queries: DataFrame, candidates: DataFrame, k: int = 5) -> DataFr
     are 64-bit and wrap round beyond. Fewer candidates than ``k`` are all returned; no candidate, no row. Of rows that
     repeat an id the smallest vector counts. Rows with a null id or vector must have been removed.
     """
-    return search(queries, candidates, k, "long", "int64", tile(k), QUERIES_PER_BLOCK, ROWS_PER_BLOCK)
+    return search(queries, candidates, k, "long", "int64", postings, tile(k), QUERIES_PER_BLOCK, ROWS_PER_BLOCK)

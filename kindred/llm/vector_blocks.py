@@ -1,8 +1,9 @@
 """Vectors packed into blocks of bounded size, and the join that pairs query blocks with candidate blocks.
 
-A block is one row: sorted ids and a matrix as bytes. Blocks are filled by a hash of the id, so no key, source or
-repeated vector makes one larger than another. Pairing replicates the packed blocks, never single rows: each
-(query block, candidate block) tile meets in a task of its own through an equi-join on the two block numbers.
+A block is one row: sorted ids and a matrix as bytes, of the narrowest type that holds it. Blocks are filled by a hash of
+the id, so no key, source or repeated vector makes one larger than another. Pairing replicates the packed query blocks, the
+stated smaller side, once for each candidate block. Candidate blocks are shuffled once (a few times, where there are fewer
+of them than tasks) and stay in place, while the query blocks that meet them stream past.
 """
 
 from __future__ import annotations
@@ -18,7 +19,9 @@ from pyspark.sql import functions as F
 
 from .common import blocks_of
 
-SCHEMA = "block int, ids binary, dims int, cells binary"
+SCHEMA = "block int, ids binary, dims int, kind string, cells binary"
+#: Queries whose lists a task merges before it hands them on.
+QUERIES_KEPT = 16_384
 
 
 def finite(vector: str) -> Column:
@@ -38,28 +41,37 @@ def pack(rows: DataFrame, dtype: str, blocks: int) -> DataFrame:
         cells[np.arange(cells.shape[1])[None, :] < lens[:, None]] = v.flatten().to_numpy(zero_copy_only=False)
         order = np.lexsort((*cells.T[::-1], ids)) if len(np.unique(ids)) < len(ids) else np.argsort(ids, kind="stable")
         order = order[np.append(True, np.diff(ids[order]) != 0)]
-        return pa.table({"block": pa.array([group["block"][0].as_py()], pa.int32()), "ids": [ids[order].tobytes()], "dims": pa.array([cells.shape[1]], pa.int32()), "cells": [cells[order].tobytes()]})
+        cells = narrowed(cells[order])
+        return pa.table({"block": pa.array([group["block"][0].as_py()], pa.int32()), "ids": [ids[order].tobytes()], "dims": pa.array([cells.shape[1]], pa.int32()), "kind": [cells.dtype.str], "cells": [cells.tobytes()]})
 
     block = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
     return rows.withColumn("block", block).groupBy("block").applyInArrow(packed, SCHEMA)
 
 
-def unpack(ids: bytes, dims: int, cells: bytes, dtype: str) -> tuple[np.ndarray, np.ndarray]:
-    ids = np.frombuffer(ids, np.int64)
-    return ids, np.frombuffer(cells, dtype).reshape(len(ids), dims)
+def narrowed(cells: np.ndarray) -> np.ndarray:
+    """Integers in the narrowest of 2, 4 and 8 bytes that holds them all; other types as they are."""
+    if cells.dtype.kind != "i":
+        return cells
+    least, most = cells.min(initial=0), cells.max(initial=0)
+    return cells.astype(next(t for t in ("int16", "int32", "int64") if np.iinfo(t).min <= least and most <= np.iinfo(t).max))
 
 
-def same_width(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    n = max(a.shape[1], b.shape[1])
-    return tuple(x if x.shape[1] == n else np.pad(x, ((0, 0), (0, n - x.shape[1]))) for x in (a, b))
+def unpack(batch: pa.RecordBatch, i: int, of: str, dtype: str) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and matrix of a packed block, in row ``i``, whose columns' names begin with ``of``."""
+    part = {name: batch.column(of + name)[i] for name in ("ids", "dims", "kind", "cells")}
+    ids = np.frombuffer(part["ids"].as_buffer(), np.int64)
+    return ids, np.frombuffer(part["cells"].as_buffer(), part["kind"].as_py()).reshape(len(ids), part["dims"].as_py()).astype(dtype, copy=False)
 
 
 def tiles(queries: DataFrame, candidates: DataFrame, dtype: str, per_query_block: int, per_block: int) -> DataFrame:
-    """One row for each query block and candidate block, with both matrices (the stated queries against all rows)."""
+    """One row for each query block and candidate block, with both matrices (the stated queries against all rows); tiles of
+    one candidate block follow one another."""
     nq, nc = (blocks_of(x.count(), n) for x, n in ((queries, per_query_block), (candidates, per_block)))
-    q = pack(queries, dtype, nq).select(F.col("block").alias("q_block"), F.col("ids").alias("q_ids"), F.col("dims").alias("q_dims"), F.col("cells").alias("q_cells"), F.explode(F.sequence(F.lit(0), F.lit(nc - 1))).alias("block"))
-    c = pack(candidates, dtype, nc).select("*", F.explode(F.sequence(F.lit(0), F.lit(nq - 1))).alias("q_block"))
-    return q.join(c, ["q_block", "block"])
+    tasks = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    copies = min(nq, -(-tasks // nc))
+    q = pack(queries, dtype, nq).select(*(F.col(x).alias(f"q_{x}") for x in ("block", "ids", "dims", "kind", "cells")), F.explode(F.sequence(F.lit(0), F.lit(nc - 1))).alias("block"))
+    c = pack(candidates, dtype, nc).withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
+    return q.withColumn("copy", F.col("q_block") % copies).join(c.hint("merge"), ["block", "copy"])
 
 
 def merged(kept: dict[int, list], ids: np.ndarray, found: np.ndarray, scores: np.ndarray, k: int) -> None:
@@ -72,12 +84,13 @@ def merged(kept: dict[int, list], ids: np.ndarray, found: np.ndarray, scores: np
         kept[int(ids[i])] = list(islice(heapq.merge(kept.get(int(ids[i]), []), new), k))
 
 
-def search(queries: DataFrame, candidates: DataFrame, k: int, score_type: str, dtype: str, tile: Callable, per_query_block: int, per_block: int) -> DataFrame:
+def search(queries: DataFrame, candidates: DataFrame, k: int, score_type: str, dtype: str, prepare: Callable, tile: Callable, per_query_block: int, per_block: int) -> DataFrame:
     """The k best (query_id, rank, vec_id, score) of each query over all tiles.
 
-    ``tile(q_ids, q, c, c_ids)`` returns arrays (query id, candidate id, score) with each query's best k of that tile.
-    Tiles of a query block that follow one another in a task are merged there by heaps; Spark merges the tasks' lists,
-    cutting to k before the shuffle.
+    ``tile(q_ids, q, c_ids, c, prepare(c))`` returns arrays (query id, candidate id, score) with each query's best k of that
+    tile; the matrices may differ in width, missing components being 0. Each candidate block is prepared once for the tiles
+    that follow one another. A task merges its tiles by heaps, for ``QUERIES_KEPT`` queries at a time; Spark merges the
+    tasks' lists, cutting to k before the shuffle.
     """
 
     def told(kept: dict[int, list]) -> pa.RecordBatch:
@@ -87,16 +100,16 @@ def search(queries: DataFrame, candidates: DataFrame, k: int, score_type: str, d
         return pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(x, pa.int64()), pa.array(s, pa.int64() if score_type == "long" else pa.float64())], ["query_id", "vec_id", "score"])
 
     def run(batches):
-        kept, block = {}, None
+        kept, held = {}, None
         for batch in batches:
-            for i in range(batch.num_rows):
-                row = {name: batch.column(name)[i].as_py() for name in batch.schema.names}
-                if row["q_block"] != block:
+            for i, block in enumerate(batch.column("block").to_pylist()):
+                if block != held:
+                    c_ids, c = unpack(batch, i, "", dtype)
+                    held, ready = block, prepare(c)
+                q_ids, q = unpack(batch, i, "q_", dtype)
+                if len(kept) + len(q_ids) > QUERIES_KEPT:
                     yield told(kept)
-                    block = row["q_block"]
-                q_ids, q = unpack(row["q_ids"], row["q_dims"], row["q_cells"], dtype)
-                c_ids, c = unpack(row["ids"], row["dims"], row["cells"], dtype)
-                merged(kept, *tile(q_ids, *same_width(q, c), c_ids), k)
+                merged(kept, *tile(q_ids, q, c_ids, c, ready), k)
         yield told(kept)
 
     best = tiles(queries, candidates, dtype, per_query_block, per_block).mapInArrow(run, f"query_id long, vec_id long, score {score_type}")

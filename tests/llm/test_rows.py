@@ -40,6 +40,7 @@ def vectors(tmp_path_factory, spark):
 
 def test_exact_top_k(spark, vectors, monkeypatch):
     monkeypatch.setattr(topk, "ROWS_PER_BLOCK", 64)
+    monkeypatch.setattr(topk, "QUERIES_PER_BLOCK", 2)
     folder, rows = vectors
     got = sorted(map(tuple, queries.op3_exact_top_k(spark, folder).collect()))
     weights = {i: [int(np.floor(256 * float(x))) for x in v] for i, v in rows.items()}
@@ -48,6 +49,7 @@ def test_exact_top_k(spark, vectors, monkeypatch):
 
 def test_nearest(spark, vectors, monkeypatch):
     monkeypatch.setattr(neighbours, "ROWS_PER_BLOCK", 64)
+    monkeypatch.setattr(neighbours, "QUERIES_PER_BLOCK", 4)
     folder, rows = vectors
     rows = {i: [float(x) for x in v] for i, v in rows.items() if any(v)}
     assert sorted(map(tuple, queries.op7_nearest(spark, folder).collect())) == brute(rows, 20, 20, in_order)
@@ -71,6 +73,19 @@ def test_vectors_few_and_ragged(spark):
     assert vector_blocks.pack(rows.where("false"), "int64", 1).count() == 0
 
 
+@pytest.mark.parametrize(("most", "size"), [(1 << 14, 2), (1 << 30, 4), (1 << 62, 8)])
+def test_blocks_take_the_narrowest_type(spark, most, size):
+    rows = spark.createDataFrame([(0, [1, 2]), (50, [-most, most - 1])], "id long, v array<long>")
+    assert len(vector_blocks.pack(rows, "int64", 1).first()["cells"]) == 4 * size
+    got = sorted(map(tuple, topk.exact_top_k(rows, rows, 5).collect()))
+    assert got == [(0, 1, 50, most - 2), (50, 1, 0, most - 2)]
+
+
+def test_lists_are_handed_on_in_parts(spark, vectors, monkeypatch):
+    monkeypatch.setattr(vector_blocks, "QUERIES_KEPT", 3)
+    test_exact_top_k(spark, vectors, monkeypatch)
+
+
 def water_fill(node, budget, weights):
     """Exact shares of a tree {name: subtree or supply} by brute force: pour until a child is full, and again."""
     supply = lambda x: sum(map(supply, x.values())) if isinstance(x, dict) else x
