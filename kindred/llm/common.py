@@ -5,7 +5,9 @@ from __future__ import annotations
 import ctypes
 import gc
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -40,19 +42,34 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise in the shared folder and forget the lineage. Nothing reads the shuffle files behind it any more, so
-    Spark is asked to remove them then and not when the driver next collects its garbage."""
-    spark, setting = df.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    shared_folder(spark)
+@contextmanager
+def shuffles_removed(spark: SparkSession):
+    """Nothing reads the shuffle files behind what is materialised in here, so Spark is asked to remove them then and not
+    when the driver next collects its garbage."""
+    setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
     before = spark.conf.get(setting)
     spark.conf.set(setting, "true")
     try:
-        return df.select("*").checkpoint(eager=True)
+        yield
     finally:
         spark.conf.set(setting, before)
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """Materialise in the shared folder and forget the lineage."""
+    shared_folder(df.sparkSession)
+    with shuffles_removed(df.sparkSession):
+        return df.select("*").checkpoint(eager=True)
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """As ``cut``, but as Parquet: for whole texts, which a checkpoint would hold uncompressed."""
+    folder = f"{shared_folder(df.sparkSession)}/stored-{uuid.uuid4().hex}"
+    with shuffles_removed(df.sparkSession):
+        df.write.parquet(folder)
+    return df.sparkSession.read.parquet(folder)
+
+
 #: Bytes of an Arrow batch that goes to a Python worker, where the session has Spark's own setting; long texts would
 #: otherwise come 10,000 at a time.
 BATCH_BYTES = 4 << 20
@@ -89,6 +106,27 @@ def held_out(doc_id: str = "doc_id", folds: int = 5) -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % folds == 0, F.lit(False))
 
 
+#: A key that holds more than one row in so many is hot. There are never more hot keys than this number.
+HOT_SHARE = 1_000
+
+
+def digest(value: str) -> Column:
+    """A key of 32 bytes for a value of any length; nulls have one, too, which no other value shares."""
+    return F.unhex(F.sha2(F.coalesce(F.concat(F.lit("="), F.col(value).cast("string")), F.lit("")).cast("binary"), 256))
+
+
+def attached(rows: DataFrame, facts: DataFrame, n: int, key: str = "_key", copies: str = "_copies") -> DataFrame:
+    """``rows`` with the columns of ``facts`` (one row for each key, with the number of rows that hold it).
+
+    Of ``n`` rows, fewer than ``HOT_SHARE`` keys can each hold more than that share, so these are broadcast whatever the
+    size of the table; every other key is too small to make a task of the join heavy.
+    """
+    hot = F.col(copies) * HOT_SHARE > n
+    few = F.broadcast(facts.where(hot).drop(copies))
+    rest = rows.join(few.select(key), key, "left_anti").join(facts.where(~hot).drop(copies), key)
+    return rows.join(few, key).unionByName(rest)
+
+
 def blocks_of(rows: int, per_block: int, least: int = 1) -> int:
     return max(least, -(-rows // per_block))
 

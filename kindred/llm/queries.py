@@ -9,17 +9,20 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import held_out, shared_folder, table
+from .host_rules import MEASURES, with_host_rules
 from .html import with_main_text
 from .jaccard import near_duplicates
 from .language import train_language_id, with_language
 from .mixing import mixed
 from .neighbours import nearest
 from .pieces import with_pieces
+from .resampling import resampled
 from .sharding import sharded_documents
 from .topk import exact_top_k
 from .token_files import read_tokens, write_tokens
 from .toxicity import train_toxicity, with_toxicity
 from .vector_blocks import finite
+from .vector_codes import codebooks_sha256, vector_codes
 
 
 def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -115,6 +118,23 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op11_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measures of every document, and whether it and its source pass the quality rules."""
+    return with_host_rules(table(spark, sf_dir, "documents")).select("doc_id", *MEASURES, "base_failed", "host_rejected", "kept")
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's weight for the texts of ``benchmark``, its score, and its rank among the 25 % that are drawn."""
+    return resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes of all vectors by four codebooks of 256 entries, the errors they leave, and a digest of the codebooks."""
+    rows = table(spark, sf_dir, "embeddings").where(finite("embedding"))
+    codes, books = vector_codes(rows.select(F.col("vec_id").alias("id"), "label", F.col("embedding").alias("v")))
+    return codes.select(F.col("id").alias("vec_id"), "code", "error", "label_error", F.lit(codebooks_sha256(books)).alias("codebooks_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_extraction": op1_html_extraction,
     "op2_mixing": op2_mixing,
@@ -126,8 +146,34 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_ngram_jaccard": op8_ngram_jaccard,
     "op9_sentence_pieces": op9_sentence_pieces,
     "op10_language_id": op10_language_id,
+    "op11_host_rules": op11_host_rules,
+    "op12_importance_resampling": op12_importance_resampling,
+    "op13_vector_codes": op13_vector_codes,
 }
 
+def vector_codes_sql(entries: int = 256, rounds: int = 4) -> str:
+    """A chain of rounds, in SQL: a is what each part is assigned to (the least of distance and index), b a codebook."""
+    apart = "cast(list_sum(list_transform(list_zip(x.v, b.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) as bigint)"
+    steps = [f"""
+        with v as (
+            select row_number() over () as r, vec_id, label, list_transform(embedding, lambda x: cast(floor(cast(x as double) * 1024) as bigint)) as w from embeddings
+            where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+        x as (select r, vec_id, label, p, w[p * len(w) // 4 + 1 : (p + 1) * len(w) // 4] as v from v, (select unnest(range(4)) as p)),
+        b0 as (select p, e, v from (select p, v, row_number() over (partition by p order by vec_id) - 1 as e from x) where e < {entries})"""]
+    for k in range(rounds + 1):
+        steps.append(f"a{k} as (select r, p, min(d * {entries} + e) as best from (select x.r, x.p, b.e, {apart} as d from x join b{k} b on x.p = b.p) group by r, p)")
+        steps.append(f"""n{k + 1} as (
+            select p, e, list(m order by i) as v from (
+                select p, e, i, cast(floor(sum(c) / count(*)) as bigint) as m from (
+                    select x.p, best % {entries} as e, unnest(x.v) as c, unnest(range(len(x.v))) as i from x join a{k} a on x.r = a.r and x.p = a.p) group by p, e, i) group by p, e)""")
+        steps.append(f"b{k + 1} as (select b.p, b.e, coalesce(n.v, b.v) as v from b{k} b left join n{k + 1} n on b.p = n.p and b.e = n.e)")
+    steps.append(f"""c as (
+            select v.vec_id, v.label, string_agg(lpad(lower(to_hex(best % {entries})), 2, '0'), '' order by p) as code, cast(sum(best // {entries}) as bigint) as error from a{rounds} a join v on v.r = a.r group by v.r, v.vec_id, v.label)
+        select vec_id, code, error, cast(sum(error) over (partition by label) as bigint) as label_error,
+            (select sha256(string_agg(array_to_string(v, ','), ',' order by p, e)) from b{rounds}) as codebooks_sha256 from c""")
+    return ", ".join(steps)
+
+
 ORACLE_SQL: dict[str, str] = {
     "op3_exact_top_k": """
         with v as (
@@ -145,4 +191,24 @@ ORACLE_SQL: dict[str, str] = {
         s as (select q.vec_id as query_id, c.vec_id, list_inner_product(q.w, c.w) as score from v q join v c on q.vec_id <> c.vec_id where q.vec_id % 20 = 0),
         r as (select *, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank from s)
         select query_id, rank, vec_id, score from r where rank <= 20""",
+    "op11_host_rules": """
+        with d as (select doc_id, source, coalesce(text, '') as x from documents),
+        w as (select doc_id, regexp_extract_all(x, '[^\\x20\\x09-\\x0D]+') as w from d),
+        windows as (select doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] as win from (select doc_id, w, unnest(range(1, len(w) - 1)) as i from w)),
+        again as (select doc_id, i from windows qualify count(*) over (partition by doc_id, win) >= 2),
+        repeats as (select doc_id, count(distinct i + j) as n from again, (select unnest([0, 1, 2]) as j) group by doc_id),
+        lines as (select doc_id, list_filter(string_split(x, chr(10)), lambda l: regexp_matches(l, '[^\\x20\\x09-\\x0D]')) as l from d),
+        m as (
+            select d.doc_id, d.source, len(w.w) as n_words, length(regexp_replace(x, '[\\x20\\x09-\\x0D]+', '', 'g')) as word_chars, length(x) - length(regexp_replace(x, '[#*$%&|<>]', '', 'g')) as n_symbols,
+                len(l) - len(list_distinct(l)) as n_dup_lines, coalesce(n, 0) as n_repeat_words, len(l) as n_lines from d join w using (doc_id) join lines using (doc_id) left join repeats using (doc_id)),
+        f as (
+            select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed, 100 * n_symbols > 10 * n_words as f2, 100 * n_dup_lines > 30 * n_lines as f3, word_chars < 3 * n_words or word_chars > 10 * n_words as f4 from m),
+        h as (
+            select source, rule, count(*) as n, count(*) filter (failed) as k from (select source, unnest([1, 2, 3, 4]) as rule, unnest([base_failed, f2, f3, f4]) as failed from f where source is not null) group by source, rule),
+        p as (select rule, sum(k)::double / sum(n) as m, avg(1.0::double / n) as chance, coalesce(var_samp(k::double / n), 0.0) as v from h group by rule),
+        s as (select rule, m, case when v - m * (1 - m) * chance > 0 then least(greatest(m * (1 - m) / (v - m * (1 - m) * chance) - 1, 1.0), 1000000.0) else 1000000.0 end as s from p),
+        r as (select source, bool_or((k + m * s) / (n + s) > 0.5) as host_rejected from h join s using (rule) group by source)
+        select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, coalesce(host_rejected, false) as host_rejected, not base_failed and not coalesce(host_rejected, false) as kept
+        from f left join r using (source)""",
+    "op13_vector_codes": vector_codes_sql(),
 }
