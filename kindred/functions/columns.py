@@ -8,8 +8,10 @@ from string import Formatter
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Named references that are decoded; &amp; comes last, so that each reference is decoded once. Fixed values.
-ENTITIES = {"&quot;": '"', "&lt;": "<", "&gt;": ">", "&copy;": "©", "&middot;": "·", "&nbsp;": " ", "&#39;": "'", "&apos;": "'", "&amp;": "&"}
+from kindred.functions.references import decoded
+
+#: Fixed value: white space as text has it, no-break and other spaces beyond ASCII included.
+SPACE = r"[\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 #: Rating tokens of list addresses. Fixed values.
 STAR_TOKENS = {"1/2": 0.5, "%C2%BD": 0.5, "1": 1.0, "1%C2%BD": 1.5, "2": 2.0, "2%C2%BD": 2.5, "3": 3.0, "3%C2%BD": 3.5, "4": 4.0, "4%C2%BD": 4.5, "5": 5.0}
 ROUTES = (("/rss/", "rss"), ("/reviews/", "reviews"), ("/following/", "people"), ("/followers/", "people"), ("/films/", "films"), ("/film/", "film_ids"))
@@ -24,7 +26,7 @@ def pages_for(n: Column, per_page: int) -> Column:
 
 
 def blank_to_null(x: Column) -> Column:
-    return F.nullif(F.trim(x), F.lit(""))
+    return F.nullif(F.regexp_replace(x, f"^{SPACE}+|{SPACE}+$", ""), F.lit(""))
 
 
 def separated_int(x: Column) -> Column:
@@ -49,15 +51,9 @@ def slug_of(link: Column) -> Column:
     return F.nullif(F.regexp_extract(link, "/film/([^/]+)/", 1), F.lit(""))
 
 
-def decoded(x: Column) -> Column:
-    for name, char in ENTITIES.items():
-        x = F.replace(x, F.lit(name), F.lit(char))
-    return x
-
-
 def stripped(x: Column) -> Column:
     """Text of markup: tags become spaces, references are decoded after that, white space is collapsed."""
-    return F.trim(F.regexp_replace(decoded(F.regexp_replace(x, "<[^>]*>", " ")), r"\s+", " "))
+    return F.trim(F.regexp_replace(decoded(F.regexp_replace(x, "<[^>]+>", " ")), f"{SPACE}+", " "))
 
 
 def host_of(url: Column) -> Column:

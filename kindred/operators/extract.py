@@ -6,10 +6,12 @@ can't be read gives no rows.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kindred.functions.columns import blank_to_null, decoded, glyph_rating, separated_int, slug_of, stripped, title_rating
+from kindred.functions.columns import SPACE, blank_to_null, glyph_rating, route_of, separated_int, slug_of, stripped, title_rating
 
 _FEED = "channel struct<item: array<struct<title:string,link:string,guid:struct<_VALUE:string>,description:string,`letterboxd:memberRating`:string,`letterboxd:filmTitle`:string,`letterboxd:filmYear`:string,`letterboxd:watchedDate`:string,`letterboxd:rewatch`:string,`letterboxd:memberLike`:string,`tmdb:movieId`:string>>>"
 _FIELDS = ["film_title", "film_year", "tmdb_id", "rating", "watched_date", "review_text"]
@@ -39,7 +41,7 @@ def diary(pages: DataFrame) -> DataFrame:
         said("letterboxd:memberLike").alias("liked"),
         tag("link").alias("link"),
         slug_of(item["link"]).alias("slug"),
-        F.nullif(stripped(item["description"]), F.lit("")).alias("review_text"),
+        tag("description").alias("review_text"),
     )
 
 
@@ -55,8 +57,8 @@ def field_coverage(entries: DataFrame, by: str, fields: list[str], flags: list[s
 GRID_ITEM = '(?s)<li class="(?:griditem|posteritem)"[^>]*>(.*?)</li>'
 FILM_UID = r"film:(\d+)"
 PERSON_ROW = '(?s)<td class="col-member table-person">(.*?)</tr>'
-PERSON_NAME = r'(?s)<a href="/([^/"]+)/" class="name">\s*(.*?)\s*</a>'
-PERSON_FOLLOWERS = r"([0-9,]+)\s*(?:&nbsp;|\s)followers"
+PERSON_NAME = rf'(?s)<a href="/([^/"]+)/" class="name">{SPACE}*(.*?){SPACE}*</a>'
+PERSON_FOLLOWERS = rf"([0-9,]+){SPACE}*(?:&nbsp;|{SPACE})followers"
 PERSON_FILMS = r'icon-watched" href="/[^/"]+/films/">([0-9,]+)</a>'
 REVIEW_START = '<article class="production-viewing[^>]*>'
 REVIEW_USER = r'<a href="/([^/"]+)/film/[^"]*"\s+class="context"'
@@ -68,19 +70,20 @@ REVIEW_VIEWING = r'data-full-text-url="[^"]*?viewing:(\d+)'
 REVIEW_COMMENTS = '(?s)#comments"[^>]*>.*?<span class="label">([0-9,]+)</span>'
 REVIEW_BODY = '(?s)class="[^"]*js-review-body[^"]*"[^>]*>(.*?)<div class="viewing-actions"'
 REVIEW_LIKES = '(?s)data-component-class="LikeComponent".*?data-count="([0-9,]+)"'
+HISTOGRAM_BAR = rf'title="([0-9,]+)(?:&nbsp;|{SPACE})+([^"]*?)(?:&nbsp;|{SPACE})+ratings'
 LIKED, SPOILER = ("inline-liked", "<title>Liked</title>"), ("js-spoiler-container", "may contain spoilers")
 POSTER = r'"image"\s*:\s*"(https://a\.ltrbxd\.com/resized/[^"]+)"'
 POSTER_SIZE, POSTER_WANTED = r"-\d+-\d+-\d+-\d+-crop\.jpg", "-0-125-0-187-crop.jpg"
 
 
 def films(pages: DataFrame) -> DataFrame:
-    """Films of a grid in page order; the rating is looked for behind the viewing data only."""
+    """Films of a grid in page order, titles as the markup holds them; the rating is looked for behind the viewing data only."""
     rows = pages.select("url", F.posexplode(F.regexp_extract_all("body", F.lit(GRID_ITEM), F.lit(1))).alias("pos", "chunk"))
-    name = decoded(first_match("chunk", 'data-item-name="([^"]*)"'))
+    name = first_match("chunk", 'data-item-name="([^"]*)"')
     at = F.locate("poster-viewingdata", F.col("chunk"))
     stars = F.when(at > 0, first_match(F.expr("substring(chunk, locate('poster-viewingdata', chunk))"), r"\brated-(\d{1,2})\b"))
     return rows.select(
-        "url", "pos", first_match("chunk", 'data-item-slug="([^"]*)"').alias("slug"),
+        "url", "pos", first_match("chunk", 'data-item-slug="([^"]+)"').alias("slug"),
         F.regexp_replace(name, r"\s*\(\d{4}\)\s*$", "").alias("title"),
         F.regexp_extract(name, r"\((\d{4})\)\s*$", 1).try_cast("int").alias("year"),
         first_match("chunk", FILM_UID).try_cast("bigint").alias("film_id"),
@@ -125,8 +128,7 @@ def backfilled(rows: DataFrame, full: DataFrame, key: str, text: str = "text", t
 
 def histogram(pages: DataFrame) -> DataFrame:
     """(url, stars, n) of rating histograms; a level that occurs twice counts as its last."""
-    levels = F.regexp_extract_all("body", F.lit(r"([0-9][0-9,]*)(?:&nbsp;|\s)*(?:half-★|★+½?)(?:&nbsp;|\s)+ratings?"), F.lit(1))
-    glyphs = F.regexp_extract_all("body", F.lit(r"[0-9][0-9,]*(?:&nbsp;|\s)*(half-★|★+½?)(?:&nbsp;|\s)+ratings?"), F.lit(1))
+    levels, glyphs = (F.regexp_extract_all("body", F.lit(HISTOGRAM_BAR), F.lit(k)) for k in (1, 2))
     rows = pages.select("url", F.posexplode(F.arrays_zip(levels.alias("n"), glyphs.alias("g"))).alias("pos", "x"))
     stars = F.when(F.col("x.g") == "half-★", 0.5).otherwise(glyph_rating(F.col("x.g")))
     rows = rows.select("url", "pos", stars.alias("stars"), separated_int(F.col("x.n")).alias("n")).where("stars > 0")
@@ -147,3 +149,13 @@ def members(pages: DataFrame) -> DataFrame:
     """(url, username): distinct names on a members page."""
     names = F.array_distinct(F.regexp_extract_all("body", F.lit('href="/([a-z0-9_]+)/" class="name"'), F.lit(1)))
     return pages.select("url", F.explode(names).alias("username"))
+
+
+def record_counts(pages: DataFrame) -> DataFrame:
+    """(kind, pages, records) of stored pages (url, status, body): each is parsed by the route of its address. Film pages
+    count if they name an id; pages of other kinds, failed ones and those without records count as pages alone."""
+    pages = pages.withColumn("kind", route_of(F.col("url"), F.col("status")))
+    parsers = {"rss": lambda p: diary(p).where("not skipped"), "reviews": reviews, "people": people, "films": films, "film_ids": lambda p: film_ids(p).where("tmdb_id is not null")}
+    found = [parse(pages.where(F.col("kind") == kind)).groupBy(F.lit(kind).alias("kind")).agg(F.count("*").alias("records")) for kind, parse in parsers.items()]
+    records = reduce(DataFrame.unionByName, found)
+    return pages.groupBy("kind").agg(F.count("*").alias("pages")).join(records, "kind", "left").select("kind", "pages", F.coalesce("records", F.lit(0)).alias("records"))

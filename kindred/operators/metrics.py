@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kindred.functions.aggregates import elements
-from kindred.functions.columns import ln_factorial, share, six
+from kindred.functions.columns import share, six
+from kindred.functions.references import let
 from kindred.operators.similarity import MIRROR, TWIN
 
 LIKED = 4.0
@@ -98,35 +99,63 @@ def arm_summary(scored: DataFrame, high: int = 15) -> DataFrame:
     return rows.join(median, "arm", "left").withColumns({"scorable": six(share(F.col("n"), F.col("n_attempted"))), "twin_rate": six(share(F.col("twins"), F.col("n")))})
 
 
-def fisher(tables: DataFrame, a: str, b: str, c: str, d: str) -> DataFrame:
-    """Adds p: Fisher's exact test, two-sided: all tables no likelier than the one seen (1e-12 as slack)."""
-    a_, b_, c_, d_ = (F.col(x) for x in (a, b, c, d))
-    lf = ln_factorial
-
-    def ln_p(i: Column) -> Column:
-        j = a_ + c_ - i
-        return lf(a_ + b_) + lf(c_ + d_) + lf(a_ + c_) + lf(b_ + d_) - lf(a_ + b_ + c_ + d_) - lf(i) - lf(a_ + b_ - i) - lf(j) - lf(c_ + d_ - j)
+#: Standard deviations from the mode beyond which the tables' probabilities don't count (below 1e-30), and some more steps.
+FAR, MORE_STEPS = 12, 64
 
-    ways = F.sequence(F.greatest(F.lit(0).cast("bigint"), a_ - d_), F.least(a_ + b_, a_ + c_))
-    keys = tables.columns
-    rows = tables.withColumn("_i", F.explode(ways)).withColumns({"_q": F.exp(ln_p(F.col("_i"))), "_seen": F.exp(ln_p(a_))})
-    return rows.groupBy(*keys).agg(six(F.least(F.lit(1.0), F.sum(F.when(F.col("_q") <= F.col("_seen") + 1e-12, F.col("_q")).otherwise(0.0)))).alias("p"))
 
-
-def cohort_rows(cf: DataFrame, split: DataFrame, least: int = 1) -> DataFrame:
-    """Each target's counts, coverage, AUC and RMSE for neighbours, and for its mean on the same films (paired)."""
+def fisher(tables: DataFrame, a: str, b: str, c: str, d: str) -> DataFrame:
+    """Adds p: Fisher's exact test, two-sided: all tables no likelier than the one seen (1e-12 as slack).
+
+    Tables of the same margins are weighed from the likeliest one outwards, each by its ratio to the one before; factorials
+    don't come up, so nothing is lost for large counts. The walk goes ``FAR`` standard deviations both ways, within one
+    row: margins of 10^7 take some ten thousand steps and no rows of their own.
+    """
+    x, of = (lambda name: F.col(name).cast("double")), F.col
+    rows = tables.withColumns({"_r": x(a) + x(b), "_k": x(a) + x(c), "_n": x(a) + x(b) + x(c) + x(d)})
+    least, most = F.greatest(F.lit(0.0), of("_r") + of("_k") - of("_n")), F.least("_r", "_k")
+    mode = F.greatest(least, F.least(most, F.floor((of("_r") + 1) * (of("_k") + 1) / (of("_n") + 2)).cast("double")))
+    spread = F.sqrt(F.coalesce(F.try_divide(of("_r") * of("_k") * (of("_n") - of("_r")) * (of("_n") - of("_k")), of("_n") * of("_n") * F.greatest(of("_n") - 1, F.lit(1.0))), F.lit(0.0)))
+    rows = rows.withColumns({"_mode": mode, "_least": least, "_most": most, "_steps": F.ceil(FAR * spread) + MORE_STEPS})
+    other = of("_n") - of("_r") - of("_k")
+    up = lambda i: (of("_r") - i) * (of("_k") - i) / ((i + 1) * (other + i + 1))
+    down = lambda i: i * (other + i) / ((of("_r") - i + 1) * (of("_k") - i + 1))
+
+    def walk(ratio, sign: int, end: str, told) -> Column:
+        """Sum of ``told(i, weight)`` beyond the mode, on one side."""
+        steps = F.sequence(F.lit(1).cast("long"), F.greatest(F.least("_steps", F.abs(of(end) - of("_mode")).cast("long")), F.lit(1).cast("long")))
+        start = F.struct(F.lit(1.0).alias("w"), F.lit(0.0).alias("sum"))
+
+        def step(state: Column, k: Column) -> Column:
+            i = of("_mode") + sign * k
+            w = F.when(sign * i <= sign * of(end), state["w"] * ratio(i - sign)).otherwise(0.0)
+            return F.struct(w.alias("w"), (state["sum"] + told(i, w)).alias("sum"))
+
+        return F.aggregate(steps, start, step)["sum"]
+
+    both = lambda told: walk(up, 1, "_most", told) + walk(down, -1, "_least", told) + told(of("_mode"), F.lit(1.0))
+    seen = F.struct(both(lambda i, w: w).alias("all"), both(lambda i, w: F.when(i == x(a), w).otherwise(0.0)).alias("own"))
+    like = lambda s: both(lambda i, w: F.when(w <= s["own"] + 1e-12 * s["all"], w).otherwise(0.0)) / s["all"]
+    return rows.select(*tables.columns, six(F.least(F.lit(1.0), let(seen, like))).alias("p"))
+
+
+def cohort_rows(cf: DataFrame, split: DataFrame, near: DataFrame, least_test: int = 8, least_train: int = 20) -> DataFrame:
+    """Each target's counts, coverage, usable neighbours, AUC and RMSE for neighbours, and for its mean on the same films
+    (paired). ``near`` (a, b) are the targets' usable neighbours. Targets need ``least_test`` films in the test part and
+    among the scored ones, and ``least_train`` in the other part."""
     base = split.groupBy("user_id").agg(F.count_if(~F.col("is_test")).alias("n_train"), F.count_if(F.col("is_test")).alias("n_test"), F.avg(F.when(~F.col("is_test"), F.col("rating"))).alias("mu"))
+    base = base.where((F.col("n_test") >= least_test) & (F.col("n_train") >= least_train))
     mean = cf.join(base.select("user_id", "mu"), "user_id").select("user_id", "film", F.col("mu").alias("pred"), "actual")
     out = base.drop("mu").join(errors(cf, ["user_id"]).select("user_id", F.col("n").alias("n_scored"), F.col("rmse").alias("rmse_cf")), "user_id")
     out = out.join(errors(mean, ["user_id"]).select("user_id", F.col("rmse").alias("rmse_user")), "user_id")
     out = out.join(areas(cf, ["user_id"]).select("user_id", F.col("auc").alias("auc_cf")), "user_id").join(areas(mean, ["user_id"]).select("user_id", F.col("auc").alias("auc_user")), "user_id")
-    return out.where(F.col("n_scored") >= least).withColumn("coverage", six(share(F.col("n_scored"), F.col("n_test"))))
+    out = out.join(near.groupBy(F.col("a").alias("user_id")).agg(F.count("*").alias("n_neighbours")), "user_id")
+    return out.where(F.col("n_scored") >= least_test).withColumn("coverage", six(share(F.col("n_scored"), F.col("n_test"))))
 
 
 def cohort_distribution(rows: DataFrame) -> DataFrame:
     """(metric, n, median, lower, upper, wins, good) over targets with an AUC: quartiles are elements n//4 and 3n//4."""
     ok = rows.where("auc_cf is not null and auc_user is not null")
-    values = F.explode(F.array(*[F.struct(F.lit(k).alias("metric"), F.col(k).cast("double").alias("v")) for k in ("auc_cf", "auc_user", "coverage", "n_scored")]))
+    values = F.explode(F.array(*[F.struct(F.lit(k).alias("metric"), F.col(k).cast("double").alias("v")) for k in ("auc_cf", "auc_user", "coverage", "n_neighbours")]))
     long = ok.select(values.alias("x"), (F.col("auc_cf") > F.col("auc_user")).alias("won"), (F.col("auc_cf") > 0.7).alias("good")).select("x.metric", "x.v", "won", "good")
     sums = long.groupBy("metric").agg(F.count("*").alias("n"), six(F.median("v")).alias("median"), F.count_if(F.col("won")).alias("wins"), F.count_if(F.col("good")).alias("good"))
     return sums.join(elements(long, "metric", "v", {"lower": 0.25, "upper": 0.75}), "metric")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kindred.functions.columns import clamp
+from kindred.operators.calibration import isotonic, platt  # noqa: F401  (two of the calibration models)
 from kindred.operators.similarity import weights
 
 LOW, HIGH = 0.5, 5.0
@@ -23,11 +24,12 @@ def baselines(split: DataFrame, crowd: DataFrame) -> DataFrame:
     return rows.select("user_id", "film", F.col("rating").alias("actual"), models.alias("m")).select("m.model", "user_id", "film", "m.pred", "actual").where("pred is not null")
 
 
-def neighbour_cf(split: DataFrame, history: DataFrame, least: int = 5, least_r: float = 0.15, least_neighbours: int = 1) -> DataFrame:
+def neighbour_cf(split: DataFrame, history: DataFrame, least: int = 5, least_r: float = 0.15, least_neighbours: int = 1, near: DataFrame | None = None) -> DataFrame:
     """(user_id, film, raw, pred, actual): mean of the target plus the weighted mean of its neighbours' deviations.
-    Weights come from training films; neighbours' means from their whole history. ``raw`` is before clamping."""
+    Weights come from training films (or are given as ``near``); neighbours' means from their whole history. ``raw`` is
+    before clamping."""
     train, test = split.where("not is_test"), split.where("is_test")
-    near = weights(train, history, least, least_r)
+    near = weights(train, history, least, least_r) if near is None else near
     mean = train.groupBy(F.col("user_id").alias("a")).agg(F.avg("rating").alias("mu"))
     theirs = history.groupBy(F.col("user_id").alias("b")).agg(F.avg("rating").alias("nu"))
     asked = test.select(F.col("user_id").alias("a"), "film", F.col("rating").alias("actual"))
@@ -71,23 +73,6 @@ def factorised(train: DataFrame, asked: DataFrame, rank: int = 32, reg: float =
     return out.withColumn("pred", F.col("pred") + F.coalesce(F.nanvl(F.col("factor"), F.lit(0.0)), F.lit(0.0))).drop("factor")
 
 
-def platt(cal: DataFrame, rows: DataFrame, score: str = "score", label: str = "label") -> DataFrame:
-    """``rows`` with p from a logistic regression on the score, with the penalty of C = 1."""
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.functions import vector_to_array
-
-    vector = VectorAssembler(inputCols=[score], outputCol="_x")
-    fitted = LogisticRegression(featuresCol="_x", labelCol=label, probabilityCol="_p", regParam=1 / max(1, cal.count()), standardization=False).fit(vector.transform(cal))
-    return fitted.transform(vector.transform(rows)).withColumn("p", vector_to_array("_p")[1]).drop("_x", "_p", "rawPrediction", "prediction")
-
-
-def isotonic(cal: DataFrame, rows: DataFrame, score: str = "score", label: str = "label") -> DataFrame:
-    from pyspark.ml.regression import IsotonicRegression
-
-    return IsotonicRegression(featuresCol=score, labelCol=label, predictionCol="p").fit(cal).transform(rows)
-
-
 def temperature(cal: DataFrame, rows: DataFrame, score: str = "score", label: str = "label", middle: float = 3.5, steps: int = 400) -> DataFrame:
     """``rows`` with p = sigmoid((score - middle) / T), T the best of a logarithmic grid from 0.05 to 20 by log loss over
     the calibration rows. They are counted by score (to four decimals) and label before the grid multiplies them."""

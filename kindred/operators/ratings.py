@@ -74,21 +74,31 @@ def with_idf(films: DataFrame, total: str = "lb_total") -> DataFrame:
     return films.crossJoin(F.broadcast(whole)).withColumn("idf", F.ln(F.col("_whole") / F.greatest(F.col(total), F.lit(1)))).drop("_whole")
 
 
-def eligible(films: DataFrame, max_pages: int, min_pool: int, mode: str = "taste") -> DataFrame:
-    fits = (F.col("pages_ge4") <= max_pages) & (F.lit(mode == "territory") | (F.col("raters_ge4") >= min_pool))
-    return films.withColumn("eligible", fits)
+def seed_costs(hist: DataFrame, mode: str = "taste", least: float = 4.0) -> DataFrame:
+    """(film, total, pool, pages) of listing a film's raters. ``taste`` lists every level from ``least`` on, each in pages of
+    its own; ``territory`` lists all who saw the film; ``both`` lists both, and its pool is the larger one."""
+    high = F.col("stars") >= least
+    rows = hist.groupBy("film").agg(F.sum("n").alias("total"), F.coalesce(F.sum(F.when(high, F.col("n"))), F.lit(0)).alias("_pool"), F.coalesce(F.sum(F.when(high, pages_for(F.col("n"), PER_PAGE))), F.lit(0)).alias("_pages"))
+    whole = pages_for(F.col("total"), PER_PAGE)
+    pool, cost = {"taste": (F.col("_pool"), F.col("_pages")), "territory": (F.col("total"), whole), "both": (F.greatest("_pool", "total"), F.col("_pages") + whole)}[mode]
+    return rows.select("film", "total", pool.alias("pool"), cost.alias("pages"))
 
 
-def chosen(films: DataFrame, budget: int | None = None, percent: int = 20) -> DataFrame:
+def eligible(films: DataFrame, max_pages: int, min_pool: int, mode: str = "taste", pages: str = "pages_ge4", pool: str = "raters_ge4") -> DataFrame:
+    """Adds eligible: films that aren't too large to list, and (but for territories) have enough raters to meet in."""
+    return films.withColumn("eligible", (F.col(pages) <= max_pages) & (F.lit(mode == "territory") | (F.col(pool) >= min_pool)))
+
+
+def chosen(films: DataFrame, budget: int | None = None, percent: int = 20, pages: str = "pages_ge4") -> DataFrame:
     """Whole films while their pages fit the budget (in pages; without one, that percentage of the eligible films'
     pages, so that the choice keeps up with the raters), cheapest first. Costs ascend, so the first that doesn't fit ends
     the choice. Running sums are taken within blocks of equal cost, and over the blocks' sums before them."""
     films = films.withColumn("_block", F.floor(F.col("film") / FILMS_PER_BLOCK))
-    block = ["eligible", "pages_ge4", "_block"]
-    blocks = films.groupBy(*block).agg(F.sum("pages_ge4").alias("_pages"))
-    ahead = Window.partitionBy("eligible").orderBy("pages_ge4", "_block").rowsBetween(Window.unboundedPreceding, -1)
+    block = ["eligible", pages, "_block"]
+    blocks = films.groupBy(*block).agg(F.sum(pages).alias("_pages"))
+    ahead = Window.partitionBy("eligible").orderBy(pages, "_block").rowsBetween(Window.unboundedPreceding, -1)
     blocks = blocks.withColumns({"_before": F.coalesce(F.sum("_pages").over(ahead), F.lit(0)), "_total": F.sum("_pages").over(Window.partitionBy("eligible"))})
-    inside = F.sum("pages_ge4").over(Window.partitionBy(*block).orderBy("film").rowsBetween(Window.unboundedPreceding, 0))
+    inside = F.sum(pages).over(Window.partitionBy(*block).orderBy("film").rowsBetween(Window.unboundedPreceding, 0))
     films = films.join(blocks.drop("_pages"), block).withColumn("running", F.col("_before") + inside)
     fits = F.col("running") <= budget if budget is not None else 100 * F.col("running") <= percent * F.col("_total")
     return films.withColumn("chosen", F.col("eligible") & fits).drop("_block", "_before", "_total")
@@ -209,3 +219,28 @@ def frame_pool(ratings: DataFrame, films: DataFrame, frame: int = 20, least: flo
     """(user_id): who rated one of the ``frame`` most rated films high, each once."""
     popular = films.orderBy(F.desc("lb_total"), "film").limit(frame).select("film")
     return ratings.where(F.col("rating") >= least).join(popular, "film", "left_semi").select("user_id").distinct()
+
+
+#: Candidates of a screening whose requests and targets are summed up together.
+SCREENED_PER_BLOCK = 10_000
+
+
+def prescreened(pool: DataFrame, want: int, least_friends: int = 5, least_recent: int = 8, least_rated: int = 50) -> DataFrame:
+    """The candidates that a screening in order of ``place`` (1, 2, ..) looks at until it has ``want`` targets, each with
+    ``requests`` (1 to 3), ``eligible``, and both summed up to there (``spent``, ``found``).
+
+    ``pool`` has what three requests would tell: (friends_ok, n_friends), (recent_ok, n_recent) and (rated_ok, n_rated).
+    The cheapest and most selective check comes first, and a failed one (not ok, too few, or null) saves the others. Sums
+    go over blocks of places first and within each block then, so no task goes through the whole order.
+    """
+    enough = lambda ok, n, least: F.coalesce(F.col(ok) & (F.col(n) >= least), F.lit(False))
+    first, second, third = enough("friends_ok", "n_friends", least_friends), enough("recent_ok", "n_recent", least_recent), enough("rated_ok", "n_rated", min(least_rated, 50))
+    rows = pool.withColumns({"requests": 1 + first.cast("long") + (first & second).cast("long"), "eligible": first & second & third, "_block": F.floor((F.col("place") - 1) / SCREENED_PER_BLOCK)})
+    found = F.col("eligible").cast("long")
+    blocks = rows.groupBy("_block").agg(F.sum("requests").alias("_r"), F.sum(found).alias("_f"))
+    ahead = Window.partitionBy(F.lit(0)).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.select("_block", *[F.coalesce(F.sum(k).over(ahead), F.lit(0)).alias(f"{k}0") for k in ("_r", "_f")])
+    inside = Window.partitionBy("_block").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.join(blocks.where(F.col("_f0") < want), "_block")
+    rows = rows.withColumns({"spent": F.col("_r0") + F.sum("requests").over(inside), "found": F.col("_f0") + F.sum(found).over(inside)})
+    return rows.where(F.col("found") - found < want).drop("_block", "_r0", "_f0")

@@ -2,12 +2,22 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kindred.functions.aggregates import midrank, pearson
+from kindred.checkpoints import cut
+from kindred.functions.aggregates import midrank
 
 TWIN, MIRROR = 0.5, -0.4
+#: A film of more pairs of raters goes by blocks of users.
+FILM_PAIRS = 4_096
+USERS_PER_BLOCK, FILMS_AT_ONCE = 512, 1_024
+#: Variances below this share of the mean square are rounding.
+NO_SPREAD = 1e-11
+SUMS = ["n", "sx", "sy", "sxx", "syy", "sxy"]
+PAIR_SCHEMA = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64()), *((k, pa.float64()) for k in SUMS[1:])])
 
 
 def percentiles(ratings: DataFrame) -> DataFrame:
@@ -23,9 +33,85 @@ def co_rated(left: DataFrame, right: DataFrame, value: str = "rating", ordered:
     return a.join(b, "film").where(F.col("a") < F.col("b") if ordered else F.col("a") != F.col("b"))
 
 
-def correlated(pairs: DataFrame, least: int) -> DataFrame:
-    """(a, b, n_common, r) of pairs with enough films; r is null at zero variance."""
-    return pairs.groupBy("a", "b").agg(F.count("*").alias("n_common"), pearson("x", "y").alias("r")).where(F.col("n_common") >= least)
+def pair_counts(ratings: DataFrame) -> DataFrame:
+    """(a, b, n): how many films two users both rated, a < b."""
+    return pair_sums(ratings.withColumn("_one", F.lit(1.0)), value="_one").select("a", "b", "n")
+
+
+def tile_sums(left: pa.Table, right: pa.Table, ordered: bool, same: bool) -> pa.Table:
+    """Sums of products for all pairs of a block of users on the left with one on the right, as products of dense pieces of
+    the two sparse matrices, ``FILMS_AT_ONCE`` films at a time. ``same``: the blocks are of one frame, so a pair of
+    different blocks comes up once and is turned round where its ids descend."""
+    (users_a, at_a), (users_b, at_b) = (np.unique(t["u"].to_numpy(), return_inverse=True) for t in (left, right))
+    films, film = np.unique(np.concatenate([t["f"].to_numpy() for t in (left, right)]), return_inverse=True)
+    sums = {k: np.zeros((len(users_a), len(users_b))) for k in SUMS}
+    cells = []
+    for users, at, own, t in ((users_a, at_a, film[: len(at_a)], left), (users_b, at_b, film[len(at_a) :], right)):
+        order = np.argsort(own, kind="stable")
+        cells.append((len(users), at[order], own[order], t["v"].to_numpy()[order]))
+    for start in range(0, len(films), FILMS_AT_ONCE):
+        sides = []
+        for n, at, own, v in cells:
+            some = slice(*np.searchsorted(own, (start, start + FILMS_AT_ONCE)))
+            there, value = np.zeros((n, FILMS_AT_ONCE)), np.zeros((n, FILMS_AT_ONCE))
+            there[at[some], own[some] - start] = 1
+            value[at[some], own[some] - start] = v[some]
+            sides.append((there, value, value * value))
+        (ta, a, aa), (tb, b, bb) = sides
+        for k, x, y in (("n", ta, tb), ("sx", a, tb), ("sy", ta, b), ("sxx", aa, tb), ("syy", ta, bb), ("sxy", a, b)):
+            sums[k] += x @ y.T
+    rows, columns = np.nonzero(sums["n"])
+    a, b = users_a[rows], users_b[columns]
+    keep = a != b if not ordered or (same and left["i"][0] != left["j"][0]) else a < b
+    a, b, found = a[keep], b[keep], {k: v[rows[keep], columns[keep]] for k, v in sums.items()}
+    if same and ordered:
+        turn = a > b
+        a, b = np.where(turn, b, a), np.where(turn, a, b)
+        for x, y in (("sx", "sy"), ("sxx", "syy")):
+            found[x], found[y] = np.where(turn, found[y], found[x]), np.where(turn, found[x], found[y])
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "n": pa.array(found.pop("n").astype(np.int64)), **{k: pa.array(v) for k, v in found.items()}})
+
+
+def pair_sums(left: DataFrame, right: DataFrame | None = None, value: str = "rating", ordered: bool = True) -> DataFrame:
+    """(a, b, n, and sums of x, y, x^2, y^2 and x y) of users a and b of ``left`` and ``right`` (both ``left``, if None) over
+    the films that both rated: a < b if ``ordered``, else a <> b. Ids are integers, a user rates a film once.
+
+    Films of few raters are joined by film. The others, where a join would square a film's raters in one task, go as blocks
+    of ``USERS_PER_BLOCK`` users by hash: every pair of blocks is a tile of its own, and a task holds two blocks' ratings
+    and their pairs. A pair's sums of both ways are added up.
+    """
+    same = right is None
+    frame = lambda df: cut(df.select(F.col("user_id").cast("long").alias("u"), F.col("film").alias("f"), F.col(value).cast("double").alias("v")).where("u is not null and f is not null and v is not null"))
+    left = frame(left)
+    right = left.select(*[F.col(x).alias(x) for x in left.columns]) if same else frame(right)
+    raters = left.groupBy("f").agg(F.count("*").alias("_l")).join(right.groupBy("f").agg(F.count("*").alias("_r")), "f")
+    raters = cut(raters.select("f", (F.col("_l") * F.col("_r") > FILM_PAIRS).alias("_hot")))
+    hot, cold = raters.where("_hot").select("f"), raters.where("not _hot").select("f")
+    a, b = left.select(F.col("u").alias("a"), "f", F.col("v").alias("x")), right.select(F.col("u").alias("b"), "f", F.col("v").alias("y"))
+    rows = a.join(cold, "f").join(b, "f").where(F.col("a") < F.col("b") if ordered else F.col("a") != F.col("b"))
+    x, y = F.col("x"), F.col("y")
+    sums = rows.groupBy("a", "b").agg(F.count("*").alias("n"), F.sum(x).alias("sx"), F.sum(y).alias("sy"), F.sum(x * x).alias("sxx"), F.sum(y * y).alias("syy"), F.sum(x * y).alias("sxy"))
+    if hot.isEmpty():
+        return sums
+    n_left, n_right = ((-(-df.select("u").distinct().count() // USERS_PER_BLOCK)) for df in (left, right))
+    block = lambda n: F.pmod(F.xxhash64("u"), F.lit(n)).cast("int")
+    others = lambda low, n: F.explode(F.sequence(low, F.lit(n - 1)))
+    l = left.join(hot, "f", "left_semi").withColumn("i", block(n_left))  # noqa: E741
+    l = l.withColumn("j", others(F.col("i") if same and ordered else F.lit(0), n_right))  # noqa: E741
+    r = right.join(hot, "f", "left_semi").withColumn("j", block(n_right))
+    r = r.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("j") if same and ordered else F.lit(n_left - 1))))
+    tile = lambda x, y: tile_sums(x, y, ordered, same) if x.num_rows and y.num_rows else PAIR_SCHEMA.empty_table()
+    tiles = l.groupBy("i", "j").cogroup(r.groupBy("i", "j")).applyInArrow(tile, sums.schema)
+    return sums.unionByName(tiles).groupBy("a", "b").agg(*[F.sum(k).alias(k) for k in SUMS])
+
+
+def correlated(sums: DataFrame, least: int) -> DataFrame:
+    """(a, b, n_common, r) of pairs with enough films, by their sums; r is null at zero variance. A spread that is as small
+    as rounding makes it is none, and r has twelve decimals, so that simple fractions stay on their side of a threshold."""
+    c, n = F.col, F.col("n")
+    spread = lambda s, q: F.when(n * c(q) - c(s) * c(s) > NO_SPREAD * n * c(q), n * c(q) - c(s) * c(s))
+    r = (n * c("sxy") - c("sx") * c("sy")) / F.sqrt(spread("sx", "sxx") * spread("sy", "syy"))
+    return sums.where(n >= least).select("a", "b", n.alias("n_common"), F.round(r, 12).alias("r"))
 
 
 def percentile_agreement(ratings: DataFrame, seeds: DataFrame | None = None, least: int = 8) -> DataFrame:
@@ -33,7 +119,7 @@ def percentile_agreement(ratings: DataFrame, seeds: DataFrame | None = None, lea
     ranked = percentiles(ratings)
     if seeds is not None:
         ranked = ranked.join(seeds.select("film"), "film", "left_anti")
-    return correlated(co_rated(ranked, ranked, "pct"), least)
+    return correlated(pair_sums(ranked, value="pct"), least)
 
 
 def verdict(r: Column, n_common: Column, least: int) -> Column:
@@ -42,4 +128,4 @@ def verdict(r: Column, n_common: Column, least: int) -> Column:
 
 def weights(train: DataFrame, history: DataFrame, least: int = 5, least_r: float = 0.15) -> DataFrame:
     """(a, b, w): usable neighbours b of targets a, by raw ratings on a's training films only."""
-    return correlated(co_rated(train, history, ordered=False), least).where(F.abs("r") >= least_r).select("a", "b", F.col("r").alias("w"))
+    return correlated(pair_sums(train, history, ordered=False), least).where(F.abs("r") >= least_r).select("a", "b", F.col("r").alias("w"))

@@ -7,6 +7,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kindred import checkpoints
 from kindred.operators import metrics, models, ratings, similarity
 
 #: BUDGET is a percentage of the eligible films' pages.
@@ -75,7 +76,11 @@ class Base:
 
     @cached_property
     def cf(self) -> DataFrame:
-        return models.neighbour_cf(self.split, self.ratings)
+        return checkpoints.cut(models.neighbour_cf(self.split, self.ratings, near=self.near))
+
+    @cached_property
+    def near(self) -> DataFrame:
+        return checkpoints.cut(similarity.weights(self.split.where("not is_test"), self.ratings))
 
     @cached_property
     def baselines(self) -> DataFrame:
@@ -94,7 +99,7 @@ class Base:
     def scored(self) -> DataFrame:
         """(user_id, film, part, score, label): bias predictions for the calibration and test parts."""
         rows = models.bias_predictions(self.parts.where("part = 'train'"), self.parts.where("part <> 'train'"))
-        return rows.select("user_id", "film", "part", F.col("pred").alias("score"), (F.col("rating") >= metrics.LIKED).cast("int").alias("label"))
+        return checkpoints.cut(rows.select("user_id", "film", "part", F.col("pred").alias("score"), (F.col("rating") >= metrics.LIKED).cast("int").alias("label")))
 
     @cached_property
     def naive(self) -> DataFrame:
@@ -105,12 +110,11 @@ class Base:
     @cached_property
     def arms(self) -> DataFrame:
         """Pairs with their correlation, by how many rated seeds they share."""
-        pairs = similarity.correlated(similarity.co_rated(self.ratings.join(self.seeds, "film", "left_anti"), self.ratings), 1)
-        in_seeds = self.ratings.join(self.seeds, "film", "left_semi")
-        shared = similarity.co_rated(in_seeds, in_seeds).groupBy("a", "b").agg(F.count("*").alias("n_seeds"))
+        pairs = similarity.correlated(similarity.pair_sums(self.ratings.join(self.seeds, "film", "left_anti")), 1)
+        shared = similarity.pair_counts(self.ratings.join(self.seeds, "film", "left_semi")).withColumnRenamed("n", "n_seeds")
         arm = F.when(F.col("n_seeds") >= 3, "treatment").when(F.col("n_seeds") == 1, "control").when(F.col("n_seeds") == 2, "between").otherwise("none")
         rows = pairs.join(shared, ["a", "b"], "left").withColumn("arm", arm)
-        return rows.withColumn("r", F.when(F.col("n_common") >= 8, F.col("r")))
+        return checkpoints.cut(rows.withColumn("r", F.when(F.col("n_common") >= 8, F.col("r"))))
 
     @cached_property
     def follows(self) -> DataFrame:

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-PEARSON = "case when count(*) >= 2 and stddev_pop(x) * stddev_pop(y) > 1e-12 then covar_pop(x, y) / (stddev_pop(x) * stddev_pop(y)) end"
+#: Twelve decimals keep simple fractions on their side of a threshold.
+PEARSON = "case when count(*) >= 2 and stddev_pop(x) * stddev_pop(y) > 1e-12 then round(covar_pop(x, y) / (stddev_pop(x) * stddev_pop(y)), 12) end"
+
+#: White space as text has it, beyond ASCII included.
+_SPACE = r"[\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
 #: Common table expressions that the statements below share.
 SHARED = f"""
@@ -91,7 +95,12 @@ urls as (
 routed as (
     select url, status, case when status not between 200 and 299 then 'non200' when contains(url, '/rss/') then 'rss' when contains(url, '/reviews/') then 'reviews'
         when contains(url, '/following/') or contains(url, '/followers/') then 'people' when contains(url, '/films/') then 'films' when contains(url, '/film/') then 'film_ids' else 'other' end as kind from urls),
-store as (select * from (values ('https://a.example/1/', 200, 'x', 900000.0), ('https://a.example/2/', 404, '', 990000.0), ('https://b.example/1/', 503, '', 100000.0), ('https://b.example/2/', 204, 'yz', 1.0)) t(url, status, body, fetched_at)),
+store as (
+    select url, max_by(status, fetched_at) as status, max_by(body, fetched_at) as body, max_by(transport, fetched_at) as transport, max(fetched_at) as fetched_at from (
+        select url, html as body, case when page_id % 7 = 3 then 404 when page_id % 11 = 5 then 503 else 200 end as status, case when page_id % 3 = 0 then 'browser' else 'http' end as transport, 1000000.0::double - 600.0::double * page_id as fetched_at from pages) group by url),
+paged as (
+    select user_id, page, case when (user_id * 7 + page * 3) % 19 = 0 then 404 else 200 end as status, case when (user_id * 7 + page * 3) % 29 = 0 then 0 else n end as n_rows from (
+        select user_id, page, count(*) as n from (select user_id, (row_number() over (partition by user_id order by film) - 1) // 5 + 1 as page from ratings) group by user_id, page) where (user_id * 7 + page * 3) % 23 <> 0),
 levels as (select user_id, rating, count(*) as c, count(*) / sum(count(*)) over (partition by user_id) as p from ratings group by user_id, rating),
 labels_of as (
     select user_id, n, like_rate, sd, entropy from (select user_id, count(*) as n, round(avg(case when rating >= 4 then 1.0 else 0.0 end), 6) as like_rate, round(stddev_pop(rating), 6) as sd from ratings group by user_id having count(*) >= 20)
@@ -119,35 +128,125 @@ def _paired(metric: str) -> str:
 _TEMPERATURE = """(select 'temperature' as model, label, 1 / (1 + exp(-(score - 3.5) / t)) as p from scored, (
     select t from (select round(score, 4) as s, label, count(*) as n from scored where part = 'cal' group by all), (select exp(-2.995732 + i * (5.991465 / 400)) as t from range(401) r(i))
     group by t order by sum(-n * case when label = 1 then ln(greatest(1e-6, least(1 - 1e-6, 1 / (1 + exp(-(s - 3.5) / t))))) else ln(1 - greatest(1e-6, least(1 - 1e-6, 1 / (1 + exp(-(s - 3.5) / t))))) end), t limit 1) where part = 'test')"""
+_STEPS = 8
+
+
+def _newton(k: int) -> str:
+    p = "1 / (1 + exp(-(w * x + b)))"
+    return f"""k{k + 1} as (
+        select size, w - (bb * gw - wb * gb) / (ww * bb - wb * wb) as w, b - (ww * gb - wb * gw) / (ww * bb - wb * wb) as b from (
+            select size, w, b, sum((n * {p} - pos) * x) + w as gw, sum(n * {p} - pos) as gb, sum(n * {p} * (1 - {p}) * x * x) + 1 as ww, sum(n * {p} * (1 - {p}) * x) as wb, sum(n * {p} * (1 - {p})) as bb
+            from pts join k{k} using (size) group by size, w, b))"""
+
+
+#: Platt's fit by Newton steps, and the isotonic one by its max-min formula over sums up to each score: the largest over all
+#: starts of the smallest mean over all ends. Both for each size of the calibration sample; test rows hold every size.
+def _fits(sizes: str) -> str:
+    return f"""
+        cal as (select round(score, 9) as x, label, row_number() over (order by draw, user_id, film) as place from scored where part = 'cal'),
+        sizes as (select unnest([{sizes}]) as size),
+        pts as (select size, x, cast(count(*) as bigint) as n, cast(sum(label) as bigint) as pos from cal join sizes on place <= size group by size, x),
+        k0 as (select size, 0.0::double as w, ln(sum(pos) / (sum(n) - sum(pos))) as b from pts group by size having sum(pos) > 0 and sum(pos) < sum(n)),
+        {", ".join(map(_newton, range(_STEPS)))},
+        upto as (select size, x, row_number() over w as i, sum(n) over w as cn, sum(pos) over w as cp, sum(n) over w - n as bn, sum(pos) over w - pos as bp from pts window w as (partition by size order by x rows unbounded preceding)),
+        low as (select j.size, j.i as j, k.i as i, min((k.cp - j.bp)::double / (k.cn - j.bn)) over (partition by j.size, j.i order by k.i desc rows unbounded preceding) as v from upto j join upto k on j.size = k.size and k.i >= j.i),
+        curve as (select size, x, y, lead(x) over (partition by size order by x) as nx, lead(y) over (partition by size order by x) as ny, row_number() over (partition by size order by x) as i from (
+            select u.size, u.x, max(l.v) as y from upto u join low l on u.size = l.size and u.i = l.i group by u.size, u.x)),
+        asked as (select size, round(score, 9) as s, label from scored, sizes where part = 'test'),
+        fitted as (
+            select size, 'platt' as model, 1 / (1 + exp(-(w * s + b))) as p, label from asked join k{_STEPS} using (size)
+            union all select a.size, 'isotonic', case when s < x or nx is null then y else y + (ny - y) * (s - x) / (nx - x) end, label
+            from asked a join curve c on a.size = c.size and (s >= x or i = 1) and (s < nx or nx is null))"""
+
+
+def _fitted(model: str) -> str:
+    return "select * from (with " + _fits("1000000000") + _calibration(f"(select * from fitted where model = '{model}')").replace("select * from (", " select * from (", 1) + ")"
+
+
+_SWEEP = f"""select * from (with {_fits("50, 100, 200, 500, 1000, 5000")}, q as (select size, model, greatest(1e-6, least(1 - 1e-6, p)) as p, label from fitted),
+    bins as (select size, model, least(9, floor(p * 10)) as bin, count(*) as n, avg(p) as mp, avg(label) as my from q group by all)
+    select cast(size as integer) as size, model, n_test, brier, ece, n_cal from (select size, model, count(*) as n_test, round(avg((p - label) * (p - label)), 6) as brier from q group by size, model)
+    join (select size, model, round(sum(n * abs(mp - my)) / sum(n), 6) as ece from bins group by size, model) using (size, model)
+    join (select size, cast(sum(n) as bigint) as n_cal from pts group by size) using (size))"""
 _LN_P = "exp(lgamma(a + b + 1) + lgamma(c + d + 1) + lgamma(a + c + 1) + lgamma(b + d + 1) - lgamma(a + b + c + d + 1) - lgamma(i + 1) - lgamma(a + b - i + 1) - lgamma(a + c - i + 1) - lgamma(d - a + i + 1))"
-_COHORT = f"""select user_id, n_scored, rmse, auc_cf, auc_user, round(n_scored / n_test, 6) as coverage from (select user_id, count(*) filter (is_test) as n_test from split group by user_id)
-    join (select user_id, count(*) as n_scored, 0 as rmse from cf group by user_id) using (user_id)
+_COHORT = f"""select user_id, n_scored, n_neighbours, auc_cf, auc_user, round(n_scored / n_test, 6) as coverage from (select user_id, count(*) filter (is_test) as n_test, count(*) filter (not is_test) as n_train from split group by user_id)
+    join (select user_id, count(*) as n_scored from cf group by user_id) using (user_id) join (select a as user_id, count(*) as n_neighbours from weights group by a) using (user_id)
     join (select user_id, auc as auc_cf from ({_ranked("(select user_id, round(pred, 9) as p9, actual from cf)", "user_id", "p9", "actual >= 4")})) using (user_id)
-    join (select user_id, auc as auc_user from ({_ranked("(select user_id, round(mu, 9) as p9, actual from cf join mu using (user_id))", "user_id", "p9", "actual >= 4")})) using (user_id) where n_scored >= 3"""
+    join (select user_id, auc as auc_user from ({_ranked("(select user_id, round(mu, 9) as p9, actual from cf join mu using (user_id))", "user_id", "p9", "actual >= 4")})) using (user_id) where n_test >= 8 and n_train >= 20 and n_scored >= 8"""
 
 STATEMENTS: dict[str, str] = {
     "percentile_agreement": "select a, b, n_common, round(r, 6) + 0.0::double as r from agreement0 where n_common >= 8",
-    "diary_feed": "select * from (values (0, false, 'Alpha', 1999, 77::bigint, 4.5::double, '2024-01-02', false, true, 'alpha'), (1, true, null, null, null, null, null, false, false, null)) t(pos, skipped, film_title, film_year, tmdb_id, rating, watched_date, rewatch, liked, slug)",
-    "films_grid": "select * from (values (0, 'alpha', 'Alpha', 1999, 11::bigint, 4.5::double), (1, 'beta', 'Beta', null, 12, null)) t(pos, slug, title, year, film_id, rating)",
-    "people_list": "select * from (values (0, 'ann', 'Ann & Co', 42::bigint, 1234::bigint), (1, 'bob_2', 'Bob', null, null)) t(pos, username, display_name, n_films, n_followers)",
-    "review_rows": "select * from (values (0, 'ann', 'Ann', 3.5::double, true, false, '2024-02-03', 'Fine & more…', true, '/s/full-text/viewing:5/', 5::bigint, 1002::bigint, 31::bigint), (1, 'bob', null, null, false, true, null, 'Plain', false, null, null, null, null)) t(pos, username, display_name, rating, liked, spoiler, date, text, truncated, full_text_url, viewing_id, n_comments, n_likes)",
-    "rating_histogram_page": "select * from (values (0.5::double, 1003::bigint), (3.5, 7), (1.0, 9)) t(stars, n)",
-    "film_page_ids": "select 603::bigint as tmdb_id, 'movie' as tmdb_type, 'tt0133093' as imdb_id, 'https://a.ltrbxd.com/resized/film-poster/1-alpha-0-125-0-187-crop.jpg' as poster",
-    "members_page": "select * from (values ('ann'), ('bob_2')) t(username)",
+    "diary_feed": """
+        select 'https://s.example/' || user_id || '/rss/' as url, cast(pos - 1 as integer) as pos, skipped, case when not skipped then 'Film ' || film end as film_title,
+            case when not skipped and film % 4 <> 0 then cast(1950 + film % 70 as integer) end as film_year, case when not skipped and film % 3 <> 0 then cast(film * 10 + 7 as bigint) end as tmdb_id,
+            case when not skipped and (event_id % 3 = 0 or rating >= 1) then rating end as rating, case when not skipped then strftime(ts, '%Y-%m-%d') end as watched_date, not skipped and event_id % 5 = 0 as rewatch, not skipped and liked as liked,
+            case when not skipped then 'film-' || film end as slug, case when not skipped then '<p>Seen &amp; noted ' || event_id || '</p>' end as review_text
+        from (select *, event_id % 13 = 5 as skipped from feed where pos <= 20)""",
+    "films_grid": """
+        select 'https://s.example/' || user_id || '/films/' || case when k < 72 then '' else 'page/' || (k // 72 + 1) || '/' end as url, cast(k % 72 + 1 as integer) as pos, 'film-' || film as slug, 'Film &amp; ' || film as title,
+            case when film % 5 <> 0 then cast(1950 + film % 70 as integer) end as year, cast(film as bigint) as film_id, case when film % 7 <> 0 then rating end as rating from (select *, row_number() over (partition by user_id order by film) - 1 as k from ratings)""",
+    "people_list": """
+        select 'https://s.example/' || src || '/following/' as url, cast(row_number() over (partition by src order by place) - 1 as integer) as pos, 'u' || dst as username, 'User & ' || dst as display_name,
+            cast(n_films * 100 as bigint) as n_films, cast(dst * 977 as bigint) as n_followers from follows""",
+    "review_rows": f"""
+        select 'https://s.example/film/alpha/reviews/by/activity/' || case when doc_id < 12 then '' else 'page/' || (doc_id // 12 + 1) || '/' end as url, cast(row_number() over (partition by doc_id // 12 order by doc_id) - 1 as integer) as pos,
+            'u' || doc_id as username, 'User ' || doc_id as display_name, case when doc_id % 11 <> 0 then (doc_id % 10 + 1) / 2 end as rating, doc_id % 4 = 0 as liked, doc_id % 9 = 0 or contains(coalesce(text, ''), 'may contain spoilers') as spoiler,
+            '2024-02-' || lpad(cast(doc_id % 28 + 1 as varchar), 2, '0') as date, t as text, suffix(t, '…') as truncated, '/s/full-text/viewing:' || doc_id || '/' as full_text_url, doc_id as viewing_id, doc_id * 3 as n_comments, doc_id * 7 as n_likes
+        from (select doc_id, text, trim(regexp_replace(coalesce(text, ''), '{_SPACE}+', ' ', 'g')) as t from documents)""",
+    "rating_histogram_page": "select 'https://s.example/csi/film/' || film || '/rating-histogram/' as url, stars, cast(n * 1003 as bigint) as n from hist",
+    "film_page_ids": """
+        select 'https://s.example/film/' || film || '/' as url, case when film % 8 <> 0 then cast(film * 3 + 1 as bigint) end as tmdb_id, case when film % 6 = 0 then 'tv' else 'movie' end as tmdb_type,
+            'tt' || lpad(cast(film as varchar), 7, '0') as imdb_id, 'https://a.ltrbxd.com/resized/film-poster/' || film || '-alpha-0-125-0-187-crop.jpg' as poster from cat""",
+    "members_page": "select 'https://s.example/' || src || '/following/' as url, 'u' || dst as username from (select distinct src, dst from follows)",
+    "route_records": """
+        select 'rss' as kind, count(distinct user_id) as pages, count(*) filter (event_id % 13 <> 5) as records from feed where pos <= 20
+        union all select 'films', count(distinct (user_id, k // 72)), count(*) from (select user_id, row_number() over (partition by user_id order by film) - 1 as k from ratings)
+        union all select 'people', count(distinct src), count(*) from follows union all select 'reviews', count(distinct doc_id // 12), count(*) from documents
+        union all select 'film_ids', count(*), count(*) filter (film % 8 <> 0) from cat where film % 10 <> 0
+        union all select 'non200', count(*), 0 from cat where film % 10 = 0 having count(*) > 0""",
+    "page_store_scan": "select url, status, transport, fetched_at, length(body) as n_chars, md5(body) as body_md5, false as damaged from store",
+    "histogram_artifacts": "select cast(film as varchar) as film, stars, cast(n as bigint) as n from hist where film % 5 <> 4",
+    "candidates_artifact": "select user_id, score, n_seeds, seeds, via from candidates",
+    "page_lookup": "select url, status, length(body) as n_chars from store where url = (select min(url) from pages) and (status = 200 or 1000000.0 - fetched_at <= 21600)",
     "anti_cached": "select distinct url from pages where url not in (select url from pages where strpos(url, '?') = 0)",
     "text_summary": "select lang, count(*) as n, count(quality) as n_rated, round(avg(quality), 6) as mean_quality, count(*) filter (length(trim(text)) > 0) as with_text, count(*) filter (suffix(text, '…')) as truncated, count(*) filter (toxic = 1) as toxic from documents left join labels using (doc_id) group by lang",
     "cache_freshness": "select url, status between 200 and 299 or 1000000.0 - fetched_at <= 21600 as usable, regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) || '/' || substr(sha256(url), 1, 2) || '/' || sha256(url) as key from store",
-    "cache_stats": "select count(*) as entries, count(*) filter (status between 200 and 299) as ok, count(*) filter (status not between 200 and 299) as failed, cast(coalesce(sum(strlen(body)), 0) as bigint) as body_bytes from store",
+    "cache_stats": "select count(*) as entries, count(*) filter (status between 200 and 299) as ok, count(*) filter (status not between 200 and 299) as failed from store",
     "ordered_dedup": "select trim(regexp_replace(url, '[?#].*$', '')) as url, min(page_id) as pos from pages where trim(regexp_replace(url, '[?#].*$', '')) <> '' and url not like '#%' group by 1",
-    "paginated_scan": "select entity, count(*) as n, max(page) as last from (select host as entity, page_id as page, max(case when page_id % 97 = 96 or length(html) = 0 then 1 else 0 end) over (partition by host order by page_id rows unbounded preceding) as stop from hosted) where stop = 0 group by entity",
+    "paginated_scan": """
+        select user_id, last, why, (select count(*) from paged p where p.user_id = e.user_id and p.page <= last) as n, cast(coalesce((select sum(n_rows) from paged p where p.user_id = e.user_id and p.page <= last), 0) as bigint) as films from (
+            select user_id, cast(stop - 1 as bigint) as last, case when stop = 9 then 'cap' when stop = failed then 'failed' when stop = empty then 'empty' else 'missing' end as why from (
+                select user_id, failed, empty, least(failed, empty, 9, gap) as stop from (
+                    select user_id, coalesce(min(page) filter (status <> 200), 99) as failed, coalesce(min(page) filter (status = 200 and n_rows = 0), 99) as empty, (select min(i) from (select unnest(range(1, 100)) as i) where (user_id, i) not in (select (user_id, page) from paged)) as gap from paged group by user_id))) e""",
     "url_builders": "select distinct user_id, film, '/' || user_id || '/films/' || case when film = 1 then '' else 'page/' || film || '/' end as path from feed",
     "field_coverage": "select user_id, field, coverage from (select user_id, unnest(['film', 'rating', 'liked_true']) as field, unnest([round(avg(case when film is not null then 1.0 else 0.0 end), 3), round(avg(case when rating is not null then 1.0 else 0.0 end), 3), round(avg(case when liked then 1.0 else 0.0 end), 3)]) as coverage from feed group by user_id) where coverage > 0",
-    "star_glyph_parse": "select * from (values (1, 4.5::double, 4.5::double), (2, 2.0, 2.0), (3, null, null), (4, null, 0.5), (5, 3.0, 4.0)) t(id, title_rating, glyph_rating)",
-    "html_strip_tags": "select page_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(regexp_replace(html, '<[^>]*>', ' ', 'g'), '&quot;', '\"'), '&lt;', '<'), '&gt;', '>'), '&copy;', '©'), '&middot;', '·'), '&nbsp;', ' '), '&#39;', ''''), '&apos;', ''''), '&amp;', '&'), '\\s+', ' ', 'g')) as text from pages",
-    "url_token_decode": "select * from (values ('https://a.example/u/film/x/rated/4%C2%BD/', 'x', 4.5::double), ('https://a.example/u/film/x/rated/3/', 'x', 3.0), ('https://a.example/u/film/x/rated/6/', 'x', null), ('https://a.example/u/film/y/rated/1/2/', 'y', 0.5)) t(url, film, stars)",
+    "star_glyph_parse": """
+        select event_id, case when k = 0 and rating >= 1 then rating when k = 2 and rating >= 1 then rating end as title_rating,
+            case when rating is null or k = 3 then null when k = 2 then rating + 1 else rating end as glyph_rating from (select *, event_id % 4 as k from feed)""",
+    "html_strip_tags": "select page_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '&quot;', '\"'), '&lt;', '<'), '&gt;', '>'), '&copy;', '©'), '&middot;', '·'), '&nbsp;', ' '), '&#39;', ''''), '&apos;', ''''), '&amp;', '&'), '" + _SPACE + "+', ' ', 'g')) as text from pages",
+    "url_token_decode": """
+        select distinct 'https://s.example/film/' || film || '/members/rated/' || case when film % 17 = 0 then '6/' else
+            case when stars >= 1 then cast(cast(floor(stars) as integer) as varchar) else '' end || case when stars % 1 <> 0 then '%C2%BD' else '' end || '/' || case when film % 3 = 0 then '' else 'page/' || (film % 3 + 1) || '/' end end as url,
+            cast(film as varchar) as film, case when film % 17 <> 0 then stars end as stars from hist""",
     "url_route": "select url, status, kind from routed",
     "route_counts": "select kind, count(*) as n, count(distinct url) as urls from routed group by kind",
     "seed_eligibility": "select film, raters_ge4, pages_ge4, eligible, case when chosen then 'yes' when pages_ge4 > 2000 then 'too big' when raters_ge4 < 3 then 'pool<3' else 'budget' end as reason from planned",
+    "seed_modes": """
+        select mode, film, total, pool, pages, eligible, eligible and 100 * running <= 20 * whole as chosen from (
+            select *, sum(pages) over (partition by mode, eligible order by pages, film rows unbounded preceding) as running, sum(pages) over (partition by mode, eligible) as whole from (
+                select *, pages <= 2000 and (mode = 'territory' or pool >= 3) as eligible from (
+                    select film, total, unnest(['taste', 'territory', 'both']) as mode, unnest([pool, total, greatest(pool, total)]) as pool, unnest([pages, whole, pages + whole]) as pages from (
+                        select film, cast(sum(n) as bigint) as total, cast(coalesce(sum(n) filter (stars >= 4), 0) as bigint) as pool, cast(coalesce(sum(ceil(n / 25.0)) filter (stars >= 4), 0) as bigint) as pages, cast(ceil(sum(n) / 25.0) as bigint) as whole from hist group by film))))""",
+    "prescreen": """
+        select user_id, place, requests, eligible, cast(spent as bigint) as spent, cast(found as bigint) as found, case when eligible then friend_pages end as friend_pages from (
+            select *, sum(requests) over (order by place) as spent, sum(cast(eligible as integer)) over (order by place) as found, count(*) over () // 3 as want from (
+                select *, cast(1 + cast(a as integer) + cast(a and b as integer) as bigint) as requests, a and b and c as eligible from (
+                    select user_id, row_number() over (order by md5(concat_ws(':', user_id, '0', '7')), user_id) as place, friend_pages, user_id % 13 <> 0 and coalesce(n_friends, 0) >= 15 as a, user_id % 17 <> 0 and n_recent >= 17 as b, user_id % 19 <> 0 and n_rated >= 30 as c
+                    from (select distinct user_id from ratings where rating >= 4 and film in (select film from cat order by lb_total desc, film limit 20))
+                    left join (select src as user_id, count(*) as n_friends, cast(sum(least(8, ceil(n_films / 72.0))) filter (k <= 15) as bigint) as friend_pages from (
+                        select *, row_number() over (partition by src order by n_films desc, dst) as k from (select distinct src, dst, n_films from follows)) group by src) using (user_id)
+                    join (select user_id, count(rating) filter (pos <= 20) as n_recent from feed group by user_id) using (user_id) join (select user_id, least(count(*), 72) as n_rated from ratings group by user_id) using (user_id))))
+        where found - cast(eligible as integer) < want""",
     "pool_band": "select film, raters_ge4, case when raters_ge4 < 15 then 'small' when raters_ge4 > 60 then 'big' else 'sweet' end as band from cat",
     "verdicts": "select verdict, count(*) as n from verdict group by verdict",
     "eligible_targets": "select user_id, count(*) filter (is_test) as n_test, count(*) filter (not is_test) as n_train from split group by user_id having count(*) filter (is_test) >= 5 and count(*) filter (not is_test) >= 10",
@@ -176,7 +275,7 @@ STATEMENTS: dict[str, str] = {
     "arm_summary": "select * from summary",
     "cohort_distribution": f"""
         select metric, count(*) as n, round(median(v), 6) as median, list_sort(list(v))[cast(floor(count(*) * 0.25) as bigint) + 1] as lower, list_sort(list(v))[cast(floor(count(*) * 0.75) as bigint) + 1] as upper, count(*) filter (won) as wins, count(*) filter (good) as good from (
-            select unnest(['auc_cf', 'auc_user', 'coverage', 'n_scored']) as metric, unnest([auc_cf, auc_user, coverage, cast(n_scored as double)]) as v, auc_cf > auc_user as won, auc_cf > 0.7 as good from ({_COHORT}) where auc_cf is not null and auc_user is not null) group by metric""",
+            select unnest(['auc_cf', 'auc_user', 'coverage', 'n_neighbours']) as metric, unnest([auc_cf, auc_user, coverage, cast(n_neighbours as double)]) as v, auc_cf > auc_user as won, auc_cf > 0.7 as good from ({_COHORT}) where auc_cf is not null and auc_user is not null) group by metric""",
     "bias_model": """
         select 'film' as kind, cast(film as bigint) as id, round(b, 6) as bias from (select film, sum(rating - m) / (count(*) + 25) as b from ratings, (select avg(rating) as m from ratings) group by film)
         union all select 'user', user_id, round(sum(rating - m - b) / (count(*) + 10), 6) from ratings join (select film, m, sum(rating - m) / (count(*) + 25) as b from ratings, (select avg(rating) as m from ratings) group by film, m) using (film) group by user_id""",
@@ -236,6 +335,9 @@ STATEMENTS: dict[str, str] = {
     "cf_coverage": "select user_id, n_test, coalesce(covered, 0) as covered, round(coalesce(covered / nullif(n_test, 0), 0), 6) as coverage from (select user_id, count(*) as n_test from split where is_test group by user_id) left join (select user_id, count(*) as covered from cf group by user_id) using (user_id)",
     "bias_predictions": "select user_id, film, part, round(score, 6) as score, label from scored",
     "calibration_sweep": "select cast(size as integer) as size, count(*) as n, round(avg(score), 6) as mean_score, round(avg(label), 6) as like_rate from (select *, row_number() over (order by draw, user_id, film) as place from scored where part = 'cal'), (select unnest([50, 100, 200, 500, 1000, 5000]) as size) where place <= size group by size",
+    "calibration_fits": _SWEEP,
+    "platt_calibration": _fitted("platt"),
+    "isotonic_calibration": _fitted("isotonic"),
     "sha_shard": "select page_id, cast(list_reduce(list_prepend(0, list_transform(string_split(sha256(url), ''), lambda c: cast(strpos('0123456789abcdef', c) - 1 as bigint))), lambda a, d: (a * 16 + d) % 7) as integer) as shard from pages",
     "host_eta": "select round(max(n) * 4.5::double, 6) as seconds from (select count(*) as n from hosted group by host)",
     "set_ops": """

@@ -2,30 +2,29 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from kindred import checkpoints
 from kindred.functions import columns as C
 from kindred.functions.aggregates import elements
 from kindred.functions.columns import six
-from kindred.operators import extract, metrics, models, ratings, similarity
+from kindred.operators import calibration, extract, graph, metrics, models, ratings, similarity
 from kindred.plans import markup
 from kindred.plans.base import FRIENDS, MAX_PAGES, MIN_POOL, SEED, Base
-from kindred.sources import pages
+from kindred.sources import artifacts, pages, store
 
 Query = Callable[[Base], DataFrame]
 NOW = 1_000_000.0
-SITE = "https://s.example"
-STORE = [("https://a.example/1/", 200, "x", "http", 900_000.0), ("https://a.example/2/", 404, "", "http", 990_000.0), ("https://b.example/1/", 503, "", "http", 100_000.0), ("https://b.example/2/", 204, "yz", "http", 1.0)]
 ROUTED = [("https://a.example/u/rss/", 200), ("https://a.example/u/films/page/2/", 200), ("https://a.example/film/x/reviews/", 200), ("https://a.example/u/following/", 200), ("https://a.example/film/x/", 200), ("https://a.example/film/x/", 500), ("https://a.example/about", 200)]
-GLYPHS = [(1, "Film - ★★★★½"), (2, "Film - ★★"), (3, "Film"), (4, "Film - ½"), (5, "★ Film ★★★ ")]
-TOKENS = [("https://a.example/u/film/x/rated/4%C2%BD/",), ("https://a.example/u/film/x/rated/3/",), ("https://a.example/u/film/x/rated/6/",), ("https://a.example/u/film/y/rated/1/2/",)]
 
 
 def pair_key(b: Base, k: int = 8) -> DataFrame:
-    return similarity.correlated(similarity.co_rated(b.ratings, b.ratings), k)
+    return similarity.correlated(similarity.pair_sums(b.ratings), k)
 
 
 def with_verdict(b: Base) -> DataFrame:
@@ -47,6 +46,19 @@ def anti_cached(b: Base) -> DataFrame:
     return pages.not_stored(b.table("pages").select("url").distinct(), stored)
 
 
+def paginated_scan(b: Base) -> DataFrame:
+    """Every member's ratings as pages of five by day of the rating, numbered from 1: some pages failed, some are empty, and
+    some members' numbers have gaps. At most eight pages are read of each."""
+    day = Window.partitionBy("user_id").orderBy("film")
+    rows = b.ratings.withColumn("page", F.floor((F.row_number().over(day) - 1) / 5) + 1)
+    rows = rows.groupBy("user_id", "page").agg(F.count("*").alias("n_rows"), F.min("film").alias("first"))
+    k = F.col("user_id") * 7 + F.col("page") * 3
+    rows = rows.where(k % 23 != 0).select("user_id", "page", F.when(k % 19 == 0, 404).otherwise(200).alias("status"), F.when(k % 29 == 0, 0).otherwise(F.col("n_rows")).alias("n_rows"))
+    read = pages.scanned(rows, "user_id", cap=8).groupBy("user_id").agg(F.count("*").alias("n"), F.sum("n_rows").alias("films"))
+    ends = pages.run_ends(rows, "user_id", cap=8)
+    return ends.join(read, F.col("entity") == F.col("user_id"), "left").select(F.col("entity").alias("user_id"), (F.col("stop") - 1).alias("last"), "why", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("films", F.lit(0)).alias("films"))
+
+
 def html_strip_tags(b: Base) -> DataFrame:
     return b.table("pages").select("page_id", C.stripped(F.col("html")).alias("text"))
 
@@ -86,9 +98,34 @@ def top_twins(b: Base) -> DataFrame:
 
 
 def friends_of_friends(b: Base) -> DataFrame:
-    one = b.follows.select("src", "dst")
-    two = one.alias("x").join(one.alias("y"), F.col("x.dst") == F.col("y.src")).select(F.col("x.src").alias("src"), F.col("y.dst").alias("dst")).where("src <> dst")
-    return two.join(one, ["src", "dst"], "left_anti").groupBy("src", "dst").agg(F.count("*").alias("paths"))
+    return graph.two_hops(b.follows)
+
+
+def seed_modes(b: Base) -> DataFrame:
+    """What listing each film costs in every mode, and which films a fifth of the eligible ones' pages buys."""
+    found = None
+    for mode in ("taste", "territory", "both"):
+        films = ratings.eligible(ratings.seed_costs(b.hist, mode), MAX_PAGES, MIN_POOL, mode, "pages", "pool")
+        rows = ratings.chosen(films, percent=20, pages="pages").select(F.lit(mode).alias("mode"), "film", "total", "pool", "pages", "eligible", "chosen")
+        found = rows if found is None else found.unionByName(rows)
+    return found
+
+
+def screening(b: Base) -> DataFrame:
+    """Raters of popular films, screened in random order until a third as many targets as there are candidates are found;
+    some of the pages asked for have failed. Targets have the pages that their friends' histories would take."""
+    pool = checkpoints.cut(ratings.drawn(ratings.frame_pool(b.ratings, b.catalogue).withColumn("film", F.lit(0)), SEED).drop("film"))
+    per_page = C.pages_for(F.col("n_films"), ratings.FILMS_PER_PAGE)
+    best = b.follows.select("src", "dst", "n_films").distinct().withColumn("_n", F.row_number().over(Window.partitionBy("src").orderBy(F.desc("n_films"), "dst")))
+    friends = best.groupBy(F.col("src").alias("user_id")).agg(F.count("*").alias("n_friends"), F.sum(F.when(F.col("_n") <= 15, F.least(per_page, F.lit(8)))).alias("friend_pages"))
+    recent = b.feed.where(F.col("pos") <= ratings.FEED_LENGTH).groupBy("user_id").agg(F.count("rating").alias("n_recent"))
+    rated = b.ratings.groupBy("user_id").agg(F.least(F.count("*"), F.lit(markup.PER_GRID)).alias("n_rated"))
+    rows = pool.join(friends, "user_id", "left").join(recent, "user_id", "left").join(rated, "user_id", "left")
+    c = F.col("user_id")
+    rows = rows.withColumns({"friends_ok": c % 13 != 0, "recent_ok": c % 17 != 0, "rated_ok": c % 19 != 0})
+    want = int(pool.count() // 3)
+    out = ratings.prescreened(rows, want, least_friends=15, least_recent=17, least_rated=30)
+    return out.select("user_id", "place", "requests", "eligible", "spent", "found", F.when(F.col("eligible"), F.col("friend_pages")).alias("friend_pages"))
 
 
 def heart_bump(b: Base) -> DataFrame:
@@ -146,7 +183,7 @@ def selection_budget(b: Base) -> DataFrame:
 
 
 def fisher_exact(b: Base) -> DataFrame:
-    arms = metrics.arm_summary(b.arms)
+    arms = checkpoints.cut(metrics.arm_summary(b.arms))
     base = arms.where("arm = 'none'").select(F.col("twins").alias("c"), (F.col("n") - F.col("twins")).alias("d"))
     rows = arms.where("arm <> 'none'").select("arm", F.col("twins").alias("a"), (F.col("n") - F.col("twins")).alias("b")).crossJoin(F.broadcast(base))
     known = b.rows([("known 1", 6, 71, 5, 72), ("known 2", 20, 57, 5, 72)], "arm string, a bigint, b bigint, c bigint, d bigint")
@@ -162,23 +199,43 @@ def rounded(df: DataFrame, *columns: str) -> DataFrame:
     return df.withColumns({c: six(F.col(c)) for c in columns})
 
 
+def nine(rows: DataFrame) -> DataFrame:
+    """Scores to nine decimals, so that two engines see the same ties."""
+    return rows.withColumn("score", F.round("score", 9))
+
+
 def calibrated(fit: Callable) -> Query:
     def run(b: Base) -> DataFrame:
-        scored = b.scored
+        scored = nine(b.scored)
         out = fit(scored.where("part = 'cal'").select("score", "label"), scored.where("part = 'test'"))
         return metrics.calibration(out.withColumn("model", F.lit(fit.__name__)).select("model", "p", "label"), ["model"])
 
     return run
 
 
+SIZES = [50, 100, 200, 500, 1000, 5000]
+
+
 def sweep(b: Base) -> DataFrame:
-    cal = ratings.drawn(b.scored.where("part = 'cal'"), SEED)
-    return cal.withColumn("size", F.explode(F.array(*[F.lit(n) for n in (50, 100, 200, 500, 1000, 5000)]))).where("place <= size").groupBy("size").agg(F.count("*").alias("n"), six(F.avg("score")).alias("mean_score"), six(F.avg("label")).alias("like_rate"))
+    cal = calibration.by_size(ratings.drawn(b.scored.where("part = 'cal'"), SEED), SIZES)
+    return cal.groupBy("size").agg(F.count("*").alias("n"), six(F.avg("score")).alias("mean_score"), six(F.avg("label")).alias("like_rate"))
+
+
+def calibration_fits(b: Base) -> DataFrame:
+    """Both calibrators fitted to samples of each size, and scored on the whole test part."""
+    scored = nine(b.scored)
+    cal = checkpoints.cut(calibration.by_size(ratings.drawn(scored.where("part = 'cal'"), SEED), SIZES).select("size", "score", "label"))
+    test = scored.where("part = 'test'").select(F.explode(F.array(*[F.lit(n) for n in SIZES])).alias("size"), "score", "label")
+    both = [fit(cal, test, ["size"]).select("size", F.lit(fit.__name__).alias("model"), C.clamp(F.col("p"), 1e-6, 1 - 1e-6).alias("p"), "label") for fit in (calibration.platt, calibration.isotonic)]
+    rows = both[0].unionByName(both[1])
+    brier = rows.groupBy("size", "model").agg(F.count("*").alias("n_test"), six(F.avg((F.col("p") - F.col("label")) ** 2)).alias("brier"))
+    used = cal.groupBy("size").agg(F.count("*").alias("n_cal"))
+    return brier.join(metrics.ece(rows, ["size", "model"]), ["size", "model"]).join(used, "size")
 
 
 def page_addresses(b: Base) -> DataFrame:
     parts = {"user": F.col("user_id"), "film": F.col("film"), "sort": F.lit("activity"), "stars": F.col("rating"), "page": F.col("page")}
-    kinds = F.create_map(*[x for kind in C.ADDRESSES for x in (F.lit(kind), C.address(kind, SITE, **parts))])
+    kinds = F.create_map(*[x for kind in C.ADDRESSES for x in (F.lit(kind), C.address(kind, markup.SITE, **parts))])
     rows = b.ratings.withColumn("page", F.col("film") % 3 + 1)
     return rows.select("user_id", "film", F.explode(kinds).alias("kind", "url"))
 
@@ -229,37 +286,133 @@ def mf_als(b: Base) -> DataFrame:
     return metrics.errors(out, ["part"])
 
 
-def page(b: Base, body: str) -> DataFrame:
-    return b.rows([("https://s.example/x/", body)], "url string, body string")
+def kept(b: Base) -> DataFrame:
+    """The table of pages as a store would hold them: some failed, each at a time of its own."""
+    c = F.col("page_id")
+    status = F.when(c % 7 == 3, 404).when(c % 11 == 5, 503).otherwise(200)
+    return b.table("pages").select("url", status.alias("status"), F.col("html").alias("body"), F.when(c % 3 == 0, "browser").otherwise("http").alias("transport"), (NOW - 600.0 * c).alias("fetched_at"))
+
+
+def in_folder(question: Callable[[Base, str], DataFrame]) -> Query:
+    """A query that writes files to a folder of its own and reads them back; the folder goes when it is answered."""
+
+    def run(b: Base) -> DataFrame:
+        root = f"{checkpoints.shared_folder(b.spark)}/files-{uuid.uuid4().hex}"
+        try:
+            return checkpoints.cut(question(b, root))
+        finally:
+            store.remove_store(root)
+
+    return run
+
+
+def from_store(question: Callable[[Base, str], DataFrame]) -> Query:
+    """What ``question`` finds in a page store that the table of pages is written to."""
+
+    def asked(b: Base, root: str) -> DataFrame:
+        store.put_pages(kept(b), root)
+        return question(b, root)
+
+    return in_folder(asked)
+
+
+def freshness(b: Base, root: str) -> DataFrame:
+    return store.read_store(b.spark, root).where("not damaged").select("url", pages.usable(NOW).alias("usable"), pages.store_key().alias("key"))
+
+
+def store_scan(b: Base, root: str) -> DataFrame:
+    return store.read_store(b.spark, root).select("url", "status", "transport", "fetched_at", F.length("body").alias("n_chars"), F.md5(F.col("body").cast("binary")).alias("body_md5"), "damaged")
+
+
+def page_lookup(b: Base, root: str) -> DataFrame:
+    """The page of the smallest address: one file is opened."""
+    url = b.table("pages").agg(F.min("url")).first()[0]
+    return store.read_store(b.spark, root, url).where((F.col("url") == url) & pages.usable(NOW)).select("url", "status", F.length("body").alias("n_chars"))
+
+
+def histogram_artifacts(b: Base, root: str) -> DataFrame:
+    """Histograms written as JSON lines in three shapes, a film in five without one, and a line cut off behind each tenth
+    film's, read back as variants."""
+    level = {"stars": F.col("stars"), "n": F.col("n")}
+    pairs = F.sort_array(F.collect_list(F.struct(*[v.alias(k) for k, v in level.items()])))
+    rows = b.hist.groupBy("film").agg(pairs.alias("_pairs"))
+    as_map = F.to_json(F.map_from_entries(F.transform("_pairs", lambda x: F.struct(x["stars"].cast("string"), x["n"]))))
+    as_lists = F.concat(F.lit("["), F.array_join(F.transform("_pairs", lambda x: F.concat(F.lit("["), x["stars"].cast("string"), F.lit(","), x["n"].cast("string"), F.lit("]"))), ","), F.lit("]"))
+    shape = F.when(F.col("film") % 3 == 0, as_map).when(F.col("film") % 3 == 1, as_lists).otherwise(F.to_json("_pairs"))
+    name = F.when(F.col("film") % 2 == 0, F.concat(F.lit('"slug": "'), F.col("film"), F.lit('"'))).otherwise(F.concat(F.lit('"film": '), F.col("film")))
+    line = F.concat(F.lit("{"), name, F.when(F.col("film") % 5 == 4, F.lit("}")).otherwise(F.concat(F.lit(', "hist": '), shape, F.lit("}"))))
+    lines = rows.select(F.explode(F.when(F.col("film") % 10 == 0, F.array(line, F.substr(line, F.lit(1), F.lit(12)))).otherwise(F.array(line))).alias("value"))
+    lines.write.text(root)
+    return artifacts.histograms(artifacts.read_variants(b.spark, root))
+
+
+def candidates_artifact(b: Base, root: str) -> DataFrame:
+    artifacts.write_json(b.candidates, root)
+    return artifacts.read_json(b.spark, root, "user_id bigint, score double, n_seeds bigint, seeds string, via string")
+
+
+def diary_feed(b: Base) -> DataFrame:
+    return extract.diary(markup.feeds(b.feed, ratings.FEED_LENGTH)).drop("link")
+
+
+def glyph_titles(b: Base) -> DataFrame:
+    """Titles with stars at their end, within, or with a word behind them."""
+    r, k = markup.glyphs(F.col("rating")), F.col("event_id") % 4
+    title = F.when(k == 0, F.concat(F.lit("Film - "), r, F.lit(" "))).when(k == 1, F.concat(r, F.lit(" Film"))).when(k == 2, F.concat(F.lit("★ Film "), r)).otherwise("Film")
+    rows = b.feed.select("event_id", F.coalesce(title, F.lit("Film")).alias("title"))
+    return rows.select("event_id", C.title_rating(F.col("title")).alias("title_rating"), C.glyph_rating(F.col("title")).alias("glyph_rating"))
+
+
+def rated_addresses(b: Base) -> DataFrame:
+    """Addresses of lists of a film's raters at one level, and what they say; every 17th film has a level that there isn't."""
+    known = C.address("rated", markup.SITE, film=F.col("film"), stars=F.col("stars"), page=F.col("film") % 3 + 1)
+    urls = b.hist.select(F.when(F.col("film") % 17 == 0, F.concat(F.lit(f"{markup.SITE}/film/"), F.col("film"), F.lit("/members/rated/6/"))).otherwise(known).alias("url")).distinct()
+    return urls.select("url", C.slug_of(F.col("url")).alias("film"), C.stars_of_url(F.col("url")).alias("stars"))
+
+
+def route_records(b: Base) -> DataFrame:
+    """Pages of all kinds, rendered from the tables, parsed by their routes; every tenth film's page has failed."""
+    ok = F.lit(200).alias("status")
+    kinds = [markup.feeds(b.feed, ratings.FEED_LENGTH), markup.grids(b.ratings), markup.follow_lists(b.follows), markup.review_pages(b.table("documents"))]
+    rows = reduce(DataFrame.unionByName, [x.select("url", ok, "body") for x in kinds])
+    films = markup.film_pages(b.catalogue.withColumn("status", F.when(F.col("film") % 10 == 0, 404).otherwise(200)).select("film")).select("url", F.when(F.col("url").rlike("0/$"), 404).otherwise(200).alias("status"), "body")
+    return extract.record_counts(checkpoints.stored(rows.unionByName(films)))
 
 
 QUERIES: dict[str, Query] = {
-    "diary_feed": lambda b: extract.diary(page(b, markup.FEED)).select("pos", "skipped", "film_title", "film_year", "tmdb_id", "rating", "watched_date", "rewatch", "liked", "slug"),
-    "films_grid": lambda b: extract.films(page(b, markup.GRID)).drop("url"),
-    "people_list": lambda b: extract.people(page(b, markup.PEOPLE)).drop("url"),
-    "review_rows": lambda b: extract.reviews(page(b, markup.REVIEWS)).drop("url"),
-    "rating_histogram_page": lambda b: extract.histogram(page(b, markup.HISTOGRAM)).drop("url"),
-    "film_page_ids": lambda b: extract.film_ids(page(b, markup.FILM)).drop("url"),
-    "members_page": lambda b: extract.members(page(b, markup.PEOPLE)).drop("url"),
+    "diary_feed": diary_feed,
+    "films_grid": lambda b: extract.films(markup.grids(b.ratings)),
+    "people_list": lambda b: extract.people(markup.follow_lists(b.follows)),
+    "review_rows": lambda b: extract.reviews(markup.review_pages(b.table("documents"))),
+    "rating_histogram_page": lambda b: extract.histogram(markup.histogram_pages(b.hist)),
+    "film_page_ids": lambda b: extract.film_ids(markup.film_pages(b.catalogue)),
+    "members_page": lambda b: extract.members(markup.follow_lists(b.follows)),
+    "route_records": route_records,
+    "page_store_scan": from_store(store_scan),
+    "histogram_artifacts": in_folder(histogram_artifacts),
+    "candidates_artifact": in_folder(candidates_artifact),
+    "page_lookup": from_store(page_lookup),
     "anti_cached": anti_cached,
     "text_summary": text_summary,
     "percentile_agreement": lambda b: rounded(b.agreement, "r"),
-    "cache_freshness": lambda b: b.rows(STORE, pages.PAGE).select("url", pages.usable(NOW).alias("usable"), pages.store_key().alias("key")),
-    "cache_stats": lambda b: pages.store_stats(b.rows(STORE, pages.PAGE)),
+    "cache_freshness": from_store(freshness),
+    "cache_stats": from_store(lambda b, root: store.file_stats(store.read_store(b.spark, root)).drop("disk_mb")),
     "ordered_dedup": ordered_dedup,
-    "paginated_scan": lambda b: pages.scanned(b.table("pages").select(C.host_of(F.col("url")).alias("entity"), F.col("page_id").alias("page"), F.when(F.col("page_id") % 97 == 96, 404).otherwise(200).alias("status"), F.length("html").alias("n_rows"))).groupBy("entity").agg(F.count("*").alias("n"), F.max("page").alias("last")),
+    "paginated_scan": paginated_scan,
     "url_builders": lambda b: b.feed.select("film", "user_id").distinct().select("user_id", "film", C.paged(F.concat(F.lit("/"), F.col("user_id"), F.lit("/films/")), F.col("film")).alias("path")),
     "field_coverage": field_coverage,
-    "star_glyph_parse": lambda b: b.rows(GLYPHS, "id int, title string").select("id", C.title_rating(F.col("title")).alias("title_rating"), C.glyph_rating(F.col("title")).alias("glyph_rating")),
+    "star_glyph_parse": glyph_titles,
     "html_strip_tags": html_strip_tags,
-    "url_token_decode": lambda b: b.rows(TOKENS, "url string").select("url", C.slug_of(F.col("url")).alias("film"), C.stars_of_url(F.col("url")).alias("stars")),
+    "url_token_decode": rated_addresses,
     "url_route": lambda b: url_rows(b).select("url", "status", C.route_of(F.col("url"), F.col("status")).alias("kind")),
     "route_counts": lambda b: url_rows(b).groupBy(C.route_of(F.col("url"), F.col("status")).alias("kind")).agg(F.count("*").alias("n"), F.count_distinct("url").alias("urls")),
     "seed_eligibility": lambda b: b.planned.select("film", "raters_ge4", "pages_ge4", "eligible", ratings.reasons(b.planned, MAX_PAGES, MIN_POOL).alias("reason")),
+    "seed_modes": seed_modes,
+    "prescreen": screening,
     "pool_band": lambda b: b.catalogue.select("film", "raters_ge4", ratings.band(F.col("raters_ge4"), 15, 60).alias("band")),
     "verdicts": verdicts,
     "eligible_targets": lambda b: ratings.eligible_targets(b.split, 5, 10),
-    "co_rated_pairs": lambda b: similarity.co_rated(b.ratings, b.ratings).groupBy("a", "b").agg(F.count("*").alias("n_common")),
+    "co_rated_pairs": lambda b: similarity.pair_counts(b.ratings).withColumnRenamed("n", "n_common"),
     "seed_exclusion": lambda b: b.ratings.join(b.seeds, "film", "left_anti").select("user_id", "film", "rating"),
     "friends_of_friends": friends_of_friends,
     "heart_bump": heart_bump,
@@ -277,7 +430,7 @@ QUERIES: dict[str, Query] = {
     "fetch_cost": lambda b: b.follows.groupBy("src").agg(F.sum("n_films").alias("films"), F.sum(C.pages_for(F.col("n_films"), 20)).alias("pages")),
     "capped_fetch_cost": lambda b: b.follows.groupBy("src").agg(F.sum(F.least(C.pages_for(F.col("n_films"), 10), F.lit(4))).alias("pages")),
     "arm_summary": lambda b: metrics.arm_summary(b.arms),
-    "cohort_distribution": lambda b: metrics.cohort_distribution(metrics.cohort_rows(b.cf, b.split, 3)),
+    "cohort_distribution": lambda b: metrics.cohort_distribution(metrics.cohort_rows(b.cf, b.split, b.near)),
     "bias_model": bias_model,
     "user_label_stats": user_labels,
     "positional_quantiles": quantiles,
@@ -321,9 +474,10 @@ QUERIES: dict[str, Query] = {
     "cf_coverage": cf_coverage,
     "bias_predictions": lambda b: rounded(b.scored, "score"),
     "calibration_sweep": sweep,
+    "calibration_fits": calibration_fits,
     "mf_als": mf_als,
-    "platt_calibration": calibrated(models.platt),
-    "isotonic_calibration": calibrated(models.isotonic),
+    "platt_calibration": calibrated(calibration.platt),
+    "isotonic_calibration": calibrated(calibration.isotonic),
     "temperature_scaling": calibrated(models.temperature),
     "sha_shard": lambda b: b.table("pages").select("page_id", C.sha_shard(F.col("url"), 7).cast("int").alias("shard")),
     "host_eta": lambda b: b.table("pages").groupBy(C.host_of(F.col("url")).alias("host")).agg(F.count("*").alias("n")).agg(six(F.max("n") * 4.5).alias("seconds")),

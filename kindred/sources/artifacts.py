@@ -31,6 +31,25 @@ def read_json(spark: SparkSession, folder: str, schema: T.StructType | str) -> D
     return spark.read.schema(schema).json(folder)
 
 
+def read_variants(spark: SparkSession, folder: str, column: str = "v") -> DataFrame:
+    """One JSON value a line, of whatever shape; lines that aren't JSON are null."""
+    return spark.read.text(folder).select(F.try_parse_json("value").alias(column))
+
+
+def histograms(artifacts: DataFrame, column: str = "v") -> DataFrame:
+    """(film, stars, n) of artifacts that name a film as ``slug`` or ``film`` and its ratings as ``hist``: an object of
+    levels, a list of [level, count], or a list of objects with ``stars`` and ``n``. Other values have no rows."""
+    v = F.col(column)
+    get = lambda x, path, kind: F.try_variant_get(x, path, kind)
+    rows = artifacts.select(F.coalesce(get(v, "$.slug", "string"), get(v, "$.film", "string")).alias("film"), get(v, "$.hist", "variant").alias("_hist"))
+    rows = rows.where("film is not null and _hist is not null")
+    each = rows.lateralJoin(artifacts.sparkSession.tvf.variant_explode(F.col("_hist").outer()))
+    value = F.col("value")
+    stars = F.coalesce(F.col("key").try_cast("double"), get(value, "$.stars", "double"), get(value, "$[0]", "double"))
+    n = F.coalesce(F.when(F.col("key").isNotNull(), get(value, "$", "bigint")), get(value, "$.n", "bigint"), get(value, "$[1]", "bigint"))
+    return each.select("film", stars.alias("stars"), n.alias("n")).where("stars is not null and n is not null")
+
+
 def report(rows: DataFrame, template: str, placeholder: str, limit: int) -> str:
     """A page with the first ``limit`` rows as compact JSON in place of ``placeholder``; rows must be ordered."""
     payload = [r[0] for r in rows.limit(limit).select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"})).collect()]

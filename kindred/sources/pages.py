@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from kindred.checkpoints import cut
+
 PAGE = T.StructType([
     T.StructField("url", T.StringType()), T.StructField("status", T.IntegerType()), T.StructField("body", T.StringType()),
     T.StructField("transport", T.StringType()), T.StructField("fetched_at", T.DoubleType()),
@@ -30,9 +32,10 @@ def latest(pages: DataFrame) -> DataFrame:
 
 
 def store_key(url: str = "url") -> Column:
-    """Place of an address in the store: host, the digest's first two digits, the digest."""
+    """Place of an address in the store: host (_ if it has none), the digest's first two digits, the digest."""
     digest = F.sha2(F.col(url).cast("binary"), 256)
-    return F.concat_ws("/", F.regexp_extract(url, "^[a-z]+://([^/?#]+)", 1), F.substr(digest, F.lit(1), F.lit(2)), digest)
+    host = F.coalesce(F.nullif(F.regexp_extract(url, "^[a-z]+://([^/?#]+)", 1), F.lit("")), F.lit("_"))
+    return F.concat_ws("/", host, F.substr(digest, F.lit(1), F.lit(2)), digest)
 
 
 def usable(now: float) -> Column:
@@ -45,11 +48,32 @@ def store_stats(pages: DataFrame) -> DataFrame:
     return pages.agg(F.count("*").alias("entries"), F.count_if(ok).alias("ok"), F.count_if(~ok).alias("failed"), F.coalesce(F.sum(F.octet_length("body")), F.lit(0)).cast("long").alias("body_bytes"))
 
 
-def scanned(pages: DataFrame, entity: str = "entity", page: str = "page", rows: str = "n_rows") -> DataFrame:
-    """Pages of each entity before its first failed or empty one."""
-    bad = ~F.col("status").between(200, 299) | (F.col(rows) == 0)
-    stop = F.max(bad.cast("int")).over(Window.partitionBy(entity).orderBy(page).rowsBetween(Window.unboundedPreceding, 0))
-    return pages.withColumn("_stop", stop).where("_stop = 0").drop("_stop")
+def run_ends(pages: DataFrame, entity: str = "entity", page: str = "page", rows: str = "n_rows", cap: int | None = None) -> DataFrame:
+    """(entity, stop, why): the page at which a scan of each entity's pages from 1 on ends, which is not read any more, and
+    why: ``failed``, ``empty``, ``missing`` (also behind the last page) or ``cap``, by which a history may be cut short.
+
+    The first gap is the least page whose successor isn't there, found by a join on the next number, so that no task
+    sorts an entity's pages. Pages that are stored twice count as good if one of them is.
+    """
+    c, ok = F.col, F.coalesce(F.col("status").between(200, 299), F.lit(False))
+    seen = pages.where((c(page) >= 1) & c(entity).isNotNull()).groupBy(c(entity).alias("entity"), c(page).cast("long").alias("page"))
+    seen = cut(seen.agg(F.max(ok).alias("ok"), F.max(ok & (c(rows) > 0)).alias("full")))
+    follows = seen.select("entity", (c("page") - 1).alias("page"), F.lit(True).alias("_next"))
+    gaps = seen.join(follows, ["entity", "page"], "left").where("_next is null").groupBy("entity").agg((F.min("page") + 1).alias("_gap"))
+    bad = seen.groupBy("entity").agg(F.min(F.when(~c("ok"), c("page"))).alias("_failed"), F.min(F.when(c("ok") & ~c("full"), c("page"))).alias("_empty"), F.min("page").alias("_first"))
+    gap = F.when(c("_first") > 1, 1).otherwise(c("_gap"))
+    ends = {"cap": F.lit(None if cap is None else cap + 1).cast("long"), "failed": c("_failed"), "empty": c("_empty"), "missing": gap}
+    stop, why = F.least(*ends.values()), None
+    for name, at in ends.items():
+        why = F.when(at == stop, name) if why is None else why.when(at == stop, name)
+    return bad.join(gaps, "entity").select("entity", stop.alias("stop"), why.alias("why"))
+
+
+def scanned(pages: DataFrame, entity: str = "entity", page: str = "page", rows: str = "n_rows", cap: int | None = None) -> DataFrame:
+    """Pages of each entity from 1 up to its first failed, empty or missing one, or the cap; ``truncated`` marks those of
+    entities that the cap has ended, whose histories may be longer."""
+    ends = run_ends(pages, entity, page, rows, cap).select(F.col("entity").alias("_entity"), "stop", (F.col("why") == "cap").alias("truncated"))
+    return pages.join(ends, (F.col(entity) == F.col("_entity")) & (F.col(page) >= 1) & (F.col(page) < F.col("stop"))).drop("_entity", "stop")
 
 
 def listed(lines: DataFrame, line: str = "value", pos: str = "pos") -> DataFrame:
