@@ -4,16 +4,15 @@ from __future__ import annotations
 
 import ctypes
 import gc
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
-from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kindred.checkpoints import cut, shared_folder, stored  # noqa: F401  (for the operators here)
+
 #: Bytes of text that the numpy kernels work on at once; longer single texts are still taken whole.
 CHUNK_BYTES = 400_000
 
@@ -27,49 +26,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The checkpoint folder, which the driver and all executors share.
-
-    It comes from spark.checkpoint.dir; a temporary one is set only where none is configured and Spark runs in one process
-    (tests). Raises ValueError on a cluster without the setting, as executors couldn't read a folder of the driver's.
-    """
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder and context.master.split("[")[0] != "local":
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="kindred-checkpoint-"))
-    return context.getCheckpointDir()
-
-
-@contextmanager
-def shuffles_removed(spark: SparkSession):
-    """Nothing reads the shuffle files behind what is materialised in here, so Spark is asked to remove them then and not
-    when the driver next collects its garbage."""
-    setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(setting)
-    spark.conf.set(setting, "true")
-    try:
-        yield
-    finally:
-        spark.conf.set(setting, before)
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise in the shared folder and forget the lineage."""
-    shared_folder(df.sparkSession)
-    with shuffles_removed(df.sparkSession):
-        return df.select("*").checkpoint(eager=True)
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """As ``cut``, but as Parquet: for whole texts, which a checkpoint would hold uncompressed."""
-    folder = f"{shared_folder(df.sparkSession)}/stored-{uuid.uuid4().hex}"
-    with shuffles_removed(df.sparkSession):
-        df.write.parquet(folder)
-    return df.sparkSession.read.parquet(folder)
-
-
 #: Bytes of an Arrow batch that goes to a Python worker, where the session has Spark's own setting; long texts would
 #: otherwise come 10,000 at a time.
 BATCH_BYTES = 4 << 20

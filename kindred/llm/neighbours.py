@@ -58,38 +58,40 @@ def prepare(c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarr
 
 
 def tile(k: int):
-    def run(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray, ready: tuple):
+    def run(q: np.ndarray, c: np.ndarray, own: np.ndarray, ready: tuple):
         q, c = q.astype(np.float64, copy=False), c.astype(np.float64, copy=False)
         (qc, qs, qe, qn), (cc, cs, ce, cn) = prepare(q), ready
-        ids, found, values = [], [], []
+        at, found, values = [], [], []
         for i in range(0, len(q), STRIP):
             s = slice(i, i + STRIP)
             near = product(qc[s], cc) * qs[s, None] * cs
             off = qn[s, None] * ce + qe[s, None] * (cn + ce) + ROUNDING * qn[s, None] * cn
-            own = np.searchsorted(c_ids, q_ids[s])
-            mine = np.flatnonzero((own < len(c_ids)) & (c_ids[np.minimum(own, len(c_ids) - 1)] == q_ids[s]))
+            mine = np.flatnonzero(own[s] >= 0)
             lower, upper = near - off, near + off
-            lower[mine, own[mine]] = upper[mine, own[mine]] = -np.inf
-            least = np.partition(lower, len(c_ids) - k, axis=1)[:, len(c_ids) - k] if len(c_ids) > k else np.full(len(near), -np.inf)
+            lower[mine, own[s][mine]] = upper[mine, own[s][mine]] = -np.inf
+            least = np.partition(lower, len(c) - k, axis=1)[:, len(c) - k] if len(c) > k else np.full(len(near), -np.inf)
             rows, columns = np.nonzero((upper >= least[:, None]) & (upper > -np.inf))
             scores = exact(q[s], c, rows, columns)
             order = np.lexsort((columns, -scores, rows))
             rows, columns, scores = rows[order], columns[order], scores[order]
             first = np.searchsorted(rows, rows)
             keep = np.arange(len(rows)) - first < k
-            ids.append(q_ids[s][rows[keep]])
-            found.append(c_ids[columns[keep]])
+            at.append(i + rows[keep])
+            found.append(columns[keep])
             values.append(scores[keep])
-        return [np.concatenate(x) if x else np.zeros(0, t) for x, t in ((ids, np.int64), (found, np.int64), (values, np.float64))]
+        return [np.concatenate(x) if x else np.zeros(0, t) for x, t in ((at, np.int64), (found, np.int64), (values, np.float64))]
 
     return run
 
 
-def nearest(queries: DataFrame, candidates: DataFrame, k: int = 20, dtype: str = "float64") -> DataFrame:
-    """Each query's ``k`` candidates of largest inner product (double), without the one that has its own id.
+def nearest(rows: DataFrame, k: int = 20) -> DataFrame:
+    """The ``k`` other rows of largest inner product, in double precision, for each row (id long, v array, query boolean)
+    with ``query``.
 
-    Both frames are (id long, v array); the error bounds make the result exact, ties going to the smaller id. Fewer
-    candidates than ``k`` are all returned. Of rows that repeat an id the smallest vector counts, and short vectors
-    get zeros. Rows with a null id, or a null, zero or non-finite vector, must have been removed.
+    The error bounds make the result exact, ties going to the smaller id. Vectors are kept in their own type, floats as
+    floats and others as doubles. Fewer candidates than ``k`` are all returned. Rows that repeat an id are rows of their
+    own: each is a candidate, and each query among them has its list; short vectors get zeros. Rows with a null id, or a
+    null, zero or non-finite vector, must have been removed.
     """
-    return search(queries, candidates, k, "double", dtype, prepare, tile(k), QUERIES_PER_BLOCK, ROWS_PER_BLOCK)
+    dtype = "float32" if dict(rows.dtypes)["v"] == "array<float>" else "float64"
+    return search(rows, k, "double", dtype, prepare, tile(k), QUERIES_PER_BLOCK, ROWS_PER_BLOCK)

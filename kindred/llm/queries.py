@@ -52,8 +52,7 @@ def op3_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 5 rows of largest integer inner product for every row whose id is divisible by 50."""
     rows = table(spark, sf_dir, "embeddings").where(F.col("vec_id").isNotNull() & finite("embedding"))
     weights = F.transform(F.col("embedding"), lambda x: F.floor(x.cast("double") * 256))
-    rows = rows.select(F.col("vec_id").alias("id"), weights.alias("v"))
-    return exact_top_k(rows.where(F.col("id") % 50 == 0), rows, 5)
+    return exact_top_k(rows.select(F.col("vec_id").alias("id"), weights.alias("v"), (F.col("vec_id") % 50 == 0).alias("query")), 5)
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,8 +79,8 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 rows of largest inner product for every row whose id is divisible by 20."""
     rows = table(spark, sf_dir, "embeddings").where(F.col("vec_id").isNotNull() & finite("embedding"))
-    rows = rows.where(F.exists("embedding", lambda x: x != 0)).select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
-    return nearest(rows.where(F.col("id") % 20 == 0), rows, 20, "float32")
+    rows = rows.where(F.exists("embedding", lambda x: x != 0))
+    return nearest(rows.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"), (F.col("vec_id") % 20 == 0).alias("query")), 20)
 
 
 def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

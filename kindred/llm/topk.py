@@ -35,10 +35,10 @@ def select(scores: np.ndarray, k: int) -> np.ndarray:
 
 
 def tile(k: int):
-    def run(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray, lists: list):
-        scores, part = np.zeros(len(c_ids), np.int64), np.zeros(len(c_ids), np.int64)
-        ids, found, values = [], [], []
-        for query, row in zip(q_ids, q, strict=True):
+    def run(q: np.ndarray, c: np.ndarray, own: np.ndarray, lists: list):
+        scores, part = np.zeros(len(c), np.int64), np.zeros(len(c), np.int64)
+        at, found, values = [], [], []
+        for i, (row, mine) in enumerate(zip(q, own.tolist(), strict=True)):
             scores[:] = 0
             for term in np.flatnonzero(row[: len(lists)]):
                 rows, weights = lists[term]
@@ -46,25 +46,25 @@ def tile(k: int):
                     scores += np.multiply(weights, row[term], out=part)
                 else:
                     scores[rows] += weights * row[term]
-            own = np.searchsorted(c_ids, query)
-            if own < len(c_ids) and c_ids[own] == query:
-                best = select(np.delete(scores, own), k)
-                best += best >= own
+            if mine >= 0:
+                best = select(np.delete(scores, mine), k)
+                best += best >= mine
             else:
                 best = select(scores, k)
-            ids.append(np.full(len(best), query))
-            found.append(c_ids[best])
+            at.append(np.full(len(best), i))
+            found.append(best)
             values.append(scores[best])
-        return [np.concatenate(x) if x else np.zeros(0, np.int64) for x in (ids, found, values)]
+        return [np.concatenate(x) if x else np.zeros(0, np.int64) for x in (at, found, values)]
 
     return run
 
 
-def exact_top_k(queries: DataFrame, candidates: DataFrame, k: int = 5) -> DataFrame:
-    """Each query's ``k`` candidates of largest inner product, without the one that has its own id.
+def exact_top_k(rows: DataFrame, k: int = 5) -> DataFrame:
+    """The ``k`` other rows of largest inner product for each row (id long, v array<bigint>, query boolean) with ``query``.
 
-    Both frames are (id long, v array<bigint>); components that are missing at the end of a short vector are 0. Scores
-    are 64-bit and wrap round beyond. Fewer candidates than ``k`` are all returned; no candidate, no row. Of rows that
-    repeat an id the smallest vector counts. Rows with a null id or vector must have been removed.
+    Components that are missing at the end of a short vector, or all of an empty one's, are 0. Scores are 64-bit and wrap
+    round beyond. Fewer candidates than ``k`` are all returned; no candidate, no row. Rows that repeat an id are rows of
+    their own: each is a candidate, and each query among them has its list. Rows with a null id or vector must have been
+    removed.
     """
-    return search(queries, candidates, k, "long", "int64", postings, tile(k), QUERIES_PER_BLOCK, ROWS_PER_BLOCK)
+    return search(rows, k, "long", "int64", postings, tile(k), QUERIES_PER_BLOCK, ROWS_PER_BLOCK)

@@ -12,10 +12,11 @@ from kindred.llm import common, mixing, neighbours, queries, sharding, topk, vec
 
 
 def brute(rows, stride, k, score):
+    """Rows (id, vector); a query leaves out its own row, not others of its id."""
     out = []
-    for q, x in rows.items():
+    for m, (q, x) in enumerate(rows):
         if q % stride == 0:
-            best = sorted(((-score(x, y), i) for i, y in rows.items() if i != q))[:k]
+            best = sorted(((-score(x, y), i) for n, (i, y) in enumerate(rows) if n != m))[:k]
             out += [(q, n + 1, i, -s) for n, (s, i) in enumerate(best)]
     return sorted(out)
 
@@ -32,10 +33,10 @@ def vectors(tmp_path_factory, spark):
     rng = np.random.default_rng(5)
     rows = [(i, rng.normal(0, 0.2, 16).astype(np.float32).tolist()) for i in range(300)]
     rows[7:20] = [(i, rows[5][1]) for i in range(7, 20)]  # ties
-    rows += [(400, None), (450, [1.0, None] * 8), (500, [float("nan")] * 16), (550, [float("inf")] * 16), (600, [0.0] * 16), (None, rows[3][1]), (100, rows[100][1])]
+    rows += [(400, None), (450, [1.0, None] * 8), (500, [float("nan")] * 16), (550, [float("inf")] * 16), (600, [0.0] * 16), (None, rows[3][1]), (100, rows[100][1]), (100, rows[7][1]), (3, rows[60][1]), (3, rows[61][1])]
     folder = tmp_path_factory.mktemp("vectors")
     spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("score", F.lit(1)).write.parquet(f"{folder}/embeddings.parquet")
-    return str(folder), {i: v for i, v in rows[:300]} | {600: [0.0] * 16}
+    return str(folder), [(i, v) for i, v in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v)]
 
 
 def test_exact_top_k(spark, vectors, monkeypatch):
@@ -43,7 +44,7 @@ def test_exact_top_k(spark, vectors, monkeypatch):
     monkeypatch.setattr(topk, "QUERIES_PER_BLOCK", 2)
     folder, rows = vectors
     got = sorted(map(tuple, queries.op3_exact_top_k(spark, folder).collect()))
-    weights = {i: [int(np.floor(256 * float(x))) for x in v] for i, v in rows.items()}
+    weights = [(i, [int(np.floor(256 * float(x))) for x in v]) for i, v in rows]
     assert got == brute(weights, 50, 5, lambda x, y: sum(a * b for a, b in zip(x, y, strict=True)))
 
 
@@ -51,10 +52,17 @@ def test_nearest(spark, vectors, monkeypatch):
     monkeypatch.setattr(neighbours, "ROWS_PER_BLOCK", 64)
     monkeypatch.setattr(neighbours, "QUERIES_PER_BLOCK", 4)
     folder, rows = vectors
-    rows = {i: [float(x) for x in v] for i, v in rows.items() if any(v)}
+    rows = [(i, [float(x) for x in v]) for i, v in rows if any(v)]
     assert sorted(map(tuple, queries.op7_nearest(spark, folder).collect())) == brute(rows, 20, 20, in_order)
 
 
+def test_doubles_stay_doubles(spark, tmp_path):
+    """Neighbours that differ in the tenth decimal, which floats don't hold."""
+    rows = [(0, [1.0]), (1, [0.1]), (2, [0.1 + 1e-10]), (3, [0.1 - 1e-10])]
+    spark.createDataFrame(rows, "vec_id long, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    assert sorted(map(tuple, queries.op7_nearest(spark, str(tmp_path)).collect())) == [(0, 1, 2, 0.1 + 1e-10), (0, 2, 1, 0.1), (0, 3, 3, 0.1 - 1e-10)]
+
+
 def test_quantisation_bound():
     rng = np.random.default_rng(1)
     q, c = rng.normal(size=(20, 64)), rng.normal(size=(50, 64)) * rng.exponential(size=(50, 1))
@@ -65,19 +73,21 @@ def test_quantisation_bound():
 
 
 def test_vectors_few_and_ragged(spark):
-    rows = spark.createDataFrame([(0, [1, 2]), (50, [3]), (100, [])], "id long, v array<long>")
-    got = sorted(map(tuple, topk.exact_top_k(rows, rows, 5).collect()))
+    rows = spark.createDataFrame([(0, [1, 2]), (50, [3]), (100, [])], "id long, v array<long>").withColumn("query", F.lit(True))
+    got = sorted(map(tuple, topk.exact_top_k(rows, 5).collect()))
     assert got == [(0, 1, 50, 3), (0, 2, 100, 0), (50, 1, 0, 3), (50, 2, 100, 0), (100, 1, 0, 0), (100, 2, 50, 0)]
-    assert topk.exact_top_k(rows.where("false"), rows, 5).count() == 0
-    assert neighbours.nearest(rows.where("false"), rows.where("false"), 5).count() == 0
-    assert vector_blocks.pack(rows.where("false"), "int64", 1).count() == 0
+    assert topk.exact_top_k(rows.withColumn("query", F.lit(False)), 5).count() == 0
+    assert neighbours.nearest(rows.where("false"), 5).count() == 0
+    assert vector_blocks.pack(rows.withColumn("row", F.col("id")).where("false"), "int64", 1).count() == 0
+    one = topk.exact_top_k(rows.where("id = 50"), 5)
+    assert one.count() == 0
 
 
 @pytest.mark.parametrize(("most", "size"), [(1 << 14, 2), (1 << 30, 4), (1 << 62, 8)])
 def test_blocks_take_the_narrowest_type(spark, most, size):
-    rows = spark.createDataFrame([(0, [1, 2]), (50, [-most, most - 1])], "id long, v array<long>")
+    rows = spark.createDataFrame([(0, [1, 2]), (50, [-most, most - 1])], "id long, v array<long>").withColumns({"row": F.col("id"), "query": F.lit(True)})
     assert len(vector_blocks.pack(rows, "int64", 1).first()["cells"]) == 4 * size
-    got = sorted(map(tuple, topk.exact_top_k(rows, rows, 5).collect()))
+    got = sorted(map(tuple, topk.exact_top_k(rows, 5).collect()))
     assert got == [(0, 1, 50, most - 2), (50, 1, 0, most - 2)]
 
 
