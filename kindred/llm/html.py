@@ -5,11 +5,14 @@ node. The trees of a host are folded into a template by simple tree matching: al
 and noting whether their text is constant or varies. Every page takes part; tasks fold what they read, partial
 templates are merged in two levels, so a host with a third of all pages only sends one small template for each task.
 
-The host's wrapper marks template nodes: subtrees whose text is constant (on hosts whose pages differ) and lists of links
-are template; the rest are content slots. Each page is then aligned to its wrapper. Elements that say by their tag, role
-or names that they are furniture are template too, which is what tells on hosts with too few pages to compare; but names
-never decide against the element that holds most of a page's text with its article or heading. The text in content slots,
-inside the page's article or main element if it has one, is its main text.
+Wherever a host has pages of different headings, its template decides. Subtrees whose text is the same on most of the
+pages that have their parent are template; the others are slots, and the slots are weighed over all pages of the host: the
+smallest element that holds most of what varies (without links), and the headings with it, is the main slot. What is
+outside it (varying adverts, footers, lists of links) is furniture, what is inside it is content. Each page is then aligned
+to its host's wrapper. Where that says nothing (a host's only page, a page without the main slot, hosts without a slot that
+stands out), elements that say by their tag, role or names that they are furniture are left out, and text in an article or
+main element is preferred; inside a main slot the same names mark adverts and comments. Names never decide against the
+element that holds most of a page's text with its article or heading.
 
 Elements nested deeper than ``DEEPEST`` count as part of the one at that depth; their text is kept.
 """
@@ -22,6 +25,7 @@ import re
 import zlib
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -43,10 +47,15 @@ CLOSES = {
 }
 #: Elements below this depth have no node of their own.
 DEEPEST = 120
-#: A node is constant only on a host with so many different headings.
-DIFFERENT_PAGES = 5
-#: From so many children on, template nodes that few pages have are forgotten (they count as slots).
+#: Share of a host's varying text that the main slot holds at least.
+MAIN_SHARE = 0.75
+#: Elements that are text, not containers of it.
+TEXTS = frozenset("p li dt dd td th h1 h2 h3 h4 h5 h6 blockquote pre caption figcaption".split())
+HEADINGS = frozenset(("h1", "h2", "h3"))
+#: From so many children on, template nodes that match nothing are folded into the nearest one of their kind.
 WIDE = 48
+#: Tables of alignments with more cells than this are filled row by row in numpy.
+PLAIN_CELLS = 2_048
 #: Largest total of wrappers that is broadcast; beyond it they are joined by host.
 BROADCAST_BYTES = 32 << 20
 FOLD_SALTS, JOIN_SALTS = 256, 32
@@ -201,69 +210,203 @@ class Page:
         return zlib.crc32(texts[0].strip().encode("utf-8", "replace"))
 
 
-def matching(a: dict, b: dict, found: dict) -> int:
-    """Simple tree matching: pairs of a largest order-preserving mapping of two trees with roots of one kind.
+class Matching:
+    """Simple tree matching of two trees: the pairs of a largest order-preserving mapping, children of matched nodes to
+    children of matched nodes, roots and pairs being of one kind.
 
-    ``found`` gets, for each pair of nodes compared, the table over their children's prefixes.
+    Subtrees of one shape match as a whole, so only different shapes are compared, each pair of shapes once, and children
+    that begin or end alike are aligned without a table (no mapping can be larger: either of them can't match more nodes
+    than it has). What is left of long lists of children is aligned row by row in numpy, in a few bits a cell.
     """
-    if a["k"] != b["k"]:
-        return 0
-    x, y = a["s"], b["s"]
-    table = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
-    for i in range(1, len(x) + 1):
-        for j in range(1, len(y) + 1):
-            table[i][j] = max(table[i - 1][j], table[i][j - 1], table[i - 1][j - 1] + matching(x[i - 1], y[j - 1], found))
-    found[id(a), id(b)] = table
-    return table[-1][-1] + 1
-
-
-def pairs(a: dict, b: dict, found: dict) -> list[tuple[int | None, int | None]]:
-    """The children of two matched nodes in one order, aligned where they match."""
-    x, y, table, out = a["s"], b["s"], found[id(a), id(b)], []
-    i, j = len(x), len(y)
-    while i and j:
-        if x[i - 1]["k"] == y[j - 1]["k"] and table[i][j] > max(table[i - 1][j], table[i][j - 1]):
-            i, j = i - 1, j - 1
-            out.append((i, j))
-        elif table[i - 1][j] >= table[i][j - 1]:
-            i -= 1
-            out.append((i, None))
-        else:
-            j -= 1
-            out.append((None, j))
-    return [*((k, None) for k in range(i)), *((None, k) for k in range(j)), *out[::-1]]
 
+    def __init__(self) -> None:
+        self.shapes: dict[tuple, int] = {}
+        self.sizes: list[int] = []
+        self.children: list[tuple[int, ...]] = []
+        self.kinds: list[str] = []
+        self.of: dict[int, int] = {}
+        self.scores: dict[tuple[int, int], int] = {}
+
+    def shape(self, node: dict) -> int:
+        below = tuple(map(self.shape, node["s"]))
+        key = node["k"], below
+        if key not in self.shapes:
+            self.shapes[key] = len(self.shapes)
+            self.sizes.append(1 + sum(self.sizes[x] for x in below))
+            self.children.append(below)
+            self.kinds.append(node["k"])
+        self.of[id(node)] = self.shapes[key]
+        return self.shapes[key]
+
+    def score(self, a: int, b: int) -> int:
+        """Nodes that two shapes' trees match; 0 for roots of different kinds."""
+        if a == b:
+            return self.sizes[a]
+        if self.kinds[a] != self.kinds[b]:
+            return 0
+        if not self.children[a] or not self.children[b]:
+            return 1
+        if (a, b) not in self.scores:
+            self.scores[a, b] = 1 + self.aligned(self.children[a], self.children[b])[0]
+        return self.scores[a, b]
+
+    def aligned(self, x: tuple[int, ...], y: tuple[int, ...], told: bool = False) -> tuple[int, list[tuple[int, int]]]:
+        """The score of two sequences of shapes, and (if ``told``) the places that are matched."""
+        n, m = len(x), len(y)
+        head = next((i for i in range(min(n, m)) if x[i] != y[i]), min(n, m))
+        tail = next((i for i in range(min(n, m) - head) if x[n - 1 - i] != y[m - 1 - i]), min(n, m) - head)
+        score, middle = self._table(x[head : n - tail], y[head : m - tail], told) if head + tail < min(n, m) else (0, [])
+        score += sum(self.sizes[k] for k in (*x[:head], *x[n - tail :]))
+        return score, [*((i, i) for i in range(head)), *((i + head, j + head) for i, j in middle), *((n - i, m - i) for i in range(tail, 0, -1))] if told else []
+
+    def _table(self, x: tuple[int, ...], y: tuple[int, ...], told: bool) -> tuple[int, list[tuple[int, int]]]:
+        if len(x) * len(y) <= PLAIN_CELLS:
+            rows = [[0] * (len(y) + 1)]
+            for a in x:
+                last, now = rows[-1], [0]
+                for j, b in enumerate(y):
+                    now.append(max(last[j + 1], now[j], last[j] + self.score(a, b)))
+                rows.append(now)
+            return rows[-1][-1], self._back(x, y, lambda i, j: rows[i][j] > max(rows[i - 1][j], rows[i][j - 1]), lambda i, j: rows[i - 1][j] >= rows[i][j - 1]) if told else []
+        others, at = np.unique(y, return_inverse=True)
+        weights = {a: np.array([self.score(a, int(b)) for b in others], np.int32)[at] for a in set(x)}
+        last, diagonal, up = np.zeros(len(y) + 1, np.int32), [], []
+        for a in x:
+            now = last.copy()
+            now[1:] = np.maximum.accumulate(np.maximum(last[1:], last[:-1] + weights[a]))
+            if told:
+                diagonal.append(np.packbits(now[1:] > np.maximum(last[1:], now[:-1])))
+                up.append(np.packbits(last[1:] >= now[:-1]))
+            last = now
+        bit = lambda rows, i, j: rows[i - 1][(j - 1) >> 3] >> (7 - (j - 1 & 7)) & 1
+        return int(last[-1]), self._back(x, y, lambda i, j: bit(diagonal, i, j), lambda i, j: bit(up, i, j)) if told else []
+
+    @staticmethod
+    def _back(x, y, diagonal, up) -> list[tuple[int, int]]:
+        out, i, j = [], len(x), len(y)
+        while i and j:
+            if diagonal(i, j):
+                i, j = i - 1, j - 1
+                out.append((i, j))
+            elif up(i, j):
+                i -= 1
+            else:
+                j -= 1
+        return out[::-1]
+
+    def pairs(self, a: dict, b: dict) -> list[tuple[int | None, int | None]]:
+        """The children of two matched nodes in one order, side by side where they match. Both trees' shapes are known."""
+        n, m = len(a["s"]), len(b["s"])
+        both = self.aligned(*(tuple(self.of[id(c)] for c in x["s"]) for x in (a, b)), told=True)[1]
+        out, i, j = [], 0, 0
+        for p, q in [*both, (n, m)]:
+            out += [*((k, None) for k in range(i, p)), *((None, k) for k in range(j, q))]
+            if p < n and q < m:
+                out.append((p, q))
+            i, j = p + 1, q + 1
+        return out
+
+
+def matching(a: dict, b: dict) -> int:
+    """How many nodes two trees match."""
+    found = Matching()
+    return found.score(found.shape(a), found.shape(b))
+
+
+def summed(a: dict, b: dict, children: list[dict]) -> dict:
+    a |= {"n": a["n"] + b["n"], "m": a["m"] or b["m"], "d": sorted({*a["d"], *b["d"]})[:2], "c": a["c"] + b["c"], "l": a["l"] + b["l"], "s": children}
+    return a
 
-def merge(a: dict, b: dict, found: dict | None = None) -> dict:
+
+def merge(a: dict, b: dict, found: Matching | None = None) -> dict:
     """``a`` with the pages of ``b`` folded in; both have roots of one kind."""
     if found is None:
-        matching(a, b, found := {})
-    children = [merge(a["s"][i], b["s"][j], found) if i is not None and j is not None else a["s"][i] if i is not None else b["s"][j] for i, j in pairs(a, b, found)]
-    a["n"] += b["n"]
-    if len(children) > WIDE:
-        children = [c for c in children if c["n"] * WIDE >= a["n"]] or children[:WIDE]
-    a |= {"d": sorted({*a["d"], *b["d"]})[:2], "c": a["c"] + b["c"], "l": a["l"] + b["l"], "s": children}
-    return a
+        found = Matching()
+        found.shape(a)
+        found.shape(b)
+    children: list[dict] = []
+    alone: set[int] = set()
+    for i, j in found.pairs(a, b):
+        if i is not None and j is not None:
+            children.append(merge(a["s"][i], b["s"][j], found))
+        else:
+            children.append(a["s"][i] if j is None else b["s"][j])
+            alone.add(id(children[-1]))
+    return summed(a, b, narrowed(children, alone) if len(children) > WIDE else children)
+
+
+def narrowed(children: list[dict], alone: set[int]) -> list[dict]:
+    """Children without a partner folded into the last one of their kind before them; the others stay."""
+    kept: list[dict] = []
+    last: dict[str, dict] = {}
+    for c in children:
+        if id(c) in alone and c["k"] in last:
+            merge(last[c["k"]], c)
+        else:
+            kept.append(c)
+            last[c["k"]] = c
+    return kept
 
 
 def merge_hosts(a: dict, b: dict) -> dict:
-    """Two partial inductions of one host: its template t and digests h of different headings."""
-    return {"t": merge(a["t"], b["t"]), "h": sorted({*a["h"], *b["h"]})[:DIFFERENT_PAGES]}
+    """Two partial inductions of one host: its template t and digests h of different headings (two are enough)."""
+    return {"t": merge(a["t"], b["t"]), "h": sorted({*a["h"], *b["h"]})[:2]}
+
+
+def element(node: dict) -> str:
+    return node["k"].split(" ")[0]
+
+
+def weigh(node: dict, above: int, differ: bool) -> tuple[bool, bool]:
+    """Adds to a template's nodes x (its whole text is constant over most of the pages that have its parent, as ``above``
+    counts them), v (characters that vary, without links), w (those of headings). Returns whether the text below is
+    constant, and whether there is any."""
+    below = [weigh(c, node["n"], differ) for c in node["s"]]
+    own = differ and node["n"] > 1 and 2 * node["n"] > above and len(node["d"]) == 1
+    constant = own and all(same for same, _ in below)
+    some = node["c"] > 0 or any(text for _, text in below)
+    varies = 0 if own else max(0, node["c"] - node["l"])
+    node["x"] = constant and some
+    node["v"] = varies + sum(c["v"] for c in node["s"])
+    node["w"] = varies * (element(node) in HEADINGS) + sum(c["w"] for c in node["s"])
+    return constant, some
+
+
+def main_slot(root: dict) -> list[dict]:
+    """The nodes from the root down to the smallest container with ``MAIN_SHARE`` of what varies and most of the headings."""
+    path = [root]
+    while inner := [c for c in path[-1]["s"] if c["v"] >= MAIN_SHARE * root["v"] > 0 and 2 * c["w"] >= root["w"] and element(c) not in TEXTS]:
+        path.append(inner[0])
+    return path
+
+
+def amount(node: dict) -> int:
+    return node["c"] + sum(map(amount, node["s"]))
+
+
+def fixed(node: dict) -> int:
+    """Characters of constant subtrees."""
+    return amount(node) if node["x"] else sum(map(fixed, node["s"]))
 
 
 def wrapper(host: dict) -> dict:
-    """The marks of a host's template nodes: k kind, x whether it is template, s children."""
-    differ = len(host["h"]) >= DIFFERENT_PAGES
+    """The marks of a host's template nodes: k kind, x whether it is template, i whether it is (or leads to) the main slot,
+    s children. Where most of what the main slot holds is constant, pages are copies of one another and nothing in it is
+    template. Without a main slot, lists of links are template."""
+    root = host["t"]
+    weigh(root, root["n"], len(host["h"]) > 1)
+    slots = main_slot(root)
+    path, found = {id(x): k for k, x in enumerate(slots, 1)}, len(slots) > 1 and len(host["h"]) > 1
+    copies = 2 * fixed(slots[-1]) > amount(slots[-1])
 
-    def marks(node: dict) -> tuple[dict, bool, bool]:
-        """The marks below a node, whether its whole text is constant, and whether it has any."""
-        below = [marks(c) for c in node["s"]]
-        constant = differ and node["n"] >= DIFFERENT_PAGES and len(node["d"]) == 1 and all(same for _, same, _ in below)
-        text = node["c"] > 0 or any(some for _, _, some in below)
-        linked = node["k"].split(" ")[0] in ("ul", "ol", "li", "div", "section") and node["c"] > 0 and node["l"] > 0.7 * node["c"]
-        return {"k": node["k"], "x": node["m"] or (constant and text) or linked, "s": [m for m, _, _ in below]}, constant, text
+    def marks(node: dict, inside: bool) -> dict:
+        at = path.get(id(node), 0)
+        inside = inside or at == len(path)
+        links = element(node) in ("ul", "ol", "li", "div", "section") and node["c"] > 0 and node["l"] > 0.7 * node["c"]
+        template = not at and (found and not inside or node["x"] and not (inside and copies) or not found and links)
+        return {"k": node["k"], "x": bool(template), "i": at if found else 0, "s": [marks(c, inside and found) for c in node["s"]]}
 
-    return marks(host["t"])[0]
+    return marks(root, False) | {"to": len(path) if found else 0}
 
 
 def main_text(source: str | None, marks: dict | None) -> str:
@@ -273,24 +416,34 @@ def main_text(source: str | None, marks: dict | None) -> str:
     page = Page(source)
     tree, nodes = page.tree()
     template: set[int] = set()
+    reached: dict[int, int] = {}
     if marks:
-        matching(tree, marks, found := {})
+        found = Matching()
+        found.shape(tree)
+        found.shape(marks)
 
         def align(a: dict, b: dict) -> None:
+            reached[id(a)] = b["i"]
             if b["x"]:
                 template.add(id(a))
-            for i, j in pairs(a, b, found):
+            for i, j in found.pairs(a, b):
                 if i is not None and j is not None:
                     align(a["s"][i], b["s"][j])
+                elif i is not None and b["i"] and b["i"] < marks["to"]:
+                    template.add(id(a["s"][i]))  # beside the way to the main slot
 
         align(tree, marks)
+        if marks["to"] and marks["to"] not in reached.values():
+            template.clear()
+            reached.clear()
     out, inside = [], []
     for i, node in enumerate(nodes):
         above = page.parents[i]
         out.append(page.marked[i] or id(node) in template or (i > 0 and out[above]))
         inside.append(page.tags[i] in LANDMARKS or (i > 0 and inside[above]))
     chosen = any(a and not b for a, b in zip(inside, out, strict=True))
-    text = "".join(t if not out[n] and (inside[n] or not chosen) else " " for n, t, _ in page.runs)
+    ways = {n for n, node in enumerate(nodes) if 0 < reached.get(id(node), 0) < marks["to"]} if marks else set()
+    text = "".join(t if not out[n] and n not in ways and (inside[n] or not chosen) else " " for n, t, _ in page.runs)
     return " ".join(text.split())
 
 
@@ -331,11 +484,12 @@ def induce(pages: DataFrame, host: str, source: str) -> DataFrame:
 
 def with_main_text(pages: DataFrame, url: str = "url", source: str = "html", out: str = "text") -> DataFrame:
     """``pages`` with the main text of each. Pages without html have an empty text; pages whose url has no host form a
-    host of their own. A column already named ``out`` is replaced."""
+    host of their own. A column already named ``out`` is replaced; columns _host, _wrapper and _salt are used here and
+    dropped."""
     host = F.coalesce(F.lower(F.regexp_extract(F.col(url), r"^[a-zA-Z][\w+.-]*://(?:[^/@?#]*@)?([^/:?#]+)", 1)), F.lit(""))
-    pages = pages.withColumn("_host", host)
-    wrappers = cut(induce(pages, "_host", source)).withColumnRenamed("host", "_host")
-    size = wrappers.agg(F.sum(F.length("_host") + F.length("wrapper"))).first()[0] or 0
+    pages = pages.drop("_wrapper", "_salt").withColumn("_host", host)
+    wrappers = cut(induce(pages, "_host", source)).toDF("_host", "_wrapper")
+    size = wrappers.agg(F.sum(F.length("_host") + F.length("_wrapper"))).first()[0] or 0
     if size <= BROADCAST_BYTES:
         found = pages.join(F.broadcast(wrappers), "_host", "left")
     else:
@@ -353,4 +507,4 @@ def with_main_text(pages: DataFrame, url: str = "url", source: str = "html", out
         read.update((m, json.loads(m) if m else None) for m in set(names) - read.keys())
         return pa.array([main_text(s, read[m]) for s, m in zip(sources.to_pylist(), names, strict=True)], pa.string())
 
-    return found.withColumn(out, extract(F.col(source), F.col("wrapper"))).drop("_host", "wrapper")
+    return found.withColumn(out, extract(F.col(source), F.col("_wrapper"))).drop("_host", "_wrapper")

@@ -1,6 +1,7 @@
 """Operators on texts: brute force, round trips, held-out accuracy and edge cases."""
 
 import heapq
+import time
 import zlib
 from collections import Counter
 from itertools import combinations
@@ -303,6 +304,96 @@ def test_html_induction_alone(spark):
         assert got == {i: f"Title {i} Own words {i} of page {i}" for i in range(12)}
 
 
+def test_html_two_pages_are_enough(spark):
+    rows = [(i, f"https://two.example/{i}", NEUTRAL.format(i=i)) for i in range(2)] + [(7, "https://lone.example/", NEUTRAL.format(i=7))]
+    got = {r["page_id"]: r["text"] for r in html.with_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[0] == "Title 0 Own words 0 of page 0" and got[1] == "Title 1 Own words 1 of page 1" and "Site name" in got[7]
+
+
+def test_html_varying_furniture_and_copies(spark):
+    """Adverts and footers that vary lie outside the main slot; pages that are copies of one another keep their text; a page
+    of another layout is judged without the wrapper; links and lists of them inside the article stay."""
+    body = "<body><div class=x><p>Buy {i} now</p></div><div class=y><h1>Title {i}</h1><p>{words}</p><ul><li><a href=/r>Reference {i}</a></li></ul><div><a href=/s>Source {i}</a></div></div><div class=z>Made {i} times</div>"
+    rows = [(i, f"https://v.example/{i}", body.format(i=i, words=f"word{i} " * 40)) for i in range(6)]
+    rows += [(10 + i, f"https://c.example/{i}", body.format(i=1, words="the very same text " * 20).replace("Title 1", f"Title {i}")) for i in range(4)]
+    rows += [(20, "https://v.example/other", "<body><table><tr><td>Another layout</td></tr></table>")]
+    got = {r["page_id"]: r["text"] for r in html.with_main_text(spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({"_host": F.lit(1), "_wrapper": F.lit(2), "_salt": F.lit(3), "wrapper": F.lit(4)})).collect()}
+    for i in range(6):
+        assert got[i] == f"Title {i} " + " ".join([f"word{i}"] * 40) + f" Reference {i} Source {i}"
+    for i in range(4):
+        assert f"Title {i} the very same text" in got[10 + i] and "Reference 1 Source 1" in got[10 + i]
+    assert got[20] == "Another layout"
+
+
+def test_html_without_lists(spark, folder, monkeypatch):
+    """With the lists of tags and names emptied, the wrapper alone finds the text of at least nine pages in ten."""
+    pages = common.table(spark, folder, "pages")
+    whole = {r["page_id"]: r["text"] for r in html.with_main_text(pages).collect()}
+    rows = [tuple(r) for r in pages.select("page_id", "url", "html").collect()]
+    host = lambda u: u.split("//", 1)[-1].split("/")[0].split("?")[0].split("#")[0].lower()
+    for name in ("FURNITURE", "NAMES", "LANDMARKS"):
+        monkeypatch.setattr(html, name, frozenset())
+    html.kind_of.cache_clear()
+    hosts = {}
+    for _, u, source in rows:
+        page = html.Page(source)
+        own = {"t": page.tree()[0], "h": [page.heading()]}
+        hosts[host(u)] = html.merge_hosts(hosts[host(u)], own) if host(u) in hosts else own
+    sizes = Counter(host(u) for _, u, _ in rows)
+    marks = {h: html.wrapper(x) for h, x in hosts.items()}
+    alike = [whole[i] == html.main_text(source, marks[host(u)]) for i, u, source in rows if sizes[host(u)] > 1]
+    html.kind_of.cache_clear()
+    assert len(alike) > 10 and sum(alike) >= 0.9 * len(alike)
+
+
+def test_html_long_lists_of_children():
+    """Ten thousand children that alternate, of which some differ in the middle and at the end."""
+    page = lambda n, odd: "<body><h1>T</h1>" + "".join(f"<p>a{i}</p><pre>b</pre>" + ("<dl><dt>x</dt></dl>" if i % 997 == odd else "") for i in range(n)) + f"<div class=e{'fg'[odd % 2]}>end</div>"
+    began = time.time()
+    host = None
+    for n, odd in ((5_000, 3), (4_990, 500), (5_000, 8)):
+        own = html.Page(page(n, odd))
+        own = {"t": own.tree()[0], "h": [own.heading()]}
+        host = own if host is None else html.merge_hosts(host, own)
+    marks = html.wrapper(host)
+    assert html.main_text(page(5_000, 3), marks).startswith("T a0 b a1 b")
+    assert time.time() - began < 40
+    assert host["t"]["n"] == 3 and sum(c["n"] for c in host["t"]["s"][0]["s"]) >= 3 * 9_000
+
+
+def plain_matching(a, b):
+    """Simple tree matching as it is written down, every pair of nodes by itself."""
+    if a["k"] != b["k"]:
+        return 0
+    x, y = a["s"], b["s"]
+    table = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
+    for i in range(1, len(x) + 1):
+        for j in range(1, len(y) + 1):
+            table[i][j] = max(table[i - 1][j], table[i][j - 1], table[i - 1][j - 1] + plain_matching(x[i - 1], y[j - 1]))
+    return table[-1][-1] + 1
+
+
+@pytest.mark.parametrize("cells", [2_048, 0])
+def test_tree_matching_against_brute_force(monkeypatch, cells):
+    monkeypatch.setattr(html, "PLAIN_CELLS", cells)
+    rng = np.random.default_rng(3)
+
+    def tree(depth):
+        return {"k": "abc"[int(rng.integers(0, 3 if depth < 3 else 2))], "m": False, "n": 1, "d": [0], "c": 0, "l": 0, "s": [tree(depth - 1) for _ in range(int(rng.integers(0, 7)))] if depth else []}
+
+    def matched(a, b, found):
+        return 1 + sum(matched(a["s"][i], b["s"][j], found) for i, j in found.pairs(a, b) if i is not None and j is not None)
+
+    for _ in range(60):
+        a, b = tree(3), tree(3)
+        a["k"] = b["k"] = "root"
+        found = html.Matching()
+        assert found.score(found.shape(a), found.shape(b)) == plain_matching(a, b) == matched(a, b, found)
+        size = lambda x: 1 + sum(map(size, x["s"]))
+        want = size(a) + size(b) - plain_matching(a, b)
+        assert size(html.merge(a, b)) == want
+
+
 def test_html_deep_and_misnamed_pages(spark):
     deep = "<div>" * 5000 + "deep text" + "</div>" * 5000 + "<p>after"
     layout = "<div class='layout has-sidebar'><article class='post social-news'><p>Long article text that is most of the page</p></article><div class=sidebar>side</div></div>"
@@ -321,8 +412,8 @@ def test_html_joined_by_host(spark, folder, monkeypatch):
 def test_simple_tree_matching():
     leaf = lambda k, *s: {"k": k, "m": False, "n": 1, "d": [0], "c": 0, "l": 0, "s": list(s)}
     a, b = leaf("x", leaf("a"), leaf("b", leaf("c")), leaf("d")), leaf("x", leaf("b", leaf("c"), leaf("e")), leaf("d"))
-    assert html.matching(a, b, found := {}) == 4
-    assert [c["k"] for c in html.merge(a, b, found)["s"]] == ["a", "b", "d"] and a["s"][1]["n"] == 2
+    assert html.matching(a, b) == 4
+    assert [c["k"] for c in html.merge(a, b)["s"]] == ["a", "b", "d"] and a["s"][1]["n"] == 2
 
 
 def test_counts_are_whole(spark, folder):
