@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kindred.checkpoints import cut
 from kindred.functions.columns import clamp
 from kindred.operators.calibration import isotonic, platt  # noqa: F401  (two of the calibration models)
+from kindred.operators.ratings import SLICES, placed
 from kindred.operators.similarity import weights
 
 LOW, HIGH = 0.5, 5.0
@@ -62,15 +64,27 @@ def bias_predictions(train: DataFrame, asked: DataFrame) -> DataFrame:
     return rows.withColumn("pred", F.col("mu") + F.coalesce("bu", F.lit(0.0)) + F.coalesce("bi", F.lit(0.0))).drop("mu", "bu", "bi")
 
 
+def indexed(rows: DataFrame, key: str) -> DataFrame:
+    """(key, _n): the distinct keys, of any type, with numbers that fit an integer; by slices, so no task sees all keys."""
+    keys = rows.select(key).where(F.col(key).isNotNull()).distinct()
+    slice_of = F.pmod(F.xxhash64(key), F.lit(SLICES)).cast("int")
+    return placed(keys, slice_of, key).select(key, F.col("place").cast("int").alias("_n"))
+
+
 def factorised(train: DataFrame, asked: DataFrame, rank: int = 32, reg: float = 0.05, seed: int = 0) -> DataFrame:
-    """Bias model plus alternating least squares on its residuals."""
+    """Bias model plus alternating least squares on its residuals. Ids may be of any type and size."""
     from pyspark.ml.recommendation import ALS
 
-    ids = lambda df: df.withColumns({"user_id": F.col("user_id").cast("int"), "film": F.col("film").cast("int")})
-    residuals = ids(bias_predictions(train, train)).withColumn("residual", (F.col("rating") - F.col("pred")).cast("float"))
-    model = ALS(rank=rank, regParam=reg, userCol="user_id", itemCol="film", ratingCol="residual", seed=seed, coldStartStrategy="nan").fit(residuals)
-    out = model.setPredictionCol("factor").transform(ids(bias_predictions(train, asked)))
-    return out.withColumn("pred", F.col("pred") + F.coalesce(F.nanvl(F.col("factor"), F.lit(0.0)), F.lit(0.0))).drop("factor")
+    users, films = (cut(indexed(train, key)) for key in ("user_id", "film"))
+
+    def numbered(df: DataFrame) -> DataFrame:
+        return df.join(users.withColumnRenamed("_n", "_u"), "user_id", "left").join(films.withColumnRenamed("_n", "_f"), "film", "left")
+
+    residuals = numbered(bias_predictions(train, train)).withColumn("residual", (F.col("rating") - F.col("pred")).cast("float"))
+    model = ALS(rank=rank, regParam=reg, userCol="_u", itemCol="_f", ratingCol="residual", seed=seed, coldStartStrategy="nan").fit(residuals)
+    rows = numbered(bias_predictions(train, asked)).fillna(-1, ["_u", "_f"])  # strangers have no factors
+    out = model.setPredictionCol("factor").transform(rows)
+    return out.withColumn("pred", F.col("pred") + F.coalesce(F.nanvl(F.col("factor"), F.lit(0.0)), F.lit(0.0))).drop("factor", "_u", "_f")
 
 
 def temperature(cal: DataFrame, rows: DataFrame, score: str = "score", label: str = "label", middle: float = 3.5, steps: int = 400) -> DataFrame:

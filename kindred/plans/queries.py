@@ -13,7 +13,7 @@ from kindred import checkpoints
 from kindred.functions import columns as C
 from kindred.functions.aggregates import elements
 from kindred.functions.columns import six
-from kindred.operators import calibration, extract, graph, metrics, models, ratings, similarity
+from kindred.operators import calibration, extract, factors, graph, metrics, models, ratings, similarity
 from kindred.plans import markup
 from kindred.plans.base import FRIENDS, MAX_PAGES, MIN_POOL, SEED, Base
 from kindred.sources import artifacts, pages, store
@@ -281,11 +281,17 @@ def cf_coverage(b: Base) -> DataFrame:
 
 
 def mf_als(b: Base) -> DataFrame:
-    split = b.parts
+    split = checkpoints.cut(b.parts)
     out = models.factorised(split.where("part = 'train'"), split.where("part = 'test'")).withColumnRenamed("rating", "actual")
     return metrics.errors(out, ["part"])
 
 
+def mf_sgd(b: Base) -> DataFrame:
+    split = checkpoints.cut(b.parts)
+    out = factors.sgd_factorised(split.where("part = 'train'"), split.where("part = 'test'")).withColumnRenamed("rating", "actual")
+    return metrics.errors(out, ["part"])
+
+
 def kept(b: Base) -> DataFrame:
     """The table of pages as a store would hold them: some failed, each at a time of its own."""
     c = F.col("page_id")
@@ -476,6 +482,7 @@ QUERIES: dict[str, Query] = {
     "calibration_sweep": sweep,
     "calibration_fits": calibration_fits,
     "mf_als": mf_als,
+    "mf_sgd": mf_sgd,
     "platt_calibration": calibrated(calibration.platt),
     "isotonic_calibration": calibrated(calibration.isotonic),
     "temperature_scaling": calibrated(models.temperature),

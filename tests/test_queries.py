@@ -44,6 +44,6 @@ def test_every_sql_has_a_query():
     assert set(ORACLE) <= set(entry.queries())
 
 
-@pytest.mark.parametrize("name", ["mf_als"])
+@pytest.mark.parametrize("name", ["mf_als", "mf_sgd"])
 def test_fitted(spark, folder, name):
     assert entry.queries()[name](spark, folder).count() >= 1
