@@ -1,13 +1,14 @@
 """Toxicity from the nearest labelled examples by exact TF-IDF cosine.
 
-Terms are words and word beginnings that a few labelled examples hold; the ``MOST_TERMS`` that tell toxic from clean
-ones best (log-likelihood ratio, either way) make up the vocabulary. All labelled examples are unit vectors over it, in
-a block-max inverted index, whose bounds leave out blocks without changing the neighbours found. Their votes,
-weighted by inverse distance and by how many labelled texts each example stands for (near copies count as one example), are calibrated by isotonic regression on
+Terms are words and word beginnings. All terms of the labelled examples make up the vocabulary; beside its idf, a term weighs
+as much as it tells toxic examples from clean ones (the root of its log-likelihood ratio), so that what occurs anywhere
+hardly counts without being left out. All labelled examples are unit vectors over it, in a block-max inverted index, whose
+bounds leave out blocks without changing the neighbours found. Their votes, weighted by inverse squared distance and by how
+many labelled texts each example stands for (near copies count as one example), are calibrated by isotonic regression on
 leave-one-out votes of the examples themselves.
 
 The classifier is fitted on a bounded sample (``TOXIC_EXAMPLES`` and ``CLEAN_EXAMPLES``), so index and vocabulary have
-a fixed bound and are broadcast; every document is scored from its whole text.
+the bound of these texts and are broadcast; every document is scored from its whole text.
 """
 
 from __future__ import annotations
@@ -22,16 +23,15 @@ from pyspark.sql import functions as F
 from .common import LETTERS_ONLY, bound_batches, chunks, give_back, giving_back, mix, utf8_parts, word_hashes
 
 TOXIC_EXAMPLES = 4_000
-CLEAN_EXAMPLES = 6_000
-MOST_TERMS = 4_096
+CLEAN_EXAMPLES = 3_000
 PREFIXES = (4, 5, 6)
-#: Labelled examples of either class that must hold a term.
-LEAST_EXAMPLES = 4
-NEIGHBOURS = 5
+NEIGHBOURS = 15
+#: Weight of a term that tells nothing; above zero, so that texts of such terms have a direction.
+LEAST_STRENGTH = 1e-6
 #: Added to a neighbour's distance (1 - cosine), so that an equal text weighs as many times more as a far one.
 LEAST_DISTANCE = 0.05
 #: Examples in a block of the index, terms whose lists are dense, and queries that are searched together.
-BLOCK, COMMON, TOGETHER = 256, 384, 64
+BLOCK, COMMON, TOGETHER = 256, 1024, 64
 #: How far apart single-precision sums of unit vectors' products may be.
 SLACK = 1e-4
 
@@ -198,7 +198,7 @@ class ToxicityModel:
     knots: tuple[np.ndarray, np.ndarray] = (np.array([1.0]), np.array([1.0]))
 
     def vote(self, ids: np.ndarray, cosine: np.ndarray) -> float:
-        w = self.stands_for[ids] / (1 + LEAST_DISTANCE - np.minimum(cosine, 1))
+        w = self.stands_for[ids] / (1 + LEAST_DISTANCE - np.minimum(cosine, 1)) ** 2
         return float((w * self.toxic[ids]).sum() / w.sum())
 
     def calibrated(self, vote: float) -> float:
@@ -274,11 +274,12 @@ def _fit(chosen: DataFrame, have: dict, share: dict) -> ToxicityModel:
     tie = lambda x, e: F.when(x > 0, x * F.ln(x / e)).otherwise(0.0)
     g2 = 2 * (tie(a, expected) + tie(c, a + c - expected))
     terms = chosen.mapInArrow(giving_back(count), "term long, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("a"), F.sum("clean").alias("c"))
-    terms = terms.where(a + c >= LEAST_EXAMPLES).withColumn("g2", g2).orderBy(F.desc("g2"), "term").limit(MOST_TERMS).toArrow()
+    terms = terms.withColumn("g2", g2).toArrow()
     vocabulary = terms["term"].to_numpy().view(np.uint64)
     order = np.argsort(vocabulary)
     df = (terms["a"].to_numpy() / share[1] + terms["c"].to_numpy() / share[0])[order]
-    model = ToxicityModel(vocabulary[order], np.log((total + 1) / (df + 1)) + 1, None, empty.example_ids, empty.toxic, empty.stands_for, empty.base)
+    strength = np.sqrt(np.maximum(terms["g2"].to_numpy()[order], 0)) + LEAST_STRENGTH
+    model = ToxicityModel(vocabulary[order], (np.log((total + 1) / (df + 1)) + 1) * strength, None, empty.example_ids, empty.toxic, empty.stands_for, empty.base)
     if not len(vocabulary):
         return model
 

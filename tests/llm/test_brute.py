@@ -107,10 +107,9 @@ def toxic_scores(rows, labels, terms_of, signature_of):
         e = (a + c) * n1 / n
         return 2 * sum(x * math.log(x / m) for x, m in ((a, e), (c, a + c - e)) if x)
 
-    frequent = [t for t in toxic.keys() | clean.keys() if toxic[t] + clean[t] >= toxicity.LEAST_EXAMPLES]
-    chosen = set(sorted(frequent, key=lambda t: (-round(g2(t), 9), t))[: toxicity.MOST_TERMS])
+    chosen = toxic.keys() | clean.keys()
     total = sum(learns_from(k) for k in labels)
-    idf = {t: math.log((total + 1) / (toxic[t] + clean[t] + 1)) + 1 for t in chosen}
+    idf = {t: (math.log((total + 1) / (toxic[t] + clean[t] + 1)) + 1) * (math.sqrt(max(g2(t), 0)) + toxicity.LEAST_STRENGTH) for t in chosen}
 
     def vector(text):
         v = {t: (1 + math.log(c)) * idf[t] for t, c in terms_of(text).items() if t in chosen}
@@ -125,7 +124,7 @@ def toxic_scores(rows, labels, terms_of, signature_of):
     def vote(v, without=None):
         near = [(-round(sum(x * vectors[k].get(t, 0) for t, x in v.items()), 12), k, y, m) for k, y, m in heard if k != without]
         near = sorted(x for x in near if x[0] < 0)[: toxicity.NEIGHBOURS]
-        weights = [m / (1 + toxicity.LEAST_DISTANCE + max(s, -1)) for s, _, _, m in near]
+        weights = [m / (1 + toxicity.LEAST_DISTANCE + max(s, -1)) ** 2 for s, _, _, m in near]
         return sum(w * x[2] for w, x in zip(weights, near, strict=True)) / sum(weights) if near else None
 
     own = [(round(vote(vectors[k], k), 9), y, m) for k, y, m in heard if vote(vectors[k], k) is not None]
