@@ -4,11 +4,10 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kindred.checkpoints import cut
-from kindred.functions.aggregates import midrank
 
 TWIN, MIRROR = 0.5, -0.4
 #: A film of more pairs of raters goes by blocks of users.
@@ -21,8 +20,13 @@ PAIR_SCHEMA = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64())
 
 
 def percentiles(ratings: DataFrame) -> DataFrame:
-    """Ratings with pct, the midrank percentile within the user's whole history; users with one rating have none."""
-    return ratings.withColumn("pct", midrank(["user_id"], "rating")).where("pct is not null")
+    """Ratings with pct, the midrank percentile within the user's whole history; users with one rating have none. A user's
+    ratings are counted by level, and ranks follow from the counts of the few levels, so no task sorts a history."""
+    levels = ratings.where("rating is not null").groupBy("user_id", "rating").agg(F.count("*").alias("_n"))
+    whole, below = Window.partitionBy("user_id"), Window.partitionBy("user_id").orderBy("rating").rowsBetween(Window.unboundedPreceding, -1)
+    low = F.coalesce(F.sum("_n").over(below), F.lit(0)) + (F.col("_n") - 1) / 2.0
+    pct = F.try_divide(low, (F.sum("_n").over(whole) - 1).cast("double"))
+    return ratings.join(levels.select("user_id", "rating", pct.alias("pct")).where("pct is not null"), ["user_id", "rating"])
 
 
 def co_rated(left: DataFrame, right: DataFrame, value: str = "rating", ordered: bool = True) -> DataFrame:

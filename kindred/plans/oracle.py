@@ -207,6 +207,11 @@ STATEMENTS: dict[str, str] = {
     "page_store_scan": "select url, status, transport, fetched_at, length(body) as n_chars, md5(body) as body_md5, false as damaged from store",
     "histogram_artifacts": "select cast(film as varchar) as film, stars, cast(n as bigint) as n from hist where film % 5 <> 4",
     "candidates_artifact": "select user_id, score, n_seeds, seeds, via from candidates",
+    "seed_file": "select 'film-' || film as slug from seeds",
+    "ratings_file": "select cast(user_id as varchar) as user, cast(film as varchar) as item, rating, cast(floor(epoch(ts)) as bigint) as ts from ratings",
+    "probe_verdicts": "select case when cast(round(fetched_at / 600) as bigint) % 5 = 0 then '?' when status between 200 and 299 and transport = 'browser' then 'browser' when status between 200 and 299 then 'http' else 'BLOCKED' end as verdict, count(*) as n from store group by 1",
+    "image_topup": "select distinct regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) || '/' || substr(sha256(url), 1, 2) || '/' || sha256(url) as key, '1F8B' as magic from pages where strpos(url, '?') = 0",
+    "members_stream": "select distinct 'https://s.example/' || src || '/following/' as url, 'u' || dst as username from follows",
     "page_lookup": "select url, status, length(body) as n_chars from store where url = (select min(url) from pages) and (status = 200 or 1000000.0 - fetched_at <= 21600)",
     "anti_cached": "select distinct url from pages where url not in (select url from pages where strpos(url, '?') = 0)",
     "text_summary": "select lang, count(*) as n, count(quality) as n_rated, round(avg(quality), 6) as mean_quality, count(*) filter (length(trim(text)) > 0) as with_text, count(*) filter (suffix(text, '…')) as truncated, count(*) filter (toxic = 1) as toxic from documents left join labels using (doc_id) group by lang",

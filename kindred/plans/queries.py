@@ -17,6 +17,7 @@ from kindred.operators import calibration, extract, factors, graph, metrics, mod
 from kindred.plans import markup
 from kindred.plans.base import FRIENDS, MAX_PAGES, MIN_POOL, SEED, Base
 from kindred.sources import artifacts, pages, store
+from kindred.streaming import pages as stream
 
 Query = Callable[[Base], DataFrame]
 NOW = 1_000_000.0
@@ -352,6 +353,47 @@ def histogram_artifacts(b: Base, root: str) -> DataFrame:
     return artifacts.histograms(artifacts.read_variants(b.spark, root))
 
 
+def seed_file(b: Base, root: str) -> DataFrame:
+    """The chosen films as three seed files: an object, a list of objects, and lines of text with comments and repeats."""
+    seeds = b.seeds.select(F.concat(F.lit("film-"), F.col("film")).alias("slug"), (F.col("film") % 3).alias("_kind"))
+    lists = seeds.groupBy("_kind").agg(F.sort_array(F.collect_list("slug")).alias("_s"))
+    as_list = F.to_json(F.transform("_s", lambda x: F.struct(x.alias("slug"))))
+    text = F.when(F.col("_kind") == 0, F.concat(F.lit('{"mode": "taste", "seeds": '), F.to_json("_s"), F.lit("}"))).when(F.col("_kind") == 1, as_list).otherwise(F.concat(F.lit("# seeds\n\n"), F.array_join("_s", "\n"), F.lit("\n"), F.col("_s")[0]))
+    lists.select("_kind", text.alias("value")).write.partitionBy("_kind").text(root)
+    return artifacts.read_seeds(b.spark, root).select("slug")
+
+
+def ratings_file(b: Base, root: str) -> DataFrame:
+    """Ratings written as tab-separated text with epoch seconds, and read back."""
+    b.ratings.select("user_id", "film", "rating", F.unix_timestamp(F.col("ts").cast("timestamp")).alias("ts")).write.csv(root, sep="\t")
+    return pages.read_ratings(b.spark, root)
+
+
+def probes(b: Base, root: str) -> DataFrame:
+    """What stored probes show, a fifth of them served from the store."""
+    files = store.read_store(b.spark, root).where("not damaged").withColumn("from_cache", F.pmod(F.round(F.col("fetched_at") / 600), F.lit(5)) == 0)
+    return files.groupBy(artifacts.probe_verdict().alias("verdict")).agg(F.count("*").alias("n"))
+
+
+def image_topup(b: Base, root: str) -> DataFrame:
+    """The store's files as binaries in base64, without those that are known: of addresses with a query."""
+    found = b.spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path")
+    keys = b.table("pages").where(F.contains("url", F.lit("?"))).select(pages.store_key().alias("key")).distinct()
+    key = F.regexp_extract("path", r"([^/]+/[0-9a-f]{2}/[0-9a-f]{64})\.json\.gz$", 1)
+    known = found.join(F.broadcast(keys) if keys.count() < 100_000 else keys, key == F.col("key"), "left_semi")
+    images = pages.with_image_text(b.spark, root, known)
+    return images.select(key.alias("key"), F.hex(F.substr(F.unbase64("image"), F.lit(1), F.lit(2))).alias("magic"))
+
+
+def members_stream(b: Base, root: str) -> DataFrame:
+    """Follow lists as they arrive in a store, their members kept batch by batch with a checkpoint."""
+    arrived = markup.follow_lists(b.follows).select("url", F.lit(200).alias("status"), "body", F.lit("http").alias("transport"), F.lit(NOW).alias("fetched_at"))
+    store.put_pages(arrived, f"{root}/store")
+    query = stream.keep_members(stream.arriving(b.spark, f"{root}/store"), f"{root}/members", f"{root}/checkpoint").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return b.spark.read.parquet(f"{root}/members").select("url", "username").distinct()
+
+
 def candidates_artifact(b: Base, root: str) -> DataFrame:
     artifacts.write_json(b.candidates, root)
     return artifacts.read_json(b.spark, root, "user_id bigint, score double, n_seeds bigint, seeds string, via string")
@@ -397,6 +439,11 @@ QUERIES: dict[str, Query] = {
     "page_store_scan": from_store(store_scan),
     "histogram_artifacts": in_folder(histogram_artifacts),
     "candidates_artifact": in_folder(candidates_artifact),
+    "seed_file": in_folder(seed_file),
+    "ratings_file": in_folder(ratings_file),
+    "probe_verdicts": from_store(probes),
+    "image_topup": from_store(image_topup),
+    "members_stream": in_folder(members_stream),
     "page_lookup": from_store(page_lookup),
     "anti_cached": anti_cached,
     "text_summary": text_summary,

@@ -2,25 +2,22 @@
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
 def read_seeds(spark: SparkSession, path: str) -> DataFrame:
-    """(slug, pos) from a JSON object with ``seeds``, a JSON list of slugs or of objects with ``slug``, or lines of text
-    (blank lines and # comments are skipped). Repeats keep their first place."""
-    text = "\n".join(r[0] for r in spark.read.text(path).collect())  # a list that a person wrote
-    try:
-        found = json.loads(text)
-        found = found.get("seeds", []) if isinstance(found, dict) else found
-        slugs = [x.get("slug") if isinstance(x, dict) else x for x in found]
-    except ValueError:
-        slugs = [x.strip() for x in text.split("\n") if x.strip() and not x.strip().startswith("#")]
-    rows = [(s, i) for i, s in enumerate(dict.fromkeys(s for s in slugs if s))]
-    return spark.createDataFrame(rows, "slug string, pos int")
+    """(slug, pos) from files that hold a JSON object with ``seeds``, a JSON list of slugs or of objects with ``slug``, or
+    lines of text (blank lines and # comments are skipped). Repeats keep their first place; places may have gaps."""
+    whole = spark.read.text(path, wholetext=True).select("value", F.when(F.col("value").rlike(r"^\s*[\[{]"), F.try_parse_json("value")).alias("_v"))
+    text = lambda x, at: F.try_variant_get(x, at, "string")
+    listed = whole.where("_v is not null").select(F.coalesce(F.try_variant_get("_v", "$.seeds", "variant"), F.col("_v")).alias("_list"))
+    parsed = listed.lateralJoin(spark.tvf.variant_explode(F.col("_list").outer()))
+    parsed = parsed.where("key is null").select(F.coalesce(text(F.col("value"), "$.slug"), F.when(F.schema_of_variant("value").isin("STRING", "BIGINT"), text(F.col("value"), "$"))).alias("slug"), "pos")
+    lines = whole.where("_v is null").select(F.posexplode(F.split("value", "\n")).alias("pos", "_line")).select(F.trim(F.regexp_replace("_line", "\r$", "")).alias("slug"), "pos")
+    found = parsed.unionByName(lines.where(~F.startswith("slug", F.lit("#"))))
+    return found.where(F.col("slug") != "").groupBy("slug").agg(F.min("pos").alias("pos"))
 
 
 def write_json(rows: DataFrame, folder: str) -> None:

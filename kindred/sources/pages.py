@@ -93,4 +93,5 @@ def read_ratings(spark: SparkSession, path: str) -> DataFrame:
 
 def with_image_text(spark: SparkSession, folder: str, known: DataFrame) -> DataFrame:
     """Images below a folder as base64 text, without those whose path is known."""
-    return spark.read.format("binaryFile").load(folder).select("path", F.base64("content").alias("image")).join(known.select("path"), "path", "left_anti")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    return files.select("path", "content").join(known.select("path"), "path", "left_anti").select("path", F.base64("content").alias("image"))

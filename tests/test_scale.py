@@ -191,3 +191,21 @@ def test_cohort_guards(spark):
     rows = metrics.cohort_rows(cf, split, near).collect()
     assert [(r["user_id"], r["n_test"], r["n_train"], r["n_neighbours"], r["auc_cf"]) for r in rows] == [(1, 8, 22, 2, 1.0)]
     assert models.neighbour_cf(split, split, near=near.withColumn("w", F.lit(1.0))).count() == 0
+
+
+def test_elements_and_ranks_by_slices(spark, monkeypatch):
+    from kindred.functions import aggregates
+
+    rng = np.random.default_rng(11)
+    rows = [(g, float(v)) for g, n in (("one", 1), ("few", 7), ("many", 500), ("same", 50)) for v in (np.full(n, 2.5) if g == "same" else rng.normal(0, 3, n).round(1))] + [("few", None)]
+    frame = spark.createDataFrame(rows, "g string, v double")
+    for slices in (1, 3, 4_096):
+        monkeypatch.setattr(aggregates, "SLICES", slices)
+        got = {r["g"]: tuple(r)[1:] for r in aggregates.elements(frame, "g", "v", {"a": 0.0, "b": 0.25, "c": 0.5, "d": 0.99}).collect()}
+        for g in ("one", "few", "many", "same"):
+            own = sorted(v for k, v in rows if k == g and v is not None)
+            assert got[g] == tuple(own[int(s * len(own))] for s in (0.0, 0.25, 0.5, 0.99))
+    ratings_ = frame.where("v is not null").select(F.col("g").alias("user_id"), F.round("v").alias("rating"))
+    ranked = similarity.percentiles(ratings_).select("user_id", "rating", "pct").collect()
+    plain = ratings_.withColumn("pct", aggregates.midrank(["user_id"], "rating")).where("pct is not null").collect()
+    assert sorted(map(tuple, ranked)) == sorted(map(tuple, plain))
