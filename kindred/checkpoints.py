@@ -44,9 +44,21 @@ def cut(df: DataFrame) -> DataFrame:
         return df.select("*").checkpoint(eager=True)
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """As ``cut``, but as Parquet: for whole texts, which a checkpoint would hold uncompressed."""
-    folder = f"{shared_folder(df.sparkSession)}/stored-{uuid.uuid4().hex}"
-    with shuffles_removed(df.sparkSession):
-        df.write.parquet(folder)
-    return df.sparkSession.read.parquet(folder)
+def remove(spark: SparkSession, folder: str) -> None:
+    """Delete a folder of any file system that Spark knows."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextmanager
+def stored(df: DataFrame):
+    """A frame as Parquet in the shared folder, for as long as the block lasts: for whole texts, which a checkpoint would
+    hold uncompressed. What is made of it must be materialised before the block ends."""
+    spark = df.sparkSession
+    folder = f"{shared_folder(spark)}/stored-{uuid.uuid4().hex}"
+    try:
+        with shuffles_removed(spark):
+            df.write.parquet(folder)
+        yield spark.read.parquet(folder)
+    finally:
+        remove(spark, folder)

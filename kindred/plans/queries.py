@@ -308,7 +308,7 @@ def in_folder(question: Callable[[Base, str], DataFrame]) -> Query:
         try:
             return checkpoints.cut(question(b, root))
         finally:
-            store.remove_store(root)
+            checkpoints.remove(b.spark, root)
 
     return run
 
@@ -424,7 +424,8 @@ def route_records(b: Base) -> DataFrame:
     kinds = [markup.feeds(b.feed, ratings.FEED_LENGTH), markup.grids(b.ratings), markup.follow_lists(b.follows), markup.review_pages(b.table("documents"))]
     rows = reduce(DataFrame.unionByName, [x.select("url", ok, "body") for x in kinds])
     films = markup.film_pages(b.catalogue.withColumn("status", F.when(F.col("film") % 10 == 0, 404).otherwise(200)).select("film")).select("url", F.when(F.col("url").rlike("0/$"), 404).otherwise(200).alias("status"), "body")
-    return extract.record_counts(checkpoints.stored(rows.unionByName(films)))
+    with checkpoints.stored(rows.unionByName(films)) as stored:
+        return checkpoints.cut(extract.record_counts(stored))
 
 
 QUERIES: dict[str, Query] = {

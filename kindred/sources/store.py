@@ -185,12 +185,6 @@ def put_pages(pages: DataFrame, root: str) -> None:
     latest(pages.select("url", "status", "body", "transport", "fetched_at")).write.format("page_store").mode("append").save(root)
 
 
-def remove_store(root: str) -> None:
-    system, path = opened(root)
-    if system.get_file_info(path).type == fs.FileType.Directory:
-        system.delete_dir(path)
-
-
 def file_stats(files: DataFrame) -> DataFrame:
     """Entries, good and other pages (damaged files are entries that failed), and MB on disk."""
     ok = F.coalesce(F.col("status").between(200, 299), F.lit(False))
