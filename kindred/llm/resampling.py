@@ -120,9 +120,9 @@ def resampled(docs: DataFrame, target: DataFrame, percent: int = 25, seed: int =
     bound_batches(docs.sparkSession)
     text = F.coalesce(F.col("text"), F.lit("")).alias("text")
     texts = docs.select(text).groupBy("text").agg(F.count("*").alias("copies"))
-    folded = stored(texts.withColumn("_key", digest("text")))
-    gain = gains(bucket_counts(folded), bucket_counts(target.select(text, F.lit(1).cast("long").alias("copies"))))
-    facts = cut(weighed(folded, gain))
+    with stored(texts.withColumn("_key", digest("text"))) as folded:
+        gain = gains(bucket_counts(folded), bucket_counts(target.select(text, F.lit(1).cast("long").alias("copies"))))
+        facts = cut(weighed(folded, gain))
     rows = docs.select("doc_id", text).select("doc_id", digest("text").alias("_key"))
     scored = attached(rows, facts, docs.count()).withColumn("score", F.col("weight") + noise("doc_id", seed))
     return ranked(cut(scored.select("doc_id", "n_features", "weight", "score", "n_words")), percent).select("doc_id", "n_features", "weight", "score", "rank", "n_words")
