@@ -44,11 +44,22 @@ TOGETHER = 500_000
 N_BEST = 3
 
 
+#: What a normaliser would change if it did more than mark spaces: compatibility forms, case, and spaces on end.
+PROBE = " \ufb01 A\u030a  \uff21x "
+
+
+def only_marks(normalize) -> None:
+    """Raises ValueError for models whose own normaliser does more than put a mark in front and in place of spaces."""
+    if normalize(PROBE) != MARK + PROBE.replace(" ", MARK):
+        raise ValueError("the model's normaliser changes texts; only models that keep them can be decoded exactly")
+
+
 class Pieces:
     def __init__(self, path: str) -> None:
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
+        only_marks(model.normalize)
         self.names = [model.id_to_piece(i) for i in range(model.get_piece_size())]
         kinds = [(model.is_control(i), model.is_unknown(i), model.is_byte(i)) for i in range(len(self.names))]
         self.bytes = {int(name[1:-1], 16): i for i, name in enumerate(self.names) if kinds[i][2]}

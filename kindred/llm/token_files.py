@@ -333,7 +333,9 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, key: str = "doc_id
     """Write the ids of every text, each followed by ``end``, to files under ``path`` in ascending order of ``key``.
 
     ``vocabulary`` is a file of the tokenizers library whose tokens never span white space, readable by every executor.
-    Null and empty texts have the end id alone. A part is a range of keys and is numbered by it.
+    Null and empty texts have the end id alone. Rows without a key come first, and rows that share one are in the order of
+    a hash of their texts, so that a key of many rows is dealt over parts; equal rows are alike in any order. A part is a
+    range of keys and is numbered by it. Other columns are ignored.
     """
     parts = blocks_of(docs.count(), TEXTS_PER_PART)
 
@@ -364,7 +366,8 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, key: str = "doc_id
         if n:
             yield told()
 
-    ordered = docs.select(F.col(key).cast("long").alias("key"), text).repartitionByRange(parts, "key").sortWithinPartitions("key")
+    ordered = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).withColumn("order", F.xxhash64("text"))
+    ordered = ordered.repartitionByRange(parts, "key", "order").sortWithinPartitions("key", "order", "text").drop("order")
     ordered.mapInArrow(rows, ROW).write.mode("overwrite").parquet(path)
 
 

@@ -282,6 +282,27 @@ def test_words_keep_control_characters():
 PAGE = "<html><head><title>t</title></head><body><header>Site</header><nav><ul><li><a href=/>home</a></ul></nav>{notice}<article><h1>Title {i}</h1><p>First  &amp; {i}<p>Second<br>line &lt;b&gt;{share}<script>x='</p>'</script></article><aside>side {i}</aside><section class='post comments'><p>reader {i}</section><form>f</form><footer>&copy; {i}</footer>"
 
 
+def test_models_that_change_texts_are_refused():
+    pieces.Pieces(queries.piece_model())
+    for normalize in (str.lower, str.strip, lambda t: pieces.MARK + t.strip().replace(" ", pieces.MARK)):
+        with pytest.raises(ValueError, match="normaliser"):
+            pieces.only_marks(normalize)
+
+
+def test_token_files_order_of_repeated_keys(spark, tmp_path, monkeypatch):
+    """Rows that share a key, or have none, come in the same order from any partitioning, and are dealt over parts."""
+    monkeypatch.setattr(token_files, "TEXTS_PER_PART", 4)
+    rows = [(7, f"text number {i % 9}") for i in range(30)] + [(None, "a b"), (None, None), (1, "c d"), (9, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"key": F.lit(1), "order": F.lit(2)})
+    got = []
+    for k in (1, 5):
+        token_files.write_tokens(docs.repartition(k), f"{tmp_path}/{k}", queries.word_model())
+        files = spark.read.parquet(f"{tmp_path}/{k}")
+        assert files.select("part").distinct().count() > 3
+        got.append([tuple(r) for r in token_files.read_tokens(files).orderBy("start").collect()])
+    assert got[0] == got[1] and [r[0] for r in got[0]] == [None, None, 1, *[7] * 30, 9]
+
+
 def test_html_wrapper(spark):
     rows = [(i, f"https://h.example/{i}", PAGE.format(i=i, notice="<div class=cookie-notice>We use cookies</div>", share="<div>Share this story</div>")) for i in range(8)]
     rows += [(20, "https://one.example/", PAGE.format(i=20, notice="", share="")), (21, "https://one.example/x", None), (22, None, ""), (23, "not a url", "plain text &amp; more"), (24, "https://one.example/t", "<p>cut <b"), (25, "https://h.example/5", rows[5][2])]
