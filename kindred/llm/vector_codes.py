@@ -21,7 +21,7 @@ from .vector_blocks import narrowed
 
 PARTS, ENTRIES, ROUNDS, SCALE = 4, 256, 4, 1024
 #: Bits of a cell's number in each coordinate of the VA-file.
-BITS = 3
+BITS = 4
 #: Vectors that are assigned at once.
 STRIP = 512
 
@@ -55,10 +55,11 @@ class VaFile:
         """Lower and upper bounds of the squared distances from rows of ``x`` to all entries. The tables of two
         coordinates are added up before entries look into them, which halves the look-ups."""
         n, width = 1 << BITS, x.shape[1]
-        lower, upper = np.zeros((len(x), len(self.entries)), np.int64), np.zeros((len(x), len(self.entries)), np.int64)
+        kind = self.sums(x)
+        lower, upper = np.zeros((len(x), len(self.entries)), kind), np.zeros((len(x), len(self.entries)), kind)
         near, far = [], []
         for d in range(width):
-            below, above = self.low[d] - x[:, d, None], x[:, d, None] - self.high[d]
+            below, above = (self.low[d] - x[:, d, None]).astype(kind), (x[:, d, None] - self.high[d]).astype(kind)
             near.append(np.maximum(np.maximum(below, above), 0) ** 2)
             far.append(np.maximum(np.abs(below), np.abs(above)) ** 2)
         for d in range(0, width - 1, 2):
@@ -70,6 +71,11 @@ class VaFile:
             upper += far[-1].take(self.cells[:, -1], axis=1)
         return lower, upper
 
+    def sums(self, x: np.ndarray) -> str:
+        """The narrowest integers that hold every squared distance and bound."""
+        most = max(int(abs(end)) for a in (x, self.entries) for end in (a.min(initial=0), a.max(initial=0)))
+        return "int32" if 4 * most * most * x.shape[1] < 1 << 31 else "int64"
+
     def nearest(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The nearest entry of each row, ties to the lower index, and the squared distance."""
         codes, errors = np.zeros(len(x), np.int64), np.zeros(len(x), np.int64)
