@@ -12,7 +12,7 @@ from kindred.checkpoints import cut
 TWIN, MIRROR = 0.5, -0.4
 #: A film of more pairs of raters goes by blocks of users.
 FILM_PAIRS = 4_096
-USERS_PER_BLOCK, FILMS_AT_ONCE = 512, 1_024
+USERS_PER_BLOCK, FILMS_AT_ONCE = 256, 1_024
 #: Variances below this share of the mean square are rounding.
 NO_SPREAD = 1e-11
 SUMS = ["n", "sx", "sy", "sxx", "syy", "sxy"]
