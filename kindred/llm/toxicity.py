@@ -14,6 +14,7 @@ the bound of these texts and are broadcast; every document is scored from its wh
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -22,8 +23,8 @@ from pyspark.sql import functions as F
 
 from .common import LETTERS_ONLY, bound_batches, chunks, give_back, giving_back, mix, utf8_parts, word_hashes
 
-TOXIC_EXAMPLES = 4_000
-CLEAN_EXAMPLES = 3_000
+TOXIC_EXAMPLES = 1_500
+CLEAN_EXAMPLES = 1_500
 PREFIXES = (4, 5, 6)
 NEIGHBOURS = 15
 #: Weight of a term that tells nothing; above zero, so that texts of such terms have a direction.
@@ -31,7 +32,7 @@ LEAST_STRENGTH = 1e-6
 #: Added to a neighbour's distance (1 - cosine), so that an equal text weighs as many times more as a far one.
 LEAST_DISTANCE = 0.05
 #: Examples in a block of the index, terms whose lists are dense, and queries that are searched together.
-BLOCK, COMMON, TOGETHER = 256, 1024, 64
+BLOCK, COMMON, TOGETHER = 256, 1024, 32
 #: How far apart single-precision sums of unit vectors' products may be.
 SLACK = 1e-4
 
@@ -154,6 +155,11 @@ class BlockMaxIndex:
         blocks[~done] = -np.inf
         return [self._exact(scores[i, :n], term[start[i] : start[i + 1]], weight[start[i] : start[i + 1]], k) for i in range(queries)]
 
+    @cached_property
+    def query(self) -> np.ndarray:
+        """Room for one query's weights, all zero between uses."""
+        return np.zeros(self.terms)
+
     def _exact(self, scores: np.ndarray, term: np.ndarray, weight: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         ids = np.flatnonzero(scores > 0)
         if len(ids) > k:
@@ -161,12 +167,13 @@ class BlockMaxIndex:
             ids = ids[some >= np.partition(some, len(ids) - k)[len(ids) - k] - SLACK]
         if not len(ids):
             return ids, np.zeros(0)
-        q = np.zeros(self.terms)
+        q = self.query
         q[term] = weight
         size = self.start[ids + 1] - self.start[ids]
         before = np.cumsum(size) - size
         each = np.arange(int(size.sum())) + np.repeat(self.start[ids] - before, size)
         exact = np.add.reduceat(q[self.term[each]] * self.weight[each], before)
+        q[term] = 0
         order = np.lexsort((ids, -np.round(exact, 12)))[:k]
         order = order[exact[order] > 0]
         return ids[order], exact[order]
