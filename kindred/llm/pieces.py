@@ -381,6 +381,8 @@ def with_pieces(docs: DataFrame, path: str, text: str = "text", n: int = N_BEST)
                 give_back()
         finally:  # the worker goes on to other stages
             model.fresh, model.stale = {}, {}
+            del model
+            load.cache_clear()
             gc.collect()
             give_back()
 
