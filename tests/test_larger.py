@@ -1,9 +1,13 @@
 """What shows on larger or odd tables only: the queries' own SQL, and work that must not grow with the square of the input."""
 
+import random
+
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from kindred.operators import models, similarity
 
 
 def against_sql(spark, folder, name, **tables):
@@ -24,3 +28,30 @@ def test_references_that_are_cut_off_stay(spark, tmp_path):
     events = spark.read.parquet("/root/testdata/sf0.001/events.parquet").limit(1)
     got, want = against_sql(spark, tmp_path, "html_strip_tags", pages=pages, events=events)
     assert got == want
+
+
+@pytest.fixture(scope="module")
+def rated(spark):
+    rng = random.Random(3)
+    rows = [(u, f, rng.randint(1, 10) / 2, rng.random() < 0.3) for u in range(60) for f in [*rng.sample(range(12), 9), *rng.sample(range(12, 60), 4)]]
+    rows += [(u, f, rng.randint(1, 10) / 2, f == 100) for u in range(60, 64) for f in range(100, 108)]
+    return spark.createDataFrame(rows, "user_id long, film int, rating double, is_test boolean")
+
+
+@pytest.mark.parametrize(("limit", "block", "films", "parts"), [(4_096, 256, 1_024, 4), (400, 16, 4, 2), (400, 7, 1_000, 3), (0, 256, 5, 1)])
+def test_pairs_are_used_where_they_are_made(spark, rated, monkeypatch, limit, block, films, parts):
+    """Tiles hold whole sums: no aggregation stands above them, and predictions are those of the pairs joined one by one."""
+    for name, value in (("FILM_PAIRS", limit), ("USERS_PER_BLOCK", block), ("FILMS_AT_ONCE", films), ("LEAST_PARTS", parts), ("HISTORY_PARTS", parts)):
+        monkeypatch.setattr(similarity, name, value)
+    history = rated.drop("is_test")
+    train = rated.where("not is_test")
+    near = similarity.weights(train, history, 3)
+    rows = lambda df: sorted(tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in df.collect())
+    assert rows(models.neighbour_cf(rated, history, 3)) == rows(models.neighbour_cf(rated, history, near=near))
+    sums = similarity.neighbour_sums(rated, history, 3)
+    assert rows(sums.where("film is null").select("a", "n")) == rows(near.groupBy("a").count())
+    pairs = similarity.pair_sums(rated, sums=["n", "r", "marked"], mark=F.col("is_test"))
+    whole = similarity.correlated(similarity.pair_sums(train), 1).join(similarity.pair_counts(rated.where("is_test")).withColumnRenamed("n", "marked"), ["a", "b"], "left")
+    assert rows(similarity.correlated(pairs, 1, "marked")) == rows(whole.fillna(0, ["marked"]))
+    if limit < 3_600:
+        assert pairs._jdf.queryExecution().optimizedPlan().toString().startswith("Union")
