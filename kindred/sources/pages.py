@@ -91,7 +91,6 @@ def read_ratings(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.csv(path, sep="\t", schema="user string, item string, rating double, ts bigint")
 
 
-def with_image_text(spark: SparkSession, folder: str, known: DataFrame) -> DataFrame:
-    """Images below a folder as base64 text, without those whose path is known."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+def with_image_text(files: DataFrame, known: DataFrame) -> DataFrame:
+    """Images (path, content) as base64 text, without those whose path is known."""
     return files.select("path", "content").join(known.select("path"), "path", "left_anti").select("path", F.base64("content").alias("image"))

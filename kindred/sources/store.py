@@ -122,6 +122,60 @@ class PushingReader(StoreReader):
             yield x
 
 
+class FilesReader(DataSourceReader):
+    """Files of any kind; the driver lists folders of two levels, and tasks what is below these."""
+
+    def __init__(self, options: dict[str, str]) -> None:
+        self.root = options["path"]
+
+    def partitions(self) -> list[InputPartition]:
+        system, root = opened(self.root)
+        found = [Folders("", [""])]
+        for top in children(system, root, fs.FileType.Directory):
+            inner = [f"{top}/{x}/" for x in children(system, f"{root}/{top}", fs.FileType.Directory)]
+            found += [Folders(top, [f"{top}/"])] + [Folders(top, inner[i : i + FOLDERS_PER_TASK]) for i in range(0, len(inner), FOLDERS_PER_TASK)]
+        return found
+
+    def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
+        system, root = opened(self.root)
+        rows, size = [], 0
+        for folder in partition.folders:
+            select = fs.FileSelector(f"{root}/{folder}".rstrip("/"), allow_not_found=True, recursive=folder.count("/") == 2)
+            for x in system.get_file_info(select):
+                if x.type == fs.FileType.File:
+                    with system.open_input_stream(x.path, compression=None) as f:
+                        rows.append((x.path[len(root) + 1 :], f.read()))
+                    size += len(rows[-1][1])
+                if size > BATCH_BYTES:
+                    yield files_batch(rows)
+                    rows, size = [], 0
+        yield files_batch(rows)
+
+
+def files_batch(rows: list[tuple[str, bytes]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([p for p, _ in rows], pa.string()), pa.array([c for _, c in rows], pa.binary())], names=["path", "content"])
+
+
+class Files(DataSource):
+    """``spark.read.format("files_below").load(root)``: (path, content), paths relative to the root."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "files_below"
+
+    def schema(self) -> str:
+        return "path string, content binary"
+
+    def reader(self, schema) -> DataSourceReader:
+        return FilesReader(self.options)
+
+
+def files_below(spark: SparkSession, root: str) -> DataFrame:
+    """All files below a folder, listed by tasks: Spark's own file sources gather every file's status in the driver."""
+    spark.dataSource.register(Files)
+    return spark.read.format(Files.name()).load(root)
+
+
 class StoreWriter(DataSourceWriter):
     def __init__(self, options: dict[str, str]) -> None:
         self.root = options["path"]

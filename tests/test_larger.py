@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from kindred.operators import models, similarity
+from kindred.sources import pages, store
+from kindred.streaming import pages as stream
 
 
 def against_sql(spark, folder, name, **tables):
@@ -55,3 +57,22 @@ def test_pairs_are_used_where_they_are_made(spark, rated, monkeypatch, limit, bl
     assert rows(similarity.correlated(pairs, 1, "marked")) == rows(whole.fillna(0, ["marked"]))
     if limit < 3_600:
         assert pairs._jdf.queryExecution().optimizedPlan().toString().startswith("Union")
+
+
+def test_many_small_pages_are_one_batch(spark, tmp_path):
+    rows = [(f"https://s.example/{i}/", 200, f'<a href="/u{i}/" class="name">x</a>', "http", 1.0) for i in range(230)]
+    store.put_pages(spark.createDataFrame(rows, pages.PAGE), str(tmp_path / "in"))
+    query = stream.keep_members(stream.arriving(spark, str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "check")).trigger(availableNow=True).start()
+    query.awaitTermination(120)
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 230
+    assert len(list((tmp_path / "out").iterdir())) == 1
+
+
+def test_files_are_listed_by_tasks(spark, tmp_path):
+    for name in ("a.bin", "x/b.bin", "x/y/c.bin", "x/y/z/w/d.bin", "x/y2/e.bin"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(name.encode())
+    files = store.files_below(spark, str(tmp_path))
+    assert sorted((r["path"], bytes(r["content"])) for r in files.collect()) == [(x, x.encode()) for x in ("a.bin", "x/b.bin", "x/y/c.bin", "x/y/z/w/d.bin", "x/y2/e.bin")]
+    known = spark.createDataFrame([("x/b.bin",), ("a.bin",)], "path string")
+    assert {r["path"]: r["image"] for r in pages.with_image_text(files, known).collect()}.keys() == {"x/y/c.bin", "x/y/z/w/d.bin", "x/y2/e.bin"}
