@@ -10,9 +10,13 @@ from kindred.operators.extract import members
 from kindred.sources.pages import PAGE
 
 
-def arriving(spark: SparkSession, folder: str, files_per_trigger: int = 100) -> DataFrame:
+#: Bytes of files that a batch reads; pages are small files, so a bound on their number would make batches without end.
+BATCH_BYTES = 64 << 20
+
+
+def arriving(spark: SparkSession, folder: str, bytes_per_trigger: int = BATCH_BYTES) -> DataFrame:
     """Good pages, each address once a day of fetching; state older than two days is dropped."""
-    pages = spark.readStream.schema(PAGE).option("maxFilesPerTrigger", files_per_trigger).option("recursiveFileLookup", "true").json(folder)
+    pages = spark.readStream.schema(PAGE).option("maxBytesPerTrigger", bytes_per_trigger).option("recursiveFileLookup", "true").json(folder)
     pages = pages.where(F.col("status").between(200, 299)).withColumn("at", F.timestamp_seconds("fetched_at"))
     return pages.withWatermark("at", "2 days").dropDuplicatesWithinWatermark(["url"])
 
