@@ -59,6 +59,20 @@ def test_pairs_are_used_where_they_are_made(spark, rated, monkeypatch, limit, bl
         assert pairs._jdf.queryExecution().optimizedPlan().toString().startswith("Union")
 
 
+@pytest.mark.parametrize(("limit", "block"), [(4_096, 256), (400, 16), (0, 7)])
+def test_few_pairs_leave_their_tile(spark, rated, monkeypatch, limit, block):
+    """Arms are summed up, and pairs that aren't asked for dropped, in the task that makes the pairs."""
+    for name, value in (("FILM_PAIRS", limit), ("USERS_PER_BLOCK", block)):
+        monkeypatch.setattr(similarity, name, value)
+    mark, rows = F.col("is_test"), lambda df: sorted(tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in df.collect())
+    pairs = similarity.pair_sums(rated, sums=["n", "r", "marked"], mark=mark)
+    r = F.when(F.col("n") >= 4, F.col("r"))
+    each = [F.count("*"), F.count(r), F.count_if(r >= 0.5), F.count_if(r <= -0.4), F.coalesce(F.sum(r), F.lit(0.0)), F.coalesce(F.sum(F.abs(r)), F.lit(0.0))]
+    assert rows(similarity.pair_levels(rated, mark, 2, 4)) == rows(pairs.groupBy(F.least("marked", F.lit(2)), "n").agg(*each))
+    far = similarity.pair_sums(rated, sums=["n", "r"], least=5, far=True)
+    assert rows(far) == rows(similarity.pair_sums(rated, sums=["n", "r"]).where("n >= 5 and (r >= 0.5 or r <= -0.4)"))
+
+
 def test_many_small_pages_are_one_batch(spark, tmp_path):
     rows = [(f"https://s.example/{i}/", 200, f'<a href="/u{i}/" class="name">x</a>', "http", 1.0) for i in range(230)]
     store.put_pages(spark.createDataFrame(rows, pages.PAGE), str(tmp_path / "in"))
