@@ -12,6 +12,7 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,14 +33,33 @@ def first_factor(side: str, key: str, rank: int, seed: int) -> np.ndarray:
 
 
 def descend(users: np.ndarray, films: np.ndarray, left: np.ndarray, p: np.ndarray, q: np.ndarray, passes: int, rate: float, penalty: float, order: np.random.Generator) -> None:
-    """Passes over ratings (places of user and film, what biases leave), each in a new random order; p and q change."""
+    """Passes over ratings (places of user and film, what biases leave), each in a new random order; p and q change. A step
+    is seven operations on rows in place."""
+    of_user, of_film = list(p), list(q)
+    for_user, for_film = np.empty(p.shape[1]), np.empty(q.shape[1])
+    stay, multiply = np.float64(1 - rate * penalty), np.multiply
     for _ in range(passes):
-        for k in order.permutation(len(left)):
-            u, f = users[k], films[k]
-            a, b = p[u].copy(), q[f]
-            e = left[k] - a @ b
-            p[u] += rate * (e * b - penalty * a)
-            q[f] += rate * (e * a - penalty * b)
+        at = order.permutation(len(left))
+        for u, f, x in zip(users[at].tolist(), films[at].tolist(), left[at].tolist(), strict=True):
+            a, b = of_user[u], of_film[f]
+            step = rate * (x - float(a.dot(b)))
+            multiply(b, step, for_user)
+            multiply(a, step, for_film)
+            a *= stay
+            a += for_user
+            b *= stay
+            b += for_film
+
+
+def started(side: str, own: pa.Table, rank: int, seed: int) -> np.ndarray:
+    """The vectors of a side's rows as one array; rows without one get their first."""
+    keys, vectors = own["key"], own["vector"].combine_chunks()
+    missing = vectors.is_null().to_numpy(zero_copy_only=False)
+    out = np.empty((len(keys), rank))
+    out[~missing] = vectors.flatten().to_numpy().reshape(-1, rank)
+    for k in np.flatnonzero(missing).tolist():
+        out[k] = first_factor(side, keys[k].as_py(), rank, seed)
+    return out
 
 
 def blocks_for(n: int) -> int:
@@ -68,24 +88,26 @@ def one_diagonal(cells: DataFrame, factors: DataFrame, diagonal: int, blocks: in
     """All factors after the cells (i, i + diagonal) have descended; each cell is one group."""
 
     def run(cell: tuple, table: pa.Table) -> pa.Table:
-        side = table["side"].to_numpy(zero_copy_only=False)
-        own = {k: table.filter(pa.array(side == k)).sort_by([("key", "ascending"), ("other", "ascending")]) for k in ("u", "f", "r")}
-        keys = {k: own[k]["key"].to_pylist() for k in ("u", "f")}
-        vectors = {k: np.array([v if v is not None else first_factor(k, key, rank, seed[0]) for key, v in zip(keys[k], own[k]["vector"].to_pylist(), strict=True)]).reshape(-1, rank) for k in keys}
-        place = {k: {key: n for n, key in enumerate(keys[k])} for k in keys}
-        users = np.array([place["u"][x] for x in own["r"]["key"].to_pylist()], np.int64)
-        films = np.array([place["f"][x] for x in own["r"]["other"].to_pylist()], np.int64)
+        own = {k: table.filter(pc.equal(table["side"], k)).sort_by([("key", "ascending"), ("other", "ascending")]) for k in ("u", "f", "r")}
+        vectors = {k: started(k, own[k], rank, seed[0]) for k in ("u", "f")}
+        users, films = (pc.index_in(own["r"][name], value_set=own[k]["key"].combine_chunks()).to_numpy().astype(np.int64) for name, k in (("key", "u"), ("other", "f")))
         i = cell[0].as_py()
         descend(users, films, own["r"]["r"].to_numpy(), vectors["u"], vectors["f"], passes, rate, penalty, np.random.default_rng([*seed, i]))
-        at = [i] * len(keys["u"]) + [(i + diagonal) % blocks] * len(keys["f"])
-        flat = np.concatenate([vectors["u"], vectors["f"]])
-        return pa.table({"block": pa.array(at, pa.int32()), "side": pa.array(["u"] * len(keys["u"]) + ["f"] * len(keys["f"]), pa.string()), "key": pa.array([*keys["u"], *keys["f"]], pa.string()), "vector": pa.array(list(flat), pa.list_(pa.float64()))})
+        n_users, n_films = len(vectors["u"]), len(vectors["f"])
+        at = np.repeat(np.array([i, (i + diagonal) % blocks], np.int32), [n_users, n_films])
+        flat = pa.array(np.concatenate([vectors["u"], vectors["f"]]).ravel())
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(n_users + n_films + 1, dtype=np.int32) * rank), flat)
+        side, key = pa.concat_arrays([pa.repeat("u", n_users), pa.repeat("f", n_films)]), pa.concat_arrays([c for k in ("u", "f") for c in own[k]["key"].chunks])
+        return pa.table({"block": pa.array(at), "side": side, "key": key.cast(pa.string()), "vector": lists})
 
     null = lambda kind, name: F.lit(None).cast(kind).alias(name)
     cell = F.when(F.col("side") == "u", F.col("block")).otherwise(F.pmod(F.col("block") - diagonal, F.lit(blocks))).alias("cell")
     states = factors.select(cell, "side", "key", null("string", "other"), "vector", null("double", "r"))
     ratings = cells.where(F.col("j") == (F.col("i") + diagonal) % blocks).select(F.col("i").alias("cell"), F.lit("r").alias("side"), F.col("u").alias("key"), F.col("f").alias("other"), null("array<double>", "vector"), "r")
-    return states.unionByName(ratings).groupBy("cell").applyInArrow(run, SCHEMA)
+    rows = states.unionByName(ratings)
+    if blocks > 1:  # a task for each cell; by hash some tasks would have several
+        rows = rows.repartitionByRange(blocks, "cell")
+    return rows.groupBy("cell").applyInArrow(run, SCHEMA)
 
 
 def sgd_factorised(train: DataFrame, asked: DataFrame, **settings) -> DataFrame:

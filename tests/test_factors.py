@@ -66,3 +66,12 @@ def test_strangers_and_nothing(spark):
     got = {(r["user_id"], r["film"]): r["pred"] for r in factors.sgd_factorised(train, asked, rank=2, epochs=2).collect()}
     assert got[1, 9] == biased[1, 9] and got[8, 1] == biased[8, 1] and got[1, 1] != biased[1, 1]
     assert factors.sgd_factors(train.withColumn("residual", F.lit(1.0)).limit(0)).count() == 0
+
+
+def test_each_cell_has_a_task_of_its_own(spark):
+    cells = spark.createDataFrame([(str(u), str(f), 1.0, u % 5, f % 5) for u in range(25) for f in range(25)], "u string, f string, r double, i int, j int")
+    sides = [cells.select(F.col(b).alias("block"), F.lit(k).alias("side"), F.col(k).alias("key"), F.lit(None).cast("array<double>").alias("vector")).distinct() for b, k in (("i", "u"), ("j", "f"))]
+    turn = factors.one_diagonal(cells, sides[0].unionByName(sides[1]), 2, 5, 2, 1, 0.1, 0.1, [0, 0, 2])
+    plan = turn._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning(cell" in plan and "hashpartitioning(cell" not in plan
+    assert {len(r["vector"]) for r in turn.collect()} == {2} and turn.count() == 50
