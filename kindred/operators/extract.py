@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kindred.functions.columns import SPACE, blank_to_null, glyph_rating, route_of, separated_int, slug_of, stripped, title_rating
+from kindred.functions.columns import SPACE, TAG, blank_to_null, decoded, glyph_rating, route_of, separated_int, slug_of, stripped, title_rating, without_spaces
 
 _FEED = "channel struct<item: array<struct<title:string,link:string,guid:struct<_VALUE:string>,description:string,`letterboxd:memberRating`:string,`letterboxd:filmTitle`:string,`letterboxd:filmYear`:string,`letterboxd:watchedDate`:string,`letterboxd:rewatch`:string,`letterboxd:memberLike`:string,`tmdb:movieId`:string>>>"
 _FIELDS = ["film_title", "film_year", "tmdb_id", "rating", "watched_date", "review_text"]
@@ -105,7 +105,10 @@ def reviews(pages: DataFrame) -> DataFrame:
     """Reviews of a page in page order, those with an author; text that ends in an ellipsis is marked as truncated."""
     parts = F.split("body", REVIEW_START)
     rows = pages.select("url", F.posexplode(F.when(F.size(parts) > 1, F.slice(parts, F.lit(2), F.size(parts) - 1))).alias("pos", "chunk"))
-    text = F.when(F.col("chunk").rlike(REVIEW_BODY), stripped(F.regexp_extract("chunk", REVIEW_BODY, 1)))
+    # each step has a column of its own, so that it is computed once however often the next one names it
+    rows = rows.withColumn("_body", F.regexp_replace(F.get(F.regexp_extract_all("chunk", F.lit(REVIEW_BODY), F.lit(1)), F.lit(0)), TAG, " "))
+    rows = rows.withColumn("_text", without_spaces(decoded(F.col("_body"))))
+    text = F.col("_text")
     holds = lambda marks: F.contains("chunk", F.lit(marks[0])) | F.contains("chunk", F.lit(marks[1]))
     return rows.select(
         "url", "pos", first_match("chunk", REVIEW_USER).alias("username"),

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from kindred.operators import models, similarity
+from kindred.operators import extract, models, similarity
 from kindred.sources import pages, store
 from kindred.streaming import pages as stream
 
@@ -90,3 +90,13 @@ def test_files_are_listed_by_tasks(spark, tmp_path):
     assert sorted((r["path"], bytes(r["content"])) for r in files.collect()) == [(x, x.encode()) for x in ("a.bin", "x/b.bin", "x/y/c.bin", "x/y/z/w/d.bin", "x/y2/e.bin")]
     known = spark.createDataFrame([("x/b.bin",), ("a.bin",)], "path string")
     assert {r["path"]: r["image"] for r in pages.with_image_text(files, known).collect()}.keys() == {"x/y/c.bin", "x/y/z/w/d.bin", "x/y2/e.bin"}
+
+
+def test_a_review_is_searched_and_decoded_once(spark):
+    page = '<article class="production-viewing"><a href="/u/film/x/" class="context"></a><div class="js-review-body">{}<div class="viewing-actions"></div></article>'
+    texts = ["a <b>&amp;lt;</b>  b…", "", None]
+    rows = spark.createDataFrame([(str(k), page.format(t) if t is not None else page.split("<div")[0]) for k, t in enumerate(texts)], "url string, body string")
+    found = extract.reviews(rows)
+    assert sorted((r["url"], r["text"], r["truncated"]) for r in found.collect()) == [("0", "a &lt; b…", True), ("1", "", False), ("2", None, False)]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("js-review-body") == 1 and plan.count("split(_body") <= 1
