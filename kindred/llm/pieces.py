@@ -5,11 +5,11 @@ space; characters without a piece become their bytes). No piece continues past a
 segments (marks or a line break, and the characters after them), which fall into parts between characters that no
 piece joins. Each part is solved alone: a forward Viterbi pass gives the best
 score up to every position, and these are exact heuristics for an A-star search backwards from the end, which yields
-segmentations best first. The N best of a text combine the N - 1 smallest losses over all of its segments.
+segmentations best first. The N best of a text combine the N - 1 smallest losses over all of its parts.
 
 The parts of a batch of texts that are new are solved side by side, those of one length as rows of numpy arrays: one step
 relaxes a position of every lattice, or takes the best state off every agenda. Long parts are solved one by one. Tasks
-keep the answers to recent segments in two generations of bounded size.
+keep the answers to recent parts in two generations of bounded size.
 """
 
 from __future__ import annotations
@@ -35,12 +35,12 @@ MARK = "▁"
 UNKNOWN_PENALTY = 10.0
 #: Scores below this are those of reserved pieces, not of worst ones.
 RESERVED = -1e8
-#: A generation of the cache ends with the batch in which it reaches so many segments.
-GENERATION = 15_000
+#: A generation of the cache ends with the batch in which it reaches so many parts.
+GENERATION = 60_000
 #: Parts up to this length are solved side by side, as many as have so many lattice cells.
 SIDE_BY_SIDE, CELLS = 40, 300_000
 #: Characters of texts whose new parts are solved together.
-TOGETHER = 500_000
+TOGETHER = 1_500_000
 N_BEST = 3
 
 
@@ -79,8 +79,13 @@ class Pieces:
         self.hashes, self.ids, self.scores = hashed[order], np.array([v[0][0] for v in found], np.int32)[order], np.array([v[1] for v in found])[order]
         self.maybe = np.zeros(1 << 20, bool)
         self.maybe[(self.hashes >> np.uint64(44)).astype(np.int64)] = True
-        pairs = codes(sorted(self.joined), 2).astype(np.uint64)
-        self.pairs = np.sort(pairs[:, 0] << np.uint64(32) | pairs[:, 1])
+        letters = sorted({c for pair in self.joined for c in pair})
+        self.kind, self.kinds = np.zeros(0x110000, np.int32), len(letters) + 1
+        self.kind[codes(letters, 1)[:, 0]] = np.arange(1, self.kinds)
+        pairs = self.pair_numbers(codes(sorted(self.joined), 2)).ravel()
+        #: A bit for each pair of characters that a piece joins.
+        self.pairs = np.zeros(self.kinds * self.kinds // 8 + 1, np.uint8)
+        np.bitwise_or.at(self.pairs, pairs >> 3, (1 << (pairs & 7)).astype(np.uint8))
 
     def lattice(self, segment: str) -> tuple[list[list[tuple[int, tuple]]], list[float]]:
         """For each position, what ends there (start, (ids, score)), and the best score up to it (forward Viterbi)."""
@@ -132,8 +137,8 @@ class Pieces:
             del agenda[wanted:]
         return out
 
-    def side_by_side(self, parts: list[str], n: int) -> list[list[tuple[float, bytes]]]:
-        """What ``n_best`` finds for each of ``parts``, all of one length, ids packed."""
+    def side_by_side(self, parts: list[str], n: int) -> list[tuple]:
+        """The ``answer`` to what ``n_best`` finds for each of ``parts``, all of one length."""
         size, length = len(parts), len(parts[0])
         wide = min(self.longest, length)
         # cells: by part, end and start; the last ``wide`` starts before an end, in order
@@ -153,44 +158,70 @@ class Pieces:
             m = min(wide, j)
             best[:, j] = (best[:, j - m : j] + score[:, j, wide - m :]).max(1)
 
-        out = [[] for _ in range(size)]
         who, cost, at = np.arange(size), np.full((size, n), np.inf), np.full((size, n), length)
         cost[:, 0] = -best[:, -1]
-        done, path, used, wanted = np.zeros((size, n)), np.zeros((size, n, length), np.int32), np.zeros((size, n), np.int64), np.full(size, n)
-        steps, columns = np.arange(wide), np.arange(n)
+        done, node, wanted = np.zeros((size, n)), np.full((size, n), -1), np.full(size, n)
+        steps, columns = np.arange(wide) - wide, np.arange(n)
+        score, piece, best = score.reshape(-1, wide), piece.reshape(-1), best.reshape(-1)
+        # nodes: what was taken last, and the node of what was taken before; then what is found: part, score and node
+        taken, after, made, found = [], [], 0, []
         while len(who):
             ended = at[:, 0] == 0
             if ended.any():
                 e = np.flatnonzero(ended)
-                blob, first = path[e, 0].tobytes(), (length - used[e, 0]).tolist()
-                for k, (row, s, f) in enumerate(zip(who[e].tolist(), done[e, 0].tolist(), first, strict=True)):
-                    ids = blob[4 * (k * length + f) : 4 * (k + 1) * length]
-                    out[row].append((s, self.with_bytes(ids, parts[row]) if _unknown in ids else ids))
+                found.append((who[e], done[e, 0], node[e, 0]))
                 wanted[e] -= 1
-            now, s0, u0 = at[:, 0], done[:, 0], used[:, 0]
-            start = now[:, None] - wide + steps
-            part = score[who, now]
+            cell, s0 = who * (length + 1) + at[:, 0], done[:, 0]
+            start = at[:, :1] + steps
+            part = score.take(cell, axis=0)
             part[ended] = -np.inf
             reached = s0[:, None] + part
-            estimate = -(reached + np.take_along_axis(best[who], np.maximum(start, 0), 1))
-            estimate[start < 0] = np.inf
-            every = np.concatenate([cost[:, 1:], estimate], 1)
+            every = np.empty((len(who), n - 1 + wide))  # no score begins before a part, so those starts cost infinity
+            every[:, : n - 1] = cost[:, 1:]
+            np.negative(reached + best.take((who * (length + 1))[:, None] + np.maximum(start, 0)), out=every[:, n - 1 :])
             order = np.argsort(every, axis=1, kind="stable")[:, :n]
-            cost = np.take_along_axis(every, order, 1)
+            rows = np.arange(len(who))[:, None]
+            cost = every.reshape(-1).take(rows * every.shape[1] + order)
             cost[columns >= wanted[:, None]] = np.inf
             new = order >= n - 1
-            old, step = np.where(new, 0, order + 1), np.where(new, order - (n - 1), 0)
-            path = np.take_along_axis(path, old[:, :, None], 1)
+            old, step = rows * n + np.where(new, 0, order + 1), np.where(new, order - (n - 1), 0)
+            grown = node.reshape(-1).take(old)
             r, c = np.nonzero(new & (cost < np.inf))
-            k = step[r, c]
-            path[r, c, length - 1 - u0[r]] = piece[who[r], now[r], k]
-            done = np.where(new, np.take_along_axis(reached, step, 1), np.take_along_axis(done, old, 1))
-            at = np.where(new, np.take_along_axis(start, step, 1), np.take_along_axis(at, old, 1))
-            used = np.where(new, u0[:, None] + 1, np.take_along_axis(used, old, 1))
+            taken.append(piece.take(cell[r] * wide + step[r, c]))
+            after.append(node[r, 0])
+            grown[r, c] = made + np.arange(len(r))
+            made += len(r)
+            done = np.where(new, reached.reshape(-1).take(rows * wide + step), done.reshape(-1).take(old))
+            at = np.where(new, start.reshape(-1).take(rows * wide + step), at.reshape(-1).take(old))
+            node = grown
             keep = cost[:, 0] < np.inf
             if not keep.all():
-                who, cost, at, done, path, used, wanted = (x[keep] for x in (who, cost, at, done, path, used, wanted))
-        return out
+                who, cost, at, done, node, wanted = (x[keep] for x in (who, cost, at, done, node, wanted))
+        return self._read_off(parts, found, np.concatenate(taken), np.concatenate(after))
+
+    def _read_off(self, parts: list[str], found: list[tuple], taken: np.ndarray, after: np.ndarray) -> list[tuple]:
+        """The answers for parts in order, by following nodes from the first piece of what is found to the last."""
+        part, score, at = (np.concatenate(x) for x in zip(*found, strict=True))
+        order = np.argsort(part, kind="stable")
+        part, score, at = part[order], score[order], at[order]
+        ids, used, left = [], np.zeros(len(at), np.int64), np.arange(len(at))
+        while len(left):
+            column = np.zeros(len(at), np.int32)
+            column[left] = taken[at[left]]
+            ids.append(column)
+            used[left] += 1
+            at[left] = after[at[left]]
+            left = left[at[left] >= 0]
+        table = np.stack(ids, axis=1)
+        blob, starts = table.tobytes(), np.arange(len(at)) * (4 * len(ids))
+        ways = [blob[i:j] for i, j in zip(starts.tolist(), (starts + 4 * used).tolist(), strict=True)]
+        for k in np.flatnonzero((table < 0).any(axis=1)).tolist():
+            ways[k] = self.with_bytes(ways[k], parts[part[k]])
+        firsts = np.flatnonzero(np.diff(part, prepend=-1))
+        losses, score = (np.repeat(score[firsts], np.diff(np.append(firsts, len(part)))) - score).tolist(), score.tolist()
+        others = list(zip(losses, ways, strict=True))
+        ends = [*firsts[1:].tolist(), len(part)]
+        return [(score[i], ways[i], others[i + 1 : j], losses[i + 1] if j > i + 1 else float("inf")) for i, j in zip(firsts.tolist(), ends, strict=True)]
 
     def with_bytes(self, ids: bytes, part: str) -> bytes:
         """Ids in which characters without a piece (-1) become their bytes' ids."""
@@ -214,29 +245,34 @@ class Pieces:
             most = max(1, CELLS // ((length + 1) * min(self.longest, length))) if length <= SIDE_BY_SIDE else 1
             for i in range(0, len(own), most):
                 some = own[i : i + most]
-                found = self.side_by_side(some, n) if length <= SIDE_BY_SIDE else [[(score, pack(ids)) for score, ids in self.n_best(x, n)] for x in some]
-                out.update(zip(some, map(answer, found), strict=True))
+                found = self.side_by_side(some, n) if length <= SIDE_BY_SIDE else [answer([(score, pack(ids)) for score, ids in self.n_best(x, n)]) for x in some]
+                out.update(zip(some, found, strict=True))
         return out
 
-    def independent(self, segments: list[str]) -> list[list[str]]:
-        """Parts of each segment between characters that no piece holds side by side."""
-        code = codes(["".join(segments)], sum(map(len, segments)))[0].astype(np.uint64)
-        pair = code[:-1] << np.uint64(32) | code[1:]
-        at = np.minimum(np.searchsorted(self.pairs, pair), len(self.pairs) - 1)
-        ends = np.cumsum([len(s) for s in segments])
-        apart = self.pairs[at] != pair
-        apart[ends[:-1] - 1] = False
-        cuts = np.flatnonzero(apart) + 1
-        within = np.searchsorted(cuts, [0, *ends])
-        out = [[s] for s in segments]
-        for k in np.flatnonzero(np.diff(within)).tolist():
-            s = segments[k]
-            own = (cuts[within[k] : within[k + 1]] - (ends[k] - len(s))).tolist()
-            out[k] = [s[a:b] for a, b in zip([0, *own], [*own, len(s)], strict=True)]
-        return out
+    def pair_numbers(self, code: np.ndarray) -> np.ndarray:
+        """For each two code points side by side, which bit of ``pairs`` is theirs."""
+        kind = self.kind[code].astype(np.int64)
+        return kind[..., :-1] * self.kinds + kind[..., 1:]
+
+    def parts(self, texts: list[str]) -> tuple[list[str], list[int]]:
+        """The parts of texts of marks in order, and where each text's begin among them (one place more than texts). A
+        part ends with its segment, and between characters that no piece holds side by side."""
+        whole, ends = "".join(texts), np.cumsum([0, *map(len, texts)])
+        if not whole:
+            return [], [0] * len(ends)
+        code = codes([whole], len(whole))[0]
+        pair, mark = self.pair_numbers(code), code == ord(MARK)
+        starts = np.ones(len(code), bool)
+        starts[1:] = (self.pairs[pair >> 3] >> (pair & 7).astype(np.uint8)) & 1 == 0
+        starts[1:] |= mark[1:] & ~mark[:-1] | (code[1:] == ord("\n"))
+        starts[ends[:-1][ends[:-1] < len(code)]] = True
+        at = np.flatnonzero(starts)
+        between = next(c for c in map(chr, range(0xE000, 0x110000)) if c not in whole)
+        parts = np.insert(code, at[1:], ord(between)).tobytes().decode("utf-32-le", "surrogatepass").split(between)
+        return parts, np.searchsorted(at, ends).tolist()
 
     def learn(self, wanted: set[str], n: int) -> None:
-        """See to it that ``fresh`` answers for all of the segments."""
+        """See to it that ``fresh`` answers for all of the parts."""
         if len(self.fresh) >= GENERATION:
             self.stale, self.fresh = self.fresh, {}
         new = [s for s in wanted if s not in self.fresh]
@@ -246,15 +282,12 @@ class Pieces:
             return
         gc.disable()  # many small tuples, none of them in a cycle
         try:
-            parts = self.independent(new)
-            found = self.solved(list({p for own in parts for p in own}), n)
-            for s, own in zip(new, parts, strict=True):
-                self.fresh[s] = found[s] if len(own) == 1 else answer([way[:2] for way in combined([found[p] for p in own], n)])
+            self.fresh.update(self.solved(new, n))
         finally:
             gc.enable()
 
     def encode(self, text: str, n: int = N_BEST) -> tuple[list[tuple[float, bytes]], bool]:
-        """At most n segmentations of a text, best first (ties go to the change of the earliest segment), and whether
+        """At most n segmentations of a text, best first (ties go to the change of the earliest part), and whether
         all of them decode to it."""
         return next(self.encode_all([text], n))
 
@@ -266,10 +299,12 @@ class Pieces:
             while j < len(texts) and size + len(texts[j]) <= TOGETHER:
                 size += len(texts[j])
                 j += 1
-            own = [segments(t) if t else [] for t in texts[i:j]]
-            self.learn({s for x in own for s in x}, n)
-            for text, x in zip(texts[i:j], own, strict=True):
-                yield self._whole(text, [self.fresh[s] for s in x], n) if text else ([(0.0, b"")], True)
+            marked = [MARK + t.replace(" ", MARK) if t else "" for t in texts[i:j]]
+            parts, within = self.parts(marked)
+            self.learn(set(parts), n)
+            found = list(map(self.fresh.__getitem__, parts))
+            for k, text in enumerate(texts[i:j]):
+                yield self._whole(text, found[within[k] : within[k + 1]], n) if text else ([(0.0, b"")], True)
             i = j
 
     def _whole(self, text: str, parts: list[tuple], n: int) -> tuple[list[tuple[float, bytes]], bool]:
@@ -317,9 +352,6 @@ def answer(found: list[tuple[float, bytes]]) -> tuple[float, bytes, list[tuple[f
     return (*found[0], losses, losses[0][0] if losses else float("inf"))
 
 
-_unknown = b"\xff\xff\xff\xff"
-
-
 def codes(texts: list[str], length: int) -> np.ndarray:
     """Code points of texts of one length, a row for each."""
     return np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(texts), length)

@@ -208,6 +208,18 @@ def test_pieces_n_best_is_exact():
         assert np.allclose([s for s, _ in model.n_best(segment, 3)], want)
 
 
+def test_pieces_of_a_part_are_found_once_for_all_segments():
+    model, asked = pieces.Pieces(queries.piece_model()), []
+    solved = model.solved
+    model.solved = lambda parts, n: asked.extend(parts) or solved(parts, n)
+    model.encode("ab☃ cd☃\n☃")
+    way, exact = model.encode("ef☃ the☃")
+    assert exact and asked.count("☃") == 1 and not {"▁ef☃", "▁the☃"} & set(asked)
+    each = [model.n_best(part, 3) for part in ("▁ef", "☃", "▁the", "☃")]
+    want = heapq.nlargest(3, (a[0] + b[0] + c[0] + d[0] for a in each[0] for b in each[1] for c in each[2] for d in each[3]))
+    assert np.allclose([s for s, _ in way], want)
+
+
 def test_pieces_of_texts(spark, odd, empty):
     model = pieces.load(queries.piece_model())
     words = ["▁a", "▁an", "▁the"]
