@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Callable
 
@@ -9,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kindred.checkpoints import remove
-from kindred.llm.common import blocks_of, held_out, shared_folder, table
+from kindred.llm.common import blocks_of, give_back, held_out, shared_folder, table
 from kindred.llm.jaccard import near_duplicates
 from kindred.llm.language import UNDETERMINED, train_language_id, with_language
 from kindred.llm.mixing import mixed
@@ -32,14 +33,17 @@ DOCUMENTS_PER_FILE = 2_000
 
 
 def few_files(kept: DataFrame, docs: DataFrame) -> DataFrame:
-    """``kept``, in no more partitions than ``docs`` is large enough for; many small files would cost more than they hold."""
+    """``kept``, in no more partitions than ``docs`` is large enough for; many small files would cost more than they hold.
+    What the driver needed to make ``kept`` goes back to the system before it runs."""
+    gc.collect()
+    give_back()
     return kept.coalesce(blocks_of(docs.count(), DOCUMENTS_PER_FILE))
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below ``TOXIC_FROM``."""
-    model = train_toxicity(docs, table(spark, sf_dir, "labels").where(~held_out()))
-    scored = with_toxicity(docs, model, out="_score", evidence="_evidence")
+    labels = table(spark, sf_dir, "labels").where(~held_out())
+    scored = with_toxicity(docs, train_toxicity(docs, labels), out="_score", evidence="_evidence")
     return few_files(scored.where(F.col("_score") < TOXIC_FROM).select(COLUMNS), docs)
 
 

@@ -72,23 +72,21 @@ def mixed(docs: DataFrame, levels: list[str], budget: int | None = None, share:
 
     ``budget`` is in tokens (default: ``share`` of all tokens). Null level values are a child named ``(none)``; texts
     that are null or without a token supply nothing and are never taken. Repeated rows count as often as they occur.
-    Tokens are counted once; only the narrow rows are dealt out and sorted.
+    Tokens are counted once; only the narrow rows are dealt out and sorted. Budgets are materialised, so that the plan of
+    the descent, which the driver holds, isn't part of every plan that is made of the rows.
     """
     named = {f"_{i}": F.coalesce(F.col(c).cast("string"), F.lit("(none)")) for i, c in enumerate(levels)}
     path = list(named)
     parts = blocks_of(docs.count(), TEXTS_PER_TASK)
     rows = cut(docs.coalesce(parts).select(key, *levels, words(text).alias("n_tokens")).withColumns(named).where("n_tokens > 0"))
     order = F.xxhash64(F.lit(seed), F.col(key), "n_tokens")
-    sums = rows.groupBy(*path).agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("n")).persist()
-    try:
-        all_tokens, n = sums.agg(F.sum("tokens"), F.sum("n")).first()
-        budget = int((all_tokens or 0) * share) if budget is None else budget
-        buckets = blocks_of(n or 0, ROWS_PER_BUCKET)
-        given = {f"_{i}": (weights or {}).get(c, {}) for i, c in enumerate(levels)}
-        leaves = leaf_budgets(sums.drop("n"), path, budget, epochs, given)
-        leaves = leaves.select(*path, F.floor(F.col("budget") / F.col("tokens")).alias("epochs"), (F.col("budget") % F.col("tokens")).alias("last"))
-    finally:
-        sums.unpersist()
+    sums = cut(rows.groupBy(*path).agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("n")))
+    all_tokens, n = sums.agg(F.sum("tokens"), F.sum("n")).first()
+    budget = int((all_tokens or 0) * share) if budget is None else budget
+    buckets = blocks_of(n or 0, ROWS_PER_BUCKET)
+    given = {f"_{i}": (weights or {}).get(c, {}) for i, c in enumerate(levels)}
+    leaves = leaf_budgets(sums.drop("n"), path, budget, epochs, given)
+    leaves = cut(leaves.select(*path, F.floor(F.col("budget") / F.col("tokens")).alias("epochs"), (F.col("budget") % F.col("tokens")).alias("last")))
     rows = rows.withColumn("_order", order).withColumn("_bucket", F.floor((F.shiftright("_order", 32) + (1 << 31)) * buckets / float(1 << 32)).cast("int"))
     in_bucket = rows.groupBy(*path, "_bucket").agg(F.sum("n_tokens").alias("_sum"))
     before = Window.partitionBy(*path).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)

@@ -141,6 +141,13 @@ def test_mixing_takes_prefixes(spark, monkeypatch):
     assert mixing.mixed(docs.where("false"), ["lang"]).count() == 0
 
 
+def test_plan_of_a_mixture_is_without_the_descent(spark):
+    docs = spark.createDataFrame([(i, "a b c", "en", f"s{i % 3}") for i in range(30)], "doc_id long, text string, lang string, source string")
+    taken = mixing.mixed(docs.withColumn("domain", queries.domain_of()), queries.MIX_LEVELS, weights=queries.MIX_WEIGHTS)
+    assert taken._jdf.queryExecution().optimizedPlan().toString().count("Window [") <= 4
+    assert taken.agg(F.sum(F.col("epochs") * F.col("n_tokens") + F.col("part"))).first()[0] == 72
+
+
 def test_sharding_law_and_links(spark):
     texts = [None, ""] + ["hot"] * 300 + [f"pair {i // 2}" for i in range(300)] + [f"single {i}" for i in range(197)]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("shard", F.lit("clash"))
