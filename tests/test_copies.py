@@ -58,3 +58,12 @@ def test_results_of_copies_lie_side_by_side(spark, monkeypatch):
     found = [r["r"] for r in similarity.correlated(similarity.pair_sums(frame, sums=["n", "r"]), 1).collect()]
     assert len(found) == 640 * 639 // 2
     assert sum(x != y for x, y in zip(found, found[1:], strict=False)) < len(found) / 5
+
+
+def test_only_the_ends_leave_a_tile(spark, copied, monkeypatch):
+    """Of twins and mirrors only the best of each tile come out; the best of all are among them, ties included."""
+    monkeypatch.setattr(similarity, "FILM_PAIRS", 0)
+    pairs = [similarity.pair_sums(copied, sums=["n", "r"], least=5, far=True, ends=ends) for ends in (None, (15, 10))]
+    assert pairs[1].count() < pairs[0].count() / 2
+    for order in ((F.desc("r"), "a", "b"), ("r", "a", "b")):
+        assert len({tuple(map(tuple, x.withColumn("r", F.round("r", 6)).orderBy(*order).limit(10).collect())) for x in pairs}) == 1
